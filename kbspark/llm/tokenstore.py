@@ -19,6 +19,7 @@ import functools
 import hashlib
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +64,11 @@ _ARROW_ROWS = pa.schema(
 class WordEncoder:
     """Encodes texts with a `tokenizers` file, remembering the ids of words seen before.
 
-    A byte-level pre-tokenizer never joins a character with a following space, and a space before a
-    non-space character always starts a new piece, so a text may be cut there and the parts encoded one by
-    one with equal results. Texts with runs of white space around a cut are encoded whole.
+    A byte-level pre-tokenizer never joins a character with a following space or line feed, and a single
+    space or line feed between other characters always starts a new piece, so a text may be cut there and
+    the parts encoded one by one with equal results. Texts with runs of white space, or with white space of
+    other kinds, are encoded whole. Words that are new are encoded together, one a line, and their ids cut
+    at the line feed's id.
     """
 
     def __init__(self, path: str):
@@ -74,36 +77,62 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        lines = self.tokenizer.encode(" a\n b", add_special_tokens=False).ids
+        alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" a", " b")]
+        #: The id that cuts lines, if the vocabulary has one.
+        self.feed = feed[0] if len(feed) == 1 and lines == [*alone[0], *feed, *alone[1]] else None
+        #: Ids as bytes, of words that follow a space, or of those that begin with a line feed as they are.
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in batch(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        spaced = [w for w in words if w[0] != "\n"] if self.feed is not None else []
+        for at in range(0, len(spaced), 5_000):
+            own = spaced[at : at + 5_000]
+            raw = self._bytes([" " + "\n ".join(own)])[0]
+            ends = [*(4 * np.flatnonzero(np.frombuffer(raw, dtype=np.uint32) == self.feed)).tolist(), len(raw)]
+            if len(ends) != len(own):
+                raise ValueError("the tokenizer does not keep lines apart")
+            self.memo.update(zip(own, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
+        rest = [w for w in words if w[0] == "\n" or self.feed is None]
+        self.memo.update(zip(rest, self._bytes([w if w[0] == "\n" else " " + w for w in rest])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | None] = []
-        whole: list[str] = []
-        fresh: dict[str, None] = {}
         if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
+            self.memo, self.older = {}, self.memo
+        get, cut, whole, fresh = self.memo.get, [], [], {}
         for text in texts:
-            parts = (text or "").split(" ")
-            first, parts = parts[0], [*map(" ".__add__, parts[1:])]
-            if any(len(p) < 2 or p[1].isspace() or p[1] < "!" for p in parts):
+            feeds = text.count("\n") if text else 0
+            parts = (text.replace("\n", " \n") if feeds else text or "").split(" ")
+            if not text or "" in parts or text[0].isspace() or text[-1] == "\n" or (feeds and ("\n " in text or "\n" in parts)) or len(text.split()) != len(parts):
+                whole.append(text or "")
                 cut.append(None)
-                whole.append(text)
                 continue
-            if first:
-                parts.insert(0, first)
-            cut.append(parts)
-            fresh.update(dict.fromkeys(p for p in parts if p not in memo))
-        words = list(fresh)
-        for at in range(0, len(words), 10_000):
-            memo.update(zip(words[at : at + 10_000], self._bytes(words[at : at + 10_000])))
-        rest = iter(self._bytes(whole))
-        return [next(rest) if parts is None else b"".join(map(memo.__getitem__, parts)) for parts in cut]
+            whole.append(parts[0])
+            del parts[0]
+            found = [*map(get, parts)]
+            lacks = [i for i, x in enumerate(found) if x is None] if None in found else ()
+            fresh.update(dict.fromkeys([parts[i] for i in lacks]))
+            cut.append((found, [(i, parts[i]) for i in lacks]))
+        older = self.older
+        self.memo.update({p: older[p] for p in fresh if p in older})
+        self._learn([p for p in fresh if p not in older])
+        out, memo = [], self.memo
+        for first, parts in zip(self._bytes(whole), cut):
+            if parts is None:
+                out.append(first)
+                continue
+            found, lacks = parts
+            for i, p in lacks:
+                found[i] = memo[p]
+            out.append(first + b"".join(found))
+        return out
 
 
 @functools.cache
@@ -160,7 +189,7 @@ def _encode(path: str, end_id: int):
     def run(batches):
         import zstandard
 
-        encoder, compressor, seen = _encoder(path), zstandard.ZstdCompressor(level=3), set()
+        encoder, compressor, seen = _encoder(path), zstandard.ZstdCompressor(level=1), set()
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for part in slices(batches, "text", rows=500, size=4_000_000):
             out = {f.name: [] for f in _ARROW_ROWS}
