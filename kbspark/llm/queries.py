@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import tokenstore
+from kbspark.llm import decontaminate, langid, mixing, secrets, tokenstore, urlfilter
 from kbspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,34 @@ def query(f):
 @query
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_store(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.RULES)
+
+
+ORACLE_SQL["op3_url_rules"] = urlfilter.oracle()
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.domain_of(F.col("source")))
+
+
+ORACLE_SQL["op10_source_mix"] = mixing.oracle()
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
