@@ -1,10 +1,20 @@
-"""The core library's queries over the driver's tables, and DuckDB SQL with equal results."""
+"""The core library's queries over the driver's tables, and DuckDB SQL with equal results.
+
+The tables have no knowledge base in them, so each operator runs on a stated reading of them, given with
+its query. Results carry no nested values: arrays and maps are joined to text in a stated order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kbspark.functions import scalars as S
+from kbspark.functions.text import chunk_text, windows
+from kbspark.operators import alignment, archive, evidence, governance, graph, lifting, maintain, provenance, reasoning, registry
+from kbspark.operators.reasoning import Rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- evidence -----------------------------------------------------------------------------------------
+
+
 @query(
     "evidence_source_diversity",
     """
@@ -38,7 +51,759 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from h group by source
     """,
 )
-def evidence_source_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kbspark.operators.evidence import source_diversity
+def evidence_source_diversity(spark, sf_dir):
+    return evidence.source_diversity(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "evidence_hash_dedup",
+    """select doc_id, 'sha256:' || sha256(coalesce(text, '')) as content_hash,
+              row_number() over (partition by sha256(coalesce(text, '')) order by doc_id) = 1 as kept from documents""",
+)
+def evidence_hash_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", evidence.content_hash(F.col("text")).alias("content_hash"))
+    return evidence.mark_first(docs, "content_hash", "doc_id").select("doc_id", "content_hash", "kept")
+
+
+@query(
+    "evidence_incremental_dedup",
+    """
+    with h as (select doc_id, sha256(coalesce(text, '')) as h from documents),
+         old as (select distinct h from h where doc_id % 5 = 0),
+         new as (select doc_id, h, row_number() over (partition by h order by doc_id) as rn from h where doc_id % 5 <> 0)
+    select (rn = 1 and o.h is null) as kept, count(*) as n from new left join old o on new.h = o.h group by 1
+    """,
+)
+def evidence_incremental_dedup(spark, sf_dir):
+    """Every fifth document is what a run before has stored, the rest the new batch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", evidence.content_hash(F.col("text")).alias("content_hash"))
+    out = evidence.dedup_new(docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0"), "content_hash", "doc_id")
+    return out.groupBy("kept").agg(F.count("*").alias("n"))
+
+
+@query(
+    "evidence_chunk_window",
+    """
+    with d as (select doc_id, text, length(text) as n from documents where text is not null),
+         k as (select doc_id, text, unnest(range(case when n <= 1200 then 1 else ceil((n - 1200) / 1100.0)::int + 1 end)) as i from d)
+    select doc_id, i::int as chunk_index, 'sha256:' || sha256(substr(text, i * 1100 + 1, 1200)) as content_hash from k
+    """,
+)
+def evidence_chunk_window(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", F.posexplode(windows(F.col("text"), 1200, 100)).alias("chunk_index", "c")).select("doc_id", "chunk_index", S.content_hash(F.col("c")).alias("content_hash"))
+
+
+@query("evidence_chunk_full")
+def evidence_chunk_full(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.posexplode(chunk_text(F.col("text"))).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.length("c").alias("n"), S.content_hash(F.col("c")).alias("content_hash"))
+
+
+@query(
+    "evidence_readiness",
+    """
+    with s as (select doc_id, coalesce(source, '') as uri, length(coalesce(text, '')) as n from documents),
+         j as (select s.*, case when l.doc_id is null then 0.0 else 1.0 end as have from s left join (select distinct doc_id from labels) l using (doc_id)),
+         o as (select round_even(count(distinct uri) / count(*), 3) as uniqueness, case when avg(n) between 300 and 1200 then 1.0 else 0.0 end as length_ok,
+                      1.0 as hashes_ok, round_even(avg(have), 3) as notes from j)
+    select uniqueness, length_ok::double as length_ok, hashes_ok::double as hashes_ok, notes, round_even((uniqueness + length_ok + hashes_ok + notes) / 4, 3) as score from o
+    """,
+)
+def evidence_readiness(spark, sf_dir):
+    """Documents as seeds: source is the URI, a labels row the note."""
+    d = table(spark, sf_dir, "documents")
+    chunk = F.struct(F.lit(0).alias("char_start"), F.length(F.coalesce("text", F.lit(""))).alias("char_end"), F.lit("").alias("text_preview"))
+    seeds = d.select(F.coalesce("source", F.lit("")).alias("uri"), F.col("doc_id").cast("string").alias("md_path"), evidence.content_hash(F.col("text")).alias("content_hash"), chunk.alias("chunk"))
+    return evidence.readiness(seeds, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path")))
+
+
+@query(
+    "seed_contract_violations",
+    """
+    with s as (select case when doc_id % 7 = 0 then 'seed:' || doc_id else 'evidence:seed:d_' || doc_id end as id,
+                      case when doc_id % 11 = 0 then null else 'u' end as uri, case when doc_id % 13 = 0 then 'sha256:zz' else 'sha256:' || sha256(coalesce(text, '')) end as h,
+                      doc_id % 17 = 0 as no_total from documents)
+    select rule, count(*) as n from (
+        select 'missing:uri' as rule from s where uri is null
+        union all select 'missing:chunk.total' from s where no_total
+        union all select 'pattern:id' from s where not regexp_full_match(id, 'evidence:seed:[a-z0-9_]+')
+        union all select 'pattern:content_hash' from s where not regexp_full_match(h, 'sha256:[0-9a-f]{64}')) group by rule
+    """,
+)
+def seed_contract_violations(spark, sf_dir):
+    """Documents as seeds, with faults put in by doc_id."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    text = lambda v: F.lit(v)
+    seeds = d.select(
+        F.when(i % 7 == 0, F.concat(F.lit("seed:"), i.cast("string"))).otherwise(F.concat(F.lit("evidence:seed:d_"), i.cast("string"))).alias("id"), text("url").alias("kind"),
+        F.when(i % 11 == 0, None).otherwise("u").alias("uri"), text("t").alias("retrieved_at"), F.when(i % 13 == 0, "sha256:zz").otherwise(evidence.content_hash(F.col("text"))).alias("content_hash"),
+        text("t").alias("title"), text("p").alias("md_path"), text("1").alias("tool_version"),
+        F.struct(F.lit(0).alias("index"), F.when(i % 17 == 0, None).otherwise(1).alias("total"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end")).alias("chunk"),
+    )
+    return evidence.seed_violations(seeds).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("seed_missing_md", "select doc_id from documents where doc_id not in (select doc_id from labels)")
+def seed_missing_md(spark, sf_dir):
+    """A labels row stands for a document's note."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("md_path"))
+    return evidence.missing_notes(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"))).select("doc_id")
+
+
+@query(
+    "page_slug",
+    """
+    with u as (select page_id, url, regexp_replace(url, '^[^:]*://', '') as r from pages),
+         p as (select page_id, lower(regexp_replace(regexp_extract(r, '^[^/?#]*', 0), ':[0-9]*$', '')) as host, replace(trim(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '/'), '/', '_') as path from u)
+    select page_id, substr(trim(regexp_replace(lower(host || '_' || path), '[^a-z0-9]+', '_', 'g'), '_'), 1, 40) as slug from p
+    """,
+)
+def page_slug(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.uri_slug(F.col("url")).alias("slug"))
+
+
+@query("page_html_extract")
+def page_html_extract(spark, sf_dir):
+    page = S.html_extract(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", page.alias("p")).select("page_id", F.col("p.title").alias("title"), F.length("p.text").alias("text_length"), S.content_hash(F.col("p.text")).alias("content_hash"))
+
+
+# --- graphs -------------------------------------------------------------------------------------------
+
+
+@query(
+    "graph_hub_nodes",
+    """
+    with deg as (select p_partkey as node, count(l_partkey) as degree from part left join lineitem on l_partkey = p_partkey group by p_partkey)
+    select node, degree from deg where degree > (select avg(degree) + 2 * stddev_pop(degree) from deg)
+    """,
+)
+def graph_hub_nodes(spark, sf_dir):
+    """Parts are nodes, a lineitem is an edge from its part to its order, which is no node."""
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lit(None).cast("bigint").alias("dst"))
+    return lifting.hub_nodes(nodes, edges, 2.0, "node")
+
+
+@query(
+    "graph_candidate_edges",
+    """select l_orderkey, l_linenumber, l_partkey as src, l_suppkey as dst from lineitem
+       where l_partkey in (select p_partkey from part where p_size > 25) and l_suppkey in (select s_suppkey from supplier where s_acctbal > 0)""",
+)
+def graph_candidate_edges(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    keep = edges.join(table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("src")), "src", "left_semi")
+    return keep.join(table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("dst")), "dst", "left_semi").select("l_orderkey", "l_linenumber", "src", "dst")
+
+
+_LABELS = ["HttpAdapter", "JobRunner", "appconfig", "VectorDB", "EventStore", "MainCLI", "ChatAgent", "ClickEvent", "UserSession", "AuthPlugin", "StateManager", "Parser", "store_event"]
+
+
+@query(
+    "code_symbol_type",
+    "with l(label) as (values " + ", ".join(f"('{x}')" for x in _LABELS) + ") select label, case "
+    + " ".join(f"when ends_with(lower(label), '{e}') then '{k}'" for e, k in S.SYMBOL_TYPES) + " else 'CodeSymbol' end as entity_type from l",
+)
+def code_symbol_type(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in _LABELS], "label string").select("label", S.symbol_type(F.col("label")).alias("entity_type"))
+
+
+@query(
+    "hop_bfs",
+    """
+    with recursive e as (select distinct user_id as s, (user_id * 7 + event_id) % 400 as t from events where event_type = 'click'),
+    w(node, hop) as (select 8::bigint, 0 union select e.t, w.hop + 1 from w join e on e.s = w.node where w.hop < 3)
+    select node, min(hop)::int as hop from w group by node
+    """,
+)
+def hop_bfs(spark, sf_dir):
+    """Click events as edges from the user to a made-up number; three hops from user 8."""
+    ev = table(spark, sf_dir, "events").filter("event_type = 'click'")
+    edges = ev.select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id")) % 400).alias("dst"))
+    return graph.hops(edges, spark.createDataFrame([(8,)], "node bigint"), 3)
+
+
+@query(
+    "rollup_sum",
+    """select n_name, round(sum(l_extendedprice), 2) as total from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+       join nation on c_nationkey = n_nationkey group by n_name""",
+)
+def rollup_sum(spark, sf_dir):
+    """Line prices roll up over orders and customers to nations; sums at each relation before the next join."""
+    li = graph.rollup_sum(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice")
+    by_cust = graph.rollup_sum(li.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey", "total")
+    by_nation = graph.rollup_sum(by_cust.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_nationkey", "total")
+    named = by_nation.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.select("n_name", F.round("total", 2).alias("total"))
+
+
+@query("rollup_weighted_avg", "select l_orderkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) as mean from lineitem group by l_orderkey")
+def rollup_weighted_avg(spark, sf_dir):
+    return graph.rollup_weighted(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_discount", "l_quantity").select("l_orderkey", F.round("mean", 9).alias("mean"))
+
+
+_QUERY_VECTOR = [((i * 37) % 64 - 31) / 64.0 for i in range(64)]
+
+
+@query(
+    "vector_topk",
+    f"""
+    with s as (select vec_id, list_cosine_similarity(list_transform(embedding, lambda x: x::double), {_QUERY_VECTOR}::double[]) as score from embeddings)
+    select vec_id, round(score, 6) as score, row_number() over (order by score desc, vec_id)::int as rank from s order by s.score desc, vec_id limit 10
+    """,
+)
+def vector_topk(spark, sf_dir):
+    return graph.cosine_top_k(table(spark, sf_dir, "embeddings"), _QUERY_VECTOR, 10).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "rrf_fuse",
+    f"""
+    with s as (select vec_id, label, list_cosine_similarity(list_transform(embedding, lambda x: x::double), {_QUERY_VECTOR}::double[]) as score from embeddings),
+    a as (select vec_id, row_number() over (order by score desc, vec_id) as rank from s qualify rank <= 50),
+    b as (select vec_id, row_number() over (order by label, vec_id) as rank from s qualify rank <= 50)
+    select vec_id, round(sum(1.0 / (60 + rank)), 9) as fused from (select * from a union all select * from b) group by vec_id
+    """,
+)
+def rrf_fuse(spark, sf_dir):
+    """Rank by similarity and rank by label, the first fifty of each."""
+    v = table(spark, sf_dir, "embeddings")
+    near = graph.cosine_top_k(v, _QUERY_VECTOR, 50)
+    label = v.orderBy("label", "vec_id").limit(50).select("vec_id", F.row_number().over(Window.orderBy("label", "vec_id")).alias("rank"))
+    return graph.fuse_ranks([near, label], "vec_id").select("vec_id", F.round("fused", 9).alias("fused"))
+
+
+_KIND_SQL = "case event_id % 4 when 0 then 'causes' when 1 then 'requires' when 2 then 'constrains' else 'informs' end"
+_COMPOSED = " ".join(f"when a.kind = '{a}' and b.kind = '{b}' then '{c}'" for a, row in graph.COMPOSITION.items() for b, c in zip(graph.KINDS, row))
+
+
+@query(
+    "morphism_compose",
+    f"""
+    with e as (select distinct user_id as src, (user_id + event_id) % 150 as dst, {_KIND_SQL} as kind from events where event_type = 'signup' and event_id % 5 = 0),
+    two as (select distinct a.src, b.dst, case {_COMPOSED} end as kind, b.src as via from e a join e b on a.dst = b.src),
+    three as (select distinct a.src, b.dst, case {_COMPOSED} end as kind, b.src as via from (select distinct src, dst, kind from two) a join e b on a.dst = b.src)
+    select hops, kind, count(*) as n, count(distinct via) as vias from (select 2 as hops, * from two union all select 3, * from three) group by hops, kind
+    """,
+)
+def morphism_compose(spark, sf_dir):
+    """Signups as typed edges between users."""
+    ev = table(spark, sf_dir, "events").filter("event_type = 'signup' and event_id % 5 = 0")
+    kind = F.element_at(F.array(*map(F.lit, graph.KINDS)), (F.col("event_id") % 4 + 1).cast("int"))
+    edges = ev.select(F.col("user_id").alias("src"), ((F.col("user_id") + F.col("event_id")) % 150).alias("dst"), kind.alias("kind"))
+    return graph.compose_edges(edges).groupBy("hops", "kind").agg(F.count("*").alias("n"), F.countDistinct("via").alias("vias"))
+
+
+@query("graph_communities")
+def graph_communities(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = li.filter("l_quantity >= 45").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    return graph.communities(edges, 3)
+
+
+# --- registry -----------------------------------------------------------------------------------------
+
+
+def _parts_as_entities(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("cluster"), F.col("p_name").alias("label"), F.array("p_type").alias("synonyms"), F.col("p_partkey").alias("seq"))
+
+
+@query(
+    "mece_label_duplicate",
+    """
+    with f as (select p_brand as cluster, p_partkey as id, first_value(p_partkey) over (partition by p_brand, lower(trim(p_name)) order by p_partkey) as first_id from part)
+    select cluster, first_id, id from f where first_id <> id
+    """,
+)
+def mece_label_duplicate(spark, sf_dir):
+    return registry.label_duplicates(_parts_as_entities(spark, sf_dir))
+
+
+@query(
+    "mece_jaccard_overlap",
+    """
+    with n as (select distinct p_name as id, list_distinct(string_split(lower(p_name), ' ')) as t from part),
+    j as (select a.id as a, b.id as b, len(list_intersect(a.t, b.t)) as k, len(a.t) + len(b.t) as s from n a join n b on a.id < b.id)
+    select a, b, round_even(k / (s - k), 4) as jaccard from j where k / (s - k) >= 0.3
+    """,
+)
+def mece_jaccard_overlap(spark, sf_dir):
+    """Distinct part names, as one cluster."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct().select(F.lit("all").alias("cluster"), F.col("p_name").alias("id"), F.col("p_name").alias("label"), F.array().cast("array<string>").alias("synonyms"))
+    return registry.jaccard_overlaps(names, 0.3).select("a", "b", "jaccard")
+
+
+@query(
+    "mece_cluster_boundary",
+    """
+    select l_orderkey, l_linenumber, a.n_regionkey as source_cluster, b.n_regionkey as target_cluster from lineitem join orders on l_orderkey = o_orderkey
+    join supplier on s_suppkey = l_suppkey join nation a on a.n_nationkey = s_nationkey join customer on c_custkey = o_custkey join nation b on b.n_nationkey = c_nationkey
+    where a.n_regionkey <> b.n_regionkey
+    """,
+)
+def mece_cluster_boundary(spark, sf_dir):
+    """A lineitem relates its supplier to its customer; clusters are regions."""
+    t = lambda n: table(spark, sf_dir, n)
+    nation = t("nation").select("n_nationkey", F.col("n_regionkey").alias("cluster"))
+    members = t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("id"), "cluster")
+    members = members.unionByName(t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), "c_custkey").alias("id"), "cluster"))
+    li = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    relations = li.select("l_orderkey", "l_linenumber", F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("c"), "o_custkey").alias("target"))
+    return registry.cross_cluster(relations, members).select("l_orderkey", "l_linenumber", "source_cluster", "target_cluster")
+
+
+@query("mece_orphan_entity", "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
+def mece_orphan_entity(spark, sf_dir):
+    """An order's lineitems are its evidence."""
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("source_refs", F.array(F.lit("l")))
+    return registry.orphans(table(spark, sf_dir, "orders").select("o_orderkey").join(refs, "o_orderkey", "left")).select("o_orderkey")
+
+
+@query(
+    "id_collision_suffix",
+    """
+    with s as (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') as base from part),
+    n as (select p_partkey, base, row_number() over (partition by base order by p_partkey) as k from s)
+    select p_partkey, case when k = 1 then base else base || '_' || k end as id from n
+    """,
+)
+def id_collision_suffix(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", S.registry_snake(F.col("p_name")).alias("base"))
+    return registry.suffixed_ids(rows, "base", "p_partkey").select("p_partkey", "id")
+
+
+@query(
+    "list_union_kinds",
+    """select 'entity' as _kind, c_mktsegment as cluster, count(*) as n from customer group by 2 union all
+       select 'relation', c_mktsegment, count(*) from orders join customer on o_custkey = c_custkey group by 2 union all
+       select 'instance', 'supplier', count(*) from supplier""",
+)
+def list_union_kinds(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    ents = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("cluster"))
+    rels = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("cluster"))
+    ins = t("supplier").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("cluster"), F.col("s_name").alias("label"))
+    return registry.list_all(ents, rels, ins).groupBy("_kind", "cluster").agg(F.count("*").alias("n"))
+
+
+@query("workflow_id_dupes", "select p_name, count(*) as n, string_agg(p_partkey::varchar, ',' order by p_partkey::varchar) as places from part group by p_name having count(*) > 1")
+def workflow_id_dupes(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_name", F.col("p_partkey").cast("string").alias("place"))
+    return governance.repeated_ids(rows, "p_name", "place").select("p_name", "n", F.array_join("places", ",").alias("places"))
+
+
+# --- maintenance --------------------------------------------------------------------------------------
+
+
+@query(
+    "drift_dangling_refs",
+    "select l_orderkey as id, 'evidence:seed:' || l_partkey as ref from (select distinct l_orderkey, l_partkey from lineitem) where l_partkey not in (select p_partkey from part where p_size <= 45)",
+)
+def drift_dangling_refs(spark, sf_dir):
+    """Orders refer to their parts; parts of size 45 or less are the seeds."""
+    seed = lambda c: F.concat(F.lit("evidence:seed:"), F.col(c))
+    ents = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(seed("l_partkey")).alias("source_refs")).withColumn("cluster", F.lit("all"))
+    return maintain.dangling_refs(ents, table(spark, sf_dir, "part").filter("p_size <= 45").select(seed("p_partkey").alias("id"))).select("id", "ref")
+
+
+@query("drift_cluster_mismatch", "select s_suppkey from supplier join nation on s_nationkey = n_nationkey where n_regionkey <> s_suppkey % 5")
+def drift_cluster_mismatch(spark, sf_dir):
+    """A supplier's region against the directory that its key says."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    ents = s.select("s_suppkey", F.col("s_suppkey").cast("string").alias("id"), F.col("n_regionkey").cast("string").alias("cluster"), (F.col("s_suppkey") % 5).cast("string").alias("dir_cluster"), F.lit(None).cast("string").alias("md_path"), F.array().cast("array<string>").alias("source_refs"))
+    none = spark.createDataFrame([], "path string, cluster string")
+    found = maintain.drift(ents, none, spark.createDataFrame([], "id string")).filter("kind = 'cluster_mismatch'")
+    return found.select(F.col("id").cast("bigint").alias("s_suppkey"))
+
+
+@query("orphan_no_relation", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity >= 45 and l_returnflag = 'R')")
+def orphan_no_relation(spark, sf_dir):
+    ents = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("accepted").alias("status"), F.lit("all").alias("cluster"), F.lit("x").alias("md_path"))
+    rel = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45 and l_returnflag = 'R'").select(F.col("l_partkey").alias("source"), F.lit(None).cast("bigint").alias("target"))
+    files, none = spark.createDataFrame([("x", "all")], "path string, cluster string"), spark.createDataFrame([], "path string, md_path string, id string")
+    found = maintain.orphan_findings(ents, rel, files, none.select("path"), none.select("md_path")).filter("kind = 'no_incoming_relation'")
+    return found.select(F.col("id").cast("bigint").alias("p_partkey"))
+
+
+def _evaluation(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    refs = F.when(F.col("c_acctbal") > 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>"))
+    ents = c.select(F.col("c_mktsegment").alias("cluster"), F.when(F.col("c_custkey") % 3 == 0, "accepted").when(F.col("c_custkey") % 3 == 1, "stable").alias("status"), refs.alias("source_refs"))
+    rels = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("cluster"))
+    return maintain.cluster_eval(ents, rels, ents.filter("status = 'stable'").select("cluster"))
+
+
+_EVAL = """
+    ent as (select c_mktsegment as cluster, count(*) as entities, count(*) filter (where c_custkey % 3 = 1) as instances, avg(case when c_acctbal > 0 then 1.0 else 0.0 end) as cov,
+                   count(*) filter (where c_custkey % 3 = 0) as a, count(*) filter (where c_custkey % 3 = 2) as d from customer group by 1),
+    rel as (select c_mktsegment as cluster, count(*) as relations from orders join customer on o_custkey = c_custkey group by 1),
+    ev as (select cluster, entities, relations, instances, 'accepted=' || a || ',draft=' || d || ',stable=' || instances as status_dist,
+                  round_even(cov, 3) as evidence_coverage, round_even(relations / greatest(entities, 1), 3) as relation_density from ent join rel using (cluster))"""
+
+
+@query("cluster_eval", f"with {_EVAL} select * from ev")
+def cluster_eval(spark, sf_dir):
+    """Market segments as clusters, customers as entities, orders as relations."""
+    dist = F.array_join(F.transform(F.map_entries("status_dist"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return _evaluation(spark, sf_dir).withColumn("status_dist", dist)
+
+
+@query(
+    "drift_readiness_score",
+    f"""with {_EVAL}, o as (select avg(evidence_coverage) as coverage, avg(relation_density) as density from ev)
+    select round(coverage, 6) as coverage, round(density, 6) as density, round_even(0.40 + case when coverage >= 0.8 then 0.20 else 0 end + case when density >= 0.5 then 0.10 else 0 end, 3)::double as score from o""",
+)
+def drift_readiness_score(spark, sf_dir):
+    """The evaluation above, with no drift, some orphans and no lock."""
+    return maintain.drift_readiness(_evaluation(spark, sf_dir), 0, 3, False).select(F.round("coverage", 6).alias("coverage"), F.round("density", 6).alias("density"), "score")
+
+
+@query(
+    "scan_since",
+    """
+    with e as (select event_id, case when event_id % 50 = 0 then 'soon' else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as t, user_id from events where event_type = 'view')
+    select count(*) as scans, coalesce(sum(user_id), 0)::bigint as drift, coalesce(sum(event_id % 3), 0)::bigint as orphan from e
+    where try_cast(substr(t, 1, 10) as date) is null or try_cast(substr(t, 1, 10) as date) >= date '2024-01-10'
+    """,
+)
+def scan_since(spark, sf_dir):
+    """View events as scans; every fiftieth has no readable date."""
+    ts = F.when(F.col("event_id") % 50 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    ev = table(spark, sf_dir, "events").filter("event_type = 'view'")
+    ev = ev.select(F.lit("scan_complete").alias("event_type"), ts.alias("ts"), F.col("user_id").alias("drift"), (F.col("event_id") % 3).alias("orphan"), F.lit(0).cast("bigint").alias("auto_fixes"))
+    return maintain.scan_totals(ev, "2024-01-10").drop("auto_fixes")
+
+
+@query(
+    "finding_sort",
+    """select l_returnflag as rule, row_number() over (partition by l_returnflag order by l_extendedprice desc, l_orderkey, l_linenumber)::int as rank, l_orderkey, l_linenumber
+       from lineitem qualify rank <= 30""",
+)
+def finding_sort(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("rule"), "l_orderkey", "l_linenumber", "l_extendedprice")
+    return maintain.top_per_rule(rows, "rule", [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]).select("rule", "rank", "l_orderkey", "l_linenumber")
+
+
+@query(
+    "survival_rate",
+    """with b as (select distinct user_id from events where event_id < 2000), a as (select distinct user_id from events where event_id >= 2000 and event_type = 'purchase')
+       select count(*) as before, count(a.user_id) as kept, round_even(count(a.user_id) / count(*), 3) as rate from b left join a using (user_id)""",
+)
+def survival_rate(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return maintain.survival(ev.filter("event_id < 2000"), ev.filter("event_id >= 2000 and event_type = 'purchase'"), "user_id")
+
+
+_NOTES = [
+    ("a", "a__class.md", "x", "L1", None, []), ("a", "concept__one.md", "", None, None, [("belongs_to", "[[a__class|A]]")]), ("a", "concept__two.md", "", None, None, []),
+    ("a/b", "b__hub.md", "concept__three", "L1", None, [("belongs_to", "[[b__hub]]")]), ("a/b", "concept__three.md", "", None, None, [("belongs_to", "[[b__hub]]"), ("belongs_to", "[[a__class]]")]),
+    ("c", "concept__four.md", "", None, None, [("belongs_to", "[[zzz|Z]]")]), ("d", "dd__class.md", "", "L1", None, []), ("unclassified", "concept__five.md", "", None, None, []),
+    ("p/q/r/s/t", "t__class.md", "", "L2", None, []),
+]
+_ALIGNED = [
+    ("belongs_to_mismatch", "warning", 1), ("belongs_to_missing", "error", 1), ("deep_nesting", "warning", 1), ("level_mismatch", "warning", 1), ("multiple_parents", "error", 1),
+    ("naming_consistency", "error", 1), ("parent_existence", "error", 1), ("parent_existence", "warning", 1), ("parent_index_missing", "warning", 1), ("self_reference", "error", 1),
+]
+
+
+@query("parent_alignment", "select * from (values " + ", ".join(f"('{r}', '{s}', {n}::bigint)" for r, s, n in _ALIGNED) + ") t(rule, severity, n)")
+def parent_alignment(spark, sf_dir):
+    """A small tree with one fault for each rule; what must be found was worked out by hand."""
+    schema = "dir string, name string, body string, level string, entity string, relations array<struct<type:string,target:string>>"
+    notes = spark.createDataFrame(_NOTES, schema).withColumn("stem", F.regexp_replace("name", r"\.md$", ""))
+    return alignment.scan(notes).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+# --- roles and reasoning ------------------------------------------------------------------------------
+
+
+@query(
+    "role_undeclared",
+    """with f as (select distinct user_id, event_type as p, event_id % 50 as y from events) select p, count(*) as uses from f where p not in ('view', 'click', 'signup') group by p""",
+)
+def role_undeclared(spark, sf_dir):
+    facts = table(spark, sf_dir, "events").select(F.col("user_id").alias("x"), F.col("event_type").alias("p"), (F.col("event_id") % 50).alias("y")).distinct()
+    return reasoning.undeclared_roles(facts, spark.createDataFrame([("view",), ("click",), ("signup",)], "name string"))
+
+
+@query("reason_chain", "select 'c' || c_custkey as x, 'r' || n_regionkey as y from customer join nation on c_nationkey = n_nationkey")
+def reason_chain(spark, sf_dir):
+    """customer in nation, nation part_of region: customer located_in region."""
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("x"), F.lit("in").alias("p"), F.concat(F.lit("n"), "c_nationkey").alias("y"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("x"), F.lit("part_of").alias("p"), F.concat(F.lit("r"), "n_regionkey").alias("y"))
+    closed = reasoning.close_properties(c.unionByName(n), Rules(chains=[(("in", "part_of"), "located_in")]))
+    return closed.filter("p = 'located_in'").select("x", "y")
+
+
+@query(
+    "reason_inverse_symmetric",
+    """with f as (select distinct 'o' || o_orderkey as x, 'c' || o_custkey as y from orders), s as (select 'n' || a.n_nationkey as x, 'n' || b.n_nationkey as y from nation a join nation b on a.n_nationkey + 1 = b.n_nationkey)
+       select p, count(*) as n from (select 'placed_by' as p from f union all select 'placed' from f union all select 'next_to' from (select x, y from s union select y, x from s)) group by p""",
+)
+def reason_inverse_symmetric(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("x"), F.lit("placed_by").alias("p"), F.concat(F.lit("c"), "o_custkey").alias("y"))
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation").filter(k < F.lit(24)).select(F.concat(F.lit("n"), k).alias("x"), F.lit("next_to").alias("p"), F.concat(F.lit("n"), k + 1).alias("y"))
+    closed = reasoning.close_properties(o.unionByName(n), Rules(inverse=[("placed_by", "placed")], symmetric=["next_to"]))
+    return closed.groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query(
+    "reason_transitive_closure",
+    """
+    with recursive e as (select distinct user_id % 37 as s, (user_id * 5 + event_id) % 37 as t from events where event_id < 60),
+    c(s, t) as (select s, t from e union select c.s, e.t from c join e on c.t = e.s) select s as src, t as dst from c
+    """,
+)
+def reason_transitive_closure(spark, sf_dir):
+    """A graph with cycles, made of the first events."""
+    ev = table(spark, sf_dir, "events").filter("event_id < 60")
+    return graph.closure(ev.select((F.col("user_id") % 37).alias("src"), ((F.col("user_id") * 5 + F.col("event_id")) % 37).alias("dst")))
+
+
+@query(
+    "reason_classification",
+    """select distinct 'c' || o_custkey as x, 'PremiumBuyer' as c from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey join customer on c_custkey = o_custkey
+       where p_type = 'PROMO' and c_mktsegment = 'BUILDING'
+       union select distinct 'c' || c_custkey, 'Buyer' from customer where c_mktsegment = 'BUILDING'""",
+)
+def reason_classification(spark, sf_dir):
+    """A building customer that ordered a promotional part is a premium buyer; building customers are buyers."""
+    t = lambda n: table(spark, sf_dir, n)
+    types = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("x"), F.col("c_mktsegment").alias("c")).unionByName(t("part").select(F.concat(F.lit("p"), "p_partkey").alias("x"), F.col("p_type").alias("c")))
+    props = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("x"), F.lit("ordered").alias("p"), F.concat(F.lit("p"), "l_partkey").alias("y"))
+    gained, _ = reasoning.reason(types, props, Rules(subclass=[("BUILDING", "Buyer")], conditions=[("PremiumBuyer", "BUILDING", (("ordered", "PROMO"),))]))
+    return gained
+
+
+@query(
+    "reason_delta",
+    """
+    with f as (select distinct 'c' || c_custkey as x, 'n' || c_nationkey as n, 'r' || n_regionkey as r from customer join nation on c_nationkey = n_nationkey)
+    select x, 'Customer' as asserted_types, 'Agent' as inferred_types, 'Agent,Customer' as all_types, 'located_in=' || r as inferred_properties from f
+    """,
+)
+def reason_delta(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("x"), F.lit("in").alias("p"), F.concat(F.lit("n"), "c_nationkey").alias("y"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("x"), F.lit("part_of").alias("p"), F.concat(F.lit("r"), "n_regionkey").alias("y"))
+    types = c.select("x", F.lit("Customer").alias("c")).distinct()
+    gt, gp = reasoning.reason(types, c.unionByName(n), Rules(subclass=[("Customer", "Agent")], chains=[(("in", "part_of"), "located_in")]))
+    out = reasoning.delta_records(types, gt, gp)
+    props = F.array_join(F.transform(F.map_entries("inferred_properties"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ",")
+    return out.select("x", *[F.array_join(k, ",").alias(k) for k in ("asserted_types", "inferred_types", "all_types")], props.alias("inferred_properties"))
+
+
+@query(
+    "shape_cardinality",
+    """with n as (select o_orderkey, count(distinct l_linenumber) as k from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey)
+       select 'o' || o_orderkey as focus, 'min' as rule from n where k < 1 union all select 'o' || o_orderkey, 'max' from n where k > 6""",
+)
+def shape_cardinality(spark, sf_dir):
+    """One to six different lines for each order."""
+    from kbspark.operators.compile import RDF
 
-    return source_diversity(table(spark, sf_dir, "documents"))
+    none, lit = F.lit(None).cast("string"), F.lit
+    row = lambda s, p, o, k: [s.alias("s"), lit(p).alias("p"), o.alias("o"), lit(k).alias("o_kind"), none.alias("o_lang"), none.alias("o_dt")]
+    orders = table(spark, sf_dir, "orders").select(*row(F.concat(lit("o"), "o_orderkey"), RDF + "type", lit("Order"), "iri"))
+    lines = table(spark, sf_dir, "lineitem").select(*row(F.concat(lit("o"), "l_orderkey"), "line", F.col("l_linenumber").cast("string"), "literal"))
+    return provenance.check_shape(orders.unionByName(lines), "Order", [{"path": "line", "min": 1, "max": 6}]).select("focus", "rule")
+
+
+_PROV = """
+    with ref as (select doc_id, count(*) as k from labels group by doc_id), srcs as (select source, string_agg(distinct doc_id::varchar, ',' order by doc_id::varchar) as s from documents d where doc_id % 3 = 0 and doc_id in (select doc_id from labels) group by source),
+    j as (select d.doc_id, case when r.doc_id is not null and d.doc_id % 2 = 0 then 'joined' when s.source is not null then 'joined' when d.doc_id % 5 = 0 then 'exempt' else 'ungrounded' end as status
+          from documents d left join ref r on r.doc_id = d.doc_id left join (select source from srcs where source in ('src1', 'src2', 'src3')) s on s.source = d.source)"""
+
+
+def _grounded(spark, sf_dir):
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    i = F.col("doc_id").cast("string")
+    none = F.lit(None).cast("string")
+    refs = F.array().cast("array<string>")
+    by_id = l.filter("doc_id % 2 = 0").select(i.alias("id"), none.alias("owl_class"), F.array(F.concat(F.lit("label:"), i)).alias("source_refs"), none.alias("source_file"), none.alias("source"))
+    kept = d.join(l.select("doc_id"), "doc_id", "left_semi").filter("doc_id % 3 = 0 and source in ('src1', 'src2', 'src3')")
+    by_src = kept.select(F.concat(F.lit("e"), i).alias("id"), F.col("source").alias("owl_class"), refs.alias("source_refs"), none.alias("source_file"), i.alias("source"))
+    # Every document is a class; its fallback key is its source.
+    classes = d.select(F.col("source").alias("iri"), i.alias("identifier"), "doc_id")
+    src = provenance.sources_of(by_id.unionByName(by_src))
+    return classes, by_id.unionByName(by_src), src
+
+
+@query("prov_two_step", f"{_PROV} select status, count(*) as n from j group by status")
+def prov_two_step(spark, sf_dir):
+    """Documents as classes: joined by an even doc_id with a label, else by source; every fifth is exempt."""
+    classes, ents, _ = _grounded(spark, sf_dir)
+    joined = provenance.two_step_join(classes.select("iri", "identifier"), ents)
+    status = classes.select("iri", "identifier", "doc_id").join(provenance.two_step_join(classes.select(F.col("identifier").alias("iri"), "identifier"), ents.withColumn("owl_class", F.lit(None).cast("string"))).select(F.col("iri").alias("identifier"), F.col("status").alias("own")), "identifier")
+    by_source = joined.groupBy("iri").agg(F.max(F.col("iri").isin("src1", "src2", "src3") & (F.col("status") == "joined")).alias("src"))
+    out = status.join(by_source, "iri", "left")
+    kind = F.when((F.col("own") == "joined") | F.coalesce("src", F.lit(False)), "joined").when(F.col("doc_id") % 5 == 0, "exempt").otherwise("ungrounded")
+    return out.groupBy(kind.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "prov_ungrounded",
+    "select doc_id from documents where doc_id not in (select doc_id from labels) and source not in ('src0', 'src1')",
+)
+def prov_ungrounded(spark, sf_dir):
+    """Documents without a label, but for two exempt sources."""
+    d = table(spark, sf_dir, "documents")
+    i = F.concat(F.lit("d"), "doc_id")
+    l = table(spark, sf_dir, "labels").distinct()
+    ents = l.select(i.alias("id"), F.lit(None).cast("string").alias("owl_class"), F.array(F.lit("x")).alias("source_refs"), F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("string").alias("source"))
+    exempt = d.filter("source in ('src0', 'src1')").select(i.alias("iri"))
+    out = provenance.two_step_join(d.select(i.alias("iri"), i.alias("identifier")), ents, exempt)
+    return out.filter("status = 'ungrounded'").select(F.expr("cast(substring(iri, 2) as bigint)").alias("doc_id"))
+
+
+# --- run events ---------------------------------------------------------------------------------------
+
+
+def _runs(spark, sf_dir):
+    """Events as run events: the user is the run, an event_id modulo 20 the step."""
+    e = table(spark, sf_dir, "events")
+    kind = (
+        F.when(F.col("event_type") == "view", "step_started").when(F.col("event_type").isin("purchase", "error"), "step_finished")
+        .when(F.col("event_type") == "signup", "hitl_request").otherwise("cost_increment")
+    )
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return e.select(F.col("user_id").alias("run_id"), kind.alias("event_type"), (F.col("event_id") % 20).cast("string").alias("step_id"), F.col("event_id").alias("seq"), k.alias("tokens_delta"), F.col("value").alias("seconds_delta"), F.lit(0.0).alias("power_wh_delta"), F.col("event_type").alias("raw"), "value")
+
+
+@query(
+    "event_step_gaps",
+    """select user_id as run_id, (event_id % 20)::varchar as step_id, count(*) filter (where event_type = 'view') as starts, count(*) filter (where event_type in ('purchase', 'error')) as ends
+       from events group by 1, 2 having starts > ends""",
+)
+def event_step_gaps(spark, sf_dir):
+    return governance.step_gaps(_runs(spark, sf_dir))
+
+
+@query(
+    "event_cost_rollup",
+    """
+    with c as (select user_id, sum((props->>'$.k')::bigint) as t, sum(value) as s from events where event_type = 'click' group by 1), r as (select distinct user_id from events)
+    select r.user_id as run_id, case when r.user_id % 2 = 0 then 'full' else 'fallback' end as cost_mode, coalesce(t, 0)::bigint as tokens, round_even(case when coalesce(s, 0) <= 0 then 9.5 else s end, 3)::double as seconds,
+           case when r.user_id % 2 = 0 and coalesce(t, 0) > 0 then round_even(t * 0.0001, 6) else 0 end::double as power_wh from r left join c using (user_id)
+    """,
+)
+def event_cost_rollup(spark, sf_dir):
+    ev = _runs(spark, sf_dir)
+    runs = ev.select("run_id").distinct().withColumns({"wall_seconds": F.lit(9.5), "cost_mode": F.when(F.col("run_id") % 2 == 0, "full").otherwise("fallback"), "model": F.lit(None).cast("string")})
+    return governance.run_cost(ev, runs)
+
+
+@query("event_hitl_counts", "select user_id as run_id, count(*) filter (where event_type = 'signup') as requested, 0::bigint as acked, count(*) filter (where event_type = 'signup') > 0 as required from events group by 1")
+def event_hitl_counts(spark, sf_dir):
+    return governance.hitl_counts(_runs(spark, sf_dir))
+
+
+@query(
+    "event_run_summary",
+    """select user_id as run_id, max(event_id) filter (where event_type = 'view') as last_start, arg_max(value, event_id) filter (where event_type = 'error') as measured,
+              max(event_id) filter (where event_type = 'purchase') as last_finish from events group by 1 having last_start is not null""",
+)
+def event_run_summary(spark, sf_dir):
+    """View is a start, error a measurement, purchase a finish."""
+    kind = F.when(F.col("raw") == "view", "run_started").when(F.col("raw") == "error", "governance_measurement").when(F.col("raw") == "purchase", "run_finished")
+    out = governance.run_rollup(_runs(spark, sf_dir).withColumn("event_type", kind))
+    return out.select("run_id", F.col("run_started.seq").alias("last_start"), F.col("governance_measurement.value").alias("measured"), F.col("run_finished.seq").alias("last_finish"))
+
+
+@query(
+    "gate_decision",
+    """
+    with m as (select user_id, arg_min(value, event_id) as v, min(event_id) as f from events where event_type = 'error' group by 1),
+    t as (select user_id, v, f % 7 <> 0 as complete, (f % 20) / 100.0 as nd, case when user_id % 3 = 0 then 0.9 else 0.85 end as least, f * 30 as tokens from m),
+    x as (select user_id, list_filter([case when nd > 0.15 then 'non_determinism' end, case when not complete then 'trajectory' end, case when v / 20 < least then 'oracle' end, case when tokens > 100000 then 'cost' end], lambda a: a is not null) as bad from t)
+    select user_id as run_id, array_to_string(bad, ',') as violated, case when len(bad) = 0 then 'proceed' else 'escalate_hitl' end as next_action from x
+    """,
+)
+def gate_decision(spark, sf_dir):
+    """The first error event of a user is the measurement; thresholds differ for every third user."""
+    first = governance.first_measurement(_runs(spark, sf_dir).filter("raw = 'error'").withColumn("event_type", F.lit("governance_measurement")))
+    m = first.select(
+        "run_id", (F.col("seq") % 20 / 100.0).alias("non_determinism"), (F.col("seq") % 7 != 0).alias("trajectory_complete"), (F.col("value") / 20).alias("oracle_score"), F.lit("fallback").alias("mode"),
+        (F.col("seq") * 30).alias("tokens"), F.lit(0.0).alias("seconds"), F.lit(0.0).alias("power_wh"), F.lit(False).alias("required"), F.lit(0).alias("requested"), F.lit(0).alias("acked"),
+        F.when(F.col("run_id") % 3 == 0, 0.9).alias("min_score"), F.lit(100000).alias("tokens_max"),
+    )
+    return governance.gate(m).select("run_id", F.array_join("violated", ",").alias("violated"), "next_action")
+
+
+_TRIGGERS = [{"id": "greet", "priority": 10, "phrases": ["the", "and"]}, {"id": "french", "priority": 50, "phrases": ["que", "les", "eau"]}, {"id": "german", "priority": 50, "phrases": ["sch", "ung", "der"]}, {"id": "other", "priority": 90, "phrases": ["ción", "los"]}]
+_SCORES = ", ".join("{'chars': " + " + ".join(f"case when contains(t, '{p}') then {len(p)} else 0 end" for p in g["phrases"]) + f", 'priority': {g['priority']}, 'at': {-i}, 'id': '{g['id']}'" + "}" for i, g in enumerate(_TRIGGERS))
+
+
+@query(
+    "intent_route",
+    f"""with c as (select conv_id, turn, lower(coalesce(text, '')) as t from conversations), b as (select conv_id, turn, list_max([{_SCORES}]) as b from c)
+        select conv_id, turn, case when b.chars > 0 then b.id end as route, b.chars::int as matched_chars from b""",
+)
+def intent_route(spark, sf_dir):
+    return governance.route(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _TRIGGERS).select("conv_id", "turn", "route", "matched_chars")
+
+
+_GLOBS = ["*/en/*/", "**/en/**", "*/fr/*", "**.html"]
+
+
+@query(
+    "path_policy_match",
+    """with p as (select page_id, regexp_extract(url, '://([^?#]*)', 1) as path from pages)
+       select page_id, case when regexp_full_match(path, '[^/]*/en/[^/]*/') then '*/en/*/' when regexp_full_match(path, '.*/en/.*') then '**/en/**'
+              when regexp_full_match(path, '[^/]*/fr/[^/]*') then '*/fr/*' when regexp_full_match(path, '.*\\.html') then '**.html' end as policy from p""",
+)
+def path_policy_match(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
+    return governance.policy_match(pages, _GLOBS).select("page_id", "policy")
+
+
+@query(
+    "workflow_resolve",
+    "with c as (select user_id, event_id, case event_type when 'view' then 1 when 'click' then 2 else 3 end as priority from events) select user_id as id, arg_min(event_id, priority * 1000000 + event_id) as place from c group by 1",
+)
+def workflow_resolve(spark, sf_dir):
+    """The place of smallest priority wins; event order breaks ties."""
+    rank = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("place"), F.struct(rank.alias("r"), "event_id").alias("priority"))
+    return governance.resolve_first(rows).select("id", "place")
+
+
+_EXPECTED = [("docs", "dir", None), ("log", "dir", None), ("a.md", "file_template", "gen:a"), ("b.md", "file_template", "gen:b"), ("c.sh", "file_executable", "gen:c"), (".keep", "file_empty", None), ("new", "dir", None)]
+_DISK = [("docs", True, None), ("log", False, "x"), ("a.md", False, "gen:a\ntext"), ("b.md", False, "own words"), (".keep", False, "")]
+_CLASSIFIED = [("docs", "keep", None), ("log", "conflict", "non_directory_at_dir_path"), ("a.md", "keep", None), ("b.md", "conflict", "non_generated_file_exists"), ("c.sh", "create", None), (".keep", "keep", None), ("new", "create", None)]
+
+
+@query("manifest_classify", "select * from (values " + ", ".join(f"('{p}', '{a}', {repr(r) if r else 'null'})" for p, a, r in _CLASSIFIED) + ") t(path, action, reason)")
+def manifest_classify(spark, sf_dir):
+    """A small scaffold; what must come out was worked out by hand."""
+    out = governance.classify_manifest(spark.createDataFrame(_EXPECTED, "path string, kind string, marker string"), spark.createDataFrame(_DISK, "path string, is_dir boolean, content string"))
+    return out.select("path", "action", "reason")
+
+
+# --- archive ------------------------------------------------------------------------------------------
+
+
+@query("archive_upsert", "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def archive_upsert(spark, sf_dir):
+    """The first half of the events is the table, the second half the changes."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    now = archive.last_rows(e.filter("event_id % 2 = 0"), "user_id", "event_id").select(*e.columns)
+    merged = now.unionByName(e.filter("event_id % 2 = 1"))
+    return archive.upsert(now, merged, "user_id", "event_id")
+
+
+@query("archive_sql", "select o_orderpriority, o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1, 2")
+def archive_sql(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("snap_orders")
+    return spark.sql("select o_orderpriority, o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from snap_orders group by 1, 2")
+
+
+@query(
+    "eca_rules",
+    """select rule_id, count(*) as n from (select 'big' as rule_id from events where value > 15 union all select 'err' from events where event_type = 'error') group by 1""",
+)
+def eca_rules(spark, sf_dir):
+    rules = [("big", "value > 15", "notify"), ("err", "event_type = 'error'", "log")]
+    return archive.fire_rules(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), rules, "events").groupBy("rule_id").agg(F.count("*").alias("n"))
