@@ -76,7 +76,7 @@ def unmarked(targets: DataFrame, files: DataFrame, marker: str = START) -> DataF
 
 def project_rows(rows: DataFrame, files: DataFrame, domain: str, root: str, apply: bool = False) -> int:
     """Snapshot rows (id, name, tags) as notes and a manifest; exit code 2 if an unmarked file is in the way."""
-    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
     text = F.concat(F.lit(START + "\n# "), F.coalesce("name", F.col("id")), F.lit("\n\ntags: "), F.array_join(tags, ", "), F.lit("\n" + END + "\n"))
     notes = rows.select(F.concat(F.lit(f"{domain}/"), F.col("id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"))
     if not unmarked(notes, files).isEmpty():
