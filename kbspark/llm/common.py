@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound Arrow batches by bytes where the session has Spark's default (64 MB, held several times over by both sides)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, size)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -41,15 +50,20 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def slices(batches, column: str, rows: int = 2000, size: int = 8_000_000):
-    """Cut Arrow batches so that no slice has more than ``rows`` rows or about ``size`` bytes of ``column``."""
+    """Cut Arrow batches so that no slice has more than ``rows`` rows or about ``size`` bytes of ``column`` (or ``struct.field``)."""
     for batch in batches:
         n, at = batch.num_rows, 0
-        lens = np.asarray([0 if x is None else x for x in _lengths(batch.column(batch.schema.get_field_index(column)))])
+        lens = np.asarray([0 if x is None else x for x in _lengths(pick(batch, column))])
         ends = np.cumsum(lens)
         while at < n:
             base = ends[at - 1] if at else 0
@@ -58,6 +72,13 @@ def slices(batches, column: str, rows: int = 2000, size: int = 8_000_000):
             at = to
 
 
+def pick(batch: pa.RecordBatch, column: str):
+    """A column, or a field of a struct column."""
+    name, _, field = column.partition(".")
+    found = batch.column(batch.schema.get_field_index(name))
+    return found.field(field) if field else found
+
+
 def _lengths(column) -> list:
     import pyarrow.compute as pc
 
@@ -78,3 +99,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * M1
         x = (x ^ (x >> np.uint64(27))) * M2
         return x ^ (x >> np.uint64(31))
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 2**64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0x100000001B3) -> np.ndarray:
+    """64-bit hash of each span of ``codes``: a polynomial modulo 2**64, from prefix sums, mixed with the length."""
+    up, down = _powers(1 << max(16, int(len(codes)).bit_length()), base)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

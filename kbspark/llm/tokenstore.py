@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import mix64, new_path, slices, to_batch
+from kbspark.llm.common import mix64, new_path, slices, small_batches, span_hashes, to_batch
 
 #: Chunk sizes in ids; a cut falls where the low bits of the rolling hash of WINDOW ids are all zero.
 MIN_CHUNK, MAX_CHUNK, MASK, WINDOW = 256, 4096, np.uint64(511), 16
 _MULTIPLIER = 0x9E3779B97F4A7C15
-#: Entries that a worker's memo of encoded words holds before it starts anew.
-MEMO = 300_000
+#: Words that a worker remembers, and how many new ones it gathers before it sorts them in.
+MEMO, MERGE = 2_000_000, 100_000
 
 _ROWS = T.StructType(
     [
@@ -61,6 +61,27 @@ _ARROW_ROWS = pa.schema(
 )
 
 
+class WordTable:
+    """Ids of words by two 64-bit hashes: sorted hashes, and where each word's ids lie in one array."""
+
+    def __init__(self):
+        self.keys, self.checks = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.first, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, size) of each of the sorted ``keys``; first is -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1), np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = (self.keys[at] == keys) & (self.checks[at] == checks)
+        return np.where(hit, self.first[at], -1), np.where(hit, self.size[at], 0)
+
+    def add(self, *columns: np.ndarray) -> None:
+        """More words, sorted by key."""
+        at = np.searchsorted(self.keys, columns[0])
+        self.keys, self.checks, self.first, self.size = (np.insert(old, at, new) for old, new in zip((self.keys, self.checks, self.first, self.size), columns))
+
+
 class WordEncoder:
     """Encodes texts with a `tokenizers` file, remembering the ids of words seen before.
 
@@ -68,7 +89,7 @@ class WordEncoder:
     space or line feed between other characters always starts a new piece, so a text may be cut there and
     the parts encoded one by one with equal results. Texts with runs of white space, or with white space of
     other kinds, are encoded whole. Words that are new are encoded together, one a line, and their ids cut
-    at the line feed's id.
+    at the line feed's id. Words are looked up by hash, a batch of texts at a time.
     """
 
     def __init__(self, path: str):
@@ -82,57 +103,102 @@ class WordEncoder:
         alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" a", " b")]
         #: The id that cuts lines, if the vocabulary has one.
         self.feed = feed[0] if len(feed) == 1 and lines == [*alone[0], *feed, *alone[1]] else None
-        #: Ids as bytes, of words that follow a space, or of those that begin with a line feed as they are.
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.main, self.recent = WordTable(), WordTable()
+        self.ids, self.n = np.zeros(1 << 16, dtype=np.uint32), 0
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [array("I", x.ids).tobytes() for x in batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        spaced = [w for w in words if w[0] != "\n"] if self.feed is not None else []
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces; a mark in front of a piece stands for the start of a text."""
+        out: list[bytes] = [b""] * len(words)
+        spaced = [i for i, w in enumerate(words) if w[0] == " "] if self.feed is not None else []
         for at in range(0, len(spaced), 5_000):
             own = spaced[at : at + 5_000]
-            raw = self._bytes([" " + "\n ".join(own)])[0]
+            raw = self._bytes(["\n".join([words[i] for i in own])])[0]
             ends = [*(4 * np.flatnonzero(np.frombuffer(raw, dtype=np.uint32) == self.feed)).tolist(), len(raw)]
             if len(ends) != len(own):
                 raise ValueError("the tokenizer does not keep lines apart")
-            self.memo.update(zip(own, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
-        rest = [w for w in words if w[0] == "\n" or self.feed is None]
-        self.memo.update(zip(rest, self._bytes([w if w[0] == "\n" else " " + w for w in rest])))
+            for i, a, b in zip(own, [0, *[e + 4 for e in ends]], ends):
+                out[i] = raw[a:b]
+        rest = [i for i, w in enumerate(words) if w[0] != " " or self.feed is None]
+        for i, raw in zip(rest, self._bytes([words[i].removeprefix(_MARK) for i in rest])):
+            out[i] = raw
+        return out
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._ids_of(words)
+        size = np.asarray([len(x) // 4 for x in found], dtype=np.int64)
+        fresh = np.frombuffer(b"".join(found), dtype=np.uint32)
+        while self.n + len(fresh) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n : self.n + len(fresh)] = fresh
+        first = self.n + np.cumsum(size) - size
+        if len(self.main.keys) >= MEMO:
+            # Full: these ids are of use until the next words overwrite them.
+            return first, size
+        self.n += len(fresh)
+        self.recent.add(keys, checks, first, size)
+        if len(self.recent.keys) > MERGE:
+            self.main.add(self.recent.keys, self.recent.checks, self.recent.first, self.recent.size)
+            self.recent = WordTable()
+        return first, size
+
+    def _encode_flat(self, flat: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); a mark stands before each text."""
+        codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        begins = codes == ord(_MARK)
+        start = np.flatnonzero(begins | (codes == 32) | (codes == 10))
+        end = np.append(start[1:], len(codes))
+        key, check = span_hashes(codes, start, end), _second_hash(codes, start, end)
+        keys, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
+        checks = check[pick]
+        first, size = self.main.find(keys, checks)
+        more = np.flatnonzero(first < 0)
+        first[more], size[more] = self.recent.find(keys[more], checks[more])
+        more = np.flatnonzero(first < 0)
+        if len(more):
+            where = pick[more]
+            words = [flat[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
+            first[more], size[more] = self._learn(keys[more], checks[more], words)
+        first, size = first[inverse], size[inverse]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1])) + np.repeat(first - ends + size, size)
+        return self.ids[at], np.add.reduceat(size, np.flatnonzero(begins[start]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        get, cut, whole, fresh = self.memo.get, [], [], {}
-        for text in texts:
-            feeds = text.count("\n") if text else 0
-            parts = (text.replace("\n", " \n") if feeds else text or "").split(" ")
-            if not text or "" in parts or text[0].isspace() or text[-1] == "\n" or (feeds and ("\n " in text or "\n" in parts)) or len(text.split()) != len(parts):
-                whole.append(text or "")
-                cut.append(None)
-                continue
-            whole.append(parts[0])
-            del parts[0]
-            found = [*map(get, parts)]
-            lacks = [i for i, x in enumerate(found) if x is None] if None in found else ()
-            fresh.update(dict.fromkeys([parts[i] for i in lacks]))
-            cut.append((found, [(i, parts[i]) for i in lacks]))
-        older = self.older
-        self.memo.update({p: older[p] for p in fresh if p in older})
-        self._learn([p for p in fresh if p not in older])
-        out, memo = [], self.memo
-        for first, parts in zip(self._bytes(whole), cut):
-            if parts is None:
-                out.append(first)
-                continue
-            found, lacks = parts
-            for i, p in lacks:
-                found[i] = memo[p]
-            out.append(first + b"".join(found))
-        return out
+        plain = [_plain(t) for t in texts]
+        flat = "".join([_MARK + t for t, p in zip(texts, plain) if p])
+        whole = iter(self._bytes([t or "" for t, p in zip(texts, plain) if not p]))
+        if not flat:
+            return list(whole)
+        ids, counts = self._encode_flat(flat)
+        raw = ids.astype("<u4").tobytes()
+        ends = np.cumsum(4 * counts).tolist()
+        cut = iter([raw[a:b] for a, b in zip([0, *ends], ends)])
+        return [next(cut) if p else next(whole) for p in plain]
+
+
+_MARK = "\x01"
+
+
+def _second_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Another 64-bit value of each span: its sum of cubes and its length."""
+    with np.errstate(over="ignore"):
+        x = codes.astype(np.uint64)
+        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(x * x * x, out=sums[1:])
+        return (sums[end] - sums[start]) ^ ((end - start).astype(np.uint64) << np.uint64(56))
+
+
+def _plain(text: str | None) -> bool:
+    """Whether all white space of a text is single spaces and line feeds between other characters."""
+    return (
+        bool(text) and not text[0].isspace() and not text[-1].isspace() and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text
+        and _MARK not in text and len(text.split()) == 1 + text.count(" ") + text.count("\n")
+    )
 
 
 @functools.cache
@@ -191,7 +257,7 @@ def _encode(path: str, end_id: int):
 
         encoder, compressor, seen = _encoder(path), zstandard.ZstdCompressor(level=1), set()
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        for part in slices(batches, "text", rows=500, size=4_000_000):
+        for part in slices(batches, "text", rows=500, size=1_000_000):
             out = {f.name: [] for f in _ARROW_ROWS}
             for doc_id, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                 raw += end
@@ -249,6 +315,7 @@ def write_store(documents: DataFrame, tokenizer_path: str, end_id: int = 2, root
     that are ordered by doc_id hold digests only.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     root = root or new_path(spark, "tokenstore")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.mapInArrow(_encode(tokenizer_path, end_id), _ROWS).repartition("key").sortWithinPartitions("kind", "key")
