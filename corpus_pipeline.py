@@ -16,7 +16,7 @@ from kbspark.llm.common import materialise, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the language models reject: no letter, or far from every learnt language."""
     model = langid.fit(docs.filter(langid.train_rows(F.col("doc_id"))))
-    return langid.identify(docs, model).filter("not rejected").select(*docs.columns)
+    return langid.keep_identified(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import materialise
+from kbspark.llm.common import materialise, own_columns
 
 LEVELS = ("domain", "language", "source")
 #: Production parameters of the registered query and of the pipeline.
@@ -77,9 +77,8 @@ def leaf_budgets(leaves: DataFrame, weights: dict, budget: Column, epochs: int)
     return leaves.join(got, list(LEVELS)).withColumn("budget", F.floor(F.col("above") + 1e-6)).drop("above")
 
 
-def _tree(documents: DataFrame, domain: Column) -> DataFrame:
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
-    return documents.withColumns({"_domain": named(domain), "_language": named(F.col("lang")), "_source": named(F.col("source"))})
+def _named(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("(none)"))
 
 
 def plan_mix(documents: DataFrame, domain: Column, weights: dict, share: float, epochs: int, seed: str) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +86,8 @@ def plan_mix(documents: DataFrame, domain: Column, weights: dict, share: float,
 
     Of epoch ``whole`` a leaf takes the documents whose seeded key is at most ``cut``.
     """
-    narrow = _tree(documents, domain).select("doc_id", F.col("_domain").alias("domain"), F.col("_language").alias("language"), F.col("_source").alias("source"), n_tokens(F.col("text")).alias("n_tokens"))
+    leaf = [_named(c).alias(n) for c, n in zip((domain, F.col("lang"), F.col("source")), LEVELS)]
+    narrow = documents.select("doc_id", *leaf, n_tokens(F.col("text")).alias("n_tokens"))
     narrow = materialise(narrow, "narrow")
     leaves = materialise(narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first().t
@@ -127,14 +127,9 @@ def mix(documents: DataFrame, domain: Column, weights: dict = WEIGHTS, share: fl
 def mixed_documents(documents: DataFrame, domain: Column, weights: dict = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The selected rows of ``documents`` themselves, with all their columns, once per epoch; texts are not shuffled for it where the plan of the leaves is small enough for Spark to send it along."""
     _, plan = plan_mix(documents, domain, weights, share, epochs, seed)
-    held = [f"_{c}" for c in LEVELS]
-    own = plan.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    rows = _tree(documents, domain).join(own, held)
-    last = F.when(seeded(F.col("doc_id"), F.col("_whole"), seed) <= F.col("_cut"), F.array("_whole"))
-    full = F.when(F.col("_whole") > 0, F.sequence(F.lit(0), F.col("_whole") - 1))
-    none = F.array().cast("array<int>")
-    times = F.explode(F.concat(F.coalesce(full, none), F.coalesce(last, none)))
-    return rows.withColumn("_epoch", times).select(*documents.columns)
+    # The document's own columns travel as one struct, so no name can clash.
+    rows = documents.select(F.struct(*own_columns(documents)).alias("row"), "doc_id", *[_named(c).alias(n) for c, n in zip((domain, F.col("lang"), F.col("source")), LEVELS)])
+    return _selected(rows, plan, seed).select("row.*")
 
 
 def oracle(seed: str = SEED) -> str:
