@@ -7,14 +7,15 @@ arrivals in M components are the signature; two components agree with a probabil
 Jaccard similarity. Points are made in order of arrival and only while they can still lower a component.
 
 Signatures are banded. Documents with equal multisets are one class member from the start; of the others,
-every bucket links its members to two centres, further rounds take other centres where components still
-meet in a bucket, and last every pair of members of different components that share a bucket is compared.
+every bucket links its members to a centre; where several components still meet in a bucket, every pair of
+members of different components is compared whose shared-shingle counts do not prove it to be under the
+threshold.
 All comparisons are exact multiset similarities of whole texts; classes are the connected components of the
 pairs at or over the threshold. With BANDS bands of ROWS rows a pair at 0.8 shares no bucket with
 probability 3e-5.
 
 Defined cases: null and empty texts, and texts without a word, are classes of their own; texts of one to
-four words are one shingle; rows with equal doc_id are one document, compared by the text of most distinct
+four words are one shingle; rows with equal doc_id are one document, compared by the text of most
 shingles; a null doc_id has a null class; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -27,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import materialise, mix64, slices, to_batch
+from kbspark.llm.common import materialise, mix64, slices, small_batches, span_hashes, to_batch
 from kbspark.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 M = BANDS * ROWS
-#: Rounds of other centres before the pairs that are left are compared one by one.
-ROUNDS = 6
-_P, _Q, _GOLD = 0x100000001B3, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
+#: Hash cells by which shared items are counted to bound similarities.
+CELLS = 64
+_Q, _GOLD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
@@ -43,14 +44,6 @@ def _word_characters() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, _P, dtype=np.uint64), np.full(n, pow(_P, -1, 2**64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all lower-cased words, number of words of each text)."""
     texts = [(t or "").lower() for t in texts]
@@ -60,12 +53,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     word = _word_characters()[codes]
     edge = np.flatnonzero(np.diff(word, prepend=False))
     start, end = edge[::2], edge[1::2]
-    size = 1 << max(16, int(len(codes)).bit_length())
-    up, down = _powers(size)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-        hashes = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _GOLD)
+    hashes = span_hashes(codes, start, end)
     ends = np.cumsum(lengths)
     counts = np.diff(np.searchsorted(start, ends), prepend=0)
     return hashes, counts
@@ -153,11 +141,22 @@ def band_keys(best: np.ndarray) -> np.ndarray:
 
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_BAG = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+_BAG = pa.schema([("rep", pa.int64()), ("items", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
+
+
+def occurrences(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A bag as a set: one item for each occurrence, so that set similarity is the bag's."""
+    shingle, count = bag
+    if not len(count) or count.max() == 1:
+        return shingle.view(np.int64)
+    turn = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    every = np.repeat(shingle, count)
+    with np.errstate(over="ignore"):
+        return np.where(turn == 0, every, mix64(every + turn.astype(np.uint64) * _GOLD)).view(np.int64)
 
 
 def _sign(batches):
-    for part in slices(batches, "text", rows=800, size=2_000_000):
+    for part in slices(batches, "text", rows=400, size=600_000):
         bags = shingle_bags(part.column("text").to_pylist())
         keys = band_keys(signatures(bags))
         with np.errstate(over="ignore"):
@@ -165,23 +164,25 @@ def _sign(batches):
         yield to_batch({"doc_id": part.column("doc_id"), "fp1": prints[0], "fp2": prints[1], "n": [int(c.sum()) for _, c in bags], "bands": list(keys)}, _SIGNED)
 
 
-def _bags(batches):
-    for part in slices(batches, "text", rows=800, size=2_000_000):
-        bags = shingle_bags(part.column("text").to_pylist())
-        yield to_batch({"rep": part.column("doc_id"), "shingles": [s.view(np.int64) for s, _ in bags], "counts": [c for _, c in bags]}, _BAG)
+def _squeeze(batches):
+    """Texts compressed for the one shuffle in which they take part."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=1)
+    for part in slices(batches, "text", rows=2000, size=4_000_000):
+        packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
 
-def _check(threshold: float):
-    def run(batches):
-        for batch in batches:
-            bag = [batch.column(c) for c in ("sa", "ca", "sb", "cb")]
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                sa, ca, sb, cb = (c[i].values.to_numpy(zero_copy_only=False) for c in bag)
-                keep[i] = similarity((sa.view(np.uint64), ca), (sb.view(np.uint64), cb)) >= threshold
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+def _bags(batches):
+    import zstandard
 
-    return run
+    z = zstandard.ZstdDecompressor()
+    for part in slices(batches, "packed", rows=400, size=200_000):
+        bags = shingle_bags([z.decompress(p).decode("utf-8", "surrogatepass") for p in part.column("packed").to_pylist()])
+        items = [occurrences(b) for b in bags]
+        cells = [np.bincount(i & (CELLS - 1), minlength=CELLS) for i in items]
+        yield to_batch({"rep": part.column("doc_id"), "items": items, "cells": cells}, _BAG)
 
 
 class _Search:
@@ -203,27 +204,70 @@ class _Search:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         if self.bags is not None:
             ids = ids.join(self.bags, "rep", "left_anti")
-        held = self.docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        rows = held.mapInArrow(_bags, "rep long, shingles array<long>, counts array<long>")
-        best = F.max_by(F.struct("shingles", "counts"), F.struct(F.size("shingles"), "shingles")).alias("bag")
-        more = materialise(rows.groupBy("rep").agg(best).select("rep", "bag.shingles", "bag.counts"), "bags")
+        packed = self.docs.mapInArrow(_squeeze, "doc_id long, packed binary")
+        held = packed.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+        rows = held.mapInArrow(_bags, "rep long, items array<long>, cells array<int>")
+        best = F.max_by(F.struct("items", "cells"), F.struct(F.size("items"), "items")).alias("bag")
+        more = materialise(rows.groupBy("rep").agg(best).select("rep", "bag.*"), "bags")
         self.bags = more if self.bags is None else self.bags.unionByName(more)
-        left = self.bags.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-        right = self.bags.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-        good = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(_check(self.threshold), "a long, b long"), "edges")
+        left = self.bags.select(F.col("rep").alias("a"), F.col("items").alias("sa"))
+        right = self.bags.select(F.col("rep").alias("b"), F.col("items").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        alike = both / (F.size("sa") + F.size("sb") - both) >= self.threshold
+        good = materialise(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "edges")
         self.edges = good if self.edges is None else self.edges.unionByName(good)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         return n
 
     def open_members(self) -> DataFrame | None:
-        """Members of the buckets in which several components meet, with their component."""
+        """Members (band, key, rep, component, n, cells) of the buckets in which several components meet.
+
+        ``cells`` counts, by hash cell, the items of a member that some other open member has too. Items of
+        different cells are different, so two members share at most the sum of the smaller counts of all
+        cells; members whose counts leave no partner in a bucket are left out of it.
+        """
         comps = connected_components(self.edges, "a", "b").withColumnRenamed("node", "rep")
         held = self.members.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        held = materialise(held, "components")
-        mixed = held.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y and size > 2")
-        left = materialise(held.join(mixed.select("band", "key"), ["band", "key"], "left_semi"), "open")
+        left = self._mixed(materialise(held.select("band", "key", "rep", "component"), "components"))
+        if left.isEmpty():
+            return None
+        bags = self.bags.join(left.select("rep").distinct(), "rep", "left_semi")
+        alone = bags.select("rep", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).filter("df = 1")
+        alone = alone.groupBy("rep", F.pmod("item", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("k"))
+        alone = alone.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("cell", "k"))).alias("alone"))
+        none = F.create_map().cast("map<int,int>")
+        sizes = bags.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", none))
+        shared = F.transform("cells", lambda c, i: c - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
+        sizes = sizes.select("rep", F.size("items").alias("n"), shared.alias("cells"))
+        sizes = sizes.withColumn("common", F.aggregate("cells", F.lit(0), lambda a, x: a + x))
+        left = materialise(left.join(sizes, "rep"), "sizes")
+        least = left.groupBy("band", "key").agg(F.min("n").alias("least"))
+        left = left.join(least, ["band", "key"]).filter(self.reachable("n", "least", F.col("common"))).drop("least", "common")
+        left = self._mixed(left)
         return None if left.isEmpty() else left
 
+    def open_pairs(self, left: DataFrame) -> DataFrame:
+        """Pairs (a, b) of open members of one bucket and different components that can reach the threshold.
+
+        One of the two is outside the bucket's largest component, so only such members look for partners,
+        and what cannot reach the threshold is never made a row.
+        """
+        sizes = left.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
+        major = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("size", "component")).alias("major"))
+        minor = left.join(major, ["band", "key"]).filter("component <> major")
+        p = minor.select("band", "key", F.col("component").alias("x"), F.col("rep").alias("rp"), F.col("n").alias("np"), F.col("cells").alias("cp")).alias("p")
+        q = left.select("band", "key", F.col("component").alias("y"), F.col("rep").alias("rq"), F.col("n").alias("nq"), F.col("cells").alias("cq")).alias("q")
+        most = F.aggregate(F.zip_with("cp", "cq", lambda u, v: F.least(u, v)), F.lit(0), lambda u, v: u + v)
+        meet = (F.col("p.band") == F.col("q.band")) & (F.col("p.key") == F.col("q.key")) & (F.col("x") != F.col("y"))
+        return p.join(q, meet & self.reachable("np", "nq", most)).select(F.least("rp", "rq").alias("a"), F.greatest("rp", "rq").alias("b"))
+
+    def _mixed(self, held: DataFrame) -> DataFrame:
+        mixed = held.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y and size > 1")
+        return materialise(held.join(mixed.select("band", "key"), ["band", "key"], "left_semi"), "open")
+
+    def reachable(self, n: str, other: str, common):
+        return common / (F.col(n) + F.col(other) - common) >= self.threshold - 1e-9
+
 
 def _star(members: DataFrame, *centres) -> DataFrame:
     """Pairs of every member of a bucket with the bucket's centres."""
@@ -234,36 +278,27 @@ def _star(members: DataFrame, *centres) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row of ``documents`` (doc_id, text); the class is its smallest doc_id."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_sign, "doc_id long, fp1 long, fp2 long, n long, bands array<long>"), "signed")
     same = signed.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     same = materialise(same, "same")
     members = materialise(same.groupBy("rep").agg(F.max_by("bands", F.struct("n", "fp1")).alias("bands")).select("rep", F.posexplode("bands").alias("band", "key")), "members")
-    # Only buckets with company matter from here on.
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialise(members.join(shared.select("band", "key"), ["band", "key"], "left_semi"), "shared")
+    # Only buckets with company matter from here on. The member that meets most others in all its buckets is
+    # most likely the text that the others were made from, so it is a bucket's first centre.
+    shared = members.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = materialise(members.join(shared, ["band", "key"]), "shared")
+    known = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    members = materialise(members.drop("size").join(known, "rep"), "met")
     search = _Search(docs, members, threshold)
-    if search.verify(_star(members, F.min("rep"), F.max("rep"))):
-        for turn in range(ROUNDS + 1):
-            left = search.open_members()
-            if left is None:
-                break
-            kinds = left.select("band", "key", "component").distinct()
-            x, y = kinds.select("band", "key", F.col("component").alias("x")), kinds.select("band", "key", F.col("component").alias("y"))
-            own = left.groupBy("band", "key", "component").agg(F.count("*").alias("n")).groupBy("band", "key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"), F.sum("n").alias("n"))
-            size = own.agg(F.sum("cross").alias("cross"), F.sum("n").alias("n")).first()
-            if turn < ROUNDS and size.cross > 4 * size.n:
-                salt = F.xxhash64("rep", F.lit(turn))
-                search.verify(_star(left, F.min_by("rep", salt), F.max_by("rep", salt)))
-                continue
-            both = x.join(y, ["band", "key"]).filter("x < y")
-            first = left.select("band", "key", F.col("component").alias("x"), F.col("rep").alias("p"))
-            second = left.select("band", "key", F.col("component").alias("y"), F.col("rep").alias("q"))
-            pairs = both.join(first, ["band", "key", "x"]).join(second, ["band", "key", "y"])
-            search.verify(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
-            break
+    central = F.max_by("rep", F.struct("met", "rep"))
+    if search.verify(_star(members, central)):
+        left = search.open_members()
+        if left is not None:
+            search.verify(search.open_pairs(left))
     classes = same.select("fp1", "fp2", "rep")
     if search.edges is not None:
+        # A last round may have added links.
         comps = connected_components(search.edges, "a", "b").withColumnRenamed("node", "rep")
         classes = classes.join(comps, "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("class_id"))
     else:
