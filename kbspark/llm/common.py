@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -40,7 +41,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +71,21 @@ def slices(batches, column: str, rows: int = 2000, size: int = 8_000_000):
             to = min(n, at + rows, max(at + 1, int(np.searchsorted(ends, base + size, side="right"))))
             yield batch.slice(at, to - at)
             at = to
+        release()
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Give memory that this worker has freed back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def pick(batch: pa.RecordBatch, column: str):

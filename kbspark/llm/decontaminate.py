@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import slices, to_batch
+from kbspark.llm.common import slices, small_batches, to_batch
 
 K1, B, SHARE, BLOCK = 1.2, 0.75, 0.6, 8
 SHINGLE, QUESTION, ANSWER, IN_ORDER = 5, 0.8, 0.5, 0.85
@@ -177,7 +177,7 @@ def _search(index: Index):
                 out[k].append(x)
 
     def run(batches):
-        for part in slices(batches, "text", rows=300, size=2_000_000):
+        for part in slices(batches, "text", rows=300, size=1_000_000):
             out = {f.name: [] for f in _ARROW}
             one_batch(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), out)
             yield to_batch(out, _ARROW)
@@ -187,6 +187,7 @@ def _search(index: Index):
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, score, threshold, question_overlap, answer_overlap) of every verified leak."""
+    small_batches(documents.sparkSession)
     docs = documents.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     items = benchmark.selectExpr("cast(item_id as long) as item_id", "cast(text as string) as text").filter("text is not null")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kbspark.llm.common import mix64, slices, to_batch
+from kbspark.llm.common import mix64, own_columns, pick, slices, small_batches, to_batch
 
 ORDER, PER_LANGUAGE, MAX_LANGUAGES, SAMPLE_CHARS = 4, 800, 200, 3000
 #: A text is rejected if it lies this many times further from its language than the 99.9 % point of calibration.
@@ -235,21 +236,31 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages: in
 _ARROW = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
 
-def identify(documents: DataFrame, model: Model | None) -> DataFrame:
-    """``documents`` with lang_pred, score (0 to 1) and rejected after its own columns (which must not have these names); whole texts, no shuffle."""
+def keep_identified(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``documents`` that the models do not reject, with their own columns.
+
+    The document travels as one struct, so no name of its columns can clash with a result's.
+    """
+    return identify(documents.select(F.struct(*own_columns(documents)).alias("row")), model, "row.text").filter("not rejected").select("row.*")
+
+
+def identify(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``documents`` with lang_pred, score (0 to 1) and rejected after its own columns; whole texts, no shuffle.
+
+    ``text`` names the text column, or a field of a struct column.
+    """
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         judge = held.value
-        for part in slices(batches, "text", rows=500, size=2_000_000):
-            texts = part.column("text").to_pylist()
+        for part in slices(batches, text, rows=400, size=400_000):
+            texts = pick(part, text).to_pylist()
             found = judge.predict(texts) if judge else [("und", 0.0, True)] * len(texts)
             more = to_batch(dict(zip(_ARROW.names, map(list, zip(*found)))), _ARROW)
             yield pa.RecordBatch.from_arrays([*part.columns, *more.columns], names=[*part.schema.names, *_ARROW.names])
 
-    from pyspark.sql import types as T
-
-    kinds = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    kinds = [T.StructField(n, k) for n, k in zip(_ARROW.names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *kinds]))
 
 

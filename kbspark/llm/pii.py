@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import materialise, slices, to_batch
+from kbspark.llm.common import materialise, slices, small_batches, to_batch
 
 KEY = b"surrogate-key-1"
 
@@ -244,6 +244,7 @@ def _replace(batches):
 
 def pseudonymise(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, text with surrogates, n_entities, entities (type:start:end of the original) of every row of ``documents``."""
+    small_batches(documents.sparkSession)
     docs = documents.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     schema = f"doc_id long, text string, mentions {_MENTION}"
     held = materialise(docs.mapInArrow(_detect(True), schema).withColumn("row", F.monotonically_increasing_id()), "mentions")

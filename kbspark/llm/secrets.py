@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kbspark.llm.common import slices, to_batch
+from kbspark.llm.common import slices, small_batches, to_batch
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -99,5 +99,6 @@ def scan_secrets(documents: DataFrame, vocabulary: str | None = None, chars_per_
                 out["spans"].append(_joined(base + more))
             yield to_batch(out, _ARROW)
 
+    small_batches(documents.sparkSession)
     docs = documents.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     return docs.mapInArrow(run, _SCHEMA)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import materialise, to_batch
+from kbspark.llm.common import materialise, small_batches, to_batch
 
 ROLES = ("system", "user", "assistant")
 N = 2 * len(ROLES)
@@ -248,6 +248,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     ``turn`` and ``part``: the row where the turn's lines lie, and their number within it; ``opens`` is false
     where the lines go on with the turn of the row before.
     """
+    small_batches(transcripts.sparkSession)
     held = transcripts.sparkSession.sparkContext.broadcast(model)
     rows = materialise(_blocked(transcripts.select("conv_id", "turn", "text")), "blocks")
     again = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("turn").asc_nulls_first(), "text")
