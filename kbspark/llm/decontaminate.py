@@ -13,8 +13,8 @@ itself, so any number of items works; BM25 statistics are those of the part. Doc
 never shuffled.
 
 Defined cases: null and empty texts and items match nothing; repeated documents and items give repeated
-rows; items of fewer than five words are one shingle; an empty table on either side gives an empty result;
-extra columns are ignored. Passages are twice as long as the longest item, and begin every half.
+rows; a question of fewer than five words is one shingle, of its own length; an empty table on either side
+gives an empty result; extra columns are ignored. Passages are twice as long as the longest item, and begin every half.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
 class Index:
@@ -130,8 +130,9 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def overlaps(words: list[str], passage: list[str], question: list[str], answer: list[str]) -> tuple[float, float]:
     """Shares of the question (shingles in the document, or words in order in the passage) and of the answer's words."""
-    asked = shingles(question)
-    q = len(asked & shingles(words)) / len(asked) if asked else 0.0
+    n = min(SHINGLE, max(1, len(question)))
+    asked = shingles(question, n)
+    q = len(asked & shingles(words, n)) / len(asked) if asked else 0.0
     if q < QUESTION and question:
         order = sum(b.size for b in SequenceMatcher(None, question, passage, autojunk=False).get_matching_blocks() if b.size > 1) / len(question)
         q = max(q, order) if order >= IN_ORDER else q

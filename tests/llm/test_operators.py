@@ -338,6 +338,16 @@ def test_leaks_equal_brute_force(spark, docs, rows):
     assert want and want <= got and len(got) <= len(want) + 1
 
 
+def test_leaks_of_items_with_short_questions(spark):
+    items = [(n, " ".join(f"q{n}{i}" for i in range(n)).capitalize() + ". " + " ".join(f"a{n}{i}" for i in range(30)) + ".") for n in range(1, 5)] + [(9, "Lone.")]
+    around = " ".join(f"w{i}" for i in range(90))
+    texts = [(i, f"{around} {t} {around}") for i, t in items] + [(10 + i, t) for i, t in items] + [(30, around), (31, f"{around} a10 a11 a12")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()) == sorted((d + i, i) for i, _ in items for d in (0, 10))
+    # The item without its question is no copy of it.
+    assert decontaminate.overlaps(["x", "a", "b", "c", "d"], ["x", "a", "b", "c", "d"], ["q"], ["a", "b", "c", "d"])[0] == 0
+
+
 def test_mix_equals_sql_and_redistributes(spark, docs):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
