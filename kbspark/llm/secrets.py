@@ -3,7 +3,9 @@
 Base kinds: ``assign`` (a credential name, a separator and a value), ``access`` (access-key ids), ``hex``
 (long hexadecimal runs). The method adds ``random``: runs of credential characters that a public tiktoken
 vocabulary needs many tokens for, once known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512, CRC
-runs), UUIDs, plain words, numbers and file or version identifiers are excluded. Every span is reported, so base and random spans may overlap.
+runs), UUIDs, plain words, numbers and file or version identifiers are excluded. Runs without a digit are
+tested like others; those of one case, with or without a capital first letter, count as plain words.
+Every span is reported, so base and random spans may overlap.
 
 Defined cases: null and empty texts have no spans and the digest of the empty string; texts of any length
 are scanned whole; repeated rows give repeated results; extra columns are ignored; offsets are code points,
@@ -34,7 +36,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: Identifiers: words, with digits only at the end of a part, joined by separators or by capitals.
 _IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]?[a-z]*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+))*\Z")
 _CAMEL = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,}|[A-Z]{2,4})+[0-9]{0,3}\Z")
-_HAS_DIGIT, _HAS_LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_HAS_LETTER = re.compile(r"[A-Za-z]")
 #: Below this many characters a token a run counts as random.
 CHARS_PER_TOKEN = 1.9
 
@@ -55,7 +57,7 @@ def _encoding(path: str):
 def excluded(run: str) -> bool:
     """Known digests, UUIDs, numbers, words and identifiers: inefficient to encode, but no secrets."""
     bare = run.strip("=-_/+")
-    if len(bare) < 16 or not _HAS_DIGIT.search(bare) or not _HAS_LETTER.search(bare):
+    if len(bare) < 16 or not _HAS_LETTER.search(bare):
         return True
     return bool(_UUID.match(bare) or _CAMEL.match(bare) or _IDENTIFIER.match(bare) or (_DIGEST.match(bare) and len(bare) in _DIGEST_SIZES))
 

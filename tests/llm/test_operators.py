@@ -305,6 +305,21 @@ def test_random_strings_and_exclusions():
         assert not secrets.random_spans(text, e), text
 
 
+def test_random_strings_without_digits():
+    import random
+    import string
+
+    import public_tokenizers
+
+    e = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(1)
+    for alphabet in (string.ascii_letters, string.ascii_letters + "+/"):
+        runs = ["".join(r.choices(alphabet, k=24)) for _ in range(500)]
+        assert sum(secrets.random_spans(f"key {x} end", e) == [(4, 28, "random")] for x in runs) >= 485
+    for word in ("internationalization", "Donaudampfschifffahrtsgesellschaft", "lentokonesuihkuturbiinimoottori", "INTERNATIONALIZATION", "AbstractSingletonProxyFactoryBean", "getElementsByTagNameNS", "XMLHttpRequestFactory", "/usr/local/share/McDonald", "a-b-c-d-e-f-g-h-i-j", "=" * 40, "-_" * 20):
+        assert not secrets.random_spans(word, e), word
+
+
 def test_index_retrieves_what_plain_bm25_does(spark, rows):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     index = decontaminate.Index(items, share=0.25)
