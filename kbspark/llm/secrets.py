@@ -33,9 +33,11 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_SIZES = {16, 32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-#: Identifiers: words, with digits only at the end of a part, joined by separators or by capitals.
-_IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]?[a-z]*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+))*\Z")
-_CAMEL = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,}|[A-Z]{2,4})+[0-9]{0,3}\Z")
+#: Identifiers: parts between separators, each one word or number, with few digits and only at its end.
+_SEPARATORS = re.compile(r"[/_=+-]+")
+_PART = re.compile(r"(?:[A-Za-z][a-z]*|[A-Z]+)[0-9]{0,4}|[0-9]+")
+#: The words of a camel-case name; each pattern here reads a run once, whatever it holds.
+_CAMEL_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _HAS_LETTER = re.compile(r"[A-Za-z]")
 #: Below this many characters a token a run counts as random.
 CHARS_PER_TOKEN = 1.9
@@ -54,12 +56,27 @@ def _encoding(path: str):
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _identifier(bare: str) -> bool:
+    return all(_PART.fullmatch(part) for part in _SEPARATORS.split(bare))
+
+
+def _camel(bare: str) -> bool:
+    """Two or more words of at least two small letters (or capitals) each, the first not of capitals, and up to three digits."""
+    words = _CAMEL_WORD.findall(bare)
+    if words and words[-1].isdigit():
+        if len(words.pop()) > 3:
+            return False
+    if len(words) < 2 or words[0].isupper() or sum(map(len, words)) < len(bare) - 3:
+        return False
+    return all(w.isalpha() and len(w) >= (2 if w.isupper() or w.islower() else 3) for w in words)
+
+
 def excluded(run: str) -> bool:
     """Known digests, UUIDs, numbers, words and identifiers: inefficient to encode, but no secrets."""
     bare = run.strip("=-_/+")
     if len(bare) < 16 or not _HAS_LETTER.search(bare):
         return True
-    return bool(_UUID.match(bare) or _CAMEL.match(bare) or _IDENTIFIER.match(bare) or (_DIGEST.match(bare) and len(bare) in _DIGEST_SIZES))
+    return bool(_UUID.match(bare) or _identifier(bare) or _camel(bare) or (_DIGEST.match(bare) and len(bare) in _DIGEST_SIZES))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

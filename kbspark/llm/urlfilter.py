@@ -2,7 +2,9 @@
 
 Longest matching host-and-path rule decides; else a URL that is connected to a blocked URL through redirect
 (meta refresh, or given edges) and canonical-link edges is blocked too. An explicit allow rule of a URL
-always keeps that URL. Everything is DataFrame expressions.
+always keeps that URL. Of rules equally long the one of the longer host wins; of equal rules an allow wins:
+the same order whether a rule list is short (one expression) or long (a join). Every canonical and refresh
+tag outside comments and scripts is an edge. Everything is DataFrame expressions.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed; a
 null html has no links; repeated rows are judged alike; an empty table gives an empty result; extra columns
@@ -26,6 +28,7 @@ _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+_HIDDEN = r"""(?is)<!--.*?-->|<script\b.*?</script\s*>"""
 
 
 def _rest(url: Column) -> Column:
@@ -63,17 +66,20 @@ def _resolved(link: Column, url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) alias keys of the canonical link and the refresh redirect that pages hold."""
+    """(src, dst) alias keys of the canonical links and refresh redirects that pages hold."""
     url, html = F.col("url"), F.coalesce("html", F.lit(""))
-    canonical = _resolved(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), url)
-    refresh = _resolved(F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _URL, 1), url)
     found = pages.filter(html.rlike(r"(?i)canonical|refresh") & F.coalesce(url.contains("://"), F.lit(False)))
-    return found.select(key_of(url).alias("src"), F.explode(F.array(canonical, refresh)).alias("to")).filter("to is not null").select("src", key_of(F.col("to")).alias("dst")).filter("src <> dst")
+    seen = F.regexp_replace(html, _HIDDEN, " ")
+    tags = lambda pattern, target: F.transform(F.regexp_extract_all(seen, F.lit(pattern), 0), lambda t: F.regexp_extract(t, target, 1))
+    links = found.select("url", F.explode(F.concat(tags(_CANONICAL, _HREF), tags(_REFRESH, _URL))).alias("link"))
+    links = links.select(key_of(url).alias("src"), _resolved(F.col("link"), url).alias("to")).filter("to is not null")
+    return links.select("src", key_of(F.col("to")).alias("dst")).filter("src <> dst")
 
 
 def with_rule(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Adds ``rule`` and ``action`` of the longest (action, host, path) rule that fits ``host`` and ``path``."""
-    rules = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    # Equally long rules of equally long hosts that fit one URL are the same rule: then an allow goes first.
+    rules = sorted(set(rules), key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "allow", r))
     if len(rules) <= INLINE_RULES:
         rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
         for a, h, p in reversed(rules):
@@ -85,7 +91,7 @@ def with_rule(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     labels = F.split("host", r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    order = F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"))
+    order = F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), F.col("action") == "allow")
     best = (
         keys.select("host", "path", F.explode(suffixes).alias("rule_host"))
         .join(listed, "rule_host")
@@ -142,14 +148,15 @@ def oracle() -> str:
     _, _, target = _sql_parts("target")
     q = lambda s: s.replace("'", "''")
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
+    rank = "1000000 * length(r.h || r.p) + 10 * length(r.h) + (r.action = 'allow')::int"
     fits = "(k.host = r.h or ends_with(k.host, '.' || r.h)) and starts_with(k.path, r.p)"
     return f"""
     with recursive rules(action, h, p) as (values {rules}),
-    pg as (select page_id, url, coalesce(html, '') as html, {host} as host, {path} as path, {key} as key from pages),
+    pg as (select page_id, url, regexp_replace(coalesce(html, ''), '{q(_HIDDEN)}', ' ', 'g') as seen, {host} as host, {path} as path, {key} as key from pages),
     raw as (
-        select *, regexp_extract(regexp_extract(html, '{q(_CANONICAL)}', 0), '{q(_HREF)}', 1) as link from pg
+        select * exclude tag, regexp_extract(tag, '{q(_HREF)}', 1) as link from (select *, unnest(regexp_extract_all(seen, '{q(_CANONICAL)}')) as tag from pg)
         union all
-        select *, regexp_extract(regexp_extract(html, '{q(_REFRESH)}', 0), '{q(_URL)}', 1) as link from pg),
+        select * exclude tag, regexp_extract(tag, '{q(_URL)}', 1) as link from (select *, unnest(regexp_extract_all(seen, '{q(_REFRESH)}')) as tag from pg)),
     linked as (select key, host, regexp_replace(path, '[^/]*$', '') as folder, replace(link, '&amp;', '&') as link
                from raw where link <> '' and coalesce(contains(url, '://'), false)),
     aimed as (select key, case when contains(link, '://') then link when starts_with(link, '//') then 'http:' || link
@@ -159,7 +166,7 @@ def oracle() -> str:
     edges as (select a, b from directed union select b, a from directed),
     nodes as (select distinct a as key, regexp_extract(a, '^[^/?#]*', 0) as host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) as path from edges),
     keys as (select host, path from nodes union select host, path from pg),
-    best as (select host, path, arg_max(r.h || r.p, length(r.h || r.p)) as rule, arg_max(r.action, length(r.h || r.p)) as action
+    best as (select host, path, arg_max(r.h || r.p, {rank}) as rule, arg_max(r.action, {rank}) as action
              from keys k join rules r on {fits} group by host, path),
     reached as (select n.key from nodes n join best b using (host, path) where b.action = 'block'
                 union select e.b from reached join edges e on e.a = reached.key)

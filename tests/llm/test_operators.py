@@ -137,6 +137,25 @@ def test_redirects_spread_blocks(spark):
     assert {r[0]: r[4] for r in con.execute(urlfilter.oracle()).fetchall()} == got
 
 
+def test_every_visible_tag_is_an_edge(spark):
+    rows = [
+        (1, "http://a.org/1", '<!-- <link rel="canonical" href="http://b.com/x/"> --><script>"<link rel=canonical href=http://b.com/x/>"</script>'),
+        (2, "http://a.org/2", '<link rel="canonical" href="http://a.org/9"><LINK href="http://b.com/x/" rel=canonical>'), (3, "http://b.com/x/", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urlfilter.judge_urls(pages, [("block", "b.com", "/x/")]).collect()} == {1: "allow", 2: "block", 3: "block"}
+
+
+def test_rule_order_is_one_for_short_and_long_lists(spark):
+    pages = spark.createDataFrame([(1, "http://z.b.com/x/yy"), (2, "http://q.c.com/p"), (3, "http://b.com/x/yy")], "page_id long, url string")
+    pages = pages.select("page_id", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
+    ties = [("allow", "z.b.com", "/x/"), ("block", "b.com", "/x/yy"), ("block", "c.com", "/p"), ("allow", "c.com", "/p")]
+    want = {1: ("z.b.com/x/", "allow"), 2: ("c.com/p", "allow"), 3: ("b.com/x/yy", "block")}
+    for n in (0, urlfilter.INLINE_RULES - len(ties), urlfilter.INLINE_RULES - len(ties) + 1, 2 * urlfilter.INLINE_RULES):
+        rules = [*[("block", f"h{i}.test", "/") for i in range(n)], *ties]
+        assert {r.page_id: (r.rule, r.action) for r in urlfilter.with_rule(pages, rules).collect()} == want
+
+
 def test_long_rule_lists_join(spark):
     pages = spark.createDataFrame([(1, "http://a.b.example.com/en/x"), (2, "http://x.org/")], "page_id long, url string").select("page_id", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
     many = [*urlfilter.RULES, *[("block", f"h{i}.test", "/") for i in range(urlfilter.INLINE_RULES)]]
@@ -320,6 +339,35 @@ def test_random_strings_without_digits():
         assert not secrets.random_spans(word, e), word
 
 
+def test_long_runs_are_judged_at_once():
+    import time
+
+    import public_tokenizers
+
+    e = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    began = time.perf_counter()
+    for run in ("ab1" + "-" * 10_000 + "xK9pZ7qLm3Rt5", "ab1" + "=-" * 5_000 + "x9", "ab" + "A" * 10_000 + "1x", "ab" + "Ab" * 5_000 + "_9z" * 3_000, "a" * 100_000 + "1"):
+        secrets.random_spans(run, e)
+    assert time.perf_counter() - began < 1
+
+
+def test_precision_and_recall_of_the_ratio():
+    """Random keys of the usual alphabets against words and names made of ordinary ones; the figures are in the README."""
+    import random
+    import string
+
+    import public_tokenizers
+
+    e, r = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(3)
+    found = lambda runs: sum(bool(secrets.random_spans(f"k {x} z", e)) for x in runs) / len(runs)
+    for alphabet, least in ((string.ascii_letters + string.digits, 0.99), (string.ascii_letters + string.digits + "+/", 0.92), (string.ascii_lowercase + string.digits, 0.95), (string.ascii_letters, 0.96)):
+        for n in (16, 20, 32, 40):
+            assert found(["".join(r.choices(alphabet, k=n)) for _ in range(500)]) >= least, (alphabet, n)
+    common = "account address between business children company computer country customer database development different document education experience government however important information language management marketing national network number office people possible president problem process product program project public question report research result school science security service social software something special standard student support system technology together training without".split()
+    names = [sep.join(r.choices(common, k=4)) + r.choice(["", "2", "_10"]) for sep in ("_", "-", "/", "") for _ in range(300)] + ["".join(w.capitalize() for w in r.choices(common, k=3)) for _ in range(300)]
+    assert found(names) <= 0.01
+
+
 def test_index_retrieves_what_plain_bm25_does(spark, rows):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     index = decontaminate.Index(items, share=0.25)
