@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
@@ -16,12 +17,18 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a temporary folder is made and set.
+    Only where that is unset on a single machine (``local`` masters: tests) a temporary folder is made and
+    set; a cluster without the setting is refused, since its executors could not see such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="kbspark-")
+        if known.isDefined():
+            found = known.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            found = tempfile.mkdtemp(prefix="kbspark-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -42,13 +49,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing will read again."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialise`` that nothing will read again; other frames are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("_written_at", None) if table is not None else None
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def own_columns(df: DataFrame) -> list[Column]:
@@ -117,18 +130,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 2**64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0x100000001B3) -> np.ndarray:
-    """64-bit hash of each span of ``codes``: a polynomial modulo 2**64, from prefix sums, mixed with the length."""
-    up, down = _powers(1 << max(16, int(len(codes)).bit_length()), base)
+def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the ordered, disjoint spans of ``codes``: the sum of mixed (code, place in the span), mixed with the length."""
+    n = end - start
     with np.errstate(over="ignore"):
+        place = np.arange(len(codes), dtype=np.uint64)
+        place -= np.repeat(start.astype(np.uint64), np.diff(np.append(start, len(codes)))) if len(start) and start[0] == 0 else _origins(start, len(codes))
+        mixed = mix64((place << np.uint64(21)) + codes.astype(np.uint64) + np.uint64(1))
         sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        np.cumsum(mixed, out=sums[1:])
+        return mix64(sums[end] - sums[start] + n.astype(np.uint64) * _GOLD)
+
+
+def _origins(start: np.ndarray, n: int) -> np.ndarray:
+    """For each place the start of the span that it is in or behind (0 before the first)."""
+    return np.repeat(np.append(0, start).astype(np.uint64), np.diff(np.concatenate([[0], start, [n]])))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import materialise
+from kbspark.llm.common import discard, materialise
 
 
 def _stars(around: DataFrame, emit) -> DataFrame:
@@ -27,12 +27,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     given = materialise(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    now, mark = given.filter("u > v"), None
+    now, mark, was = given.filter("u > v"), None, None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         now = _stars(both, lambda d: d.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = _stars(now, lambda d: d.select("u", F.col("m").alias("v")).unionByName(d.select(F.col("v").alias("u"), F.col("m").alias("v"))))
         now = materialise(now, "stars")
+        discard(was)
+        was = now
         row = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if mark == (row.n, row.h) or not row.n:
             break

@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import uuid
 import zlib
 from array import array
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import mix64, new_path, slices, small_batches, span_hashes, to_batch
+from kbspark.llm.common import mix64, new_path, pick, slices, small_batches, span_hashes, to_batch
 
 #: Chunk sizes in ids; a cut falls where the low bits of the rolling hash of WINDOW ids are all zero.
 MIN_CHUNK, MAX_CHUNK, MASK, WINDOW = 256, 4096, np.uint64(511), 16
@@ -62,24 +63,46 @@ _ARROW_ROWS = pa.schema(
 
 
 class WordTable:
-    """Ids of words by two 64-bit hashes: sorted hashes, and where each word's ids lie in one array."""
+    """Words by hash: sorted hashes, where each word's ids lie, and where its characters lie to compare with."""
 
     def __init__(self):
-        self.keys, self.checks = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-        self.first, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.columns = [np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int32, np.int64, np.int32)]
 
-    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first, size) of each of the sorted ``keys``; first is -1 where there is none."""
-        if not len(self.keys):
-            return np.full(len(keys), -1), np.zeros(len(keys), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = (self.keys[at] == keys) & (self.checks[at] == checks)
-        return np.where(hit, self.first[at], -1), np.where(hit, self.size[at], 0)
+    def __len__(self):
+        return len(self.columns[0])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first, size, at, length) of each of the sorted ``keys``; first is -1 where there is none."""
+        if not len(self):
+            return np.full(len(keys), -1), *(np.zeros(len(keys), dtype=np.int64) for _ in range(3))
+        at = np.minimum(np.searchsorted(self.columns[0], keys), len(self) - 1)
+        hit = self.columns[0][at] == keys
+        return np.where(hit, self.columns[1][at], -1), *(np.where(hit, c[at], 0).astype(np.int64) for c in self.columns[2:])
 
     def add(self, *columns: np.ndarray) -> None:
         """More words, sorted by key."""
-        at = np.searchsorted(self.keys, columns[0])
-        self.keys, self.checks, self.first, self.size = (np.insert(old, at, new) for old, new in zip((self.keys, self.checks, self.first, self.size), columns))
+        at = np.searchsorted(self.columns[0], columns[0])
+        self.columns = [np.insert(old, at, new) for old, new in zip(self.columns, columns)]
+
+
+def _flat(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(start - ends + n, n)
+
+
+class _Pool:
+    """A growing array."""
+
+    def __init__(self):
+        self.values, self.n = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def put(self, fresh: np.ndarray) -> None:
+        """Write behind the end, without moving the end."""
+        if self.n + len(fresh) > len(self.values):
+            more = max(len(self.values) // 2, len(fresh))
+            self.values = np.concatenate([self.values, np.zeros(more, dtype=np.uint32)])
+        self.values[self.n : self.n + len(fresh)] = fresh
 
 
 class WordEncoder:
@@ -89,7 +112,8 @@ class WordEncoder:
     space or line feed between other characters always starts a new piece, so a text may be cut there and
     the parts encoded one by one with equal results. Texts with runs of white space, or with white space of
     other kinds, are encoded whole. Words that are new are encoded together, one a line, and their ids cut
-    at the line feed's id. Words are looked up by hash, a batch of texts at a time.
+    at the line feed's id. Words are looked up by hash, a batch of texts at a time, and compared character by
+    character with the word remembered: where different words share a hash, the batch is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -104,7 +128,7 @@ class WordEncoder:
         #: The id that cuts lines, if the vocabulary has one.
         self.feed = feed[0] if len(feed) == 1 and lines == [*alone[0], *feed, *alone[1]] else None
         self.main, self.recent = WordTable(), WordTable()
-        self.ids, self.n = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.ids, self.words = _Pool(), _Pool()
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -127,54 +151,59 @@ class WordEncoder:
             out[i] = raw
         return out
 
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, keys: np.ndarray, words: list[str], codes: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words (sorted by key; ``codes``: their characters, one word after the other)."""
         found = self._ids_of(words)
         size = np.asarray([len(x) // 4 for x in found], dtype=np.int64)
         fresh = np.frombuffer(b"".join(found), dtype=np.uint32)
-        while self.n + len(fresh) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.n : self.n + len(fresh)] = fresh
-        first = self.n + np.cumsum(size) - size
-        if len(self.main.keys) >= MEMO:
+        self.ids.put(fresh)
+        first = self.ids.n + np.cumsum(size) - size
+        if len(self.main) >= MEMO:
             # Full: these ids are of use until the next words overwrite them.
             return first, size
-        self.n += len(fresh)
-        self.recent.add(keys, checks, first, size)
-        if len(self.recent.keys) > MERGE:
-            self.main.add(self.recent.keys, self.recent.checks, self.recent.first, self.recent.size)
+        self.words.put(codes)
+        self.recent.add(keys, first, size, self.words.n + np.cumsum(length) - length, length)
+        self.ids.n += len(fresh)
+        self.words.n += len(codes)
+        if len(self.recent) > MERGE:
+            self.main.add(*self.recent.columns)
             self.recent = WordTable()
         return first, size
 
-    def _encode_flat(self, flat: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each); a mark stands before each text."""
+    def _encode_flat(self, flat: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of all texts, number of ids of each); a mark stands before each text. None if two words share a hash."""
         codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         begins = codes == ord(_MARK)
         start = np.flatnonzero(begins | (codes == 32) | (codes == 10))
         end = np.append(start[1:], len(codes))
-        key, check = span_hashes(codes, start, end), _second_hash(codes, start, end)
-        keys, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
-        checks = check[pick]
-        first, size = self.main.find(keys, checks)
+        n = end - start
+        keys, pick, inverse = np.unique(span_hashes(codes, start, end), return_index=True, return_inverse=True)
+        if not (n[pick][inverse] == n).all() or not (codes[_flat(start[pick][inverse], n)] == codes).all():
+            return None
+        first, size, at, length = self.main.find(keys)
         more = np.flatnonzero(first < 0)
-        first[more], size[more] = self.recent.find(keys[more], checks[more])
+        first[more], size[more], at[more], length[more] = self.recent.find(keys[more])
+        known = np.flatnonzero(first >= 0)
+        where = pick[known]
+        if not (n[where] == length[known]).all() or not (self.words.values[_flat(at[known], length[known])] == codes[_flat(start[where], n[where])]).all():
+            return None
         more = np.flatnonzero(first < 0)
         if len(more):
             where = pick[more]
             words = [flat[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
-            first[more], size[more] = self._learn(keys[more], checks[more], words)
+            first[more], size[more] = self._learn(keys[more], words, codes[_flat(start[where], n[where])], n[where])
         first, size = first[inverse], size[inverse]
-        ends = np.cumsum(size)
-        at = np.arange(int(ends[-1])) + np.repeat(first - ends + size, size)
-        return self.ids[at], np.add.reduceat(size, np.flatnonzero(begins[start]))
+        return self.ids.values[_flat(first, size)], np.add.reduceat(size, np.flatnonzero(begins[start]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         plain = [_plain(t) for t in texts]
         flat = "".join([_MARK + t for t, p in zip(texts, plain) if p])
+        found = self._encode_flat(flat) if flat else None
+        if found is None:
+            return self._bytes([t or "" for t in texts])
         whole = iter(self._bytes([t or "" for t, p in zip(texts, plain) if not p]))
-        if not flat:
-            return list(whole)
-        ids, counts = self._encode_flat(flat)
+        ids, counts = found
         raw = ids.astype("<u4").tobytes()
         ends = np.cumsum(4 * counts).tolist()
         cut = iter([raw[a:b] for a, b in zip([0, *ends], ends)])
@@ -184,15 +213,6 @@ class WordEncoder:
 _MARK = "\x01"
 
 
-def _second_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Another 64-bit value of each span: its sum of cubes and its length."""
-    with np.errstate(over="ignore"):
-        x = codes.astype(np.uint64)
-        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(x * x * x, out=sums[1:])
-        return (sums[end] - sums[start]) ^ ((end - start).astype(np.uint64) << np.uint64(56))
-
-
 def _plain(text: str | None) -> bool:
     """Whether all white space of a text is single spaces and line feeds between other characters."""
     return (
@@ -201,8 +221,9 @@ def _plain(text: str | None) -> bool:
     )
 
 
-@functools.cache
-def _encoder(path: str) -> WordEncoder:
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, run: str) -> WordEncoder:
+    """The worker's encoder; ``run`` names the store being written: words are remembered across its tasks only."""
     return WordEncoder(path)
 
 
@@ -233,13 +254,32 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Binary Merkle root; leaves and inner nodes are hashed under different prefixes."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        pairs = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() for i in range(0, len(level) - 1, 2)]
-        level = pairs + level[len(pairs) * 2 :]
-    return level[0]
+class Merkle:
+    """Binary Merkle root of leaves added one by one, in memory of the tree's height; leaves and inner nodes are hashed under different prefixes."""
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.peaks and self.peaks[-1][0] == height:
+            height, node = height + 1, hashlib.sha256(b"\1" + self.peaks.pop()[1] + node).digest()
+        self.peaks.append((height, node))
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"").digest()
+        node = self.peaks[-1][1]
+        for _, left in self.peaks[-2::-1]:
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
+def merkle(leaves) -> bytes:
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 def pack(ids: np.ndarray, compressor) -> bytes:
@@ -251,11 +291,11 @@ def unpack(payload: bytes, decompressor) -> np.ndarray:
     return np.frombuffer(decompressor.decompress(payload[1:]), dtype="<u4" if payload[:1] == b"\4" else "<u2").astype("<u4")
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, run_name: str):
     def run(batches):
         import zstandard
 
-        encoder, compressor, seen = _encoder(path), zstandard.ZstdCompressor(level=1), set()
+        encoder, compressor, seen = _encoder(path, run_name), zstandard.ZstdCompressor(level=1), set()
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for part in slices(batches, "text", rows=500, size=1_000_000):
             out = {f.name: [] for f in _ARROW_ROWS}
@@ -293,7 +333,7 @@ def _once(batches):
 
 def _blocks(batches):
     """Running sums within an ordered block; the block's last row carries its Merkle root and sum."""
-    total, roots, held = 0, [], None
+    total, tree, held = 0, Merkle(), None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -302,10 +342,11 @@ def _blocks(batches):
         n = np.asarray(batch.column("n_tokens"))
         before = total + np.cumsum(n) - n
         total += int(n.sum())
-        roots += batch.column("root").to_pylist()
+        for root in batch.column("root").to_pylist():
+            tree.add(root)
         held = batch.append_column("before", pa.array(before, pa.int64()))
     if held is not None:
-        yield held.append_column("block_root", pa.array([None] * (held.num_rows - 1) + [merkle(roots)], pa.binary()))
+        yield held.append_column("block_root", pa.array([None] * (held.num_rows - 1) + [tree.root()], pa.binary()))
 
 
 def write_store(documents: DataFrame, tokenizer_path: str, end_id: int = 2, root: str | None = None) -> str:
@@ -318,7 +359,7 @@ def write_store(documents: DataFrame, tokenizer_path: str, end_id: int = 2, root
     small_batches(spark)
     root = root or new_path(spark, "tokenstore")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(_encode(tokenizer_path, end_id), _ROWS).repartition("key").sortWithinPartitions("kind", "key")
+    rows = docs.mapInArrow(_encode(tokenizer_path, end_id, root), _ROWS).repartition("key").sortWithinPartitions("kind", "key")
     rows.mapInArrow(_once, _ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{root}/store")
     recipes = _store(spark, root).filter("kind = 0").select("doc_id", "n_tokens", "digests", "tails", "root")
     recipes = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("block", F.spark_partition_id())
@@ -422,11 +463,11 @@ def verify_manifest(spark: SparkSession, root: str) -> bool:
     kinds = "block int, block_root binary"
 
     def roots(batches):
-        out: dict[int, list[bytes]] = {}
+        out: dict[int, Merkle] = {}
         for b in batches:
             for block, r in zip(b.column("block").to_pylist(), b.column("root").to_pylist()):
-                out.setdefault(block, []).append(r)
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([merkle(r) for r in out.values()], pa.binary())], names=["block", "block_root"])
+                out.setdefault(block, Merkle()).add(r)
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([t.root() for t in out.values()], pa.binary())], names=["block", "block_root"])
 
     rows = recipes_of(spark, root).repartition("block").sortWithinPartitions("block", "doc_id", "root").select("block", "root")
     found = {r.block: bytes(r.block_root) for r in rows.mapInArrow(roots, kinds).collect()}
@@ -447,6 +488,27 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
     return parts.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"), F.count("*").alias("n_chunks"))
 
 
+def with_token_counts(documents: DataFrame, tokenizer_path: str | None = None, column: str = "n_tokens") -> DataFrame:
+    """``documents`` with the number of ids of each text (null: 0) after its own columns; no shuffle. Needs ``row.text`` or ``text``."""
+    small_batches(documents.sparkSession)
+    path, run_name = tokenizer_path or default_tokenizer(), uuid.uuid4().hex
+    text = "row.text" if "row" in documents.columns else "text"
+
+    def run(batches):
+        encoder = _encoder(path, run_name)
+        for part in slices(batches, text, rows=500, size=1_000_000):
+            counts = [len(raw) // 4 for raw in encoder.encode(pick(part, text).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*part.schema.names, column])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(column, T.LongType())]))
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def read_ids(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, start, ids (array<long>) of every document, rebuilt from its chunks."""
     kinds = "digest binary, ids array<long>"
@@ -467,12 +529,8 @@ def read_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def token_store(documents: DataFrame, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:
     """Write the store for ``documents`` and return what reading it back yields (see ``read_digests``)."""
-    if tokenizer_path is None:
-        import public_tokenizers
-
-        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     spark = documents.sparkSession
-    root = write_store(documents, tokenizer_path, end_id)
+    root = write_store(documents, tokenizer_path or default_tokenizer(), end_id)
     if not verify_manifest(spark, root):
         raise ValueError("the recipes do not match the manifest")
     return read_digests(spark, root)

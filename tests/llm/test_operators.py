@@ -45,6 +45,35 @@ def test_word_encoder_equals_whole_texts():
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in e.encode(ODD)] == [t.encode(x, add_special_tokens=False).ids for x in ODD]
 
 
+def test_word_encoder_compares_words(monkeypatch):
+    """Words of equal hash are never taken for each other: Thue-Morse words, and a hash that knows lengths only."""
+    import public_tokenizers
+
+    t, path = tokenizer(), public_tokenizers.path("byte_bpe_50k.json")
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+    texts = [f"x {a} {b}", f"{b} {a}", "one two six ten", "the cat sat. mat rat"]
+    plain = lambda x: t.encode(x, add_special_tokens=False).ids
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(tokenstore, "span_hashes", lambda codes, start, end: (end - start).astype(np.uint64))
+        e = tokenstore.WordEncoder(path)
+        for x in texts * 2:
+            assert np.frombuffer(e.encode([x])[0], dtype="<u4").tolist() == plain(x)
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in e.encode(texts)] == [plain(x) for x in texts]
+
+
+def test_merkle_leaf_by_leaf_equals_levels():
+    import hashlib
+
+    for n in range(40):
+        leaves = [bytes([i]) * 3 for i in range(n)]
+        level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() for i in range(0, len(level) - 1, 2)] + level[len(level) // 2 * 2 :]
+        assert tokenstore.merkle(leaves) == level[0]
+
+
 def test_token_store_round_trip(spark, docs, rows):
     import public_tokenizers
 
