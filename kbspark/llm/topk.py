@@ -5,13 +5,18 @@ non-zero component; postings of one dimension and one impact (the integer itself
 segments of a shard are processed by descending absolute impact, for a block of queries at once. What is
 not processed yet is bounded by Cauchy-Schwarz: |query| times the norm of each row's unprocessed part. Work
 on a shard stops only when that bound proves for every query which rows can still be among its k best;
-those rows are then scored exactly. Shards hand on at most k rows a query, and a ranked window merges them.
-
-Every row is indexed and every query meets every shard, in blocks: the number of unit tasks is shards times
-query blocks. Defined cases: vectors that are null, or hold a null or non-finite component, and rows with a
-null vec_id take no part; an empty vector scores 0 with all; a shorter vector counts as padded with zeros;
-rows with equal vec_id count as one, with the smallest vector; ties go to the smaller vec_id; an empty table
-gives an empty result; extra columns are ignored.
+those rows are then scored exactly.
+
+Rows are dealt into shards by descending norm, and shards in turn to GROUPS groups. A task meets one block of
+queries with one group, shard by shard, and keeps the k best so far: a query's k-th score is the bar for the
+next shard, and a shard whose largest norm cannot reach any query's bar is passed over, which proves its rows
+out. So every query meets every shard, and hands on at most GROUPS * k rows however many rows are indexed.
+
+Defined cases: vectors that are null, or hold a null or non-finite component, and rows with a null vec_id take
+no part; an empty vector scores 0 with all; a shorter vector counts as padded with zeros; rows of equal vec_id
+are rows of their own, as candidates and as queries (a query leaves out its own row only, and each of its rows
+has its own ranks); ties go to the smaller vec_id; a component whose floor or a score that is outside a long
+counts as the nearest long; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import materialise
+from kbspark.llm.common import materialise, small_batches
 
-SHARD_ROWS, QUERY_ROWS = 2048, 256
+SHARD_ROWS, QUERY_ROWS, GROUPS = 2048, 512, 8
 #: Bounds are tried each time the postings left are at most this share, halved at every try.
 FIRST_TRY = 0.4
 #: A shard is rescored once at most this share of (row, query) pairs is still possible.
@@ -37,87 +42,120 @@ def quantised(embedding: Column, scale: int = 64) -> Column:
     return F.when(good, F.transform(d, lambda x: F.floor(x * float(scale))))
 
 
-def _matrix(ids_and_codes: list) -> tuple[np.ndarray, np.ndarray]:
-    width = max((len(c) for _, c in ids_and_codes), default=0)
-    codes = np.zeros((len(ids_and_codes), width), dtype=np.int64)
-    for i, (_, c) in enumerate(ids_and_codes):
-        codes[i, : len(c)] = c
-    return np.asarray([i for i, _ in ids_and_codes], dtype=np.int64), codes
+def _matrix(codes: list) -> np.ndarray:
+    width = max(map(len, codes), default=0)
+    out = np.zeros((len(codes), width), dtype=np.int64)
+    for i, c in enumerate(codes):
+        out[i, : len(c)] = c
+    return out
 
 
 def build_segments(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(segments, rows): each segment is (impact, dimension, first, end) into ``rows``, by descending absolute impact."""
     row, dim = np.nonzero(codes)
     value = codes[row, dim]
-    order = np.lexsort((row, dim, value, -np.abs(value)))
+    order = np.lexsort((row, dim, value, -np.abs(value.astype(np.float64))))
     row, dim, value = row[order], dim[order], value[order]
     first = np.flatnonzero(np.r_[True, (np.diff(value) != 0) | (np.diff(dim) != 0)]) if len(row) else np.zeros(0, dtype=np.int64)
     end = np.r_[first[1:], len(row)] if len(row) else first
     return np.stack([value[first], dim[first], first, end], axis=1) if len(row) else np.zeros((0, 4), dtype=np.int64), row.astype(np.int32)
 
 
-def search_shard(ids: np.ndarray, codes: np.ndarray, segments: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query position, row position, score) of each query's k best rows of the shard, its own row left out."""
-    n, b = len(ids), len(query_ids)
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
+
+def search_shard(ids, rows_of, codes, segments, rows, query_rows, queries, k: int, bar=None):
+    """(query position, row position, score) of each query's k best rows of the shard, its own row left out.
+
+    ``ids`` and ``rows_of``: vec_id and row number of the shard's rows; ``bar``: scores that only rows at or
+    above them still matter for, one a query.
+    """
+    n, b = len(ids), len(query_rows)
     width = max(codes.shape[1], queries.shape[1])
     codes, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (codes, queries))
-    most = float(np.abs(codes).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(width, 1)
+    wide = codes.astype(np.float64)
+    most = float(np.abs(wide).max(initial=0)) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * max(width, 1)
     exact = object if most >= 2**62 else np.int64
-    small = np.int32 if most < 2**31 else exact
+    small = np.float64 if exact is object else np.int32 if most < 2**31 else np.int64
     acc = np.zeros((n, b), dtype=small)
     by_dim = np.ascontiguousarray(queries.T.astype(small))
-    left = (codes.astype(np.float64) ** 2).sum(axis=1)
+    left = (wide**2).sum(axis=1)
     norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    own = ids[:, None] == query_ids[None, :]
+    own = rows_of[:, None] == query_rows[None, :]
+    bar = np.full(b, -np.inf) if bar is None else bar
     total, done, share, possible = len(rows), 0, FIRST_TRY, None
-    sizes = np.abs(segments[:, 0]) if len(segments) else segments[:0]
+    sizes = np.abs(segments[:, 0].astype(np.float64))
+    # Sums of floats stray by less than this share of the largest sum.
+    stray = most * 1e-9 if exact is object else 0.0
     for at, (impact, dim, first, end) in enumerate(segments.tolist()):
         hit = rows[first:end]
-        acc[hit] += by_dim[dim] * small(impact) if small is not object else by_dim[dim] * impact
+        acc[hit] += by_dim[dim] * small(impact)
         left[hit] -= float(impact) ** 2
         done += end - first
         if total - done <= share * total and (at + 1 == len(segments) or sizes[at + 1] != sizes[at]):
             # Proof: with what is unprocessed, no other row can reach the k-th best lower bound.
-            slack = np.sqrt(np.maximum(left, 0))[:, None] * norm[None, :] * (1 + 1e-9)
-            low = np.where(own, -np.inf, acc.astype(np.float64) - slack)
+            slack = np.sqrt(np.maximum(left, 0))[:, None] * norm[None, :] * (1 + 1e-9) + stray + (left > 0)[:, None] * 1e-3
+            low = np.clip(np.where(own, -np.inf, acc.astype(np.float64) - slack), -np.inf, 2.0**63)
             kth = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(b, -np.inf)
-            possible = (acc.astype(np.float64) + slack >= kth[None, :]) & ~own
+            high = np.clip(acc.astype(np.float64) + slack, -(2.0**63), 2.0**63)
+            possible = (high * (1 + 1e-12 * np.sign(high)) >= np.maximum(kth, bar)[None, :]) & ~own
             if possible.sum() <= max(RESCORE * n * b, 2 * k * b):
                 break
             share = share / 2
-    if possible is None or not len(segments):
+    if possible is None:
         possible = ~own
     row, query = np.nonzero(possible)
-    score = np.empty(len(row), dtype=exact)
+    score = np.empty(len(row), dtype=np.int64)
     for a in range(0, len(row), 200_000):
         r, q = row[a : a + 200_000], query[a : a + 200_000]
-        score[a : a + 200_000] = (codes[r].astype(exact) * queries[q].astype(exact)).sum(axis=1)
-    order = np.lexsort((ids[row], -score.astype(np.float64 if exact is object else np.int64), query))
-    row, query, score = row[order], query[order], score[order]
+        if exact is object:
+            score[a : a + 200_000] = [min(max(int(x), _LEAST), _MOST) for x in (codes[r].astype(object) * queries[q].astype(object)).sum(axis=1)]
+        else:
+            score[a : a + 200_000] = np.einsum("ij,ij->i", codes[r], queries[q])
+    return best_of(query, row, ids[row], score, b, k)
+
+
+def best_of(query, row, ids, score, b: int, k: int):
+    """Each query's k best of (query, row, vec_id, score), by descending score, then vec_id."""
+    order = np.lexsort((ids, ~score, query))
+    query, row, score = query[order], row[order], score[order]
     start = np.searchsorted(query, np.arange(b))
     keep = np.arange(len(query)) - start[query] < k
     return query[keep], row[keep], score[keep]
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_INDEX = "kind int, part int, norm double, width int, ids binary, numbers binary, codes binary, segments binary, rows binary"
+_INDEX_ARROW = pa.schema(
+    [("kind", pa.int32()), ("part", pa.int32()), ("norm", pa.float64()), ("width", pa.int32()), *((c, pa.binary()) for c in ("ids", "numbers", "codes", "segments", "rows"))]
+)
+
 
+def _pack(kind: int, size: int):
+    """Rows of a partition, in their order, in packs of ``size``; shards (kind 1) with their segments."""
 
-def _pack(kind: str):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        codes = table.column("codes").combine_chunks()
-        ids, matrix = _matrix(sorted(zip(table.column("vec_id").to_pylist(), codes.to_pylist())))
-        out = {"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "width": pa.array([matrix.shape[1]], pa.int32()), "ids": [ids.tobytes()], "codes": [_narrow(matrix)]}
-        if kind == "shard":
-            segments, rows = build_segments(matrix)
-            out |= {"segments": [segments.astype(np.int64).tobytes()], "rows": [rows.tobytes()]}
-        return pa.table(out)
+    def pack(ids, numbers, codes):
+        matrix = _matrix(codes)
+        norm = float(np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1)).max(initial=0))
+        segments, rows = build_segments(matrix) if kind else (np.zeros((0, 4), dtype=np.int64), np.zeros(0, dtype=np.int32))
+        values = (kind, 0, norm, matrix.shape[1], np.asarray(ids, dtype=np.int64).tobytes(), np.asarray(numbers, dtype=np.int64).tobytes(), _narrow(matrix), segments.astype(np.int64).tobytes(), rows.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, _INDEX_ARROW)], schema=_INDEX_ARROW)
+
+    def run(batches):
+        held = [[], [], []]
+        for batch in batches:
+            for to, c in zip(held, ("vec_id", "row", "codes")):
+                to += batch.column(c).to_pylist()
+            while len(held[0]) >= size:
+                yield pack(*(h[:size] for h in held))
+                held = [h[size:] for h in held]
+        if held[0]:
+            yield pack(*held)
 
     return run
 
 
 def _narrow(matrix: np.ndarray) -> bytes:
-    fits = len(matrix) == 0 or np.abs(matrix).max(initial=0) < 2**15
+    fits = len(matrix) == 0 or (matrix.max(initial=0) < 2**15 and matrix.min(initial=0) >= -(2**15))
     return (b"\2" if fits else b"\x08") + matrix.astype("<i2" if fits else "<i8").tobytes()
 
 
@@ -125,45 +163,80 @@ def _wide(raw: bytes, width: int, n: int) -> np.ndarray:
     return np.frombuffer(raw[1:], dtype="<i2" if raw[:1] == b"\2" else "<i8").astype(np.int64).reshape(n, width)
 
 
+_FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
 def _search(k: int):
+    """Units come one after the other: a block of queries, then the shards of a group by descending norm."""
+
     def run(batches):
+        block = best = None
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                ids, q_ids = np.frombuffer(x["ids"], dtype=np.int64), np.frombuffer(x["q_ids"], dtype=np.int64)
+                ids, numbers = (np.frombuffer(x[c], dtype=np.int64) for c in ("ids", "numbers"))
+                codes = _wide(x["codes"], x["width"], len(ids))
+                if x["kind"] == 0:
+                    if block is not None:
+                        yield found(block, best)
+                    none = np.zeros(0, dtype=np.int64)
+                    block, best = (ids, numbers, codes, np.sqrt((codes.astype(np.float64) ** 2).sum(axis=1))), (none, none, none)
+                    continue
+                b = len(block[0])
+                full = np.bincount(best[0], minlength=b) >= k
+                bar = np.full(b, -np.inf)
+                np.minimum.at(low := np.full(b, np.inf), best[0], best[2].astype(np.float64))
+                bar[full] = low[full] - np.abs(low[full]) * 1e-12
+                if (block[3] * x["norm"] * (1 + 1e-9) < bar).all():
+                    continue
                 segments = np.frombuffer(x["segments"], dtype=np.int64).reshape(-1, 4)
-                q, row, score = search_shard(ids, _wide(x["codes"], x["width"], len(ids)), segments, np.frombuffer(x["rows"], dtype=np.int32), q_ids, _wide(x["q_codes"], x["q_width"], len(q_ids)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(ids[row]), pa.array([int(s) for s in score], pa.int64())], schema=_FOUND)
+                q, row, score = search_shard(ids, numbers, codes, segments, np.frombuffer(x["rows"], dtype=np.int32), block[1], block[2], k, bar)
+                q, names, score = np.append(best[0], q), np.append(best[1], ids[row]), np.append(best[2], score)
+                best = best_of(q, names, names, score, b, k)
+        if block is not None:
+            yield found(block, best)
+
+    def found(block, best):
+        q, names, score = best
+        return pa.RecordBatch.from_arrays([pa.array(block[1][q]), pa.array(block[0][q]), pa.array(names), pa.array(score)], schema=_FOUND)
 
     return run
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row of ``vectors`` (vec_id, embedding) that ``queries`` picks by vec_id."""
+    small_batches(vectors.sparkSession)
     codes = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("codes"))
-    codes = codes.filter("vec_id is not null and codes is not null").groupBy("vec_id").agg(F.min("codes").alias("codes"))
-    codes = materialise(codes, "codes")
-    asked = codes.filter(queries)
+    codes = materialise(codes.filter("vec_id is not null and codes is not null").withColumn("row", F.monotonically_increasing_id()), "codes")
     size = codes.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
     shards, blocks = max(1, -(-size.n // SHARD_ROWS)), max(1, -(-size.q // QUERY_ROWS))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("part")
-    index = codes.select("*", deal(shards)).groupBy("part").applyInArrow(_pack("shard"), "part int, width int, ids binary, codes binary, segments binary, rows binary")
-    block = asked.select("*", deal(blocks)).groupBy("part").applyInArrow(_pack("query"), "part int, width int, ids binary, codes binary")
-    index, block = materialise(index, "index"), materialise(block, "blocks")
-    # Units: every block of queries with every shard. Keys are made on both sides, the join is by equality.
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = block.select(F.col("part").alias("block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"))
-    units = left.join(right, ["part", "block"]).drop("part", "block")
-    found = units.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    square = F.aggregate("codes", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    index = codes.withColumn("square", square).repartitionByRange(shards, F.desc("square"), "row").sortWithinPartitions(F.desc("square"), "row")
+    index = index.select("vec_id", "row", "codes").mapInArrow(_pack(1, SHARD_ROWS), _INDEX)
+    index = materialise(index.withColumn("shard", F.monotonically_increasing_id()), "index")
+    asked = codes.filter(queries).repartitionByRange(blocks, "row").select("vec_id", "row", "codes").mapInArrow(_pack(0, QUERY_ROWS), _INDEX)
+    asked = materialise(asked.withColumn("part", F.monotonically_increasing_id()).select(F.col("part").alias("unit"), *(f.name for f in _INDEX_ARROW)), "blocks")
+    # Units: every block of queries with every group of shards; the block itself goes first. One row a shard or block.
+    deal = F.pmod(F.row_number().over(Window.orderBy(F.desc("norm"), "shard")), F.lit(GROUPS))
+    groups = index.join(index.select("shard", "norm").withColumn("group", deal).select("shard", "group"), "shard")
+    every = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))
+    columns = [f.name for f in _INDEX_ARROW]
+    names = asked.select("unit").withColumn("group", every)
+    shard_units = names.join(groups, "group").select("unit", "group", *columns)
+    units = asked.withColumn("group", every).select("unit", "group", *columns).unionByName(shard_units)
+    n_units = blocks * GROUPS
+    units = units.repartition(n_units, "unit", "group").sortWithinPartitions("unit", "group", "kind", F.desc("norm"))
+    found = units.select(*columns).mapInArrow(_search(k), "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    out = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out
 
 
 ORACLE = """
-with v as (select vec_id, min(list_transform(embedding, lambda x: floor(64 * x::double)::bigint)) as codes from embeddings
-           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id),
-scored as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.codes, c.codes), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0)))::bigint as score
-           from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
-select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, coalesce(score, 0) as score
+with v as (select vec_id, row_number() over () as r, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as codes from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, q.r, c.vec_id, list_sum(list_transform(list_zip(q.codes, c.codes), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0)))::bigint as score
+           from v q join v c on q.r <> c.r where q.vec_id % 20 = 0)
+select query_id, row_number() over (partition by r order by score desc, vec_id)::int as rank, vec_id, coalesce(score, 0) as score
 from scored qualify rank <= 20
 """

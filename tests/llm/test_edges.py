@@ -74,10 +74,24 @@ def test_top_k(spark):
     rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, []), (5, [0.5]), (None, [1.0, 1.0]), (6, [1.0, 0.5]), (6, [1.0, 0.5])]
     v = spark.createDataFrame([(*r, 1, "c", 2) for r in rows], schema)
     out = topk.top_k(v, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in out if r.query_id == 0] == [(0, 1, 6, 64 * 64 + 32 * 32), (0, 2, 20, 64 * 64 + 32 * 32), (0, 3, 5, 64 * 32), (0, 4, 4, 0)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in out if r.query_id == 0] == [(0, 1, 6, 64 * 64 + 32 * 32), (0, 2, 6, 64 * 64 + 32 * 32), (0, 3, 20, 64 * 64 + 32 * 32), (0, 4, 5, 64 * 32), (0, 5, 4, 0)]
     assert topk.top_k(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_large_values(spark):
+    r = random.Random(2)
+    rows = [(i % 37, [float(r.randrange(-3, 4)) for _ in range(6)]) for i in range(400)] + [(7, [1e20, 1.0]), (40, [1e20, -1.0]), (60, [3e15] * 6), (8, [-1e300, 2.0]), (40, [2e5, 2e5])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=9).collect()
+    near = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    codes = [(i, [near(int(x * 64) if x * 64 == int(x * 64) else 0) for x in v] + [0] * (6 - len(v))) for i, v in rows]
+    want = []
+    for q, (i, a) in enumerate(codes):
+        if i % 20 == 0:
+            best = sorted((-near(sum(x * y for x, y in zip(a, b))), j) for c, (j, b) in enumerate(codes) if c != q)[:9]
+            want += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(best)]
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in out) == sorted(want)
+
+
 def test_language_id(docs, none):
     out = langid.identify_documents(docs)
     assert out.count() == docs.count()
