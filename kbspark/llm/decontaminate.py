@@ -1,25 +1,29 @@
 """Operator 9: benchmark decontamination by a BM25 inverted index with block-max WAND.
 
 Test items are the indexed side, in blocks of similar threshold; every passage of every document queries
-them. A passage is dropped when the sum of its terms' largest impacts cannot reach the smallest threshold;
-else each block whose block maxima cannot reach the block's smallest threshold is skipped; the postings of
-the blocks left are summed exactly, and every item at or over its threshold (``share`` of the score that the
-item has with itself) is retrieved. A hit counts when the question's five-word shingles and the answer's
-words are found in the document.
+them. An item of more than PIECE words is indexed as pieces of at most so many. A passage is dropped when the
+sum of its terms' largest impacts cannot reach the smallest threshold; else each block whose block maxima
+cannot reach the block's smallest threshold is skipped; the postings of the blocks left are summed exactly,
+and every piece at or over its threshold (``share`` of the score that it has with itself) is retrieved. A hit
+counts when the question's five-word shingles and the answer's words are found around the passage: in it, and
+as far before and behind as the item reaches.
 
 The answer of an item is its last sentence, the question what comes before; an item of one sentence is both.
-The index is split into parts of at most ``PART_ITEMS`` items and ``PART_CHARS`` characters, each sent along by
-itself, so any number of items works; BM25 statistics are those of the part. Documents are read whole and
-never shuffled.
+BM25 statistics (items and their mean length, document frequencies) are counted over the whole benchmark with
+Spark. The index is held in parts of at most PART_PIECES pieces and PART_POSTINGS postings, each broadcast by
+itself; a task reads its documents once and meets the parts one after the other, so results do not depend on
+the parts, and documents are read whole, once, and never shuffled.
 
 Defined cases: null and empty texts and items match nothing; repeated documents and items give repeated
-rows; a question of fewer than five words is one shingle, of its own length; an empty table on either side
-gives an empty result; extra columns are ignored. Passages are twice as long as the longest item, and begin every half.
+rows; a question of fewer than five words is one shingle, of its own length; words in order stand in for
+shingles of questions of up to two pieces; an empty table on either side gives an empty result; extra columns
+are ignored. Passages are two pieces long and begin every piece.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -27,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import slices, small_batches, to_batch
+from kbspark.llm.common import discard, materialise, slices, small_batches, to_batch
 
 K1, B, SHARE, BLOCK = 1.2, 0.75, 0.6, 8
 SHINGLE, QUESTION, ANSWER, IN_ORDER = 5, 0.8, 0.5, 0.85
-PART_ITEMS, PART_CHARS = 20_000, 20_000_000
+#: Words of a piece, and what one part of the index may hold.
+PIECE, PART_PIECES, PART_POSTINGS = 64, 20_000, 1_000_000
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
@@ -55,29 +60,29 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def pieces_of(words: list[str], most: int = PIECE) -> list[list[str]]:
+    """Equal runs of at most ``most`` words."""
+    n = -(-len(words) // most)
+    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
+
+
 class Index:
-    """Impacts of the terms of items, as postings sorted by (term, block, item)."""
-
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE):
-        items = [(i, t, w) for i, t in items if (w := words_of(t))]
-        counts = []
-        df: dict[str, int] = {}
-        for _, _, words in items:
-            own: dict[str, int] = {}
-            for w in words:
-                own[w] = own.get(w, 0) + 1
-            counts.append(own)
-            for w in own:
-                df[w] = df.get(w, 0) + 1
-        n = len(items)
-        mean = sum(len(w) for _, _, w in items) / max(n, 1)
-        idf = {w: np.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        impact = [{w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(x[2]) / mean)) for w, c in own.items()} for own, x in zip(counts, items)]
-        order = sorted(range(n), key=lambda i: (sum(impact[i].values()), items[i][0]))
+    """Impacts of the terms of pieces, as postings sorted by (term, block, piece).
+
+    ``pieces``: (row of the item, item_id, its text, {word: (count, document frequency)}); ``n`` and ``mean``:
+    number and mean length of all pieces of the benchmark.
+    """
+
+    def __init__(self, pieces: list[tuple[int, int, str, dict[str, tuple[int, int]]]], n: int, mean: float, share: float = SHARE):
+        total, n = n, len(pieces)
+        idf = {w: np.log(1 + (total - d + 0.5) / (d + 0.5)) for x in pieces for w, (_, d) in x[3].items()}
+        lengths = [sum(c for c, _ in x[3].values()) for x in pieces]
+        impact = [{w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * length / mean)) for w, (c, _) in sorted(x[3].items())} for x, length in zip(pieces, lengths)]
+        items, df = pieces, idf
+        order = sorted(range(n), key=lambda i: (sum(impact[i].values()), items[i][:2]))
         self.items = [items[i] for i in order]
         self.threshold = np.asarray([share * sum(impact[i].values()) for i in order])
         self.vocabulary = {w: i for i, w in enumerate(sorted(df))}
-        self.longest = max((len(w) for _, _, w in items), default=1)
         self.blocks = -(-n // BLOCK)
         rows = sorted((self.vocabulary[w], at, v) for at, i in enumerate(order) for w, v in impact[i].items())
         terms, self.at, self.impact = (np.asarray(x) for x in (zip(*rows) if rows else ([0][:0], [0][:0], [0.0][:0])))
@@ -128,77 +133,127 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), owner
 
 
-def overlaps(words: list[str], passage: list[str], question: list[str], answer: list[str]) -> tuple[float, float]:
-    """Shares of the question (shingles in the document, or words in order in the passage) and of the answer's words."""
+def overlaps(words: list[str], question: list[str], answer: list[str]) -> tuple[float, float]:
+    """Shares of the question (its shingles among ``words``, or its words in order) and of the answer's words."""
     n = min(SHINGLE, max(1, len(question)))
     asked = shingles(question, n)
     q = len(asked & shingles(words, n)) / len(asked) if asked else 0.0
-    if q < QUESTION and question:
-        order = sum(b.size for b in SequenceMatcher(None, question, passage, autojunk=False).get_matching_blocks() if b.size > 1) / len(question)
+    if q < QUESTION and 0 < len(question) <= 2 * PIECE:
+        order = sum(b.size for b in SequenceMatcher(None, question, words, autojunk=False).get_matching_blocks() if b.size > 1) / len(question)
         q = max(q, order) if order >= IN_ORDER else q
     told = set(words)
     return q, sum(w in told for w in answer) / len(answer) if answer else 0.0
 
 
-def _search(index: Index):
-    split = [split_item(t) for _, t, _ in index.items]
-    half = index.longest
+class _Batch:
+    """Words of some documents, cut into passages."""
 
-    def one_batch(doc_ids, texts, out):
-        get, tokens, ids, segs, owners, base = index.vocabulary.get, [], [], [], [], 0
-        for row, text in enumerate(texts):
-            words = words_of(text)
-            tokens.append(words)
+    def __init__(self, doc_ids: list, texts: list):
+        self.doc_ids, self.words = doc_ids, [words_of(t) for t in texts]
+        halves = [len(w) // PIECE + 2 for w in self.words]
+        self.first = np.cumsum(halves) - halves
+        self.owner = np.repeat(np.arange(len(texts)), halves)
+
+    def search(self, index: Index, split: list, out: dict) -> None:
+        get, ids, segs = index.vocabulary.get, [], []
+        for words, base in zip(self.words, self.first.tolist()):
             own = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
             at = np.flatnonzero(own >= 0)
             ids.append(own[at])
-            segs.append(base + at // half)
-            n = len(words) // half + 2
-            owners += [row] * n
-            base += n
-        if not base:
-            return
-        ids, segs, owners = np.concatenate(ids), np.concatenate(segs), np.asarray(owners)
+            segs.append(base + at // PIECE)
+        ids, segs = np.concatenate(ids), np.concatenate(segs)
         # A passage is a half and the next: its terms are those of either.
         v = max(len(index.vocabulary), 1)
         own = np.unique(segs * v + ids)
         pairs = np.union1d(own, own[(own // v > 0)] - v)
-        pairs = pairs[pairs >= 0]
-        starts = np.searchsorted(owners, np.arange(len(texts)))
         passage, item, score = index.retrieve(pairs % v, pairs // v)
         best: dict[tuple[int, int], tuple] = {}
         for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist()):
-            row = int(owners[p])
-            at = (p - int(starts[row])) * half
-            q, a = overlaps(tokens[row], tokens[row][max(0, at) : at + 2 * half], *split[i])
-            if q >= QUESTION and a >= ANSWER and (s, q) > best.get((row, i), (-1.0, 0.0))[:2]:
-                best[row, i] = (s, q, a)
-        for (row, i), (s, q, a) in best.items():
-            for k, x in zip(out, (doc_ids[row], index.items[i][0], s, float(index.threshold[i]), q, a)):
+            doc = int(self.owner[p])
+            at, (question, answer, length) = (p - int(self.first[doc])) * PIECE, split[i]
+            reach = PIECE + max(0, length - PIECE)
+            q, a = overlaps(self.words[doc][max(0, at - reach) : at + 2 * PIECE + reach], question, answer)
+            key = (doc, index.items[i][0])
+            if q >= QUESTION and a >= ANSWER and (s, q, a) > best.get(key, (-1.0,))[:3]:
+                best[key] = (s, q, a, index.items[i][1], float(index.threshold[i]))
+        for (doc, _), (s, q, a, item_id, threshold) in best.items():
+            for k, x in zip(out, (self.doc_ids[doc], item_id, s, threshold, q, a)):
                 out[k].append(x)
 
+
+def _split(index: Index) -> list:
+    found = {row: (*split_item(text), len(words_of(text))) for row, _, text, _ in index.items}
+    return [found[x[0]] for x in index.items]
+
+
+def _search(parts: list):
     def run(batches):
-        for part in slices(batches, "text", rows=300, size=1_000_000):
-            out = {f.name: [] for f in _ARROW}
-            one_batch(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), out)
-            yield to_batch(out, _ARROW)
+        held = None
+        if len(parts) == 1:
+            held = parts[0].value, _split(parts[0].value)
+        # Several parts are read again for every batch: larger batches then.
+        for part in slices(batches, "text", rows=300, size=1_000_000) if held else batches:
+            if not part.num_rows:
+                continue
+            own = [_Batch(x.column("doc_id").to_pylist(), x.column("text").to_pylist()) for x in ([part] if held else slices([part], "text", rows=300, size=1_000_000))]
+            for share in parts:
+                index, split = held or (share.value, _split(share.value))
+                out = {f.name: [] for f in _ARROW}
+                for batch in own:
+                    batch.search(index, split, out)
+                yield to_batch(out, _ARROW)
+                if not held and getattr(share, "_path", None):
+                    # The worker keeps one part at a time; the next batch reads this one from its file again.
+                    share.__dict__.pop("_value", None)
 
     return run
 
 
+_PIECES = "row long, item_id long, text string, piece int, words array<string>, counts array<int>"
+_PIECES_ARROW = pa.schema([("row", pa.int64()), ("item_id", pa.int64()), ("text", pa.string()), ("piece", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+
+
+def _cut(batches):
+    for batch in batches:
+        out = {f.name: [] for f in _PIECES_ARROW}
+        for row, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "item_id", "text"))):
+            for at, words in enumerate(pieces_of(words_of(text))):
+                counts = Counter(words)
+                for k, v in zip(out, (row, item_id, text, at, list(counts), list(counts.values()))):
+                    out[k].append(v)
+        yield to_batch(out, _PIECES_ARROW)
+
+
+def build_index(benchmark: DataFrame, share: float = SHARE):
+    """Yields the parts of the index of ``benchmark`` (item_id, text), one at a time, with the statistics of all of it."""
+    items = benchmark.selectExpr("cast(item_id as long) as item_id", "cast(text as string) as text").filter("text is not null")
+    items = materialise(items.withColumn("row", F.monotonically_increasing_id()), "items")
+    pieces = materialise(items.select("row", "item_id", "text").mapInArrow(_cut, _PIECES), "pieces")
+    size = pieces.agg(F.count("*").alias("n"), F.sum(F.aggregate("counts", F.lit(0), lambda a, x: a + x)).alias("words"), F.sum(F.size("words")).alias("postings")).first()
+    if not size.n:
+        discard(items, pieces)
+        return
+    flat = pieces.select("row", "piece", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", "piece", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
+    df = flat.groupBy("word").agg(F.count("*").alias("df"))
+    terms = flat.join(df, "word").groupBy("row", "piece").agg(F.collect_list(F.struct("word", "c", "df")).alias("terms"))
+    ready = materialise(pieces.select("row", "piece", "item_id", "text").join(terms, ["row", "piece"]), "ready")
+    parts = max(1, -(-size.n // PART_PIECES), -(-size.postings // PART_POSTINGS))
+    for part in range(parts):
+        # About a part's bound of rows is on the driver at a time.
+        rows = ready.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == part).collect()
+        rows = sorted(((r.row, r.piece, r.item_id, r.text, {t.word: (t.c, t.df) for t in r.terms}) for r in rows), key=lambda r: r[:2])
+        if rows:
+            yield Index([(r[0], *r[2:]) for r in rows], size.n, size.words / size.n, share)
+    discard(items, pieces, ready)
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, score, threshold, question_overlap, answer_overlap) of every verified leak."""
-    small_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    items = benchmark.selectExpr("cast(item_id as long) as item_id", "cast(text as string) as text").filter("text is not null")
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
-    parts = max(1, -(-size.n // PART_ITEMS), -(-size.c // PART_CHARS))
-    found = None
-    for part in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        rows = docs.mapInArrow(_search(Index([(r.item_id, r.text) for r in own.collect()], share)), _SCHEMA)
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    parts = [spark.sparkContext.broadcast(x) for x in build_index(benchmark, share)]
+    return docs.mapInArrow(_search(parts), _SCHEMA) if parts else spark.createDataFrame([], _SCHEMA)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

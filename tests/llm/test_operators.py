@@ -233,7 +233,7 @@ def test_top_k_stops_only_on_proof():
     codes = (r.standard_normal((3000, 24)) ** 3 * 20).astype(np.int64)
     q = codes[:40]
     segments, rows = topk.build_segments(codes)
-    at, row, score = topk.search_shard(np.arange(3000), codes, segments, rows, np.arange(40), q, 10)
+    at, row, score = topk.search_shard(np.arange(3000), np.arange(3000), codes, segments, rows, np.arange(40), q, 10)
     for i in range(40):
         s = codes @ q[i]
         want = sorted((-int(s[c]), c) for c in range(3000) if c != i)[:10]
@@ -399,24 +399,39 @@ def test_precision_and_recall_of_the_ratio():
 
 def test_index_retrieves_what_plain_bm25_does(spark, rows):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    index = decontaminate.Index(items, share=0.25)
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    (index,) = decontaminate.build_index(frame, share=0.25)
     passages = [decontaminate.words_of(r.text)[:120] for r in rows] + [decontaminate.words_of(t) for _, t in items]
     flat = sorted({(p, index.vocabulary[w]) for p, words in enumerate(passages) for w in words if w in index.vocabulary})
     ids, own = np.asarray([t for _, t in flat]), np.asarray([p for p, _ in flat])
     p, at, score = index.retrieve(ids, own)
-    got = {(int(a), int(b)): round(float(s), 6) for a, b, s in zip(p, at, score)}
-    n, mean = len(index.items), np.mean([len(w) for _, _, w in index.items])
-    df = Counter(w for _, _, words in index.items for w in set(words))
+    got = {(int(a), index.items[b][1]): round(float(s), 6) for a, b, s in zip(p, at, score)}
+    bags = {i: Counter(decontaminate.words_of(t)) for i, t in items}
+    limit = {x[1]: index.threshold[at] for at, x in enumerate(index.items)}
+    assert max(sum(b.values()) for b in bags.values()) <= decontaminate.PIECE
+    n, mean = len(bags), np.mean([sum(b.values()) for b in bags.values()])
+    df = Counter(w for b in bags.values() for w in b)
     want = {}
     for q, words in enumerate(passages):
-        for i, (_, _, item) in enumerate(index.items):
-            c = Counter(item)
-            s = sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(item) / mean)) for w in set(words) & set(c))
-            if s >= index.threshold[i] - 1e-9:
+        for i, c in bags.items():
+            s = sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in set(words) & set(c))
+            if s >= limit[i] - 1e-9:
                 want[q, i] = round(float(s), 6)
     assert got == want and len(want) >= len(items)
 
 
+def test_parts_of_the_index_change_nothing(spark, docs, monkeypatch):
+    long = " ".join(f"l{i % 211}{chr(97 + i % 7)}" for i in range(900))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame([(900, long), (900, long)], "item_id long, text string"))
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, f"some words before. {long} and some more"), (-2, long[: len(long) // 2])], "doc_id long, text string"))
+    found = []
+    for pieces, postings in ((20_000, 1_000_000), (1, 1_000_000), (7, 1_000_000), (20_000, 100)):
+        monkeypatch.setattr(decontaminate, "PART_PIECES", pieces if pieces > 1 else 3)
+        monkeypatch.setattr(decontaminate, "PART_POSTINGS", postings)
+        found.append(sorted(map(tuple, decontaminate.find_leaks(some, items).collect())))
+    assert all(x == found[0] for x in found) and sum(x[:2] == (-1, 900) for x in found[0]) == 2 and not any(x[0] == -2 for x in found[0])
+
+
 def test_leaks_equal_brute_force(spark, docs, rows):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
@@ -437,7 +452,7 @@ def test_leaks_of_items_with_short_questions(spark):
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()) == sorted((d + i, i) for i, _ in items for d in (0, 10))
     # The item without its question is no copy of it.
-    assert decontaminate.overlaps(["x", "a", "b", "c", "d"], ["x", "a", "b", "c", "d"], ["q"], ["a", "b", "c", "d"])[0] == 0
+    assert decontaminate.overlaps(["x", "a", "b", "c", "d"], ["q"], ["a", "b", "c", "d"])[0] == 0
 
 
 def test_mix_equals_sql_and_redistributes(spark, docs):
