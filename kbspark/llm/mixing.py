@@ -6,8 +6,10 @@ goes to its siblings; only what a whole subtree cannot use reaches the level abo
 capacity caps it there. Each leaf then takes whole seeded epochs and, of the last one, the prefix in seeded
 order that begins before the budget is reached.
 
-DataFrame expressions only. A leaf's prefix is found from the token sums of 4,096 ranges of the seeded
-order, so a leaf with a third of all rows is not one task; only the range with the cut is ordered.
+DataFrame expressions only. A leaf's prefix is found range by range: the token sums of 256 ranges of the seeded
+order name the one with the cut, whose own 256 ranges are summed next, three times over; so a leaf with a third
+of all rows is never one task, and what is ordered at last is one range in 16 million. Tokens are whatever the
+``tokens`` column counts: the registered query takes white-space words, the pipeline the tokenizer's ids.
 
 Defined cases: null domain, language or source count as the value ``(none)``; null and empty texts have no
 tokens, and stand in an epoch like any other; documents whose seeded keys are equal (equal doc_id) are taken
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import materialise, own_columns
+from kbspark.llm.common import discard, materialise, own_columns
 
 LEVELS = ("domain", "language", "source")
 #: Production parameters of the registered query and of the pipeline.
@@ -33,6 +35,10 @@ DEFAULT_WEIGHT = {"domain": 0.1, "language": 0.05, "source": 1.0}
 SHARE, EPOCHS, SEED = 0.7, 2, "mix-1"
 
 
+#: Digits of the seeded key that a round of ranges goes on by, and rounds.
+DIGITS, ROUNDS = 2, 3
+
+
 def n_tokens(text: Column) -> Column:
     """Whitespace-separated tokens."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\f]+")), F.lit(0)).cast("long")
@@ -81,13 +87,13 @@ def _named(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("(none)"))
 
 
-def plan_mix(documents: DataFrame, domain: Column, weights: dict, share: float, epochs: int, seed: str) -> tuple[DataFrame, DataFrame]:
+def plan_mix(documents: DataFrame, domain: Column, weights: dict, share: float, epochs: int, seed: str, tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(narrow, plan): every document's leaf and tokens; each leaf's budget, whole epochs and last key.
 
     Of epoch ``whole`` a leaf takes the documents whose seeded key is at most ``cut``.
     """
     leaf = [_named(c).alias(n) for c, n in zip((domain, F.col("lang"), F.col("source")), LEVELS)]
-    narrow = documents.select("doc_id", *leaf, n_tokens(F.col("text")).alias("n_tokens"))
+    narrow = documents.select("doc_id", *leaf, (n_tokens(F.col("text")) if tokens is None else tokens).alias("n_tokens"))
     narrow = materialise(narrow, "narrow")
     leaves = materialise(narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first().t
@@ -95,18 +101,26 @@ def plan_mix(documents: DataFrame, domain: Column, weights: dict, share: float,
     whole = F.when(F.col("tokens") > 0, F.least(F.lit(epochs), F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))))).otherwise(0).cast("int")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     plan = materialise(plan.withColumn("rest", F.when(F.col("whole") >= epochs, 0).otherwise(F.col("rest"))), "plan")
-    keyed = narrow.join(plan.filter("rest > 0").select(*LEVELS, "whole", "rest"), list(LEVELS)).withColumn("h", seeded(F.col("doc_id"), F.col("whole"), seed))
-    keyed = keyed.withColumn("bucket", F.substring("h", 1, 3)).select(*LEVELS, "rest", "bucket", "h", "n_tokens")
-    sums = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    ordered = Window.partitionBy(*LEVELS).orderBy("bucket")
-    before = F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = sums.withColumn("before", before).filter("before < rest").withColumn("last", F.max("bucket").over(Window.partitionBy(*LEVELS))).filter("bucket = last")
-    inside = keyed.join(ranges.select(*LEVELS, "bucket", "before"), [*LEVELS, "bucket"])
-    peers = Window.partitionBy(*LEVELS).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "h"))
-    cuts = inside.withColumn("ahead", F.col("before") + F.sum("n_tokens").over(peers) - same).filter("ahead < rest")
-    cuts = cuts.groupBy(*LEVELS).agg(F.max("h").alias("cut"))
-    return narrow, materialise(plan.join(cuts, list(LEVELS), "left"), "cuts")
+    # The range that holds each leaf's cut, and the tokens before it.
+    cut_in = plan.filter("rest > 0").select(*LEVELS, "whole", "rest", F.lit(0).cast("long").alias("before"), F.lit("").alias("range"))
+    held, keyed = [], None
+    for turn in range(ROUNDS):
+        keyed = narrow.join(cut_in, list(LEVELS)).withColumn("h", seeded(F.col("doc_id"), F.col("whole"), seed))
+        keyed = keyed.filter(F.substring("h", 1, DIGITS * turn) == F.col("range"))
+        sums = keyed.withColumn("range", F.substring("h", 1, DIGITS * (turn + 1))).groupBy(*LEVELS, "whole", "rest", "before", "range").agg(F.sum("n_tokens").alias("n"))
+        # At most 256 rows a leaf.
+        ordered = Window.partitionBy(*LEVELS).orderBy("range")
+        ahead = F.col("before") + F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        last = sums.withColumn("before", ahead).filter("before < rest").groupBy(*LEVELS, "whole", "rest").agg(F.max(F.struct("range", "before")).alias("at"))
+        cut_in = materialise(last.select(*LEVELS, "whole", "rest", "at.before", "at.range"), "ranges")
+        held.append(cut_in)
+    keyed = narrow.join(cut_in, list(LEVELS)).withColumn("h", seeded(F.col("doc_id"), F.col("whole"), seed)).filter(F.substring("h", 1, DIGITS * ROUNDS) == F.col("range"))
+    inside = keyed.groupBy(*LEVELS, "rest", "before", "h").agg(F.sum("n_tokens").alias("n"))
+    ahead = F.col("before") + F.coalesce(F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = inside.withColumn("ahead", ahead).filter("ahead < rest").groupBy(*LEVELS).agg(F.max("h").alias("cut"))
+    out = materialise(plan.join(cuts, list(LEVELS), "left"), "cuts")
+    discard(leaves, plan, *held)
+    return narrow, out
 
 
 def _selected(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
@@ -118,15 +132,19 @@ def _selected(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     return taken.withColumn("epoch", F.explode(F.concat(F.coalesce(full, none), F.coalesce(last, none)))).drop("whole", "cut")
 
 
-def mix(documents: DataFrame, domain: Column, weights: dict = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(documents: DataFrame, domain: Column, weights: dict = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, tokens: Column | None = None) -> DataFrame:
     """doc_id, epoch, domain, language, source, n_tokens of every selected document, once per epoch."""
-    narrow, plan = plan_mix(documents, domain, weights, share, epochs, seed)
+    narrow, plan = plan_mix(documents, domain, weights, share, epochs, seed, tokens)
     return _selected(narrow, plan, seed).select("doc_id", "epoch", *LEVELS, "n_tokens")
 
 
-def mixed_documents(documents: DataFrame, domain: Column, weights: dict = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The selected rows of ``documents`` themselves, with all their columns, once per epoch; texts are not shuffled for it where the plan of the leaves is small enough for Spark to send it along."""
-    _, plan = plan_mix(documents, domain, weights, share, epochs, seed)
+def mixed_documents(documents: DataFrame, domain: Column, weights: dict = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, counted: DataFrame | None = None) -> DataFrame:
+    """The selected rows of ``documents`` themselves, with all their columns, once per epoch; texts are not shuffled for it where the plan of the leaves is small enough for Spark to send it along.
+
+    ``counted`` (doc_id, lang, source, n_tokens), a row for each of ``documents``, gives the tokens to plan by; else white-space words.
+    """
+    narrow, plan = plan_mix(documents if counted is None else counted, domain, weights, share, epochs, seed, None if counted is None else F.col("n_tokens"))
+    discard(narrow)
     # The document's own columns travel as one struct, so no name can clash.
     rows = documents.select(F.struct(*own_columns(documents)).alias("row"), "doc_id", *[_named(c).alias(n) for c, n in zip((domain, F.col("lang"), F.col("source")), LEVELS)])
     return _selected(rows, plan, seed).select("row.*")

@@ -489,18 +489,19 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def with_token_counts(documents: DataFrame, tokenizer_path: str | None = None, column: str = "n_tokens") -> DataFrame:
-    """``documents`` with the number of ids of each text (null: 0) after its own columns; no shuffle. Needs ``row.text`` or ``text``."""
+    """``documents`` with ``column``, the number of ids of its ``text`` (null: 0), in that column's place; no shuffle."""
     small_batches(documents.sparkSession)
     path, run_name = tokenizer_path or default_tokenizer(), uuid.uuid4().hex
-    text = "row.text" if "row" in documents.columns else "text"
+    kept = [f for f in documents.schema.fields if f.name != "text"]
 
     def run(batches):
         encoder = _encoder(path, run_name)
-        for part in slices(batches, text, rows=500, size=1_000_000):
-            counts = [len(raw) // 4 for raw in encoder.encode(pick(part, text).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*part.schema.names, column])
+        for part in slices(batches, "text", rows=500, size=1_000_000):
+            counts = [len(raw) // 4 for raw in encoder.encode(pick(part, "text").to_pylist())]
+            names = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(counts, pa.int64())], names=[*names, column])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(column, T.LongType())]))
+    return documents.mapInArrow(run, T.StructType([*kept, T.StructField(column, T.LongType())]))
 
 
 def default_tokenizer() -> str:

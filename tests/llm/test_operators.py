@@ -472,9 +472,11 @@ def test_pipeline_equals_plain_steps(spark, docs, rows):
     leaky = {r.doc_id for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     alive = {r.doc_id for r in rows if (r.text or "").strip() and re.search(r"[^\W\d_]", r.text) and classes[r.doc_id] == r.doc_id and r.doc_id not in leaky}
     kept = docs.filter(F.col("doc_id").isin(sorted(alive)))
-    times = Counter(r.doc_id for r in mixing.mix(kept, mixing.domain_of(F.col("source"))).collect())
+    counted = tokenstore.with_token_counts(kept.select("doc_id", "lang", "source", "text"))
+    times = Counter(r.doc_id for r in mixing.mix(counted, mixing.domain_of(F.col("source")), tokens=F.col("n_tokens")).collect())
     assert Counter(r.doc_id for r in got) == times
     t, text = tokenizer(), {r.doc_id: r.text for r in rows}
+    assert {r.doc_id: r.n_tokens for r in counted.collect()} == {i: len(t.encode(text[i], add_special_tokens=False).ids) for i in alive}
     want = {i: zlib.crc32(np.asarray([*t.encode(text[i], add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for i in times}
     assert all(r.ids_crc32 == want[r.doc_id] for r in got)
     by = sorted(got, key=lambda r: r.start)
