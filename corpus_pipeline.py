@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.llm import decontaminate, langid, mixing, neardup, tokenstore
-from kbspark.llm.common import materialise, table
+from kbspark.llm.common import discard, materialise, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Selects each leaf's token prefix from its seeded epochs; a second epoch repeats documents."""
-    return mixing.mixed_documents(docs, mixing.domain_of(F.col("source")))
+    """Selects each leaf's prefix, in ids of the tokenizer, from its seeded epochs; a second epoch repeats documents."""
+    counted = tokenstore.with_token_counts(docs.select("doc_id", "lang", "source", "text"))
+    return mixing.mixed_documents(docs, mixing.domain_of(F.col("source")), counted=counted)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        now = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            docs = materialise(docs, "stage")
+            now = materialise(now, "stage")
+            discard(docs)
+        docs = now
     return docs
