@@ -59,6 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         now = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             now = materialise(now, "stage")
-            discard(docs)
+        # The token store is written by now, too: nothing reads the stage before again.
+        discard(docs)
         docs = now
     return docs
