@@ -2,15 +2,16 @@
 
 A document is the multiset of its five-word shingles. Each (shingle, multiplicity) owns a hierarchy of
 Poisson processes over dyadic weight ranges [0,1), [1,2), [2,4), ...: ranges that lie within the
-multiplicity count whole, the range that holds it is thinned by bisection to the part below it. The first
-arrivals in M components are the signature; two components agree with a probability that is the weighted
+multiplicity count whole; of the range that holds it only points below the multiplicity count (the others
+are rejected). The first arrivals in M components are the signature; two components agree with a probability that is the weighted
 Jaccard similarity. Points are made in order of arrival and only while they can still lower a component.
 
 Signatures are banded. Documents with equal multisets are one class member from the start; of the others,
 every bucket links its members to a centre; where several components still meet in a bucket, every pair of
-members of different components is compared whose shared-shingle counts do not prove it to be under the
-threshold.
-All comparisons are exact multiset similarities of whole texts; classes are the connected components of the
+members of different components is compared whose sizes and shared-shingle counts do not prove it to be under
+the threshold. Large buckets and centres of many members are dealt out in parts, whose number follows their
+size. Comparisons are multiset similarities of whole texts, over 64-bit hashes of their shingles (texts count as
+equal by a 128-bit digest of these); classes are the connected components of the
 pairs at or over the threshold. With BANDS bands of ROWS rows a pair at 0.8 shares no bucket with
 probability 3e-5.
 
@@ -22,13 +23,15 @@ shingles; a null doc_id has a null class; an empty table gives an empty result;
 from __future__ import annotations
 
 import functools
+import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import materialise, mix64, slices, small_batches, span_hashes, to_batch
+from kbspark.llm.common import discard, materialise, mix64, slices, small_batches, span_hashes, to_batch
 from kbspark.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -36,6 +39,8 @@ BANDS, ROWS = 26, 5
 M = BANDS * ROWS
 #: Hash cells by which shared items are counted to bound similarities.
 CELLS = 64
+#: About how many members of a bucket, or partners of a centre, one task takes at a time.
+PART = 512
 _Q, _GOLD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,7 +125,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             at = doc * M + ((place >> np.uint64(32)) * np.uint64(M) >> np.uint64(32)).astype(np.int64)
             value = time
             if thin.any():
-                # Bisection of the range, one bit of the point a level: below the multiplicity it counts.
+                # A point at or beyond the multiplicity is none of this bag's.
                 inside = ~thin | ((place & np.uint64(0xFFFFFFFF)).astype(np.int64) % width < limit)
                 at, value = at[inside], time[inside]
             np.minimum.at(flat, at, value)
@@ -140,7 +145,7 @@ def band_keys(best: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("print", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _BAG = pa.schema([("rep", pa.int64()), ("items", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
 
 
@@ -159,66 +164,85 @@ def _sign(batches):
     for part in slices(batches, "text", rows=400, size=600_000):
         bags = shingle_bags(part.column("text").to_pylist())
         keys = band_keys(signatures(bags))
-        with np.errstate(over="ignore"):
-            prints = [[int((mix64(s ^ salt) * c.astype(np.uint64)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s, c in bags] for salt in (_Q, _GOLD)]
-        yield to_batch({"doc_id": part.column("doc_id"), "fp1": prints[0], "fp2": prints[1], "n": [int(c.sum()) for _, c in bags], "bands": list(keys)}, _SIGNED)
-
-
-def _squeeze(batches):
-    """Texts compressed for the one shuffle in which they take part."""
-    import zstandard
-
-    z = zstandard.ZstdCompressor(level=1)
-    for part in slices(batches, "text", rows=2000, size=4_000_000):
-        packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+        prints = [hashlib.blake2b(x.tobytes() + c.astype(np.int64).tobytes(), digest_size=16).digest() for x, c in bags]
+        yield to_batch({"doc_id": part.column("doc_id"), "print": prints, "n": [int(c.sum()) for _, c in bags], "bands": list(keys)}, _SIGNED)
 
 
 def _bags(batches):
-    import zstandard
-
-    z = zstandard.ZstdDecompressor()
-    for part in slices(batches, "packed", rows=400, size=200_000):
-        bags = shingle_bags([z.decompress(p).decode("utf-8", "surrogatepass") for p in part.column("packed").to_pylist()])
-        items = [occurrences(b) for b in bags]
+    for part in slices(batches, "text", rows=400, size=400_000):
+        items = [occurrences(b) for b in shingle_bags(part.column("text").to_pylist())]
         cells = [np.bincount(i & (CELLS - 1), minlength=CELLS) for i in items]
         yield to_batch({"rep": part.column("doc_id"), "items": items, "cells": cells}, _BAG)
 
 
+def _compare(threshold: float):
+    """Rows come as a centre's bag (kind 0), then those to compare with it; yields the pairs at or over the threshold."""
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        hub = centre = None
+        for batch in batches:
+            out = {"a": [], "b": []}
+            items = batch.column("items")
+            values, ends = items.values.to_numpy(), items.offsets.to_numpy()
+            for i, (h, kind, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hub", "kind", "other")))):
+                own = values[ends[i] : ends[i + 1]]
+                if kind == 0:
+                    hub, centre = h, np.sort(own)
+                    continue
+                assert h == hub
+                at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                both = int((centre[at] == own).sum())
+                if both >= threshold * (len(centre) + len(own) - both):
+                    out["a"].append(min(h, other))
+                    out["b"].append(max(h, other))
+            yield to_batch(out, kinds)
+
+    return run
+
+
 class _Search:
     """Candidate pairs of class representatives, verified against their bags."""
 
     def __init__(self, docs: DataFrame, members: DataFrame, threshold: float):
         self.docs, self.members, self.threshold = docs, members, threshold
         self.tested = self.edges = self.bags = None
+        self.tables: list[DataFrame] = []
 
     def verify(self, pairs: DataFrame) -> int:
-        """Compare new pairs (a < b); returns how many there were."""
-        pairs = pairs.filter("a < b").distinct()
+        """Compare new pairs (hub, other); returns how many there were."""
+        pairs = pairs.filter("hub <> other").select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"), "hub")
+        pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"))
         if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = self._keep(pairs, "pairs")
         n = pairs.count()
         if not n:
             return 0
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         if self.bags is not None:
-            ids = ids.join(self.bags, "rep", "left_anti")
-        packed = self.docs.mapInArrow(_squeeze, "doc_id long, packed binary")
-        held = packed.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        rows = held.mapInArrow(_bags, "rep long, items array<long>, cells array<int>")
+            ids = ids.join(self.bags.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+        rows = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_bags, "rep long, items array<long>, cells array<int>")
         best = F.max_by(F.struct("items", "cells"), F.struct(F.size("items"), "items")).alias("bag")
-        more = materialise(rows.groupBy("rep").agg(best).select("rep", "bag.*"), "bags")
+        more = self._keep(rows.groupBy("rep").agg(best).select("rep", "bag.*"), "bags")
         self.bags = more if self.bags is None else self.bags.unionByName(more)
-        left = self.bags.select(F.col("rep").alias("a"), F.col("items").alias("sa"))
-        right = self.bags.select(F.col("rep").alias("b"), F.col("items").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        alike = both / (F.size("sa") + F.size("sb") - both) >= self.threshold
-        good = materialise(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "edges")
+        # A centre's bag goes once to each part of its partners; each partner's bag goes once for the pair.
+        hubs = self._keep(pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "hubs")
+        other = pairs.join(hubs, "hub").withColumn("other", F.col("a") + F.col("b") - F.col("hub"))
+        other = other.select("hub", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "other")
+        centre = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("other"))
+        units = [u.join(self.bags.select(F.col("rep").alias("other"), "items"), "other").select("hub", "part", "kind", "other", "items") for u in (centre, other)]
+        units = units[0].unionByName(units[1]).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+        good = self._keep(units.mapInArrow(_compare(self.threshold), "a long, b long"), "edges")
         self.edges = good if self.edges is None else self.edges.unionByName(good)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         return n
 
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        self.tables.append(out)
+        return out
+
     def open_members(self) -> DataFrame | None:
         """Members (band, key, rep, component, n, cells) of the buckets in which several components meet.
 
@@ -228,7 +252,7 @@ class _Search:
         """
         comps = connected_components(self.edges, "a", "b").withColumnRenamed("node", "rep")
         held = self.members.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        left = self._mixed(materialise(held.select("band", "key", "rep", "component"), "components"))
+        left = self._mixed(self._keep(held.select("band", "key", "rep", "component"), "components"))
         if left.isEmpty():
             return None
         bags = self.bags.join(left.select("rep").distinct(), "rep", "left_semi")
@@ -240,71 +264,76 @@ class _Search:
         shared = F.transform("cells", lambda c, i: c - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
         sizes = sizes.select("rep", F.size("items").alias("n"), shared.alias("cells"))
         sizes = sizes.withColumn("common", F.aggregate("cells", F.lit(0), lambda a, x: a + x))
-        left = materialise(left.join(sizes, "rep"), "sizes")
-        least = left.groupBy("band", "key").agg(F.min("n").alias("least"))
+        left = self._keep(left.join(sizes, "rep"), "sizes")
+        least = self._keep(left.groupBy("band", "key").agg(F.min("n").alias("least")), "least")
         left = left.join(least, ["band", "key"]).filter(self.reachable("n", "least", F.col("common"))).drop("least", "common")
         left = self._mixed(left)
         return None if left.isEmpty() else left
 
     def open_pairs(self, left: DataFrame) -> DataFrame:
-        """Pairs (a, b) of open members of one bucket and different components that can reach the threshold.
+        """Pairs (hub, other) of open members of one bucket and different components that can reach the threshold.
 
-        One of the two is outside the bucket's largest component, so only such members look for partners,
-        and what cannot reach the threshold is never made a row.
+        One of the two is outside the bucket's largest component, so only such members look for partners;
+        partners are dealt by size class (sizes further apart than the threshold are in classes further apart
+        than one) and, in large buckets, by parts. What cannot reach the threshold is never made a row.
         """
         sizes = left.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
-        major = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("size", "component")).alias("major"))
-        minor = left.join(major, ["band", "key"]).filter("component <> major")
-        p = minor.select("band", "key", F.col("component").alias("x"), F.col("rep").alias("rp"), F.col("n").alias("np"), F.col("cells").alias("cp")).alias("p")
-        q = left.select("band", "key", F.col("component").alias("y"), F.col("rep").alias("rq"), F.col("n").alias("nq"), F.col("cells").alias("cq")).alias("q")
+        buckets = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("size", "component")).alias("major"), F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
+        buckets = self._keep(buckets, "buckets")
+        # 1e-6 on the side of one class more.
+        level = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / self.threshold) * (1 - 1e-6)) if self.threshold < 1 else F.col("n")
+        held = self._keep(left.join(buckets, ["band", "key"]).withColumn("level", level.cast("long")), "levels")
+        minor = held.filter("component <> major").withColumn("level", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])))
+        minor = minor.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        p = minor.select("band", "key", "level", "part", F.col("component").alias("x"), F.col("rep").alias("rp"), F.col("n").alias("np"), F.col("cells").alias("cp")).alias("p")
+        q = held.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        q = q.select("band", "key", "level", "part", F.col("component").alias("y"), F.col("rep").alias("rq"), F.col("n").alias("nq"), F.col("cells").alias("cq")).alias("q")
         most = F.aggregate(F.zip_with("cp", "cq", lambda u, v: F.least(u, v)), F.lit(0), lambda u, v: u + v)
-        meet = (F.col("p.band") == F.col("q.band")) & (F.col("p.key") == F.col("q.key")) & (F.col("x") != F.col("y"))
-        return p.join(q, meet & self.reachable("np", "nq", most)).select(F.least("rp", "rq").alias("a"), F.greatest("rp", "rq").alias("b"))
+        meet = (F.col("x") != F.col("y")) & self.reachable("np", "nq", F.least("np", "nq")) & self.reachable("np", "nq", most)
+        for c in ("band", "key", "level", "part"):
+            meet = (F.col(f"p.{c}") == F.col(f"q.{c}")) & meet
+        return p.join(q, meet).select(F.col("rq").alias("hub"), F.col("rp").alias("other"))
 
     def _mixed(self, held: DataFrame) -> DataFrame:
         mixed = held.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y and size > 1")
-        return materialise(held.join(mixed.select("band", "key"), ["band", "key"], "left_semi"), "open")
+        # The buckets are a table of their own, so that the join has plain shuffles below it, which Spark splits where one is large.
+        mixed = self._keep(mixed.select("band", "key"), "mixed")
+        return self._keep(held.join(mixed, ["band", "key"], "left_semi"), "open")
 
     def reachable(self, n: str, other: str, common):
         return common / (F.col(n) + F.col(other) - common) >= self.threshold - 1e-9
 
 
-def _star(members: DataFrame, *centres) -> DataFrame:
-    """Pairs of every member of a bucket with the bucket's centres."""
-    found = members.groupBy("band", "key").agg(F.count("*").alias("size"), *[c.alias(f"c{i}") for i, c in enumerate(centres)]).filter("size > 1")
-    pairs = members.join(found, ["band", "key"]).select("rep", F.explode(F.array(*[f"c{i}" for i in range(len(centres))])).alias("c"))
-    return pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
-
-
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row of ``documents`` (doc_id, text); the class is its smallest doc_id."""
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(docs.mapInArrow(_sign, "doc_id long, fp1 long, fp2 long, n long, bands array<long>"), "signed")
-    same = signed.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    signed = materialise(docs.mapInArrow(_sign, "doc_id long, print binary, n long, bands array<long>"), "signed")
+    same = signed.filter("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     same = materialise(same, "same")
-    members = materialise(same.groupBy("rep").agg(F.max_by("bands", F.struct("n", "fp1")).alias("bands")).select("rep", F.posexplode("bands").alias("band", "key")), "members")
+    members = materialise(same.groupBy("rep").agg(F.max_by("bands", F.struct("n", "print")).alias("bands")).select("rep", F.posexplode("bands").alias("band", "key")), "members")
     # Only buckets with company matter from here on. The member that meets most others in all its buckets is
-    # most likely the text that the others were made from, so it is a bucket's first centre.
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = materialise(members.join(shared, ["band", "key"]), "shared")
-    known = members.groupBy("rep").agg(F.sum("size").alias("met"))
-    members = materialise(members.drop("size").join(known, "rep"), "met")
-    search = _Search(docs, members, threshold)
-    central = F.max_by("rep", F.struct("met", "rep"))
-    if search.verify(_star(members, central)):
+    # most likely the text that the others were made from, so it is a bucket's centre.
+    sizes = materialise(members.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    shared = materialise(members.join(sizes, ["band", "key"]), "shared")
+    known = shared.groupBy("rep").agg(F.sum("size").alias("met"))
+    met = materialise(shared.drop("size").join(known, "rep"), "met")
+    centres = materialise(met.groupBy("band", "key").agg(F.max_by("rep", F.struct("met", "rep")).alias("hub")), "centres")
+    search = _Search(docs, met, threshold)
+    if search.verify(met.join(centres, ["band", "key"]).select("hub", F.col("rep").alias("other"))):
         left = search.open_members()
         if left is not None:
             search.verify(search.open_pairs(left))
-    classes = same.select("fp1", "fp2", "rep")
+    classes = same.select("print", "rep")
     if search.edges is not None:
         # A last round may have added links.
         comps = connected_components(search.edges, "a", "b").withColumnRenamed("node", "rep")
-        classes = classes.join(comps, "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("class_id"))
+        classes = classes.join(comps, "rep", "left").select("print", F.coalesce("component", "rep").alias("class_id"))
     else:
         classes = classes.withColumnRenamed("rep", "class_id")
     classes = materialise(classes, "classes")
-    found = signed.filter("n > 0 and doc_id is not null").select("doc_id", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select("doc_id", "class_id")
+    discard(same, members, sizes, shared, met, centres, *search.tables)
+    found = signed.filter("n > 0 and doc_id is not null").select("doc_id", "print").join(classes, "print").select("doc_id", "class_id")
     return found.unionByName(signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
