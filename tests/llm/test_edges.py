@@ -45,9 +45,9 @@ def test_token_store(docs, none):
 
 
 def test_pii(docs, none, spark):
-    assert pii.pseudonymise(docs).count() == docs.count()
-    assert {r.text for r in pii.pseudonymise(docs).filter("doc_id in (30, 31)").collect()} == {None, ""}
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(docs, b"k").count() == docs.count()
+    assert {r.text for r in pii.pseudonymise(docs, b"k").filter("doc_id in (30, 31)").collect()} == {None, ""}
+    assert pii.pseudonymise(none, b"k").count() == 0
 
 
 def test_urls(spark):

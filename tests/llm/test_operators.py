@@ -110,7 +110,11 @@ PEOPLE = "Mr. John Smith met Mrs. Mary Jones and Mr. John Smith. Господи
 def test_surrogates(spark):
     more = [(i, f"write to user{i}@mail.example.com from 45.1.2.{i} or card 48451681144073{i:02d}") for i in range(60)]
     frame = spark.createDataFrame([(100, PEOPLE), (101, "Again Mr. John Smith, JO.DOE42@MAIL7.EXAMPLE.COM"), *more], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymise(frame).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(frame, b"k1").collect()}
+    assert {r.doc_id: r.text for r in pii.pseudonymise(frame, b"k1").collect()} == {i: r.text for i, r in out.items()}
+    assert {r.doc_id: r.text for r in pii.pseudonymise(frame, b"k2").collect()} != {i: r.text for i, r in out.items()}
+    with pytest.raises(ValueError):
+        pii.pseudonymise(frame, b"")
     text = out[100].text
     for gone in ("Smith", "Mary", "Бойко", "555-7713", "Doe42", "10.2.3.4", "0343 6467", "0130 00"):
         assert gone not in text
@@ -129,10 +133,31 @@ def test_surrogates(spark):
     assert len({out[i].text for i in range(60)}) == 60
 
 
-def test_collisions_draw_again(spark):
-    people = [(f"m|latin|given{i} name{i}",) for i in range(1500)]
-    got = pii.assign_surrogates(spark.createDataFrame(people, "value string").select(F.lit("person").alias("type"), "value"))
-    assert got.count() == 1500 and got.select("surrogate").distinct().count() == 1500
+def test_names_keep_their_person_within_a_document(spark):
+    texts = [(1, "Mr. John Smith came. Later John Smith and Mr. Smith left, Smith said. Mrs. Smith stayed."), (2, "Emily Carter wrote; Dr. Emily Carter too. Carter, Emily."), (3, "Call +1 555 123 4567 or 555-123-4567."), (4, "Herr Αλέξης Παπαδόπουλος")]
+    out = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(texts, "doc_id long, text string"), b"k").collect()}
+    given, last = re.match(r"Mr\. (\w+) (\w+) came", out[1]).groups()
+    assert out[1] == f"Mr. {given} {last} came. Later {given} {last} and Mr. {last} left, {last} said. Mrs. {last} stayed." and last != "Smith" and given != "John"
+    given, last = re.match(r"(\w+) (\w+) wrote", out[2]).groups()
+    assert out[2].startswith(f"{given} {last} wrote; Dr. {given} {last} too. {last},") and given in pii.NAMES["f", "latin"]
+    a, b = re.match(r"Call \+1 (\d{3} \d{3} \d{4}) or (\S+)\.", out[3]).groups()
+    assert a.replace(" ", "-") == b != "555-123-4567"
+    assert {pii.script_of(w) for w in out[4].split()[1:]} == {"greek"} and all(w.istitle() for w in out[4].split())
+
+
+def test_surrogates_differ_as_they_are_written(spark):
+    """Brute force over one table: equal values equal surrogates, all others differ, from each other and from every real value."""
+    people = [("given", f"{g}|latin|given{i}") for i in range(300) for g in "mf"] + [("surname", f"l|latin|{w}") for w in [f"name{i}" for i in range(300)] + ["hill", "adams", "lewis"]]
+    people += [("given", "m|latin|james"), ("surname", "l|latin|james"), ("surname", "l|cyrillic|бойко")]
+    mails = [("email", f"{a}{b}@c.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    mails = [("email", f"{m[1][0]}@{m[1][1]}.co") for m in mails]  # all 676 of this shape: no surrogate of it is free
+    more = [("phone", f"{i:09d}") for i in range(400)] + [("card", f"4539148803436{i:03d}") for i in range(200)] + [("ip", f"45.1.{i % 7}.{i}") for i in range(200)]
+    frame = spark.createDataFrame(people + mails + more + people, "type string, value string")
+    got = pii.assign_surrogates(frame, b"k").collect()
+    assert len(got) == len(set(people + mails + more))
+    space = lambda t: "name" if t in ("given", "surname") else t
+    new = [(space(r.type), pii.written(r.type, r.surrogate)) for r in got]
+    assert len(set(new)) == len(new) and not set(new) & {(space(r.type), pii.written(r.type, r.value)) for r in got}
 
 
 def test_components_equal_union_find(spark):
