@@ -2,17 +2,19 @@
 
 States are (role, first or later line of a turn). A line is observed through its speaker marker (the class
 of the label before a colon, bracket or dash) and through line features: the line before it is blank, its
-length class, whether it asks, and whether it is a list or code line. The model is counted from labelled
-transcripts, all of them; scores are integers (log-probabilities scaled and rounded), so decoding is exact
-and does not depend on how a transcript is split.
+length class, whether it asks, whether it is a list or code line, and whether a row of the transcript begins
+with it. The model is counted from labelled conversations as they are (texts and roles, no marker is ever
+made from a role); that a marker of a role's class opens a turn of this role is a prior of MARKER_PRIOR
+counts. Scores are integers (log-probabilities scaled and rounded), so decoding is exact and does not depend
+on how a transcript is split. Roles are never read when a transcript is parsed.
 
 A transcript is decoded in blocks of consecutive lines, one max-plus transfer matrix for each block: blocks
 of one transcript lie in different tasks, the matrices (one small row for each block) are chained to give
 every block its entry and exit state, and each block is then decoded by itself. A conversation of any
-length is thus never gathered.
+length is thus never gathered, nor are the rows of one turn: crowded turns are cut into blocks of their own.
 
-Defined cases: null texts are one blank line; rows with equal (conv_id, turn) are consecutive, ordered by
-text; null conv_id and null turn are values of their own, first in order; an empty table gives an empty
+Defined cases: null texts are one blank line; rows with equal (conv_id, turn) are consecutive, in no particular
+order; null conv_id and null turn are values of their own, first in order; an empty table gives an empty
 result; extra columns are ignored; roles other than system, user and assistant are not learnt from; without
 any labelled row every role is equally likely.
 """
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import materialise, small_batches, to_batch
+from kbspark.llm.common import discard, materialise, small_batches, to_batch
 
 ROLES = ("system", "user", "assistant")
 N = 2 * len(ROLES)
-#: Turns (as numbered in the transcript) that share a block.
-BLOCK = 64
+#: Turns (as numbered in the transcript) that share a block, and the rows of such a block from which it is cut up.
+BLOCK, CROWDED = 64, 256
+#: Counts that a marker of a role's class has in advance in that role's first lines; share of turns taken to begin within a row.
+MARKER_PRIOR, WITHIN = 50, 0.02
 _LOW = -(10**12)
 
 #: Labels of speaker markers by class.
@@ -47,6 +51,8 @@ _MARKER = re.compile(r"\s*(?:#{1,4}\s*|\*{1,2}|<\|?|\[)?\s*([^\W\d_]{1,14})\s*(?
 _DASH = re.compile(r"\s*(?:[-–—]|>>)\s+(?=\S)")
 _LIST = re.compile(r"\s*(?:[-*•]\s|\d{1,3}[.)]\s|```|    )")
 CLASSES = (*ROLES, "other", "dash", "none")
+#: Markers of first and later lines, in a thousand, where a transcript is a mere text: no such text is labelled.
+TEXT_OWN, TEXT_FIRST, TEXT_LATER = 920, {"other": 20, "dash": 40, "none": 20}, {"other": 10, "dash": 10, "none": 980}
 
 
 def observe(line: str, blank_before: bool) -> tuple[tuple[str, ...], str]:
@@ -74,6 +80,12 @@ class Model:
     """Integer start, transition and emission scores."""
 
     def __init__(self, start: dict, moves: dict, emits: dict):
+        emits = dict(emits)
+        for r, role in enumerate(ROLES):
+            emits[2 * r, f"m:{role}"] = emits.get((2 * r, f"m:{role}"), 0) + MARKER_PRIOR
+            emits[2 * r, "r:0"] = emits.get((2 * r, "r:0"), 0) + WITHIN * emits.get((2 * r, "r:1"), 0)
+            # In a mere text markers are what opens turns.
+            emits |= {(2 * r, f"t:{c}"): n for c, n in TEXT_FIRST.items()} | {(2 * r, f"t:{role}"): TEXT_OWN} | {(2 * r + 1, f"t:{c}"): n for c, n in TEXT_LATER.items()}
         score = lambda c, total, kinds: round(1000 * math.log((c + 0.5) / (total + 0.5 * kinds)))
         legal = np.zeros((N, N), dtype=bool)
         for s in range(N):
@@ -88,7 +100,7 @@ class Model:
                 if legal[s, t]:
                     self.moves[s, t] = score(moves.get((s, t), 0), total, int(legal[s].sum()))
         kinds: dict[str, set] = {}
-        for f in [f"m:{c}" for c in CLASSES] + [f"{k}:{v}" for k in "bql" for v in "01"] + [f"n:{i}" for i in range(11)]:
+        for f in [f"{k}:{c}" for k in "mt" for c in CLASSES] + [f"{k}:{v}" for k in "bqlr" for v in "01"] + [f"n:{i}" for i in range(11)]:
             kinds.setdefault(f[0], set()).add(f)
         self.emits = {}
         for kind, values in kinds.items():
@@ -166,6 +178,9 @@ def first_scores(model: Model, observed: list[np.ndarray]) -> np.ndarray:
     return now
 
 
+_KEY = ("conv_id", "tb", "at", "sub")
+
+
 def _runs(batches, keys: tuple[str, ...]):
     """Groups of consecutive rows with equal keys, as (key, list of row dicts)."""
     last, rows = None, []
@@ -181,15 +196,15 @@ def _runs(batches, keys: tuple[str, ...]):
         yield last, rows
 
 
-def _lines(rows: list[dict]) -> tuple[list[tuple[int, str]], list[tuple[str, ...]]]:
-    """((row, text of a line) in order, features) of a block."""
+def _lines(rows: list[dict], rows_begin: bool) -> tuple[list[tuple[int, str]], list[tuple[str, ...]]]:
+    """((row, text of a line) in order, features) of a block; ``rows_begin``: whether a line's place in its row is observed."""
     out, seen = [], []
     blank = False
     for i, row in enumerate(rows):
-        for line in (row["text"] or "").split("\n"):
+        for at, line in enumerate((row["text"] or "").split("\n")):
             features, rest = observe(line, blank)
             out.append((i, rest))
-            seen.append(features)
+            seen.append((*features, "r:1" if at == 0 else "r:0") if rows_begin else ("t" + features[0][1:], *features[1:]))
             blank = not line.strip()
     return out, seen
 
@@ -197,15 +212,15 @@ def _lines(rows: list[dict]) -> tuple[list[tuple[int, str]], list[tuple[str, ...
 def _count_events(batches):
     """Counts of starts, moves and emissions of a partition of labelled rows, sorted within their blocks."""
     counts: dict[tuple, int] = {}
-    for (_, block), rows in _runs(batches, ("conv_id", "block")):
+    for _, rows in _runs(batches, _KEY):
         last = None
         for row in rows:
-            lines, seen = _lines([row])
+            lines, seen = _lines([row], True)
             if row["role"] not in ROLES:
                 last = None
                 continue
             for s, features in zip(states_of(row["role"], len(lines)), seen):
-                key = ("move", last, s, "") if last is not None else ("start", s, s, "") if block == row["lowest"] else None
+                key = ("move", last, s, "") if last is not None else ("start", s, s, "") if row["first"] else None
                 if key:
                     counts[key] = counts.get(key, 0) + 1
                 for f in features:
@@ -216,18 +231,34 @@ def _count_events(batches):
     yield to_batch(dict(zip(kinds.names, map(list, zip(*rows)))) if rows else {c: [] for c in kinds.names}, kinds)
 
 
-def _blocked(transcripts: DataFrame) -> DataFrame:
-    """Rows dealt by (conv_id, block of turns), in order within each."""
-    rows = transcripts.withColumn("block", F.floor(F.coalesce("turn", F.lit(-BLOCK)) / BLOCK))
-    lowest = rows.groupBy("conv_id").agg(F.min("block").alias("lowest"))
-    rows = rows.withColumn("conv_id", F.col("conv_id")).join(lowest.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    return rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("turn").asc_nulls_first(), "text")
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY, F.col("turn").asc_nulls_first(), "h")
 
 
-def fit(transcripts: DataFrame) -> Model:
-    """Count the model from all rows of ``transcripts`` (conv_id, turn, text, role)."""
-    rows = _blocked(transcripts.select("conv_id", "turn", "text", "role"))
-    counts = rows.mapInArrow(_count_events, "kind string, s int, t int, f string, n long").groupBy("kind", "s", "t", "f").agg(F.sum("n").alias("n"))
+def _blocked(transcripts: DataFrame) -> DataFrame:
+    """Rows with the key of their block (_KEY), ``h`` (order within a turn) and ``first`` (of the transcript's first block), written.
+
+    A block is BLOCK turns; where these have more than CROWDED rows, a turn is blocks of its own, by ranges of h.
+    """
+    same = lambda *names: functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"its_{n}")) for n in names])
+    rows = transcripts.withColumn("tb", F.floor(F.coalesce("turn", F.lit(-BLOCK)) / BLOCK)).withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
+    rows = materialise(rows, "numbered")
+    crowds = rows.groupBy(F.col("conv_id").alias("its_conv_id"), F.col("tb").alias("its_tb")).agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
+    rows = rows.join(materialise(crowds, "crowds"), same("conv_id", "tb"), "left").drop("its_conv_id", "its_tb")
+    least = F.lit(-(2**63))
+    rows = rows.withColumn("at", F.when(F.col("n").isNull(), least).otherwise(F.coalesce("turn", least)))
+    share = (F.shiftright("h", 32) + F.lit(2**31)) / F.lit(2.0**32)
+    rows = rows.withColumn("sub", F.when(F.col("n").isNull(), 0).otherwise(F.floor(share * F.ceil(F.col("n") / CROWDED)))).drop("n")
+    rows = materialise(rows.withColumn("sub", F.col("sub").cast("long")), "rows")
+    lowest = rows.groupBy(F.col("conv_id").alias("its_conv_id")).agg(F.min(F.struct("tb", "at", "sub")).alias("lowest"))
+    rows = rows.join(materialise(lowest, "lowest"), same("conv_id")).withColumn("first", F.struct("tb", "at", "sub") == F.col("lowest"))
+    return materialise(rows.drop("its_conv_id", "lowest"), "blocks")
+
+
+def fit(conversations: DataFrame) -> Model:
+    """Count the model from all rows of ``conversations`` (conv_id, turn, text, role)."""
+    rows = _blocked(conversations.select("conv_id", "turn", "text", "role"))
+    counts = _in_order(rows).mapInArrow(_count_events, "kind string, s int, t int, f string, n long").groupBy("kind", "s", "t", "f").agg(F.sum("n").alias("n"))
     start, moves, emits = {}, {}, {}
     for r in counts.collect():  # at most N*N moves, N starts and N times the features
         if r.kind == "start":
@@ -236,70 +267,82 @@ def fit(transcripts: DataFrame) -> Model:
             moves[r.s, r.t] = r.n
         else:
             emits[r.s, r.f] = r.n
+    discard(rows)
     return Model(start, moves, emits)
 
 
 _TURN = "conv_id long, turn long, part int, role string, n_lines int, opens boolean, text string"
 
 
-def parse(transcripts: DataFrame, model: Model) -> DataFrame:
+def _gathered(kinds: pa.Schema, rows, size: int = 5000):
+    """Record batches of at most about ``size`` of the tuples ``rows``."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield to_batch(dict(zip(kinds.names, zip(*held))), kinds)
+            held = []
+    yield to_batch(dict(zip(kinds.names, zip(*held))) if held else {n: [] for n in kinds.names}, kinds)
+
+
+_KEY_ARROW = [(k, pa.int64()) for k in _KEY]
+_KEY_SQL = ", ".join(f"{k} long" for k in _KEY)
+
+
+def parse(transcripts: DataFrame, model: Model, rows_begin: bool = True) -> DataFrame:
     """conv_id, turn, part, role, n_lines, opens, text of the turns found in ``transcripts`` (conv_id, turn, text).
 
     ``turn`` and ``part``: the row where the turn's lines lie, and their number within it; ``opens`` is false
-    where the lines go on with the turn of the row before.
+    where the lines go on with the turn of the row before. ``rows_begin``: rows tell where turns are likely to
+    begin, as in a chat log; without it rows are mere pieces of a text, and a transcript may be a single one.
     """
     small_batches(transcripts.sparkSession)
     held = transcripts.sparkSession.sparkContext.broadcast(model)
-    rows = materialise(_blocked(transcripts.select("conv_id", "turn", "text")), "blocks")
-    again = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("turn").asc_nulls_first(), "text")
+    rows = _blocked(transcripts.select("conv_id", "turn", "text"))
 
     def matrices(batches):
-        kinds = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("scores", pa.list_(pa.int64()))])
-        out = {c: [] for c in kinds.names}
-        for (conv, block), own in _runs(batches, ("conv_id", "block")):
-            observed = [held.value.line(f) for f in _lines(own)[1]]
-            scores = first_scores(held.value, observed) if block == own[0]["lowest"] else transfer(held.value, observed).reshape(-1)
-            for k, v in zip(out, (conv, block, scores.tolist())):
-                out[k].append(v)
-        yield to_batch(out, kinds)
+        def found():
+            for key, own in _runs(batches, _KEY):
+                observed = [held.value.line(f) for f in _lines(own, rows_begin)[1]]
+                yield (*key, first_scores(held.value, observed) if own[0]["first"] else transfer(held.value, observed).reshape(-1))
+
+        yield from _gathered(pa.schema([*_KEY_ARROW, ("scores", pa.list_(pa.int64()))]), found())
 
     def chained(batches):
-        kinds = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32())])
-        out = {c: [] for c in kinds.names}
-        for (conv,), own in _runs(batches, ("conv_id",)):
-            scores = [np.asarray(r["scores"], dtype=np.int64) for r in own]
-            ends = chain(held.value, [(s, None) if i == 0 else (None, s.reshape(N, N)) for i, s in enumerate(scores)])
-            for r, (entry, last) in zip(own, ends):
-                for k, v in zip(out, (conv, r["block"], entry, last)):
-                    out[k].append(v)
-        yield to_batch(out, kinds)
+        def found():
+            for _, own in _runs(batches, ("conv_id",)):
+                scores = [np.asarray(r["scores"], dtype=np.int64) for r in own]
+                ends = chain(held.value, [(s, None) if i == 0 else (None, s.reshape(N, N)) for i, s in enumerate(scores)])
+                for r, (entry, last) in zip(own, ends):
+                    yield (*(r[k] for k in _KEY), entry, last)
+
+        yield from _gathered(pa.schema([*_KEY_ARROW, ("entry", pa.int32()), ("exit", pa.int32())]), found())
 
     def decode(batches):
+        def found():
+            for (conv, *_), own in _runs(batches, _KEY):
+                lines, seen = _lines(own, rows_begin)
+                states = viterbi(held.value, [held.value.line(f) for f in seen], own[0]["entry"], own[0]["exit"])
+                turns: list[list] = []
+                for (row, text), s in zip(lines, states):
+                    if turns and turns[-1][0] == row and s % 2:
+                        turns[-1][3].append(text)
+                    else:
+                        part = turns[-1][1] + 1 if turns and turns[-1][0] == row else 0
+                        turns.append([row, part, s, [text]])
+                for row, part, s, texts in turns:
+                    yield conv, own[row]["turn"], part, ROLES[s // 2], len(texts), s % 2 == 0, "\n".join(texts).strip()
+
         kinds = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("n_lines", pa.int32()), ("opens", pa.bool_()), ("text", pa.string())])
-        out = {c: [] for c in kinds.names}
-        for (conv, _), own in _runs(batches, ("conv_id", "block")):
-            lines, seen = _lines(own)
-            states = viterbi(held.value, [held.value.line(f) for f in seen], own[0]["entry"], own[0]["exit"])
-            turns: list[list] = []
-            for (row, text), s in zip(lines, states):
-                if turns and turns[-1][0] == row and s % 2:
-                    turns[-1][3].append(text)
-                else:
-                    part = turns[-1][1] + 1 if turns and turns[-1][0] == row else 0
-                    turns.append([row, part, s, [text]])
-            for row, part, s, texts in turns:
-                for k, v in zip(out, (conv, own[row]["turn"], part, ROLES[s // 2], len(texts), s % 2 == 0, "\n".join(texts).strip())):
-                    out[k].append(v)
-            if len(out["turn"]) > 5000:
-                yield to_batch(out, kinds)
-                out = {c: [] for c in kinds.names}
-        yield to_batch(out, kinds)
-
-    found = materialise(rows.transform(again).mapInArrow(matrices, "conv_id long, block long, scores array<long>"), "matrices")
-    ends = found.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chained, "conv_id long, block long, entry int, exit int")
-    ends = ends.withColumnsRenamed({"conv_id": "c", "block": "b"})
-    joined = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
-    return joined.transform(again).mapInArrow(decode, _TURN)
+        yield from _gathered(kinds, found())
+
+    moved = materialise(_in_order(rows).mapInArrow(matrices, f"{_KEY_SQL}, scores array<long>"), "matrices")
+    ends = moved.repartition("conv_id").sortWithinPartitions(*_KEY).mapInArrow(chained, f"{_KEY_SQL}, entry int, exit int")
+    ends = materialise(ends.select(*(F.col(k).alias(f"its_{k}") for k in _KEY), "entry", "exit"), "ends")
+    discard(moved)
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"its_{k}")) for k in _KEY])
+    joined = rows.join(ends, same).drop(*(f"its_{k}" for k in _KEY))
+    return _in_order(joined).mapInArrow(decode, _TURN)
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -307,31 +350,18 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
 
 
-def as_transcripts(conversations: DataFrame) -> DataFrame:
-    """Raw transcripts of labelled conversations, for training and tests: by conversation, one of six ways to mark speakers.
+def held_out(conv_id: Column) -> Column:
+    """Conversations that are not learnt from: crc32 of conv_id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(conv_id.cast("string")) % 4 == 2, F.lit(False))
 
-    Ways: ``User:``, ``### Human:``, ``<|user|>``, ``Q:``, a dash that names nobody, no marker at all.
-    """
-    way = F.pmod(F.xxhash64(F.coalesce("conv_id", F.lit(0))), F.lit(6))
-    label = lambda s, u, a: F.when(F.col("role") == "system", s).when(F.col("role") == "user", u).otherwise(a)
-    marker = (
-        F.when(way == 0, label("System: ", "User: ", "Assistant: "))
-        .when(way == 1, label("### Instructions: ", "### Human: ", "### AI: "))
-        .when(way == 2, label("<|system|> ", "<|user|> ", "<|assistant|> "))
-        .when(way == 3, label("Context: ", "Q: ", "A: "))
-        .when(way == 4, "- ")
-        .otherwise("")
-    )
-    text = F.concat(marker, F.coalesce("text", F.lit("")))
-    return conversations.select("conv_id", "turn", F.when(F.col("role").isin(*ROLES), text).otherwise(F.coalesce("text", F.lit(""))).alias("text"), "role")
-
-
-def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, part, role, n_lines, opens, text, rendered: roles recovered from transcripts made of ``conversations``.
-
-    The role column is used to make and to learn from the transcripts, never to parse them.
+
+def format_chats(conversations: DataFrame, model: Model | None = None) -> DataFrame:
+    """conv_id, turn, part, role, n_lines, opens, text, rendered, held_out: roles recovered from the texts of ``conversations`` as they are.
+
+    Without a ``model`` one is counted from the conversations that are not held out; the roles of those that
+    are held out are never read.
     """
     convs = conversations.selectExpr("cast(conv_id as long) as conv_id", "cast(turn as long) as turn", "cast(role as string) as role", "cast(text as string) as text")
-    raw = materialise(as_transcripts(convs), "transcripts")
-    turns = parse(raw, fit(raw))
-    return turns.withColumn("rendered", rendered(F.col("role"), F.col("text")))
+    out = held_out(F.col("conv_id"))
+    turns = parse(convs, model or fit(convs.filter(~out)))
+    return turns.withColumn("rendered", rendered(F.col("role"), F.col("text"))).withColumn("held_out", out)

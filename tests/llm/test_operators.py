@@ -217,15 +217,46 @@ def test_long_rule_lists_join(spark):
     assert [r[:2] for r in a] == [r[:2] for r in b] == [(1, "example.com/en/"), (2, None)]
 
 
-def test_transcript_roles(spark):
-    convs = spark.read.parquet(f"{SF}/conversations.parquet")
+def test_transcript_roles_of_held_out_conversations(spark):
+    convs = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     got = transcripts.format_chats(convs)
-    first = got.filter("part = 0").select("conv_id", "turn", "role", "text")
-    way = F.pmod(F.xxhash64("conv_id"), F.lit(6))
-    joined = first.join(convs.select("conv_id", "turn", F.col("role").alias("truth"), F.col("text").alias("whole")), ["conv_id", "turn"]).withColumn("way", way)
-    marked = joined.filter("way < 4").agg(F.avg((F.col("role") == F.col("truth")).cast("int")).alias("a")).first().a
-    rest = joined.filter("way >= 4").agg(F.avg((F.col("role") == F.col("truth")).cast("int")).alias("a")).first().a
-    assert marked > 0.99 and rest > 0.7
+    truth = convs.select("conv_id", "turn", F.col("role").alias("truth"))
+    joined = got.filter("held_out and part = 0").join(truth, ["conv_id", "turn"])
+    right = joined.agg(F.avg((F.col("role") == F.col("truth")).cast("int")).alias("a"), F.count("*").alias("n")).first()
+    assert right.n == convs.filter(transcripts.held_out(F.col("conv_id"))).count() and right.a > 0.85
+    shuffled = convs.withColumn("role", F.when(transcripts.held_out(F.col("conv_id")), "user").otherwise(F.col("role")))
+    assert sorted(map(str, transcripts.format_chats(shuffled).filter("held_out").collect())) == sorted(map(str, got.filter("held_out").collect()))
+
+
+def test_speaker_markers_in_a_single_text(spark):
+    """Held-out conversations as one text each, with five ways to mark speakers that the model was not counted from."""
+    convs = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    out = transcripts.held_out(F.col("conv_id"))
+    model = transcripts.fit(convs.filter(~out))
+    ways = [("System: ", "User: ", "Assistant: "), ("### Instructions: ", "### Human: ", "### AI: "), ("<|system|> ", "<|user|> ", "<|assistant|> "), ("Context: ", "Q: ", "A: "), ("[System] ", "[Human]: ", "**Assistant**: ")]
+    rows, want = [], {}
+    by = defaultdict(list)
+    for r in convs.filter(out).orderBy("conv_id", "turn").collect():
+        by[r.conv_id].append(r)
+    for i, own in by.items():
+        marks = dict(zip(transcripts.ROLES, ways[i % 5]))
+        rows.append((i, 0, "\n".join(marks[r.role] + (r.text or "") for r in own)))
+        want[i] = [r.role for r in own]
+    found = defaultdict(list)
+    for r in transcripts.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string"), model, rows_begin=False).collect():
+        found[r.conv_id].append((r.part, r.role))
+    exact = sum([role for _, role in sorted(found[i])] == want[i] for i in want)
+    assert len(want) > 20 and exact >= 0.95 * len(want)
+
+
+def test_crowded_turns_are_cut_up(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "CROWDED", 8)
+    rows = [(1, None, "user", f"question {i}?") for i in range(60)] + [(1, 3, "assistant", f"a\nlonger answer {i}") for i in range(50)] + [(1, i, "user", "x") for i in range(5, 150)] + [(None, 2, "user", "y")] * 40
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    blocks = transcripts._blocked(frame).groupBy(*transcripts._KEY).count()
+    assert blocks.agg(F.max("count")).first()[0] <= transcripts.BLOCK and blocks.count() > 15
+    out = transcripts.format_chats(frame)
+    assert Counter((r.conv_id, r.turn) for r in out.collect() if r.part == 0) == Counter((r[0], r[1]) for r in rows)
 
 
 def test_blocks_decode_as_a_whole():
