@@ -5,9 +5,10 @@ one for each order, whose rows hold the interpolated log-probabilities of all la
 language of lowest cross-entropy per character; calibration on labelled texts that the counts left out sets
 the score's temperature and, for each language, the entropy beyond which a text is rejected.
 
-Bounded sample: the models are fitted on at most about ``per_language`` documents for each of at most
-``max_languages`` languages (the most frequent), picked by a hash of doc_id, and on the first ``sample_chars``
-characters of each. Scoring reads whole texts.
+Bounded sample: the models are fitted on at most about ``per_language`` documents for each language that has a
+label, picked by a hash of doc_id, and on ``sample_chars`` characters of each, in PIECES pieces at hashed places
+of the whole text. All languages together give at most about ``max_chars`` characters: many languages get fewer
+documents each, and none is left out. Scoring reads whole texts.
 
 Text is lower-cased; every run of non-letters is one space. Defined cases: null texts, empty texts and texts
 without a letter are ``und`` with score 0 and rejected; without any labelled document everything is ``und``;
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from kbspark.llm.common import mix64, own_columns, pick, slices, small_batches, to_batch
 
-ORDER, PER_LANGUAGE, MAX_LANGUAGES, SAMPLE_CHARS = 4, 800, 200, 3000
+ORDER, PER_LANGUAGE, SAMPLE_CHARS, MAX_CHARS, PIECES = 4, 800, 3000, 40_000_000, 3
 #: A text is rejected if it lies this many times further from its language than the 99.9 % point of calibration.
 SLACK = 2.0
 _P = np.uint64(0x100000001B3)
@@ -207,17 +208,24 @@ def train_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(True))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+def sampled(text: Column, seed: Column, chars: int) -> Column:
+    """``chars`` characters of a text, in PIECES pieces at hashed places, joined by line feeds; a shorter text whole."""
+    size = chars // PIECES
+    at = [F.pmod(F.xxhash64(seed, F.lit(i)), F.length(text) - size + 1).cast("int") + 1 for i in range(PIECES)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *(F.substring(text, a, F.lit(size)) for a in at)))
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS, max_chars: int = MAX_CHARS) -> Model | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, lang); a fifth of it calibrates."""
     rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(r"lang is not null and text rlike '\\p{L}'")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
+    per_language = min(per_language, max(2, max_chars // (sample_chars * len(sizes))))
+    shares = {lang: min(1.0, per_language / n) for lang, n in sizes.items()}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.lit(1_000_000)) / 1e6
-    sample = rows.filter(draw < share).select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect()
+    sample = rows.filter(draw < share).select("lang", "doc_id", sampled(F.col("text"), F.coalesce("doc_id", F.lit(0)), sample_chars).alias("text")).collect()
     sample = sorted((r.lang, r.doc_id or 0, r.text) for r in sample)
     texts: dict[str, list[str]] = {}
     kept: list[tuple[str, str]] = []

@@ -325,6 +325,44 @@ def test_kneser_ney_sums_to_one():
         assert (total < 1.0001).all() and (total > 0.9).all()
 
 
+def plain_entropies(texts, probe):
+    """Interpolated Kneser-Ney from dictionaries: nats a character of ``probe``, given texts of one language."""
+    order = langid.ORDER
+    norm = lambda t: " " * (order - 1) + re.sub(r"[^\W\d_]|([\W\d_]+)", lambda m: " " if m[1] else m[0], t.lower()).lstrip(" ")
+    lines = [norm(t) for t in texts]
+    counts = {order: Counter(x[i - order + 1 : i + 1] for x in lines for i in range(order - 1, len(x)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    alphabet = len(counts[1]) + 1
+    by_head, discount = {}, {}
+    for k, c in counts.items():
+        by_head[k] = defaultdict(list)
+        for g, n in c.items():
+            by_head[k][g[:-1]].append(n)
+        once, twice = (sum(v == i for v in c.values()) for i in (1, 2))
+        discount[k] = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+
+    def p(g):
+        if not g:
+            return 1 / alphabet
+        k, own = len(g), by_head[len(g)].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        return max(counts[k][g] - discount[k], 0) / sum(own) + discount[k] * len(own) / sum(own) * p(g[1:])
+
+    x = norm(probe)
+    return [-np.log(p(x[i - order + 1 : i + 1])) for i in range(order - 1, len(x))]
+
+
+def test_kneser_ney_equals_dictionaries():
+    for texts in (["abab cab, bac!", "cabba abc 12 ca", "bb"], ["xyz yzx abz", "yxz", "x"], ["Ärger über ÄÖ. ärger"]):
+        m = langid.Model(["a"], {"a": texts})
+        for probe in ("abc cab", "xyz zab", "ab", "yx xa", "ärger über q", "?? qq a"):
+            n, h = m.entropies([probe])
+            want = plain_entropies(texts, probe)
+            assert n[0] == len(want) and abs(h[0, 0] - np.mean(want)) < 1e-5, (texts, probe)
+
+
 def bag(text):
     w = re.findall(r"\w+", (text or "").lower())
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
