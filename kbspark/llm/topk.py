@@ -7,7 +7,7 @@ not processed yet is bounded by Cauchy-Schwarz: |query| times the norm of each r
 on a shard stops only when that bound proves for every query which rows can still be among its k best;
 those rows are then scored exactly.
 
-Rows are dealt into shards by descending norm, and shards in turn to GROUPS groups. A task meets one block of
+Rows are dealt into shards by classes of descending norm, and shards in turn to GROUPS groups. A task meets one block of
 queries with one group, shard by shard, and keeps the k best so far: a query's k-th score is the bar for the
 next shard, and a shard whose largest norm cannot reach any query's bar is passed over, which proves its rows
 out. So every query meets every shard, and hands on at most GROUPS * k rows however many rows are indexed.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.common import materialise, small_batches
 
-SHARD_ROWS, QUERY_ROWS, GROUPS = 2048, 512, 8
+SHARD_ROWS, QUERY_ROWS, GROUPS, CLASSES = 2048, 512, 8, 16
 #: Bounds are tried each time the postings left are at most this share, halved at every try.
 FIRST_TRY = 0.4
 #: A shard is rescored once at most this share of (row, query) pairs is still possible.
@@ -95,10 +95,12 @@ def search_shard(ids, rows_of, codes, segments, rows, query_rows, queries, k: in
         if total - done <= share * total and (at + 1 == len(segments) or sizes[at + 1] != sizes[at]):
             # Proof: with what is unprocessed, no other row can reach the k-th best lower bound.
             slack = np.sqrt(np.maximum(left, 0))[:, None] * norm[None, :] * (1 + 1e-9) + stray + (left > 0)[:, None] * 1e-3
-            low = np.clip(np.where(own, -np.inf, acc.astype(np.float64) - slack), -np.inf, 2.0**63)
-            kth = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(b, -np.inf)
+            kth = bar
+            if n > k and not np.isfinite(bar).all():
+                low = np.clip(np.where(own, -np.inf, acc.astype(np.float64) - slack), -np.inf, 2.0**63)
+                kth = np.maximum(bar, np.partition(low, n - k, axis=0)[n - k])
             high = np.clip(acc.astype(np.float64) + slack, -(2.0**63), 2.0**63)
-            possible = (high * (1 + 1e-12 * np.sign(high)) >= np.maximum(kth, bar)[None, :]) & ~own
+            possible = (high * (1 + 1e-12 * np.sign(high)) >= kth[None, :]) & ~own
             if possible.sum() <= max(RESCORE * n * b, 2 * k * b):
                 break
             share = share / 2
@@ -130,26 +132,18 @@ _INDEX_ARROW = pa.schema(
 )
 
 
-def _pack(kind: int, size: int):
-    """Rows of a partition, in their order, in packs of ``size``; shards (kind 1) with their segments."""
+def _pack(kind: int):
+    """The rows of one part as one record; shards (kind 1) with their segments."""
 
-    def pack(ids, numbers, codes):
-        matrix = _matrix(codes)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        held = sorted(zip(*(table.column(c).to_pylist() for c in ("row", "vec_id", "codes"))), key=lambda x: x[0])
+        matrix = _matrix([c for _, _, c in held])
         norm = float(np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1)).max(initial=0))
         segments, rows = build_segments(matrix) if kind else (np.zeros((0, 4), dtype=np.int64), np.zeros(0, dtype=np.int32))
-        values = (kind, 0, norm, matrix.shape[1], np.asarray(ids, dtype=np.int64).tobytes(), np.asarray(numbers, dtype=np.int64).tobytes(), _narrow(matrix), segments.astype(np.int64).tobytes(), rows.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, _INDEX_ARROW)], schema=_INDEX_ARROW)
-
-    def run(batches):
-        held = [[], [], []]
-        for batch in batches:
-            for to, c in zip(held, ("vec_id", "row", "codes")):
-                to += batch.column(c).to_pylist()
-            while len(held[0]) >= size:
-                yield pack(*(h[:size] for h in held))
-                held = [h[size:] for h in held]
-        if held[0]:
-            yield pack(*held)
+        numbers, ids = (np.asarray([x[i] for x in held], dtype=np.int64).tobytes() for i in (0, 1))
+        values = (kind, table.column("part")[0].as_py(), norm, matrix.shape[1], ids, numbers, _narrow(matrix), segments.astype(np.int64).tobytes(), rows.tobytes())
+        return pa.Table.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, _INDEX_ARROW)], schema=_INDEX_ARROW)
 
     return run
 
@@ -208,17 +202,20 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
     small_batches(vectors.sparkSession)
     codes = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("codes"))
     codes = materialise(codes.filter("vec_id is not null and codes is not null").withColumn("row", F.monotonically_increasing_id()), "codes")
-    size = codes.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
-    shards, blocks = max(1, -(-size.n // SHARD_ROWS)), max(1, -(-size.q // QUERY_ROWS))
     square = F.aggregate("codes", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    index = codes.withColumn("square", square).repartitionByRange(shards, F.desc("square"), "row").sortWithinPartitions(F.desc("square"), "row")
-    index = index.select("vec_id", "row", "codes").mapInArrow(_pack(1, SHARD_ROWS), _INDEX)
-    index = materialise(index.withColumn("shard", F.monotonically_increasing_id()), "index")
-    asked = codes.filter(queries).repartitionByRange(blocks, "row").select("vec_id", "row", "codes").mapInArrow(_pack(0, QUERY_ROWS), _INDEX)
-    asked = materialise(asked.withColumn("part", F.monotonically_increasing_id()).select(F.col("part").alias("unit"), *(f.name for f in _INDEX_ARROW)), "blocks")
+    # Classes of norm, of about equally many rows; a class is dealt by hash into shards of about SHARD_ROWS rows.
+    edges = codes.agg(F.percentile_approx(square, [i / CLASSES for i in range(CLASSES - 1, 0, -1)], F.lit(10_000)).alias("e")).first().e or []
+    own = sum((F.when(square < e, 1).otherwise(0) for e in edges), F.lit(0))
+    sizes = {r.c: (r.n, r.q) for r in codes.groupBy(own.alias("c")).agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).collect()}
+    shards = [-(-sizes.get(c, (0, 0))[0] // SHARD_ROWS) for c in range(CLASSES)]
+    blocks = max(1, -(-sum(q for _, q in sizes.values()) // QUERY_ROWS))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), own + 1)
+    part = pick([sum(shards[:c]) for c in range(CLASSES)]) + F.pmod(F.xxhash64("row"), pick([max(1, s) for s in shards]))
+    index = materialise(codes.withColumn("part", part.cast("int")).groupBy("part").applyInArrow(_pack(1), _INDEX), "index")
+    asked = codes.filter(queries).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    asked = materialise(asked.groupBy("part").applyInArrow(_pack(0), _INDEX).withColumn("unit", F.col("part")), "blocks")
     # Units: every block of queries with every group of shards; the block itself goes first. One row a shard or block.
-    deal = F.pmod(F.row_number().over(Window.orderBy(F.desc("norm"), "shard")), F.lit(GROUPS))
-    groups = index.join(index.select("shard", "norm").withColumn("group", deal).select("shard", "group"), "shard")
+    groups = index.withColumn("group", F.pmod("part", F.lit(GROUPS)))
     every = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))
     columns = [f.name for f in _INDEX_ARROW]
     names = asked.select("unit").withColumn("group", every)
