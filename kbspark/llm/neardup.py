@@ -40,7 +40,7 @@ M = BANDS * ROWS
 #: Hash cells by which shared items are counted to bound similarities.
 CELLS = 64
 #: About how many members of a bucket, or partners of a centre, one task takes at a time.
-PART = 512
+PART, SALTS = 512, 16
 _Q, _GOLD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -266,7 +266,7 @@ class _Search:
         sizes = sizes.withColumn("common", F.aggregate("cells", F.lit(0), lambda a, x: a + x))
         left = self._keep(left.join(sizes, "rep"), "sizes")
         least = self._keep(left.groupBy("band", "key").agg(F.min("n").alias("least")), "least")
-        left = left.join(least, ["band", "key"]).filter(self.reachable("n", "least", F.col("common"))).drop("least", "common")
+        left = _with_bucket(left, least).filter(self.reachable("n", "least", F.col("common"))).drop("least", "common")
         left = self._mixed(left)
         return None if left.isEmpty() else left
 
@@ -282,7 +282,7 @@ class _Search:
         buckets = self._keep(buckets, "buckets")
         # 1e-6 on the side of one class more.
         level = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / self.threshold) * (1 - 1e-6)) if self.threshold < 1 else F.col("n")
-        held = self._keep(left.join(buckets, ["band", "key"]).withColumn("level", level.cast("long")), "levels")
+        held = self._keep(_with_bucket(left, buckets).withColumn("level", level.cast("long")), "levels")
         minor = held.filter("component <> major").withColumn("level", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])))
         minor = minor.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         p = minor.select("band", "key", "level", "part", F.col("component").alias("x"), F.col("rep").alias("rp"), F.col("n").alias("np"), F.col("cells").alias("cp")).alias("p")
@@ -296,14 +296,20 @@ class _Search:
 
     def _mixed(self, held: DataFrame) -> DataFrame:
         mixed = held.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y and size > 1")
-        # The buckets are a table of their own, so that the join has plain shuffles below it, which Spark splits where one is large.
         mixed = self._keep(mixed.select("band", "key"), "mixed")
-        return self._keep(held.join(mixed, ["band", "key"], "left_semi"), "open")
+        return self._keep(_with_bucket(held, mixed), "open")
 
     def reachable(self, n: str, other: str, common):
         return common / (F.col(n) + F.col(other) - common) >= self.threshold - 1e-9
 
 
+def _with_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``members`` with the columns of their bucket (one row each in ``buckets``): every bucket is met in SALTS parts, so a large one is not one task."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    parts = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(parts, ["band", "key", "salt"]).drop("salt")
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row of ``documents`` (doc_id, text); the class is its smallest doc_id."""
     small_batches(documents.sparkSession)
