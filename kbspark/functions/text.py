@@ -33,6 +33,11 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _pack(items: Column, fits, joined) -> Column:
     """Fold items into buffers: while ``fits(buffer, item)`` the item joins the buffer, else a new one begins."""
     zero = F.struct(_array().alias("done"), F.lit(None).cast("string").alias("buf"))
@@ -46,9 +51,9 @@ def _pack(items: Column, fits, joined) -> Column:
     return F.aggregate(items, zero, step, lambda acc: F.when(acc["buf"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], _array(acc["buf"]))))
 
 
-def pack_sentences(paragraph: Column, size: int) -> Column:
-    """Sentences packed while they fit in ``size``; a longer sentence stays whole."""
-    return _pack(sentences(paragraph), lambda b, s: F.length(b) + 1 + F.length(s) <= size, lambda b, s: F.concat(b, F.lit(" "), s))
+def pack_sentences(parts: Column, size: int) -> Column:
+    """Sentences (an array) packed while they fit in ``size``; a longer sentence stays whole."""
+    return _pack(parts, lambda b, s: F.length(b) + 1 + F.length(s) <= size, lambda b, s: F.concat(b, F.lit(" "), s))
 
 
 def merge_short(pieces: Column, least: int = MIN_CHUNK) -> Column:
@@ -60,15 +65,15 @@ def forward_overlap(pieces: Column, overlap: int) -> Column:
     """Each piece with the first characters of the next."""
     if overlap <= 0:
         return pieces
-    n = F.size(pieces)
-    return F.transform(pieces, lambda p, i: F.when(i + 1 < n, F.concat(p, F.lit(" "), F.substring(F.try_element_at(pieces, i + 2), 1, overlap))).otherwise(p))
+    joined = lambda p, q: F.when(q.isNull(), p).otherwise(F.concat(p, F.lit(" "), F.substring(q, 1, overlap)))
+    return _let(pieces, lambda ps: F.zip_with(ps, F.slice(ps, 2, F.size(ps) + 1), joined))
 
 
 def chunk_text(text: Column, size: int = 1200, overlap: int = 100, least: int = MIN_CHUNK) -> Column:
     """array<string>: paragraphs, cut by sentences or windows where too long, short ones merged, overlapped forward."""
 
     def cut(p: Column) -> Column:
-        parts = sentences(p)
-        return F.when(F.length(p) <= size, _array(p)).when(F.size(parts) > 1, pack_sentences(p, size)).otherwise(windows(p, size, overlap))
+        long = _let(sentences(p), lambda parts: F.when(F.size(parts) > 1, pack_sentences(parts, size)).otherwise(windows(p, size, overlap)))
+        return F.when(F.length(p) <= size, _array(p)).otherwise(long)
 
     return forward_overlap(merge_short(F.flatten(F.transform(paragraphs(F.coalesce(text, F.lit(""))), cut)), least), overlap)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import scalars as S
 from kbspark.functions.text import chunk_text
+from kbspark.operators.reasoning import saved
 
 
 def content_hash(text: Column) -> Column:
@@ -15,19 +16,21 @@ def content_hash(text: Column) -> Column:
 
 
 def mark_first(docs: DataFrame, key: str, order: str) -> DataFrame:
-    """Adds ``kept``: whether the row is the first of its key by ``order``.
+    """Adds ``kept``: whether the row is the first of its key by ``order``; of equal rows exactly one is kept.
 
-    The first of each key is found by a partial aggregate, so a key that holds many rows is not one task.
+    Rows are numbered and written first, so that equal rows stay apart. The first of each key is found by a
+    partial aggregate, so a key that holds many rows is not one task. A null key is a key like others.
     """
-    first = docs.groupBy(key).agg(F.min(order).alias("_first"))
-    return docs.join(first, key).withColumn("kept", F.col(order) == F.col("_first")).drop("_first")
+    docs = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "arrivals")
+    first = docs.groupBy(F.col(key).alias("_key")).agg(F.min_by("_row", F.struct(order, "_row")).alias("_first"))
+    return docs.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn("kept", F.col("_row") == F.col("_first")).drop("_first", "_row", "_key")
 
 
 def dedup_new(batch: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
     """``batch`` with ``kept``: not in ``existing`` and first of its key in the batch."""
-    known = existing.select(F.col(key)).distinct().withColumn("_known", F.lit(True))
-    out = mark_first(batch, key, order).join(known, key, "left")
-    return out.withColumn("kept", F.col("kept") & F.col("_known").isNull()).drop("_known")
+    known = existing.select(F.col(key).alias("_key")).distinct().withColumn("_known", F.lit(True))
+    out = mark_first(batch, key, order).join(known, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.withColumn("kept", F.col("kept") & F.col("_known").isNull()).drop("_known", "_key")
 
 
 def chunk_documents(docs: DataFrame, text: str = "text", size: int = 1200, overlap: int = 100) -> DataFrame:

@@ -109,8 +109,9 @@ def repeated_ids(rows: DataFrame, id_: str, place: str) -> DataFrame:
 
 
 def resolve_first(candidates: DataFrame, id_: str = "id", priority: str = "priority") -> DataFrame:
-    """Of the candidates of an id that of the smallest priority number."""
-    return candidates.groupBy(id_).agg(F.min_by(F.struct(*[c for c in candidates.columns if c != id_]), priority).alias("c")).select(id_, "c.*")
+    """Of the candidates of an id that of the smallest priority number; of equals that of the smallest other columns."""
+    rest = F.struct(*[c for c in candidates.columns if c != id_])
+    return candidates.groupBy(id_).agg(F.min(F.struct(F.col(priority).alias("p"), rest.alias("c"))).alias("m")).select(id_, "m.c.*")
 
 
 def missing_paths(index: DataFrame, files: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int = 3, src: str = "src", ds
     return seen
 
 
-def closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 100) -> DataFrame:
+def closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int | None = None) -> DataFrame:
     """(src, dst): all pairs joined by a path; cycles are fine."""
     from kbspark.operators.reasoning import Rules, close_properties
 

@@ -3,11 +3,13 @@
 Facts: types (x, c) and props (x, p, y). Rules: subclass, sufficient conditions, subproperty, inverse,
 symmetric, transitive, chain, domain, range. Each round joins only the newest facts with all facts, drops
 what is known, and is written to the shared folder, so lineage stays short and lost executors cost one
-round. Rounds are capped; reaching the cap raises, nothing is ever cut short.
+round. Facts are finite, so rounds end by themselves; a cap, where one is given, raises and cuts nothing short.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -44,6 +46,8 @@ def _own_folder(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kbspark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -86,25 +90,29 @@ def _union(parts: list[DataFrame], none: DataFrame) -> DataFrame:
     return none
 
 
-def _fixpoint(start: DataFrame, step, keys: list[str], rounds: int, name: str) -> DataFrame:
+def _fixpoint(start: DataFrame, step, keys: list[str], rounds: int | None, name: str) -> DataFrame:
     full = delta = saved(start.select(*keys).distinct(), name)
-    for _ in range(rounds):
+    for turn in itertools.count(1):
         fresh = step(delta, full).select(*keys).distinct().join(full, keys, "left_anti")
         delta = saved(fresh, name)
         if delta.isEmpty():
             return full
+        if turn == rounds:
+            raise RuntimeError(f"no fixpoint after {rounds} rounds")
         full = full.unionByName(delta)
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
+        if turn % 16 == 0:
+            # One table again instead of one for each round.
+            full = saved(full, name)
 
 
-def close_properties(props: DataFrame, rules: Rules, rounds: int = 100) -> DataFrame:
+def close_properties(props: DataFrame, rules: Rules, rounds: int | None = None) -> DataFrame:
     """All property facts that follow from ``props`` (x, p, y)."""
     if not (rules.subproperty or rules.inverse or rules.symmetric or rules.transitive or rules.chains):
         return props.select("x", "p", "y").distinct()
     return _fixpoint(props, lambda d, f: _new_props(d, f, rules), ["x", "p", "y"], rounds, "props")
 
 
-def close_types(types: DataFrame, props: DataFrame, rules: Rules, rounds: int = 100) -> DataFrame:
+def close_types(types: DataFrame, props: DataFrame, rules: Rules, rounds: int | None = None) -> DataFrame:
     """All type facts that follow from ``types`` (x, c) given the closed ``props``."""
     spark = types.sparkSession
     seeds = [types.select("x", "c")]
@@ -119,17 +127,27 @@ def close_types(types: DataFrame, props: DataFrame, rules: Rules, rounds: int =
         if rules.subclass:
             parts.append(delta.join(_mapped(spark, rules.subclass, "c", "d"), "c").select("x", F.col("d").alias("c")))
         for cls, is_a, wanted in rules.conditions:
-            found = full.filter(F.col("c") == is_a).select("x") if is_a else full.select("x").distinct()
-            for p, target in wanted:
-                holds = props.filter(F.col("p") == p).join(full.filter(F.col("c") == target).select(F.col("x").alias("y")), "y", "left_semi")
-                found = found.join(holds.select("x"), "x", "left_semi")
-            parts.append(found.select("x", F.lit(cls).alias("c")))
+            def holds(facts: DataFrame, p: str | None, target: str | None) -> DataFrame:
+                """(x) for which one of the condition's parts holds by ``facts``."""
+                of = facts.filter(F.col("c") == target) if target else facts
+                if p is None:
+                    return of.select("x").distinct()
+                return props.filter(F.col("p") == p).join(of.select(F.col("x").alias("y")).distinct(), "y", "left_semi").select("x").distinct()
+
+            atoms = [(None, is_a), *wanted]
+            for newest in range(len(atoms)):
+                # One part holds by a newest fact, the others by any.
+                found = holds(delta, *atoms[newest])
+                for at, atom in enumerate(atoms):
+                    if at != newest:
+                        found = found.join(holds(full, *atom), "x", "left_semi")
+                parts.append(found.select("x", F.lit(cls).alias("c")))
         return _union(parts, delta.filter("false"))
 
     return _fixpoint(_union(seeds, types.select("x", "c").filter("false")), step, ["x", "c"], rounds, "types")
 
 
-def reason(types: DataFrame, props: DataFrame, rules: Rules, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def reason(types: DataFrame, props: DataFrame, rules: Rules, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(gained types, gained props): what follows and was not asserted."""
     closed = close_properties(props, rules, rounds)
     all_types = close_types(types, closed, rules, rounds)
