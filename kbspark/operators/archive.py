@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +50,32 @@ def migrate(spark: SparkSession, scripts: dict[str, str], to: str) -> int:
     """Runs the statements of the versions up to ``to``, in order; returns how many."""
     n = 0
     for version in sorted(v for v in scripts if v <= to):
-        for statement in filter(None, map(str.strip, scripts[version].split(";"))):
+        for statement in statements(scripts[version]):
             spark.sql(statement)
             n += 1
     return n
 
 
+def statements(script: str) -> list[str]:
+    """The statements of a script: semicolons within quotes and comments end none."""
+    out, held = [], ""
+    for piece in re.findall(r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|.", script, re.S):
+        if piece == ";":
+            out.append(held.strip())
+            held = ""
+        elif not piece.startswith(("--", "/*")):
+            held += piece
+    return [s for s in [*out, held.strip()] if s]
+
+
+def init(spark: SparkSession, tables: dict[str, str]) -> list[str]:
+    """Makes the tables (name -> columns) that do not exist; returns their names."""
+    made = [t for t in tables if not spark.catalog.tableExists(t)]
+    for t in made:
+        spark.sql(f"CREATE TABLE {t} ({tables[t]}) USING parquet")
+    return made
+
+
 def fire_rules(rows: DataFrame, rules: list[tuple[str, str, str]], table: str) -> DataFrame:
     """Log rows (table_name, row_json, rule_id, action) of the (rule_id, SQL condition, action) rules that rows meet."""
     out = F.filter(F.array(*[F.when(F.coalesce(F.expr(cond), F.lit(False)), F.struct(F.lit(i).alias("rule_id"), F.lit(a).alias("action"))) for i, cond, a in rules]), lambda x: x.isNotNull())

@@ -36,16 +36,20 @@ def put_file(path: str, text: str) -> None:
 
 
 def write_notes(notes: DataFrame, root: str, apply: bool = False) -> int:
-    """Writes (path, text) below ``root`` from the tasks; without ``apply`` only counts."""
+    """Writes (path, text) below ``root`` from the tasks, in one pass; without ``apply`` only counts.
+
+    ``root`` is a folder that all tasks see: a knowledge base is a directory of files that people edit.
+    """
     if not apply:
         return notes.count()
 
-    def each(rows):
-        for r in rows:
-            put_file(os.path.join(root, r.path), r.text)
+    def each(batches):
+        for rows in batches:
+            for path, text in zip(rows["path"], rows["text"]):
+                put_file(os.path.join(root, path), text)
+            yield rows[["path"]]
 
-    notes.select("path", "text").foreachPartition(each)
-    return notes.count()
+    return notes.select("path", "text").mapInPandas(each, "path string").count()
 
 
 def frontmatter(fields: dict[str, Column]) -> Column:
