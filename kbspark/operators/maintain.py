@@ -61,8 +61,25 @@ def orphan_findings(entities: DataFrame, relations: DataFrame, files: DataFrame,
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:
-    blank = [F.coalesce(c, F.lit("")) for c in ("kind", "id", "path")]
-    return findings.orderBy(*blank)
+    """Findings by kind, id and path; what has none goes first."""
+    return findings.orderBy(*_place())
+
+
+def _place() -> list[Column]:
+    return [F.coalesce(c, F.lit("")) for c in ("kind", "id", "path")]
+
+
+def with_place(ordered: DataFrame) -> DataFrame:
+    """Ordered findings with ``at``, their place: counted within each range of the order, plus the rows of the ranges before."""
+    from kbspark.operators.reasoning import saved
+
+    held = saved(ordered.withColumn("_range", F.spark_partition_id()), "findings")
+    sizes = held.groupBy("_range").agg(F.count("*").alias("_n"))
+    # One row a range, at most as many as there are partitions.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*_place()))
+    out = held.withColumn("_k", rank).join(sizes.select("_range", before.alias("_before")), "_range")
+    return out.withColumn("at", (F.col("_before") + F.col("_k") - 1).cast("int")).drop("_range", "_k", "_before")
 
 
 def cluster_eval(entities: DataFrame, relations: DataFrame, instances: DataFrame) -> DataFrame:

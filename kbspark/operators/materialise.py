@@ -6,6 +6,7 @@ it in one plan. ``what_if`` does so twice and compares. Nothing is written here.
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass
 
@@ -201,20 +202,32 @@ def layered_violations(workflows: DataFrame) -> DataFrame:
     return flat.unionByName(layered)
 
 
-#: What makes a repository ready, with its weights.
-SETUP_FLAGS = dict(zip(("directories", "hub", "workflows", "registry", "evidence", "policies", "hooks"), governance.SETUP_WEIGHTS))
-
-
-def setup_score(required: DataFrame, files: DataFrame, hub: DataFrame, workflows: DataFrame, registry_rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """One row: the seven flags of a repository (required: path) and its weighted score."""
-    spark = required.sparkSession
-    some = lambda df: not df.isEmpty()
-    under = lambda part: some(files.filter(F.contains("path", F.lit(part))))
+#: What a repository must hold.
+SETUP_DIRS = ("ontology", "evidence", "record-archive", "agent-context", "harness", "docs")
+SETUP_HUB = ("version:", "locked:", "domains:", "scan:", "sync:", "structural_ssot: jsonl", "projection_target: md", "auto_apply_md_to_jsonl: false")
+SETUP_WORKFLOW = ("version:", "id:", "category:", "kind:", "mode:", "inputs:", "outputs:", "runtime:", "governance:")
+SETUP_MEMORY_DIRS, SETUP_MEMORY_FILES = ("agent-context/work-memory/worklog", "harness/trajectory"), ("agent-context/work-memory/index.md", "harness/run.sh")
+SETUP_FLAGS = dict(
+    zip(("five_layer_directories", "canonical_hub_valid", "workflow_templates_valid", "memory_harness_skeleton_valid", "docs_index_present", "skill_links_valid_or_skipped", "no_unresolved_conflicts"), governance.SETUP_WEIGHTS)
+)
+
+
+def setup_score(tree: DataFrame) -> DataFrame:
+    """One row: the seven flags of a repository's ``tree`` (path from its root, is_dir, text) and its weighted score. One aggregate."""
+    path, text = F.col("path"), F.coalesce("text", F.lit(""))
+    has = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    a_dir, a_file = (lambda p: has(F.col("is_dir") & (path == p))), (lambda p: has(~F.col("is_dir") & (path == p)))
+    holds = lambda words: F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    both = lambda parts: functools.reduce(lambda x, y: x & y, parts)
+    index, flow = "agent-context/workflow/index.yaml", path.startswith("agent-context/workflow/") & path.endswith(".yaml") & ~F.col("is_dir") & (F.substring_index(path, "/", -1) != "index.yaml")
+    asked = path.rlike("^harness/trajectory/run-[^/]*\\.jsonl$") & F.contains(text, F.lit("hitl_request")) & F.contains(text, F.lit("canonical_root_hub_locked_change"))
+    open_ = asked & ~F.contains(text, F.lit("apply_partial")) & ~F.contains(text, F.lit("hitl_ack"))
     flags = (
-        not some(governance.missing_directories(required, files)), not some(hub_violations(hub)), some(workflows) and not some(layered_violations(workflows)), some(registry_rows), some(seeds), under("policy"), under("hooks"),
+        both([a_dir(d) for d in SETUP_DIRS]), has((path == "canonical_root_hub.yaml") & holds(SETUP_HUB)),
+        has((path == index) & holds(("workflows:",))) & F.coalesce(F.bool_and(F.when(flow, holds(SETUP_WORKFLOW))), F.lit(True)),
+        both([a_dir(d) for d in SETUP_MEMORY_DIRS] + [a_file(f) for f in SETUP_MEMORY_FILES]), a_file("docs/index.md"), a_dir(".claude/skills"), ~has(open_),
     )
-    row = spark.createDataFrame([flags], ", ".join(f"{k} boolean" for k in SETUP_FLAGS))
-    return governance.weighted_score(row, SETUP_FLAGS)
+    return governance.weighted_score(tree.agg(*[f.alias(k) for k, f in zip(SETUP_FLAGS, flags)]), SETUP_FLAGS)
 
 
 def intervention(events: DataFrame, period: Column) -> DataFrame:

@@ -35,11 +35,15 @@ class Rules:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _own_folder(spark: SparkSession) -> str:

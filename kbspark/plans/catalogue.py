@@ -186,17 +186,6 @@ def graph_hub_nodes(spark, sf_dir):
     return lifting.hub_nodes(nodes, edges, 2.0, "node")
 
 
-@query(
-    "graph_candidate_edges",
-    """select l_orderkey, l_linenumber, l_partkey as src, l_suppkey as dst from lineitem
-       where l_partkey in (select p_partkey from part where p_size > 25) and l_suppkey in (select s_suppkey from supplier where s_acctbal > 0)""",
-)
-def graph_candidate_edges(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    keep = edges.join(table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("src")), "src", "left_semi")
-    return keep.join(table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("dst")), "dst", "left_semi").select("l_orderkey", "l_linenumber", "src", "dst")
-
-
 _LABELS = ["HttpAdapter", "JobRunner", "appconfig", "VectorDB", "EventStore", "MainCLI", "ChatAgent", "ClickEvent", "UserSession", "AuthPlugin", "StateManager", "Parser", "store_event"]
 
 
@@ -794,12 +783,6 @@ def archive_upsert(spark, sf_dir):
     return archive.upsert(now, merged, "user_id", "event_id")
 
 
-@query("archive_sql", "select o_orderpriority, o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1, 2")
-def archive_sql(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("snap_orders")
-    return spark.sql("select o_orderpriority, o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from snap_orders group by 1, 2")
-
-
 @query(
     "eca_rules",
     """select rule_id, count(*) as n from (select 'big' as rule_id from events where value > 15 union all select 'err' from events where event_type = 'error') group by 1""",
@@ -807,3 +790,6 @@ def archive_sql(spark, sf_dir):
 def eca_rules(spark, sf_dir):
     rules = [("big", "value > 15", "notify"), ("err", "event_type = 'error'", "log")]
     return archive.fire_rules(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), rules, "events").groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+from kbspark.plans import knowledge as _knowledge  # noqa: E402, F401 - registers its queries
