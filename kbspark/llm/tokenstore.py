@@ -23,18 +23,19 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import mix64, new_path, pick, slices, small_batches, to_batch
+from kbspark.llm.common import mix64, new_path, pick, slices, small_batches, span_hashes, to_batch
 
 #: Chunk sizes in ids; a cut falls where the low bits of the rolling hash of WINDOW ids are all zero.
 MIN_CHUNK, MAX_CHUNK, MASK, WINDOW = 256, 4096, np.uint64(511), 16
 _MULTIPLIER = 0x9E3779B97F4A7C15
-#: Words that a worker remembers.
-MEMO = 1_000_000
+#: Words that a worker remembers, and how many new ones it gathers before it sorts them in.
+MEMO, MERGE = 2_000_000, 100_000
 
 _ROWS = T.StructType(
     [
@@ -62,15 +63,58 @@ _ARROW_ROWS = pa.schema(
 )
 
 
+class WordTable:
+    """Words by hash: sorted hashes, where each word's ids lie, and where its characters lie to compare with."""
+
+    def __init__(self):
+        self.columns = [np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int32, np.int64, np.int32)]
+
+    def __len__(self):
+        return len(self.columns[0])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first, size, at, length) of each of the sorted ``keys``; first is -1 where there is none."""
+        if not len(self):
+            return np.full(len(keys), -1), *(np.zeros(len(keys), dtype=np.int64) for _ in range(3))
+        at = np.minimum(np.searchsorted(self.columns[0], keys), len(self) - 1)
+        hit = self.columns[0][at] == keys
+        return np.where(hit, self.columns[1][at], -1), *(np.where(hit, c[at], 0).astype(np.int64) for c in self.columns[2:])
+
+    def add(self, *columns: np.ndarray) -> None:
+        """More words, sorted by key."""
+        at = np.searchsorted(self.columns[0], columns[0])
+        self.columns = [np.insert(old, at, new) for old, new in zip(self.columns, columns)]
+
+
+def _flat(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(start - ends + n, n)
+
+
+class _Pool:
+    """A growing array."""
+
+    def __init__(self):
+        self.values, self.n = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def put(self, fresh: np.ndarray) -> None:
+        """Write behind the end, without moving the end."""
+        if self.n + len(fresh) > len(self.values):
+            more = max(len(self.values) // 2, len(fresh))
+            self.values = np.concatenate([self.values, np.zeros(more, dtype=np.uint32)])
+        self.values[self.n : self.n + len(fresh)] = fresh
+
+
 class WordEncoder:
     """Encodes texts with a `tokenizers` file, remembering the ids of words seen before.
 
     A byte-level pre-tokenizer never joins a character with a following space or line feed, and a single
     space or line feed between other characters always starts a new piece, so a text may be cut there and
     the parts encoded one by one with equal results. Texts with runs of white space, or with white space of
-    other kinds, are encoded whole. A mark after a word's last letter is a piece of its own, so the word is
-    looked up without it. Words that are new are encoded together, one a line, and their ids cut at the line
-    feed's id; up to MEMO words are remembered, by themselves, so no two can be taken for each other.
+    other kinds, are encoded whole. Words that are new are encoded together, one a line, and their ids cut
+    at the line feed's id. Words are looked up by hash, a batch of texts at a time, and compared character by
+    character with the word remembered: where different words share a hash, the batch is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -84,76 +128,92 @@ class WordEncoder:
         alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" a", " b")]
         #: The id that cuts lines, if the vocabulary has one.
         self.feed = feed[0] if len(feed) == 1 and lines == [*alone[0], *feed, *alone[1]] else None
-        self.memo: dict[str, bytes] = {}
-        #: Ids of the marks that begin a piece of their own after a letter.
-        self.marks = {m: b for m in ",.;:!?" if self._bytes([" a" + m, " a"])[0] == self._bytes([" a"])[0] + (b := self._bytes([m])[0])}
+        self.main, self.recent = WordTable(), WordTable()
+        self.ids, self.words = _Pool(), _Pool()
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [array("I", x.ids).tobytes() for x in batch(texts, add_special_tokens=False)]
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces: each stands for itself after a space, but those that begin with a line feed or a mark (the start of a text)."""
+        """Ids of pieces; a mark in front of a piece stands for the start of a text."""
         out: list[bytes] = [b""] * len(words)
-        spaced = [i for i, w in enumerate(words) if w[0] not in _ALONE] if self.feed is not None else []
-        for at in range(0, len(spaced), 1_000):
-            own = spaced[at : at + 1_000]
-            raw = self._bytes([" " + "\n ".join([words[i] for i in own])])[0]
+        spaced = [i for i, w in enumerate(words) if w[0] == " "] if self.feed is not None else []
+        for at in range(0, len(spaced), 5_000):
+            own = spaced[at : at + 5_000]
+            raw = self._bytes(["\n".join([words[i] for i in own])])[0]
             ends = [*(4 * np.flatnonzero(np.frombuffer(raw, dtype=np.uint32) == self.feed)).tolist(), len(raw)]
             if len(ends) != len(own):
                 raise ValueError("the tokenizer does not keep lines apart")
             for i, a, b in zip(own, [0, *[e + 4 for e in ends]], ends):
                 out[i] = raw[a:b]
-        rest = [i for i, w in enumerate(words) if w[0] in _ALONE or self.feed is None]
-        pieces = [w[1:] if w[0] == _MARK else w if w[0] == "\n" else " " + w for w in (words[i] for i in rest)]
-        for i, raw in zip(rest, self._bytes(pieces)):
+        rest = [i for i, w in enumerate(words) if w[0] != " " or self.feed is None]
+        for i, raw in zip(rest, self._bytes([words[i].removeprefix(_MARK) for i in rest])):
             out[i] = raw
         return out
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces, of those seen before from memory. Distinct pieces are looked up once a batch."""
-        memo = self.memo
-        distinct = list(dict.fromkeys(words))
-        ids = list(map(memo.get, distinct))
-        here = dict(zip(distinct, ids))
-        if None in ids:
-            lost = [w for w, x in zip(distinct, ids) if x is None]
-            ended = [w for w in lost if w[-1] in self.marks and "\u0250" > w[-2:-1] > "@" and w[-2].isalpha()]
-            stems = [w[:-1] for w in ended]
-            plain = set(ended)
-            new = [w for w in lost if w not in plain]
-            new = list(dict.fromkeys(new + [w for w in stems if w not in memo]))
-            learnt = dict(zip(new, self._ids_of(new)))
-            marks = self.marks
-            joined = {w: (learnt[stem] if stem in learnt else memo[stem]) + marks[w[-1]] for w, stem in zip(ended, stems)}
-            if len(memo) + len(learnt) + len(joined) <= MEMO:
-                memo |= learnt
-                memo |= joined
-            here |= learnt
-            here |= joined
-        return list(map(here.__getitem__, words))
+    def _learn(self, keys: np.ndarray, words: list[str], codes: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words (sorted by key; ``codes``: their characters, one word after the other)."""
+        found = self._ids_of(words)
+        size = np.asarray([len(x) // 4 for x in found], dtype=np.int64)
+        fresh = np.frombuffer(b"".join(found), dtype=np.uint32)
+        self.ids.put(fresh)
+        first = self.ids.n + np.cumsum(size) - size
+        if len(self.main) >= MEMO:
+            # Full: these ids are of use until the next words overwrite them.
+            return first, size
+        self.words.put(codes)
+        self.recent.add(keys, first, size, self.words.n + np.cumsum(length) - length, length)
+        self.ids.n += len(fresh)
+        self.words.n += len(codes)
+        if len(self.recent) > MERGE:
+            self.main.add(*self.recent.columns)
+            self.recent = WordTable()
+        return first, size
+
+    def _encode_flat(self, flat: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of all texts, number of ids of each); a mark stands before each text. None if two words share a hash."""
+        codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        begins = codes == ord(_MARK)
+        start = np.flatnonzero(begins | (codes == 32) | (codes == 10))
+        end = np.append(start[1:], len(codes))
+        n = end - start
+        inverse, keys = pd.factorize(span_hashes(codes, start, end), sort=True)
+        pick = np.empty(len(keys), dtype=np.int64)
+        pick[inverse[::-1]] = np.arange(len(inverse))[::-1]
+        if not (n[pick][inverse] == n).all() or not (codes[_flat(start[pick][inverse], n)] == codes).all():
+            return None
+        first, size, at, length = self.main.find(keys)
+        more = np.flatnonzero(first < 0)
+        first[more], size[more], at[more], length[more] = self.recent.find(keys[more])
+        known = np.flatnonzero(first >= 0)
+        where = pick[known]
+        if not (n[where] == length[known]).all() or not (self.words.values[_flat(at[known], length[known])] == codes[_flat(start[where], n[where])]).all():
+            return None
+        more = np.flatnonzero(first < 0)
+        if len(more):
+            where = pick[more]
+            words = [flat[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
+            first[more], size[more] = self._learn(keys[more], words, codes[_flat(start[where], n[where])], n[where])
+        first, size = first[inverse], size[inverse]
+        return self.ids.values[_flat(first, size)], np.add.reduceat(size, np.flatnonzero(begins[start]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         plain = [_plain(t) for t in texts]
+        flat = "".join([_MARK + t for t, p in zip(texts, plain) if p])
+        found = self._encode_flat(flat) if flat else None
+        if found is None:
+            return self._bytes([t or "" for t in texts])
         whole = iter(self._bytes([t or "" for t, p in zip(texts, plain) if not p]))
-        words, ends = [], []
-        for t, p in zip(texts, plain):
-            if p:
-                words += _cut(t).split(" ")
-                ends.append(len(words))
-        found = self._words(words)
-        cut = iter([b"".join(found[a:b]) for a, b in zip([0, *ends], ends)])
+        ids, counts = found
+        raw = ids.astype("<u4").tobytes()
+        ends = np.cumsum(4 * counts).tolist()
+        cut = iter([raw[a:b] for a, b in zip([0, *ends], ends)])
         return [next(cut) if p else next(whole) for p in plain]
 
 
 _MARK = "\x01"
-_ALONE = {_MARK, "\n"}
-
-
-def _cut(text: str) -> str:
-    """A text whose spaces stand before its words only: a line feed keeps its place in front of its word."""
-    return _MARK + text.replace("\n", " \n")
 
 
 def _plain(text: str | None) -> bool:
