@@ -7,9 +7,13 @@
     python -m kbspark.cli --root KB reason [--domain D] [--apply]
     python -m kbspark.cli --root KB maintain scan [--kind drift|orphan|eval|alignment|all] | report [--since DAY]
     python -m kbspark.cli --root KB archive query --sql SQL | export --table NAME=PATH... [--apply]
-    python -m kbspark.cli --root KB runs summary
+    python -m kbspark.cli --root KB runs summary | gate --run ID | ack --run ID --topic T --by WHO --outcome O [--notes N]
+    python -m kbspark.cli --root KB ontology materialise [--apply] | explain --instance ID | what-if --definition FILE
+    python -m kbspark.cli --root KB roles list | declare --name N --evidence REF... [--apply] | validate
+    python -m kbspark.cli --root KB workflows check | sync [--apply]
+    python -m kbspark.cli --root KB setup score
 
-Exit codes: 0 fine, 1 findings or errors (readiness: 1 warning, 2 failure), 2 wrong use.
+Exit codes: 0 fine, 1 findings or errors (readiness and setup: 1 warning, 2 failure), 2 wrong use; the gate: 100 a person is asked, 101 no measurement.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark import model
-from kbspark.operators import alignment, archive, compile as comp, evidence, governance, lifting, maintain, reasoning, registry
+from kbspark.functions.scalars import iri_local as _local
+from kbspark.operators import alignment, archive, compile as comp, dispatch, evidence, governance, lifting, maintain, materialise as mat, reasoning, registry
 from kbspark.sinks import notes
-from kbspark.sources import files, python_sources
+from kbspark.sources import files, python_sources, yaml_files
 
 
 @dataclass
@@ -44,6 +49,12 @@ class Layout:
     concepts: str = "ontology/explain/concept"
     runs: str = "agent-context/memory/events"
     snapshots: str = "record-archive/snapshots"
+    definitions: str = "ontology/definition"
+    roles: str = "ontology/Rbox/roles"
+    declared: str = "ontology/Rbox/roles.jsonl"
+    instances: str = "ontology/Abox"
+    workflows: str = "agent-context/workflow"
+    audit: str = "agent-context/work-memory/auditlog"
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, getattr(self, name))
@@ -220,6 +231,119 @@ def run_summary(spark: SparkSession, at: Layout, a) -> int:
     return 0
 
 
+def gate(spark: SparkSession, at: Layout, a) -> int:
+    return dispatch.gate_run(spark, dispatch.RunLog(at.path("runs"), a.run_id))
+
+
+def ack(spark: SparkSession, at: Layout, a) -> int:
+    print(dispatch.acknowledge(at.path("audit"), dispatch.RunLog(at.path("runs"), a.run_id), a.topic, a.by, a.outcome, a.notes))
+    return 0
+
+
+def materialised(spark: SparkSession, at: Layout, definitions: dict | None = None) -> mat.Materialised:
+    """All that the ontology's YAML sources say; ``definitions`` replaces documents by domain."""
+    docs = yaml_files.read_yaml(spark, f"{at.path('definitions')}/*.yaml") | (definitions or {})
+    return mat.materialise(spark, docs, yaml_files.read_yaml(spark, f"{at.path('roles')}/*.yaml"), yaml_files.read_instances(spark, f"{at.path('instances')}/*.yaml"))
+
+
+def materialise(spark: SparkSession, at: Layout, a) -> int:
+    m = materialised(spark, at)
+    show(m.records.orderBy("x"))
+    if a.apply:
+        comp.turtle_lines(m.triples).write.mode("overwrite").text(f"{at.path('turtle')}/materialised.ttl")
+        notes.overwrite_jsonl(m.records, at.path("inferred"))
+    return 0
+
+
+def explain(spark: SparkSession, at: Layout, a) -> int:
+    own = records(spark, at, "instances").drop("dir_cluster", "seq")
+    named = (F.col("id") == a.instance) | F.col("id").endswith("/" + a.instance) | F.col("id").endswith("#" + a.instance)
+    rows = mat.explain(own, materialised(spark, at).records).filter(named).collect()
+    for r in rows:
+        print(mat.rendered_explanation(r))
+    return 0 if rows else 1
+
+
+def what_if(spark: SparkSession, at: Layout, a) -> int:
+    show(mat.what_if(materialised(spark, at), materialised(spark, at, yaml_files.read_yaml(spark, a.definition))).orderBy("x", "fact"))
+    return 0
+
+
+_ROLE = "name string, status string, aliases array<string>, source_refs array<string>"
+
+
+def roles_of(spark: SparkSession, at: Layout) -> DataFrame:
+    """Declared roles, and those of the role files."""
+    rows = [(str(n), "accepted", [str(x) for x in (s or {}).get("aliases") or []], []) for doc in yaml_files.read_yaml(spark, f"{at.path('roles')}/*.yaml").values() for n, s in (doc.get("slots") or {}).items()]
+    return spark.createDataFrame(rows, _ROLE).unionByName(files.read_jsonl(spark, at.path("declared"), _ROLE))
+
+
+def role_list(spark: SparkSession, at: Layout, a) -> int:
+    axioms = materialised(spark, at).triples.filter(F.col("p").isin(comp.RDFS + "subPropertyOf", comp.OWL + "inverseOf", comp.OWL + "propertyChainAxiom") | F.col("o").startswith(comp.OWL + "Transitive") | F.col("o").startswith(comp.OWL + "Symmetric"))
+    show(mat.list_roles(roles_of(spark, at), axioms.select(_local(F.col("s")).alias("role"))).orderBy("name"))
+    return 0
+
+
+def role_declare(spark: SparkSession, at: Layout, a) -> int:
+    new = spark.createDataFrame([(a.name, "draft", [], a.evidence or [])], _ROLE)
+    row = mat.declare_roles(roles_of(spark, at), new).first()
+    print(json.dumps({"name": a.name, "rejected": row.rejected, "applied": bool(a.apply and not row.rejected)}))
+    if a.apply and not row.rejected:
+        notes.append_jsonl(new, at.path("declared"))
+    return 1 if row.rejected else 0
+
+
+def role_validate(spark: SparkSession, at: Layout, a) -> int:
+    m = materialised(spark, at)
+    typed = m.triples.filter((F.col("p") == comp.RDF + "type") & (F.col("o") == comp.OWL + "NamedIndividual")).select(F.col("s").alias("iri"))
+    used = m.triples.join(typed.withColumnRenamed("iri", "s"), "s", "left_semi").filter((F.col("o_kind") == "iri") & (F.col("p") != comp.RDF + "type"))
+    found = mat.role_gate(used.select(F.col("s").alias("x"), _local(F.col("p")).alias("p"), F.col("o").alias("y")), roles_of(spark, at)).cache()
+    show(found)
+    return 0 if found.isEmpty() else 1
+
+
+def flows_of(spark: SparkSession, at: Layout) -> DataFrame:
+    return yaml_files.read_workflows(spark, f"{at.path('workflows')}/*/*.yaml")
+
+
+def flow_check(spark: SparkSession, at: Layout, a) -> int:
+    flows = flows_of(spark, at).cache()
+    top = at.path("workflows")
+    there = files.read_directory(spark, top, "*.yaml").select(F.expr(f"substring(path, {len(os.path.abspath(top)) + 2})").alias("path"))
+    index = yaml_files.read_index(spark, f"{top}/index.yaml")
+    found = mat.layered_violations(flows).select("id", "rule").unionByName(governance.repeated_ids(flows, "id", "file").select("id", F.lit("repeated_id").alias("rule")))
+    found = found.unionByName(governance.missing_paths(index, there).select("id", F.lit("missing_path").alias("rule"))).cache()
+    show(found.orderBy("id", "rule"))
+    return 0 if found.isEmpty() else 1
+
+
+def flow_sync(spark: SparkSession, at: Layout, a) -> int:
+    triples, path = mat.workflow_triples(flows_of(spark, at)), f"{at.path('workflows')}/workflows.ttl"
+    if a.apply:
+        comp.turtle_lines(triples).write.mode("overwrite").text(path)
+        return 0
+    written = python_sources.read_turtle(spark, f"{path}/part-*") if glob.glob(f"{path}/part-*") else triples.filter("false")
+    diff = mat.out_of_sync(triples, written).cache()
+    show(diff)
+    return 0 if diff.isEmpty() else 1
+
+
+def setup(spark: SparkSession, at: Layout, a) -> int:
+    # A repository's own skeleton: walked here, as many entries as a person keeps.
+    rows = []
+    for here, dirs, names in os.walk(at.root):
+        rel = os.path.relpath(here, at.root)
+        rows += [(os.path.normpath(os.path.join(rel, d)), True, None) for d in dirs]
+        for n in names:
+            path = os.path.normpath(os.path.join(rel, n))
+            keep = n.endswith(".yaml") or path.startswith("harness/trajectory/")
+            rows.append((path, False, open(os.path.join(here, n), encoding="utf-8", errors="replace").read() if keep else None))
+    row = mat.setup_score(spark.createDataFrame(rows, "path string, is_dir boolean, text string")).first()
+    status = model.score_status(row.score)
+    print(json.dumps(row.asDict() | {"status": status}))
+    return {"pass": 0, "warn": 1, "fail": 2}[status]
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kbspark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--root", default=".")
@@ -252,6 +376,18 @@ def parser() -> argparse.ArgumentParser:
     command("archive", "query", query, o("--sql", required=True))
     command("archive", "export", export, o("--table", nargs="+", required=True), apply)
     command("runs", "summary", run_summary)
+    run = o("--run", dest="run_id", required=True)
+    command("runs", "gate", gate, run)
+    command("runs", "ack", ack, run, o("--topic", required=True), o("--by", required=True), o("--outcome", required=True), o("--notes", default=""))
+    command("ontology", "materialise", materialise, apply)
+    command("ontology", "explain", explain, o("--instance", required=True))
+    command("ontology", "what-if", what_if, o("--definition", required=True))
+    command("roles", "list", role_list)
+    command("roles", "declare", role_declare, o("--name", required=True), o("--evidence", nargs="*"), apply)
+    command("roles", "validate", role_validate)
+    command("workflows", "check", flow_check)
+    command("workflows", "sync", flow_sync, apply)
+    command("setup", "score", setup)
     return p
 
 

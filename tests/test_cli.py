@@ -50,3 +50,32 @@ def test_archive(spark, tmp_path, capsys):
     done = json.loads(run(capsys, tmp_path, "archive", "export", "--table", f"t={tmp_path}/rows.jsonl", "--apply")[1])
     view = "snap_" + done[0].rpartition("/")[2].removesuffix(".parquet")
     assert json.loads(run(capsys, tmp_path, "archive", "query", "--sql", f"select sum(id) as s from {view}")[1]) == [{"s": 3}]
+
+
+def test_ontology_roles_and_workflows(spark, tmp_path, capsys):
+    from tests.test_knowledge import ABOX, DEFINITION, FLOW, ROLES
+
+    for name, text in (("ontology/definition/d.yaml", DEFINITION), ("ontology/Rbox/roles/d.yaml", ROLES), ("ontology/Abox/d.yaml", ABOX), ("agent-context/workflow/e/a.yaml", FLOW), ("agent-context/workflow/index.yaml", "workflows: [{id: flow.a, path: e/a.yaml}, {id: b, path: e/b.yaml}]\n")):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    code, out = run(capsys, tmp_path, "ontology", "materialise")
+    assert code == 0 and "https://ex.org/Fast" in out and not (tmp_path / "ontology/owl").exists()
+    assert run(capsys, tmp_path, "ontology", "materialise", "--apply")[0] == 0 and (tmp_path / "ontology/owl/materialised.ttl").exists()
+    code, out = run(capsys, tmp_path, "ontology", "explain", "--instance", "motor")
+    assert code == 0 and "part_of" in out and run(capsys, tmp_path, "ontology", "explain", "--instance", "none")[0] == 1
+    other = tmp_path / "cand" / "d.yaml"
+    other.parent.mkdir()
+    other.write_text(DEFINITION.replace("is_a: Part, slot", "is_a: Engine, slot"))
+    assert '"change":"removed"' in run(capsys, tmp_path, "ontology", "what-if", "--definition", other)[1]
+    assert [json.loads(x)["state"] for x in run(capsys, tmp_path, "roles", "list")[1].splitlines()] == ["declared", "axiomatised"]
+    assert run(capsys, tmp_path, "roles", "declare", "--name", "uses")[0] == 1
+    assert run(capsys, tmp_path, "roles", "declare", "--name", "uses", "--evidence", "e", "--apply")[0] == 0
+    assert run(capsys, tmp_path, "roles", "declare", "--name", "uses", "--evidence", "e")[0] == 1 and len(run(capsys, tmp_path, "roles", "list")[1].splitlines()) == 3
+    assert run(capsys, tmp_path, "roles", "validate")[0] == 0
+    code, out = run(capsys, tmp_path, "workflows", "check")
+    assert code == 1 and [json.loads(x) for x in out.splitlines()] == [{"id": "b", "rule": "missing_path"}]
+    assert run(capsys, tmp_path, "workflows", "sync")[0] == 1 and run(capsys, tmp_path, "workflows", "sync", "--apply")[0] == 0 == run(capsys, tmp_path, "workflows", "sync")[0]
+    assert run(capsys, tmp_path, "runs", "gate", "--run", "x")[0] == 101 and run(capsys, tmp_path, "runs", "ack", "--run", "x", "--topic", "t", "--by", "p", "--outcome", "ok")[0] == 0
+    code, out = run(capsys, tmp_path, "setup", "score")
+    assert code == 2 and json.loads(out)["no_unresolved_conflicts"] is True
