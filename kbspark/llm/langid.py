@@ -30,6 +30,8 @@ from kbspark.llm.common import mix64, own_columns, pick, slices, small_batches,
 ORDER, PER_LANGUAGE, SAMPLE_CHARS, MAX_CHARS, PIECES = 4, 800, 3000, 40_000_000, 3
 #: A text is rejected if it lies this many times further from its language than the 99.9 % point of calibration.
 SLACK = 2.0
+#: Or if its nats a character, times the root of its length, exceed those of a blind draw from the alphabet by this much.
+BLIND = 4.0
 _P = np.uint64(0x100000001B3)
 
 
@@ -194,7 +196,9 @@ class Model:
         p = np.exp(-(h - h.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(lengths, 1))[:, None] * self.temperature)
         score = p[np.arange(len(p)), best] / p.sum(axis=1)
         away = (h[np.arange(len(h)), best] - self.centre[best]) * np.sqrt(np.maximum(lengths, 1)) / self.spread[best]
-        odd = away > self.limit[best]
+        # Whatever the calibration: text less likely than letters drawn blindly is no text of a language learnt.
+        blind = (h[np.arange(len(h)), best] + self.unseen[0]) * np.sqrt(np.maximum(lengths, 1)) > BLIND
+        odd = (away > self.limit[best]) | blind
         return [(self.languages[b], float(s), bool(o)) if n else ("und", 0.0, True) for n, b, s, o in zip(lengths, best, score, odd)]
 
 

@@ -326,6 +326,18 @@ def test_kneser_ney_sums_to_one():
         assert (total < 1.0001).all() and (total > 0.9).all()
 
 
+def test_language_stage_drops_what_no_model_knows(spark, docs, rows):
+    """The stage keeps every document that its models take for a language they know, and drops text that none of them does."""
+    r = np.random.default_rng(8)
+    odd = [(10_000 + i, " ".join("".join(map(chr, r.integers(0x4E00, 0x9000, 6))) for _ in range(60))) for i in range(20)] + [(10_100 + i, "".join(r.choice(list("qxzjkvwQXZJ"), 400))) for i in range(20)]
+    odd += [(10_200, None), (10_201, ""), (10_202, "12 34 !!")]
+    more = spark.createDataFrame([(i, t, None, "odd", len(t or "")) for i, t in odd], docs.schema)
+    kept = {x.doc_id for x in corpus_pipeline.language_id(spark, docs.unionByName(more), SF).collect()}
+    assert not kept & {i for i, _ in odd}
+    letters = {x.doc_id for x in rows if x.text and re.search(r"[^\W\d_]", x.text)}
+    assert kept == letters
+
+
 def plain_entropies(texts, probe):
     """Interpolated Kneser-Ney from dictionaries: nats a character of ``probe``, given texts of one language."""
     order = langid.ORDER
