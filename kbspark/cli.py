@@ -311,7 +311,7 @@ def flow_check(spark: SparkSession, at: Layout, a) -> int:
     top = at.path("workflows")
     there = files.read_directory(spark, top, "*.yaml").select(F.expr(f"substring(path, {len(os.path.abspath(top)) + 2})").alias("path"))
     index = yaml_files.read_index(spark, f"{top}/index.yaml")
-    found = mat.layered_violations(flows).select("id", "rule").unionByName(governance.repeated_ids(flows, "id", "file").select("id", F.lit("repeated_id").alias("rule")))
+    found = mat.layered_violations(flows).select("id", "rule").unionByName(governance.repeated_ids(flows, "id", "file").select("id", F.lit("repeated_id").alias("rule")).distinct())
     found = found.unionByName(governance.missing_paths(index, there).select("id", F.lit("missing_path").alias("rule"))).cache()
     show(found.orderBy("id", "rule"))
     return 0 if found.isEmpty() else 1

@@ -6,7 +6,7 @@ Output rows: rule, severity, file (or directory), detail.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import scalars as S
@@ -70,8 +70,11 @@ def parent_index(p: DataFrame) -> DataFrame:
     anchors = p.filter("is_class or is_hub").select("dir", "file", "body")
     children = p.filter("is_entity").select("dir", F.col("name").alias("child"), F.col("stem").alias("child_stem"))
     lacking = anchors.join(children, "dir").filter(~F.contains(F.coalesce("body", F.lit("")), F.col("child_stem")))
-    per = lacking.groupBy("file").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("child")).alias("names"))
-    return _row(per, "parent_index_missing", "warning", F.col("file"), F.concat(F.col("n").cast("string"), F.lit(": "), F.array_join(F.slice("names", 1, MAX_NAMES), ",")))
+    # Spark keeps the first names of each task before it shuffles, so a large directory is never gathered.
+    first = lacking.select("file", "child").withColumn("at", F.row_number().over(Window.partitionBy("file").orderBy("child"))).filter(F.col("at") <= MAX_NAMES)
+    names = first.groupBy("file").agg(F.array_sort(F.collect_list("child")).alias("names"))
+    per = lacking.groupBy("file").agg(F.count("*").alias("n")).join(names, "file")
+    return _row(per, "parent_index_missing", "warning", F.col("file"), F.concat(F.col("n").cast("string"), F.lit(": "), F.array_join("names", ",")))
 
 
 def level_check(p: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from kbspark.operators.reasoning import Rules
 RDF, RDFS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#"
 OWL, XSD = "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2001/XMLSchema#"
 SKOS, PROV = "http://www.w3.org/2004/02/skos/core#", "http://www.w3.org/ns/prov#"
+MOST_AXIOMS = 100_000
 _SHORT = {c.removesuffix("Property").lower(): c for c in CHARACTERISTICS} | {"inverse_functional": "InverseFunctionalProperty"}
 
 
@@ -89,11 +90,13 @@ def rewrite_carriers(triples: DataFrame, base: str) -> tuple[DataFrame, DataFram
 
 
 def rules_of(triples: DataFrame) -> Rules:
-    """The axioms that triples state, for the reasoner. Axioms are few: they come from ontology files."""
+    """The axioms that triples state, for the reasoner. They come from ontology files; more than MOST_AXIOMS raise."""
     wanted = {RDFS + "subClassOf", RDFS + "subPropertyOf", OWL + "inverseOf", OWL + "propertyChainAxiom", RDFS + "domain", RDFS + "range"}
     marks = {OWL + "SymmetricProperty": "symmetric", OWL + "TransitiveProperty": "transitive"}
     rules = Rules()
-    rows = triples.filter(F.col("p").isin(*wanted) | ((F.col("p") == RDF + "type") & F.col("o").isin(*marks))).select("s", "p", "o", "o_kind").distinct().orderBy("s", "p", "o").collect()
+    rows = triples.filter(F.col("p").isin(*wanted) | ((F.col("p") == RDF + "type") & F.col("o").isin(*marks))).select("s", "p", "o", "o_kind").distinct().orderBy("s", "p", "o").limit(MOST_AXIOMS + 1).collect()
+    if len(rows) > MOST_AXIOMS:
+        raise ValueError(f"more than {MOST_AXIOMS} axioms: these are facts, not an ontology")
     for r in rows:
         if r.o_kind == "bnode":
             continue

@@ -104,8 +104,9 @@ def route(intents: DataFrame, triggers: list[dict], text: str = "text") -> DataF
 
 
 def repeated_ids(rows: DataFrame, id_: str, place: str) -> DataFrame:
-    """Ids with several places, and the sorted places."""
-    return rows.groupBy(id_).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(place)).alias("places")).filter("n > 1")
+    """(id, n, place): a row for each place of the ids that have several; places are never gathered."""
+    several = rows.groupBy(id_).agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(several, id_).select(id_, "n", place)
 
 
 def resolve_first(candidates: DataFrame, id_: str = "id", priority: str = "priority") -> DataFrame:

@@ -186,7 +186,7 @@ def hub_violations(hub: DataFrame) -> DataFrame:
 def contract_check(workflows: DataFrame, index: DataFrame, files: DataFrame, hub: DataFrame, pack: DataFrame, version: str, mode: str, expected: str) -> DataFrame:
     """(contract, detail): repeated workflow ids, indexed paths without a file, the hub, the pack's version, skills and mode."""
     text = lambda c: F.col(c).cast("string").alias("detail")
-    out = governance.repeated_ids(workflows, "id", "file").select(F.lit("workflow_id_unique").alias("contract"), text("id"))
+    out = governance.repeated_ids(workflows, "id", "file").select(F.lit("workflow_id_unique").alias("contract"), text("id")).distinct()
     out = out.unionByName(governance.missing_paths(index, files).select(F.lit("workflow_path").alias("contract"), text("path"))).unionByName(hub_violations(hub))
     out = out.unionByName(core_skill_count(pack).filter("not ok").select(F.lit("pack_config_core_count").alias("contract"), text("n")))
     spark = pack.sparkSession

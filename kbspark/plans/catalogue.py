@@ -377,10 +377,10 @@ def list_union_kinds(spark, sf_dir):
     return registry.list_all(ents, rels, ins).groupBy("_kind", "cluster").agg(F.count("*").alias("n"))
 
 
-@query("workflow_id_dupes", "select p_name, count(*) as n, string_agg(p_partkey::varchar, ',' order by p_partkey::varchar) as places from part group by p_name having count(*) > 1")
+@query("workflow_id_dupes", "select p_name, count(*) over (partition by p_name) as n, p_partkey::varchar as place from part qualify n > 1")
 def workflow_id_dupes(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_name", F.col("p_partkey").cast("string").alias("place"))
-    return governance.repeated_ids(rows, "p_name", "place").select("p_name", "n", F.array_join("places", ",").alias("places"))
+    return governance.repeated_ids(rows, "p_name", "place")
 
 
 # --- maintenance --------------------------------------------------------------------------------------
