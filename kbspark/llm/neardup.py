@@ -40,7 +40,7 @@ M = BANDS * ROWS
 #: Hash cells by which shared items are counted to bound similarities.
 CELLS = 64
 #: About how many members of a bucket, or partners of a centre, one task takes at a time.
-PART, SALTS = 512, 16
+PART, SALTS = 128, 16
 _Q, _GOLD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
