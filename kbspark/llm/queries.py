@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import decontaminate, langid, mixing, neardup, pii, secrets, tokenstore, topk, transcripts, urlfilter
+from kbspark.llm import decontaminate, langid, linedup, mixing, neardup, pii, secrets, tokenstore, topk, transcripts, urlfilter
 from kbspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,11 @@ ORACLE_SQL["op5_vector_top_k"] = topk.ORACLE
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_line_dedup"] = linedup.ORACLE
