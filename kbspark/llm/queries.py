@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import decontaminate, langid, linedup, mixing, neardup, pii, secrets, tokenstore, topk, transcripts, urlfilter, variants
+from kbspark.llm import align, decontaminate, langid, linedup, mixing, neardup, pii, secrets, tokenstore, topk, transcripts, urlfilter, variants
 from kbspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,10 @@ ORACLE_SQL["op11_line_dedup"] = linedup.ORACLE
 @query
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
