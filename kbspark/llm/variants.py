@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import discard, materialise, pick, small_batches, to_batch
+from kbspark.llm.common import discard, materialise, pick, release, small_batches, to_batch
 
 #: A run of letters; the second form finds only runs of at least so many.
 RUN = "[A-Za-zÀ-ÿ]"
 LEAST_LENGTH, LEAST_COUNT, DELETE_ONE_IN, RATIO = 7, 2, 31, 10
-#: Longest gram, number of hashed grams, longest list that is merged, rows merged together.
-MOST_Q, GRAMS, LONG_LIST, BLOCK = 4, 1 << 20, 1000, 50_000
+#: Longest gram, number of hashed grams, longest list that is merged; rows, and squares of lists' rows, merged together.
+MOST_Q, GRAMS, LONG_LIST, BLOCK, PAIRS = 4, 1 << 20, 1000, 50_000, 4_000_000
 
 OWN, SHORTER = 0, 1
 _POSTING = pa.schema([("size", pa.int32()), ("gram", pa.int32()), ("place", pa.int32()), ("role", pa.int8()), ("w", pa.binary()), ("n", pa.int64())])
@@ -248,12 +248,15 @@ def _by_length(table: pa.Table, lengths: np.ndarray, unmerged, merged):
     if long.any():
         yield from unmerged(table.filter(pa.array(long)))
         table, lengths = table.filter(pa.array(~long)), lengths[lengths <= LONG_LIST]
-    at, ends = 0, np.cumsum(lengths)
+    at, ends, squares = 0, np.cumsum(lengths), np.cumsum(lengths.astype(np.int64) ** 2)
     while at < table.num_rows:
-        # As many lists as fit into a block, one at least.
-        stop = int(ends[max(np.searchsorted(ends, at + BLOCK, side="right") - 1, np.searchsorted(ends, at, side="right"))])
-        yield from merged(table.slice(at, stop - at))
-        at = stop
+        # As many lists as fit into a block by their rows and by the pairs that they could form, one at least.
+        first = int(np.searchsorted(ends, at, side="right"))
+        done = squares[first - 1] if first else 0
+        last = max(first, min(np.searchsorted(ends, at + BLOCK, side="right"), np.searchsorted(squares, done + PAIRS, side="right")) - 1)
+        yield from merged(table.slice(at, int(ends[last]) - at))
+        at = int(ends[last])
+        release()
 
 
 def _by_deletion(words: DataFrame) -> DataFrame:
