@@ -7,7 +7,8 @@ the same order whether a rule list is short (one expression) or long (a join). E
 tag outside comments and scripts is an edge. Everything is DataFrame expressions.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed; a
-null html has no links; repeated rows are judged alike; an empty table gives an empty result; extra columns
+null html has no links; a comment or script that is never closed hides the rest of its page, a tag that is
+never closed is none; repeated rows are judged alike; an empty table gives an empty result; extra columns
 are ignored. Scheme and fragment do not tell two URLs apart as aliases; host (ASCII lower case), path and
 query do. A link without a host is resolved against its page.
 """
@@ -24,11 +25,13 @@ from kbspark.llm.components import connected_components
 INLINE_RULES = 200
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
-_HIDDEN = r"""(?is)<!--.*?-->|<script\b.*?</script\s*>"""
+#: What tells a tag that links, and where in it the link stands, by the tag's name.
+_LINKS = {
+    "link": (r"""(?is)\brel\s*=\s*["']?canonical\b""", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""),
+    "meta": (r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""),
+}
+#: Comments and scripts; one that is never closed hides the rest of its page.
+_HIDDEN = r"""(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"""
 
 
 def _rest(url: Column) -> Column:
@@ -70,8 +73,16 @@ def link_edges(pages: DataFrame) -> DataFrame:
     url, html = F.col("url"), F.coalesce("html", F.lit(""))
     found = pages.filter(html.rlike(r"(?i)canonical|refresh") & F.coalesce(url.contains("://"), F.lit(False)))
     seen = F.regexp_replace(html, _HIDDEN, " ")
-    tags = lambda pattern, target: F.transform(F.regexp_extract_all(seen, F.lit(pattern), 0), lambda t: F.regexp_extract(t, target, 1))
-    links = found.select("url", F.explode(F.concat(tags(_CANONICAL, _HREF), tags(_REFRESH, _URL))).alias("link"))
+    # What stands before each ``>``: a tag begins at its first opening there. No pattern looks across pieces, so work is linear in the page.
+    pieces = F.split(seen, ">")
+    pieces = F.slice(pieces, 1, F.size(pieces) - 1)
+
+    def targets(name: str) -> Column:
+        tells, where = _LINKS[name]
+        tags = F.filter(F.transform(pieces, lambda p: F.regexp_extract(p, rf"(?is)<{name}\b(.*)", 1)), lambda t: t.rlike(tells))
+        return F.transform(tags, lambda t: F.regexp_extract(t, where, 1))
+
+    links = found.select("url", F.explode(F.concat(targets("link"), targets("meta"))).alias("link"))
     links = links.select(key_of(url).alias("src"), _resolved(F.col("link"), url).alias("to")).filter("to is not null")
     return links.select("src", key_of(F.col("to")).alias("dst")).filter("src <> dst")
 
@@ -147,6 +158,8 @@ def oracle() -> str:
     host, path, key = _sql_parts("url")
     _, _, target = _sql_parts("target")
     q = lambda s: s.replace("'", "''")
+    # One pattern for a whole tag: what tells it, anywhere in it.
+    tag = {name: rf"(?is)<{name}\b[^>]*" + tells.removeprefix("(?is)") + "[^>]*>" for name, (tells, _) in _LINKS.items()}
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
     rank = "1000000 * length(r.h || r.p) + 10 * length(r.h) + (r.action = 'allow')::int"
     fits = "(k.host = r.h or ends_with(k.host, '.' || r.h)) and starts_with(k.path, r.p)"
@@ -154,9 +167,9 @@ def oracle() -> str:
     with recursive rules(action, h, p) as (values {rules}),
     pg as (select page_id, url, regexp_replace(coalesce(html, ''), '{q(_HIDDEN)}', ' ', 'g') as seen, {host} as host, {path} as path, {key} as key from pages),
     raw as (
-        select * exclude tag, regexp_extract(tag, '{q(_HREF)}', 1) as link from (select *, unnest(regexp_extract_all(seen, '{q(_CANONICAL)}')) as tag from pg)
+        select * exclude tag, regexp_extract(tag, '{q(_LINKS["link"][1])}', 1) as link from (select *, unnest(regexp_extract_all(seen, '{q(tag["link"])}')) as tag from pg)
         union all
-        select * exclude tag, regexp_extract(tag, '{q(_URL)}', 1) as link from (select *, unnest(regexp_extract_all(seen, '{q(_REFRESH)}')) as tag from pg)),
+        select * exclude tag, regexp_extract(tag, '{q(_LINKS["meta"][1])}', 1) as link from (select *, unnest(regexp_extract_all(seen, '{q(tag["meta"])}')) as tag from pg)),
     linked as (select key, host, regexp_replace(path, '[^/]*$', '') as folder, replace(link, '&amp;', '&') as link
                from raw where link <> '' and coalesce(contains(url, '://'), false)),
     aimed as (select key, case when contains(link, '://') then link when starts_with(link, '//') then 'http:' || link

@@ -141,3 +141,29 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
                 assert now.columns == docs.columns, name
         assert now.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
         now.count()
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<script", "<link ", "<meta ", "<link rel=canonical ", "<link href=", "rel ", "-->", "<link rel=canonical href=x>", "url=", "</script "])
+def test_broken_html_in_linear_time(spark, unit):
+    """A page of a megabyte, all of it one fragment, closed nowhere or everywhere; the time is that of twice the page against once."""
+    import time
+
+    def took(n):
+        pages = spark.createDataFrame([(1, "http://a.com/x", "refresh canonical " + unit * (n // len(unit)))], "page_id long, url string, html string")
+        began = time.perf_counter()
+        urlfilter.link_edges(pages).collect()
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(1_000_000) < 3
+
+
+def test_links_outside_what_is_hidden(spark):
+    html = [
+        "<link rel=canonical href=/a>", "<LINK href='/b' REL=\"Canonical\" x>", "<!-- <link rel=canonical href=/no> --><link rel='canonical' href=/c>", "<link rel=canonical href=/d> <!-- open <link rel=canonical href=/no>",
+        "<script>'<link rel=canonical href=/no>'</script ><meta http-equiv=refresh content='0; url=/e'>", "<link rel=canonical href=/no", "<link a <link rel=canonical href=/f>", "<link rel=stylesheet href=/no><link rel=canonicalx href=/no>",
+        "<script src=x><link rel=canonical href=/no>", "<link rel=canonical><link href=/no>", "<linkrel=canonical href=/no>",
+    ]
+    pages = spark.createDataFrame([(f"http://s{i}.com/", h) for i, h in enumerate(html)], "url string, html string")
+    found = {(r.src, r.dst) for r in urlfilter.link_edges(pages).collect()}
+    assert found == {("s0.com/", "s0.com/a"), ("s1.com/", "s1.com/b"), ("s2.com/", "s2.com/c"), ("s3.com/", "s3.com/d"), ("s4.com/", "s4.com/e"), ("s6.com/", "s6.com/f")}
