@@ -793,3 +793,4 @@ def eca_rules(spark, sf_dir):
 
 
 from kbspark.plans import knowledge as _knowledge  # noqa: E402, F401 - registers its queries
+from kbspark.plans import graphs as _graphs  # noqa: E402, F401 - registers its queries
