@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from kbspark import model
 from kbspark.functions.scalars import iri_local as _local
 from kbspark.operators import alignment, archive, compile as comp, dispatch, evidence, governance, lifting, maintain, materialise as mat, reasoning, registry
+from kbspark.operators.reasoning import Rules
 from kbspark.sinks import notes
 from kbspark.sources import files, python_sources, yaml_files
 
@@ -240,10 +241,14 @@ def ack(spark: SparkSession, at: Layout, a) -> int:
     return 0
 
 
-def materialised(spark: SparkSession, at: Layout, definitions: dict | None = None) -> mat.Materialised:
+def compiled(spark: SparkSession, at: Layout, definitions: dict | None = None) -> tuple[DataFrame, Rules]:
     """All that the ontology's YAML sources say; ``definitions`` replaces documents by domain."""
     docs = yaml_files.read_yaml(spark, f"{at.path('definitions')}/*.yaml") | (definitions or {})
-    return mat.materialise(spark, docs, yaml_files.read_yaml(spark, f"{at.path('roles')}/*.yaml"), yaml_files.read_instances(spark, f"{at.path('instances')}/*.yaml"))
+    return mat.compiled(spark, docs, yaml_files.read_yaml(spark, f"{at.path('roles')}/*.yaml"), yaml_files.read_instances(spark, f"{at.path('instances')}/*.yaml"))
+
+
+def materialised(spark: SparkSession, at: Layout) -> mat.Materialised:
+    return mat.reasoned(*compiled(spark, at))
 
 
 def materialise(spark: SparkSession, at: Layout, a) -> int:
@@ -258,14 +263,18 @@ def materialise(spark: SparkSession, at: Layout, a) -> int:
 def explain(spark: SparkSession, at: Layout, a) -> int:
     own = records(spark, at, "instances").drop("dir_cluster", "seq")
     named = (F.col("id") == a.instance) | F.col("id").endswith("/" + a.instance) | F.col("id").endswith("#" + a.instance)
-    rows = mat.explain(own, materialised(spark, at).records).filter(named).collect()
+    sources = compiled(spark, at)
+    rows = mat.explain(own, mat.reasoned(*sources).records).filter(named).collect()
     for r in rows:
         print(mat.rendered_explanation(r))
+    if rows:
+        for r in mat.why(mat.derived(*sources), spark.createDataFrame([(r["id"],) for r in rows], "id string")).orderBy("id", "goal", "depth", "fact").collect():
+            print(f"{'  ' * (r.depth + 1)}{r.fact} [{r.rule}{': ' + r.because if r.because else ''}]")
     return 0 if rows else 1
 
 
 def what_if(spark: SparkSession, at: Layout, a) -> int:
-    show(mat.what_if(materialised(spark, at), materialised(spark, at, yaml_files.read_yaml(spark, a.definition))).orderBy("x", "fact"))
+    show(mat.what_if(compiled(spark, at), compiled(spark, at, yaml_files.read_yaml(spark, a.definition))).orderBy("x", "fact"))
     return 0
 
 

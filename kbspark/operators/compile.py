@@ -110,16 +110,17 @@ def rules_of(triples: DataFrame) -> Rules:
     return rules
 
 
-def compile_instances(instances: DataFrame, base: str) -> DataFrame:
-    """Triples of instances (id, instance_of, slots map<string,array<string>>, values as JSON text)."""
-    i = F.concat(F.lit(base), "id")
+def compile_instances(instances: DataFrame, base: str | None = None) -> DataFrame:
+    """Triples of instances (id, instance_of, slots map<string,array<string>>, values as JSON text); without ``base`` each row's ``base`` is its own."""
+    instances = instances if base is None else instances.withColumn("base", F.lit(base))
+    i = F.concat("base", "id")
     row = lambda df, p, o, kind, dt: df.select(i.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), F.lit(None).cast("string").alias("o_lang"), dt.alias("o_dt"))
     none, iri = F.lit(None).cast("string"), F.lit("iri")
-    out = row(instances, F.lit(RDF + "type"), F.lit(OWL + "NamedIndividual"), iri, none).unionByName(row(instances.filter("instance_of is not null"), F.lit(RDF + "type"), F.concat(F.lit(base), "instance_of"), iri, none))
-    values = instances.select("id", F.explode("slots").alias("slot", "vs")).select("id", "slot", F.explode("vs").alias("v"))
+    out = row(instances, F.lit(RDF + "type"), F.lit(OWL + "NamedIndividual"), iri, none).unionByName(row(instances.filter("instance_of is not null"), F.lit(RDF + "type"), F.concat("base", "instance_of"), iri, none))
+    values = instances.select("id", "base", F.explode("slots").alias("slot", "vs")).select("id", "base", "slot", F.explode("vs").alias("v"))
     kind = S.literal_kind(F.col("v"))
     dt = F.when(F.col("v").rlike("^(true|false)$"), XSD + "boolean").when(F.col("v").rlike("^-?[0-9]+$"), XSD + "integer").when(F.col("v").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), XSD + "double")
-    return out.unionByName(row(values, F.concat(F.lit(base), "slot"), F.when(kind == "iri", F.concat(F.lit(base), "v")).otherwise(F.col("v")), kind, dt))
+    return out.unionByName(row(values, F.concat("base", "slot"), F.when(kind == "iri", F.concat("base", "v")).otherwise(F.col("v")), kind, dt))
 
 
 def turtle_lines(triples: DataFrame) -> DataFrame:

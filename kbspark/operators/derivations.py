@@ -253,11 +253,11 @@ def changed(derived: Derived, added: DataFrame, removed: DataFrame, axioms: Axio
         kept, fresh = kept.unionByName(again), fresh.unionByName(again)
     if new_axioms.rows:
         first = Reasoner(spark, new_axioms).forward(kept, kept)
-        first = saved(_one_each(first.join(kept, _FACT, "left_anti"), level), "first")
+        first = saved(_one_each(first.join(kept, _FACT, "left_anti"), level + 1), "first")
         kept, fresh = kept.unionByName(first), fresh.unionByName(first)
     fresh = saved(fresh, "fresh")
     work.append(fresh.count())
-    now = _rounds(reasoner, kept, fresh, level + 1, work)
+    now = _rounds(reasoner, kept, fresh, level + 2, work)
     # Only lost and new facts can differ.
     new = now.filter(F.col("level") >= level).select(*_FACT).unionByName(start.select(*_FACT)).distinct().join(before, _FACT, "left_anti").withColumn("change", F.lit("added"))
     old = lost.distinct().join(now, _FACT, "left_anti").withColumn("change", F.lit("removed"))

@@ -1,7 +1,7 @@
 """From ontology sources to inferred records: materialise, what-if, explain; roles; workflows as triples; contracts.
 
 ``materialise`` compiles classes, roles and instances, each where there are sources, and reasons over all of
-it in one plan. ``what_if`` does so twice and compares. Nothing is written here.
+it in one plan. ``what_if`` derives the facts once and follows the change. Nothing is written here.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kbspark.model import TRIPLES
 from kbspark.operators import compile as comp
-from kbspark.operators import governance, reasoning
+from kbspark.operators import derivations, governance, reasoning
 from kbspark.operators.reasoning import Rules
 from kbspark.sources.yaml_files import namespace_of
 
@@ -32,11 +32,11 @@ class Materialised:
     records: DataFrame
 
 
-def materialise(spark: SparkSession, definitions: dict[str, dict], roles: dict[str, dict], instances: DataFrame | None, base: str | None = None) -> Materialised:
-    """``definitions`` and ``roles``: documents by domain; ``instances``: rows of ``read_instances``.
+def compiled(spark: SparkSession, definitions: dict[str, dict], roles: dict[str, dict], instances: DataFrame | None, base: str | None = None) -> tuple[DataFrame, Rules]:
+    """(triples, rules) that sources state. ``definitions`` and ``roles``: documents by domain; ``instances``: rows of ``read_instances``.
 
     A domain's namespace is that of its instances' file, else that of its definition, else ``base``; a domain
-    without any raises.
+    without any raises. Instances of all files are compiled in one plan.
     """
     triples, rules = spark.createDataFrame([], TRIPLES), Rules()
     for domain, doc in definitions.items():
@@ -52,36 +52,78 @@ def materialise(spark: SparkSession, definitions: dict[str, dict], roles: dict[s
             raise ValueError(f"no namespace for roles {domain}")
         triples = triples.unionByName(comp.compile_roles(spark, doc, space))
     if instances is not None:
+        spaces = []
         for r in instances.select("stem", "head").distinct().orderBy("stem").collect():  # one row a file
             space = namespace_of(json.loads(r.head), definitions.get(r.stem)) or base
             if not space:
                 raise ValueError(f"no namespace for instances {r.stem}")
-            triples = triples.unionByName(comp.compile_instances(instances.filter(F.col("stem") == r.stem), space))
+            spaces.append((r.stem, r.head, space))
+        if spaces:
+            spaced = instances.join(spark.createDataFrame(spaces, "stem string, head string, base string"), ["stem", "head"])
+            triples = triples.unionByName(comp.compile_instances(spaced))
     triples = reasoning.saved(triples.distinct(), "triples")
     found = comp.rules_of(triples)
     found.conditions = rules.conditions
-    return reasoned(triples, found)
+    return triples, found
 
 
-def reasoned(triples: DataFrame, rules: Rules) -> Materialised:
-    """Reasoning over the individuals of ``triples``."""
+def materialise(spark: SparkSession, definitions: dict[str, dict], roles: dict[str, dict], instances: DataFrame | None, base: str | None = None) -> Materialised:
+    """``compiled`` sources and all that follows from them."""
+    return reasoned(*compiled(spark, definitions, roles, instances, base))
+
+
+def stated_facts(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(types (x, c), properties (x, p, y)) that ``triples`` state of named individuals."""
     typed = triples.filter(F.col("p") == comp.RDF + "type")
     individuals = typed.filter(F.col("o") == comp.OWL + "NamedIndividual").select(F.col("s").alias("iri")).distinct()
     properties = typed.filter(F.col("o") == comp.OWL + "ObjectProperty").select(F.col("s").alias("iri"))
     types = typed.join(individuals.withColumnRenamed("iri", "s"), "s", "left_semi").filter(F.col("o") != comp.OWL + "NamedIndividual").select(F.col("s").alias("x"), F.col("o").alias("c"))
-    gt, gp = reasoning.reason(types, reasoning.individual_facts(triples, individuals, properties), rules)
+    return types, reasoning.individual_facts(triples, individuals, properties)
+
+
+def reasoned(triples: DataFrame, rules: Rules) -> Materialised:
+    """Reasoning over the individuals of ``triples``."""
+    types, props = stated_facts(triples)
+    gt, gp = reasoning.reason(types, props, rules)
     return Materialised(triples, rules, types, gt, gp, reasoning.delta_records(types, gt, gp))
 
 
-def what_if(now: Materialised, then: Materialised) -> DataFrame:
-    """(x, fact, change): inferred types and properties that a candidate ontology adds or takes away."""
+def derived(triples: DataFrame, rules: Rules) -> derivations.Derived:
+    """The facts of ``triples`` and of what follows from them, each with a derivation."""
+    return derivations.derive(_facts(triples), derivations.Axioms.of(rules))
+
 
-    def facts(m: Materialised) -> DataFrame:
-        return m.gained_types.select("x", F.concat(F.lit("a "), "c").alias("fact")).unionByName(m.gained_props.select("x", F.concat_ws(" ", "p", "y").alias("fact"))).distinct()
+def _facts(triples: DataFrame) -> DataFrame:
+    types, props = stated_facts(triples)
+    typed = types.select(F.col("x").alias("s"), F.lit(derivations.TYPE).alias("p"), F.col("c").alias("o"))
+    return reasoning.saved(typed.unionByName(props.select(F.col("x").alias("s"), "p", F.col("y").alias("o"))).distinct(), "stated")
 
-    a, b = facts(now).withColumn("before", F.lit(True)), facts(then).withColumn("after", F.lit(True))
-    both = a.join(b, ["x", "fact"], "full").filter("before is null or after is null")
-    return both.select("x", "fact", F.when(F.col("before").isNull(), "added").otherwise("removed").alias("change"))
+
+def what_if(now: Materialised | tuple[DataFrame, Rules], then: Materialised | tuple[DataFrame, Rules]) -> DataFrame:
+    """(x, fact, change): inferred types and properties that other sources add or take away; both sides ``compiled`` (or materialised).
+
+    Only the first is reasoned over as a whole; the second is a change of its facts and axioms.
+    """
+    key = ["s", "p", "o"]
+    now, then = ((m.triples, m.rules) if isinstance(m, Materialised) else m for m in (now, then))
+    a, b = _facts(now[0]), _facts(then[0])
+    before = derivations.derive(a, derivations.Axioms.of(now[1]))
+    after, moved = derivations.changed(before, b.join(a, key, "left_anti"), a.join(b, key, "left_anti"), derivations.Axioms.of(then[1]))
+    # Facts that are inferred on one side only: those that came or went, and those stated on one side.
+    touched = moved.select(*key).unionByName(a.join(b, key, "left_anti")).unionByName(b.join(a, key, "left_anti")).distinct()
+    inferred = lambda d: d.facts.filter(F.col("rule") != derivations.STATED).join(touched, key, "left_semi").select(*key)
+    was, is_ = inferred(before), inferred(after)
+    out = is_.join(was, key, "left_anti").withColumn("change", F.lit("added")).unionByName(was.join(is_, key, "left_anti").withColumn("change", F.lit("removed")))
+    out = out.filter(~(F.col("s").startswith("_:") | F.col("o").startswith("_:") | F.col("p").startswith("_:")))
+    return out.select(F.col("s").alias("x"), F.concat_ws(" ", "p", "o").alias("fact"), "change")
+
+
+def why(found: derivations.Derived, ids: DataFrame) -> DataFrame:
+    """(id, goal, depth, fact, rule, because): proofs of all that is inferred of the individuals ``ids`` (id); facts as text."""
+    goals = found.facts.filter(F.col("rule") != derivations.STATED).join(ids.select(F.col("id").alias("s")).distinct(), "s", "left_semi").filter(~F.col("o").startswith("_:"))
+    text = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(" ", f"{c}.s", f"{c}.p", f"{c}.o"))
+    rows = derivations.proofs(found, goals)
+    return rows.select(F.col("goal.s").alias("id"), F.concat_ws(" ", "goal.p", "goal.o").alias("goal"), "depth", F.concat_ws(" ", "s", "p", "o").alias("fact"), "rule", F.concat_ws("; ", text("p1"), text("p2")).alias("because"))
 
 
 def explain(originals: DataFrame, inferred: DataFrame) -> DataFrame:

@@ -696,7 +696,7 @@ _DEFINITION = {"default_prefix": "ex", "prefixes": {"ex": _EX}, "classes": {"Pla
 _ROLE_FILE = {"slots": {"region": {}, "near": {"symmetric": True}, "within": {"transitive": True, "annotations": {"subproperty_of": "near"}}}}
 
 
-def _ontology(spark, sf_dir, definition):
+def _sources(spark, sf_dir, definition):
     """Nations and regions as instances; a nation lies in its region, and is within the next nation of its region."""
     import json
 
@@ -707,7 +707,11 @@ def _ontology(spark, sf_dir, definition):
     slots = F.create_map(F.lit("region"), F.array(F.concat(F.lit("r"), "n_regionkey")), F.lit("within"), F.filter(F.array(within), lambda x: x.isNotNull()))
     nations = n.join(following, "n_nationkey", "left").select(F.lit("d").alias("stem"), head.alias("head"), F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("Nation").alias("instance_of"), slots.alias("slots"))
     regions = table(spark, sf_dir, "region").select(F.lit("d").alias("stem"), head.alias("head"), F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("Region").alias("instance_of"), F.create_map().cast("map<string,array<string>>").alias("slots"))
-    return materialise.materialise(spark, {"d": definition}, {"d": _ROLE_FILE}, nations.unionByName(regions))
+    return materialise.compiled(spark, {"d": definition}, {"d": _ROLE_FILE}, nations.unionByName(regions))
+
+
+def _ontology(spark, sf_dir, definition):
+    return materialise.reasoned(*_sources(spark, sf_dir, definition))
 
 
 _RUNS = """with recursive e as (select a.n_nationkey as s, b.n_nationkey as t from nation a join nation b on b.n_nationkey = a.n_nationkey + 1 and a.n_regionkey = b.n_regionkey),
@@ -730,18 +734,29 @@ def materialised(spark, sf_dir):
 def what_if(spark, sf_dir):
     """The ontology above against one without its rule and with a class above."""
     then = {**_DEFINITION, "classes": {"Thing": {}, "Place": {"is_a": "Thing"}, "Nation": {"is_a": "Place"}, "Home": {}}}
-    out = materialise.what_if(_ontology(spark, sf_dir, _DEFINITION), _ontology(spark, sf_dir, then))
+    out = materialise.what_if(_sources(spark, sf_dir, _DEFINITION), _sources(spark, sf_dir, then))
     return out.select(S.iri_local(F.col("x")).alias("x"), "change", F.concat(F.lit("a "), S.iri_local(F.col("fact"))).alias("fact"))
 
 
-@query("explain", "select 'n' || n_nationkey as id, n_nationkey % 2 = 0 as original, true as inferred from nation union all select 'c' || c_custkey, true, false from customer where c_custkey % 50 = 0")
+@query(
+    "explain",
+    f"""{_RUNS},
+    p as (select s as x, 'near' as p, 'n' || t as y from (select s, t from w union select t, s from w) union all select s, 'within', 'n' || t from w where t <> s + 1),
+    per as (select x, p, string_agg(y, ',' order by y) as ys from p group by 1, 2), props as (select x, string_agg(p || '=' || ys, ';' order by p) as inferred_properties from per group by 1),
+    own as (select 'n' || n_nationkey as id, n_name as label from nation where n_nationkey % 2 = 0 union all select 'c' || c_custkey, c_name from customer),
+    got as (select 'n' || n_nationkey as id, 'Home,Place' as inferred_types, inferred_properties from nation left join props on x = n_nationkey)
+    select coalesce(o.id, g.id) as id, label, inferred_types, inferred_properties from own o full join got g on o.id = g.id""",
+)
 def explain(spark, sf_dir):
-    """Records of even nations and of some customers beside what is inferred of all nations."""
+    """Records of even nations and of all customers beside what is inferred of all nations: the records themselves."""
     m = _ontology(spark, sf_dir, _DEFINITION)
     own = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit(_EX + "n"), "n_nationkey").alias("id"), F.col("n_name").alias("label"))
-    own = own.unionByName(table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.concat(F.lit(_EX + "c"), "c_custkey").alias("id"), F.col("c_name").alias("label")))
+    own = own.unionByName(table(spark, sf_dir, "customer").select(F.concat(F.lit(_EX + "c"), "c_custkey").alias("id"), F.col("c_name").alias("label")))
     out = materialise.explain(own, m.records)
-    return out.select(S.iri_local(F.col("id")).alias("id"), F.col("original").isNotNull().alias("original"), F.col("inferred").isNotNull().alias("inferred"))
+    gained = F.from_json("inferred", "inferred_types array<string>, inferred_properties map<string,array<string>>")
+    entries = F.transform(F.map_entries(gained["inferred_properties"]), lambda e: F.concat(S.iri_local(e["key"]), F.lit("="), F.array_join(F.array_sort(F.transform(e["value"], S.iri_local)), ",")))
+    props = F.array_join(F.array_sort(entries), ";")
+    return out.select(S.iri_local(F.col("id")).alias("id"), F.get_json_object("original", "$.label").alias("label"), F.array_join(F.array_sort(F.transform(gained["inferred_types"], S.iri_local)), ",").alias("inferred_types"), F.when(props != "", props).alias("inferred_properties"))
 
 
 @query("shape_inference", "select on_, case when on_ then count(*) else 0 end as n from nation, (select unnest([true, false]) as on_) group by on_")
