@@ -1,4 +1,4 @@
-"""Graph search, vectors, rank fusion, roll-up along relations, composition of typed edges, communities."""
+"""Graph search, vectors, rank fusion, roll-up along relations, composition of typed edges."""
 
 from __future__ import annotations
 
@@ -77,14 +77,3 @@ def compose_edges(edges: DataFrame, rounds: int = 2) -> DataFrame:
         out = step.withColumn("hops", F.lit(n)) if out is None else out.unionByName(step.withColumn("hops", F.lit(n)))
         now = step.select("src", "dst", F.col("kind").alias("k1")).distinct()
     return out
-
-
-def communities(edges: DataFrame, rounds: int = 5, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, label): label propagation; each node takes the commonest label around it, the smallest of equals."""
-    both = edges.select(F.col(src).alias("node"), F.col(dst).alias("other"))
-    both = saved(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).filter("node <> other").distinct(), "around")
-    labels = saved(both.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.count("*").alias("n"))
-        labels = saved(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("best")).select("node", "best.label"), "labels")
-    return labels

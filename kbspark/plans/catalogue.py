@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import scalars as S
 from kbspark.functions.text import chunk_text, windows
-from kbspark.operators import alignment, archive, evidence, governance, graph, lifting, maintain, provenance, reasoning, registry
+from kbspark.operators import alignment, archive, communities, evidence, governance, graph, lifting, maintain, provenance, reasoning, registry
 from kbspark.operators.reasoning import Rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,11 +284,35 @@ def morphism_compose(spark, sf_dir):
     return graph.compose_edges(edges).groupBy("hops", "kind").agg(F.count("*").alias("n"), F.countDistinct("via").alias("vias"))
 
 
-@query("graph_communities")
+@query(
+    "graph_communities",
+    """
+    with l as (select o_custkey as c, l_suppkey as s from lineitem join orders on o_orderkey = l_orderkey),
+    n as (select 'c' || c_custkey as node from customer union select 's' || s_suppkey from supplier union select 'n' || c_nationkey from customer union select 'n' || s_nationkey from supplier)
+    select count(*) as nodes, (select count(*) from l) + 400 * (select count(*) from customer) + 400 * (select count(*) from supplier) as weight, true as connected, 0::bigint as could_gain, true as beats_nations from n""",
+)
 def graph_communities(spark, sf_dir):
+    """Customers and suppliers by the lines between them and by their nations: communities are local optima, connected, and no worse than nations."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    edges = li.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    return graph.communities(edges)
+    edge = lambda df, a, b, w: df.select(a.alias("src"), b.alias("dst"), F.lit(w).cast("long").alias("w"))
+    name = lambda letter, key: F.concat(F.lit(letter), key)
+    edges = edge(li, name("c", "o_custkey"), name("s", "l_suppkey"), 1).unionByName(edge(c, name("c", "c_custkey"), name("n", "c_nationkey"), 400)).unionByName(edge(s, name("s", "s_suppkey"), name("n", "s_nationkey"), 400))
+    edges = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    found = reasoning.saved(communities.communities(edges, weight="w"), "communities")
+    nodes, around = communities.graph_of(edges, weight="w")
+    double = nodes.agg(F.sum("k").alias("k")).first().k
+    # Every community is one component of the edges inside communities: reached from its label.
+    a, b = found.select(F.col("node").alias("u"), F.col("label").alias("lu")), found.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+    inside = around.join(a, "u").join(b, "v").filter("lu = lv").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    reached = graph.hops(inside, found.filter("node = label").select("node"), most=1000)
+    nation = lambda df, letter, key, of: df.select(name(letter, key).alias("node"), name("n", of).alias("label"))
+    nations = nation(c, "c", "c_custkey", "c_nationkey").unionByName(nation(s, "s", "s_suppkey", "s_nationkey"))
+    nations = nations.unionByName(nations.select(F.col("label").alias("node"), "label").distinct())
+    better = communities.modularity(edges, found, weight="w") >= communities.modularity(edges, nations, weight="w") > 0.5
+    out = found.agg(F.count("*").alias("nodes")).withColumn("weight", F.lit(double // 2).cast("long"))
+    out = out.withColumn("connected", F.lit(reached.count() == found.count())).withColumn("could_gain", F.lit(communities.gains(nodes, around, found, double).count()))
+    return out.withColumn("beats_nations", F.lit(better))
 
 
 # --- registry -----------------------------------------------------------------------------------------
