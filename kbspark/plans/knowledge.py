@@ -52,25 +52,42 @@ def jsonl_append_overwrite(spark, sf_dir):
     return files.read_jsonl(spark, path, "s_suppkey long, s_name string", "FAILFAST")
 
 
+def _in_small_splits(spark, read, size="4k"):
+    """``read()`` with files cut into splits of about ``size``; the setting is put back."""
+    keys = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "1k", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        return reasoning.saved(read(), "read")
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @query(
     "jsonl_numbered_scan",
-    """with l as (select n_nationkey, n_name, row_number() over (order by n_nationkey) as line_no from nation)
-       select line_no::int as line_no, case when n_nationkey % 4 = 1 then null else n_name end as name, case when n_nationkey % 4 = 1 then 'line ' || line_no || ': invalid JSON' end as failure from l""",
+    """with l as (select c_custkey, c_name, row_number() over (order by c_custkey) as line_no from customer)
+       select line_no::int as line_no, case when c_custkey % 4 = 1 then null else c_name end as name, case when c_custkey % 4 = 1 then 'line ' || line_no || ': invalid JSON' end as failure from l""",
 )
 def jsonl_numbered_scan(spark, sf_dir):
-    """Nations as lines of one file, every fourth of them broken: line numbers of both kinds."""
-    line = F.when(F.col("n_nationkey") % 4 == 1, "{broken").otherwise(F.to_json(F.struct(F.col("n_name").alias("name"))))
-    path = _text(table(spark, sf_dir, "nation").orderBy("n_nationkey").select(line.alias("value")), spark, "lines", one=True)
-    rows, bad = files.read_jsonl_numbered(spark, f"{path}/part-*", "name string")
-    return rows.select("line_no", "name", _null().alias("failure")).unionByName(bad.select("line_no", _null().alias("name"), "failure"))
+    """Customers as lines of one file in many splits, every fourth of them broken: line numbers of both kinds."""
+    line = F.when(F.col("c_custkey") % 4 == 1, "{broken").otherwise(F.to_json(F.struct(F.col("c_name").alias("name"))))
+    path = _text(table(spark, sf_dir, "customer").orderBy("c_custkey").select(line.alias("value")), spark, "lines", one=True)
+
+    def read():
+        rows, bad = files.read_jsonl_numbered(spark, f"{path}/part-*", "name string")
+        return rows.select(F.col("line_no").cast("int"), "name", _null().alias("failure")).unionByName(bad.select(F.col("line_no").cast("int"), _null().alias("name"), "failure"))
+
+    return _in_small_splits(spark, read)
 
 
-@query("sources_list_scan", "select (2 * n_nationkey + 2)::int as ordinal, 'http://n.org/' || n_nationkey as uri from nation")
+@query("sources_list_scan", "select (2 * row_number() over (order by s_suppkey))::int as ordinal, 'http://s.org/' || s_suppkey as uri from supplier")
 def sources_list_scan(spark, sf_dir):
-    """A list file: a comment before every source, blanks around it."""
-    n = table(spark, sf_dir, "nation").orderBy("n_nationkey")
-    lines = n.select(F.explode(F.array(F.lit("# nation"), F.concat(F.lit("  http://n.org/"), "n_nationkey", F.lit(" ")))).alias("value"))
-    return files.read_sources_list(spark, f"{_text(lines, spark, 'list', one=True)}/part-*")
+    """A list file of suppliers: a comment before every source, blanks around it."""
+    s = table(spark, sf_dir, "supplier").orderBy("s_suppkey")
+    lines = s.select(F.explode(F.array(F.lit("# supplier"), F.concat(F.lit("  http://s.org/"), "s_suppkey", F.lit(" ")))).alias("value"))
+    return files.read_sources_list(spark, f"{_text(lines, spark, 'list', one=True)}/part-*").select(F.col("ordinal").cast("int"), "uri")
 
 
 @query("directory_scan", "select 'n_regionkey=' || n_regionkey as folder, 1::bigint as files from nation group by n_regionkey")

@@ -27,12 +27,33 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "DROPMAL
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 1), line of text files, blank lines included."""
+_LINE = "file string, block long, line_no long, line string"
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, line_no (from 1), line of text files, blank lines included; files are read in splits of any size.
+
+    Lines are counted by split, the counts summed along each file (as many rows as there are splits), and each
+    split's lines numbered where they lie: no file is one row or one task's. Rows of a split (its place in the
+    file is ``block``) follow each other in order within one partition. Both passes read by one plan of one
+    listing; should the splits still be dealt otherwise, the read fails instead of numbering wrongly.
+    """
     if not _matches(spark, path):
-        return spark.createDataFrame([], "file string, line_no int, line string")
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select("file", (F.col("at") + 1).alias("line_no"), "line")
+        return spark.createDataFrame([], _LINE)
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    counts = read.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    along = Window.partitionBy("file").orderBy("block")
+    starts = counts.select("file", "block", "first", (F.sum("n").over(along) - F.col("n")).alias("before"))
+    # One row a split: the bytes over the largest size of a split, and the number of files, bound it.
+    met = read.join(F.broadcast(starts), ["file", "block"], "left")
+    moved = F.col("first").isNull() | (F.shiftright("at", 33) != F.shiftright("first", 33))
+    number = F.when(moved, F.raise_error(F.lit("the splits of the files have changed while they were read")).cast("long")).otherwise(F.col("before") + F.col("at") - F.col("first") + 1)
+    return met.select("file", "block", number.alias("line_no"), "line")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1), line of text files, blank lines included; a carriage return ends with its line."""
+    return split_lines(spark, path).select("file", "line_no", F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def read_jsonl_numbered(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
