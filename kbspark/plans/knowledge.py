@@ -6,6 +6,7 @@ the driver's tables as a knowledge base.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from kbspark.functions import scalars as S
@@ -15,7 +16,7 @@ from kbspark.operators.reasoning import Rules, shared_path
 from kbspark.plans.catalogue import query, table
 from kbspark.sinks import notes
 from kbspark.sources import files, python_sources, yaml_files
-from kbspark.streaming import runs
+from kbspark.streaming import runs, schedule
 
 _NONE = "array<string>"
 
@@ -863,4 +864,39 @@ def stream_rules(spark, sf_dir):
     log = shared_path(spark, "fired")
     rules = [("opened", "event_type = 'step_started'", "notify"), ("spent", "event_type = 'cost_increment' and tokens_delta > 4", "log")]
     runs.run_rules(spark.readStream.schema(runs.model.EVENTS).json(_log(spark, sf_dir)), rules, "events", log, shared_path(spark, "offsets")).awaitTermination()
-    return spark.read.json(log).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return files.read_jsonl(spark, log, "rule_id string").groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "silence_rules",
+    """
+    with e as (select 'view' as rule_id, user_id, ts from events where event_type = 'view' union all select 'any', user_id, ts from events),
+    n as (select *, lead(ts) over (partition by rule_id, user_id order by ts) as next, (select max(ts) from events) - interval 1 hour as mark from e),
+    g as (select *, case when rule_id = 'view' then interval 36 hours else interval 12 hours end as gap from n)
+    select rule_id, user_id::varchar as who, epoch_us(ts) as last_us, epoch_us(ts + gap) as fired_us from g where case when next is null then ts + gap <= mark else next > ts + gap end""",
+)
+def silence_rules(spark, sf_dir):
+    """Users who are silent too long, by event-time timers; the stream is stopped halfway and goes on from its checkpoint."""
+    e, path, out = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("who"), "event_type", F.col("ts").alias("at")), shared_path(spark, "events"), shared_path(spark, "fired")
+    middle = e.agg(F.percentile_approx("at", 0.5).alias("m")).first().m
+    rules = [schedule.Silence("view", "event_type = 'view'", 36 * 3600), schedule.Silence("any", "true", 12 * 3600)]
+    offsets = shared_path(spark, "offsets")
+    for part in (e.filter(F.col("at") <= middle), e.filter(F.col("at") > middle)):
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(e.schema).parquet(path)
+        schedule.run_silences(stream, rules, "who", "at", out, offsets, late="1 hour").awaitTermination()
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return files.read_jsonl(spark, out, "rule_id string, key string, last_at string, fired_at string").select("rule_id", F.col("key").alias("who"), us("last_at").alias("last_us"), us("fired_at").alias("fired_us"))
+
+
+@query("log_of_batches", "select o_orderkey, o_orderstatus from orders where o_orderkey % 3 <> 2")
+def log_of_batches(spark, sf_dir):
+    """A log of appended batches: one of them replayed, one that fails midway and leaves nothing."""
+    o, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), shared_path(spark, "log")
+    for k in (0, 1, 1):
+        notes.append_jsonl(o.filter(F.col("o_orderkey") % 3 == k), path, f"part-{k}")
+    try:
+        notes.append_jsonl(o.filter("o_orderkey % 3 = 2").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 101 == 50, F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("o_orderstatus"))), path)
+    except PySparkException:
+        pass
+    return files.read_jsonl(spark, path, "o_orderkey long, o_orderstatus string", "FAILFAST")

@@ -10,6 +10,7 @@ import json
 import os
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,27 @@ from pyspark.sql import functions as F
 START, END = "<!-- kb:generated:start -->", "<!-- kb:generated:end -->"
 
 
-def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def append_jsonl(df: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Appends rows to the log ``path`` as one unit, in two phases; whether they were appended.
+
+    Tasks write lines into a staging folder that readers pass over; when all have, one rename puts it into the
+    log. A failing task leaves the log as it was and nothing behind. A ``batch`` that the log holds is not
+    appended again, so a replayed one counts once. Needs a file system whose renames are atomic.
+    """
+    spark, name = df.sparkSession, batch or f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    top, target, staged = path_of(path), path_of(path, f"batch-{name}"), path_of(path, f"_staging-{uuid.uuid4().hex}")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        return False
+    try:
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").json(staged.toString())
+        if not fs.rename(staged, target):
+            raise OSError(f"cannot put a batch into {path}")
+    finally:
+        fs.delete(staged, True)
+    # Where another writer of the same batch was faster, the rename ends inside its folder, unseen by readers.
+    return not fs.delete(path_of(target, staged.getName()), True)
 
 
 def overwrite_jsonl(df: DataFrame, path: str) -> None:

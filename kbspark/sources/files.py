@@ -21,10 +21,10 @@ def _matches(spark: SparkSession, path: str) -> bool:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "DROPMALFORMED") -> DataFrame:
-    """JSON lines; ``mode``: DROPMALFORMED drops bad lines, FAILFAST raises at the first one."""
+    """JSON lines of files and of the batches of a log; ``mode``: DROPMALFORMED drops bad lines, FAILFAST raises at the first one."""
     if not _matches(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", mode).json(path)
+    return spark.read.schema(schema).option("mode", mode).option("recursiveFileLookup", "true").json(path)
 
 
 _LINE = "file string, block long, line_no long, line string"
@@ -40,7 +40,7 @@ def split_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     if not _matches(spark, path):
         return spark.createDataFrame([], _LINE)
-    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    read = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     counts = read.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     along = Window.partitionBy("file").orderBy("block")
     starts = counts.select("file", "block", "first", (F.sum("n").over(along) - F.col("n")).alias("before"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kbspark import model
 
@@ -29,20 +27,11 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "
     return events.withWatermark("at", late).groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("n"))
 
 
-def _pair(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    starts, ends = state.get if state.exists else (0, 0)
-    for pdf in batches:
-        starts += int((pdf["event_type"] == "step_started").sum())
-        ends += int(pdf["event_type"].isin(["step_finished", "step_aborted"]).sum())
-    state.update((starts, ends))
-    yield pd.DataFrame({"run_id": [key[0]], "step_id": [key[1]], "starts": [starts], "ends": [ends], "open": [starts > ends]})
-
-
 def step_stream(events: DataFrame) -> DataFrame:
     """Starts and ends of each step so far (update mode); state is two counters a step."""
     steps = events.filter("step_id is not null and event_type in ('step_started', 'step_finished', 'step_aborted')")
-    out = "run_id string, step_id string, starts bigint, ends bigint, open boolean"
-    return steps.select("run_id", "step_id", "event_type").groupBy("run_id", "step_id").applyInPandasWithState(_pair, out, "starts bigint, ends bigint", "update", GroupStateTimeout.NoTimeout)
+    starts, ends = F.count_if(F.col("event_type") == "step_started"), F.count_if(F.col("event_type") != "step_started")
+    return steps.groupBy("run_id", "step_id").agg(starts.alias("starts"), ends.alias("ends"), (starts > ends).alias("open"))
 
 
 def dedup_stream(seeds: DataFrame, key: str = "content_hash", at: str | None = None, late: str = "1 day") -> DataFrame:
@@ -51,11 +40,15 @@ def dedup_stream(seeds: DataFrame, key: str = "content_hash", at: str | None = N
 
 
 def run_rules(changes: DataFrame, rules: list[tuple[str, str, str]], table: str, log_path: str, checkpoint: str):
-    """Fires event-condition-action rules on each micro-batch and appends the log; returns the started query."""
+    """Fires event-condition-action rules on each micro-batch and appends the log, a replayed batch once; returns the started query."""
     from kbspark.operators.archive import fire_rules
+    from kbspark.sinks.notes import append_jsonl
+
+    # One log may serve several streams: batches are named after the checkpoint, too.
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def each(batch: DataFrame, epoch: int) -> None:
-        fire_rules(batch, rules, table).withColumn("fired_at", F.current_timestamp()).withColumn("epoch", F.lit(epoch)).write.mode("append").json(log_path)
+        append_jsonl(fire_rules(batch, rules, table).withColumn("fired_at", F.current_timestamp()).withColumn("epoch", F.lit(epoch)), log_path, f"{stream}-{epoch:012d}")
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
