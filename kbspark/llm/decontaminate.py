@@ -16,7 +16,7 @@ the parts, and documents are read whole, once, and never shuffled.
 
 Defined cases: null and empty texts and items match nothing; repeated documents and items give repeated
 rows; a question of fewer than five words is one shingle, of its own length; words in order stand in for
-shingles of questions of up to two pieces; an empty table on either side gives an empty result; extra columns
+shingles, in runs of two pieces; an empty table on either side gives an empty result; extra columns
 are ignored. Passages are two pieces long and begin every piece.
 """
 
@@ -133,13 +133,37 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), owner
 
 
+def in_order(question: list[str], words: list[str]) -> int:
+    """Words of the question that ``words`` hold in order, in runs of two or more.
+
+    A question of more than two pieces is compared run by run, each where most of its word pairs are found (else
+    where the run before it was): the work grows with its length, and no length changes what is found.
+    """
+    most = 2 * PIECE
+    runs = pieces_of(question, most)
+    places: dict[tuple[str, str], list[int]] = {}
+    if len(runs) > 1:
+        for j, pair in enumerate(zip(words, words[1:])):
+            places.setdefault(pair, []).append(j)
+    found = at = shift = 0
+    for run in runs:
+        near = words
+        if len(runs) > 1:
+            shifts = Counter(j - at - i for i, pair in enumerate(zip(run, run[1:])) for j in places.get(pair, ())[:most])
+            shift = min(shifts, key=lambda s: (-shifts[s], abs(s - shift))) if shifts else shift
+            near = words[max(0, at + shift - PIECE) : max(0, at + shift + len(run) + PIECE)]
+        found += sum(b.size for b in SequenceMatcher(None, run, near, autojunk=False).get_matching_blocks() if b.size > 1)
+        at += len(run)
+    return found
+
+
 def overlaps(words: list[str], question: list[str], answer: list[str]) -> tuple[float, float]:
     """Shares of the question (its shingles among ``words``, or its words in order) and of the answer's words."""
     n = min(SHINGLE, max(1, len(question)))
     asked = shingles(question, n)
     q = len(asked & shingles(words, n)) / len(asked) if asked else 0.0
-    if q < QUESTION and 0 < len(question) <= 2 * PIECE:
-        order = sum(b.size for b in SequenceMatcher(None, question, words, autojunk=False).get_matching_blocks() if b.size > 1) / len(question)
+    if q < QUESTION and question:
+        order = in_order(question, words) / len(question)
         q = max(q, order) if order >= IN_ORDER else q
     told = set(words)
     return q, sum(w in told for w in answer) / len(answer) if answer else 0.0
@@ -168,12 +192,17 @@ class _Batch:
         pairs = np.union1d(own, own[(own // v > 0)] - v)
         passage, item, score = index.retrieve(pairs % v, pairs // v)
         best: dict[tuple[int, int], tuple] = {}
+        seen: dict[tuple[int, int, int], tuple[float, float]] = {}
         for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist()):
             doc = int(self.owner[p])
             at, (question, answer, length) = (p - int(self.first[doc])) * PIECE, split[i]
             reach = PIECE + max(0, length - PIECE)
-            q, a = overlaps(self.words[doc][max(0, at - reach) : at + 2 * PIECE + reach], question, answer)
-            key = (doc, index.items[i][0])
+            # All pieces of a long item lead to the same few places of a document: each is looked at once.
+            grid = PIECE * max(1, length // (4 * PIECE))
+            at, key = at // grid * grid, (doc, index.items[i][0])
+            if (*key, at) not in seen:
+                seen[*key, at] = overlaps(self.words[doc][max(0, at - reach) : at + grid + PIECE + reach], question, answer)
+            q, a = seen[*key, at]
             if q >= QUESTION and a >= ANSWER and (s, q, a) > best.get(key, (-1.0,))[:3]:
                 best[key] = (s, q, a, index.items[i][1], float(index.threshold[i]))
         for (doc, _), (s, q, a, item_id, threshold) in best.items():
@@ -209,8 +238,8 @@ def _search(parts: list):
     return run
 
 
-_PIECES = "row long, item_id long, text string, piece int, words array<string>, counts array<int>"
-_PIECES_ARROW = pa.schema([("row", pa.int64()), ("item_id", pa.int64()), ("text", pa.string()), ("piece", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+_PIECES = "row long, item_id long, piece int, words array<string>, counts array<int>"
+_PIECES_ARROW = pa.schema([("row", pa.int64()), ("item_id", pa.int64()), ("piece", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
 
 
 def _cut(batches):
@@ -219,7 +248,7 @@ def _cut(batches):
         for row, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "item_id", "text"))):
             for at, words in enumerate(pieces_of(words_of(text))):
                 counts = Counter(words)
-                for k, v in zip(out, (row, item_id, text, at, list(counts), list(counts.values()))):
+                for k, v in zip(out, (row, item_id, at, list(counts), list(counts.values()))):
                     out[k].append(v)
         yield to_batch(out, _PIECES_ARROW)
 
@@ -236,12 +265,14 @@ def build_index(benchmark: DataFrame, share: float = SHARE):
     flat = pieces.select("row", "piece", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", "piece", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     df = flat.groupBy("word").agg(F.count("*").alias("df"))
     terms = flat.join(df, "word").groupBy("row", "piece").agg(F.collect_list(F.struct("word", "c", "df")).alias("terms"))
-    ready = materialise(pieces.select("row", "piece", "item_id", "text").join(terms, ["row", "piece"]), "ready")
+    ready = materialise(pieces.select("row", "piece", "item_id").join(terms, ["row", "piece"]), "ready")
     parts = max(1, -(-size.n // PART_PIECES), -(-size.postings // PART_POSTINGS))
     for part in range(parts):
         # About a part's bound of rows is on the driver at a time.
-        rows = ready.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == part).collect()
-        rows = sorted(((r.row, r.piece, r.item_id, r.text, {t.word: (t.c, t.df) for t in r.terms}) for r in rows), key=lambda r: r[:2])
+        mine = F.pmod(F.xxhash64("row"), F.lit(parts)) == part
+        # An item's text once; all its pieces name it.
+        texts = {r.row: r.text for r in items.filter(mine).select("row", "text").toLocalIterator()}
+        rows = sorted(((r.row, r.piece, r.item_id, texts[r.row], {t.word: (t.c, t.df) for t in r.terms}) for r in ready.filter(mine).toLocalIterator()), key=lambda r: r[:2])
         if rows:
             yield Index([(r[0], *r[2:]) for r in rows], size.n, size.words / size.n, share)
     discard(items, pieces, ready)
@@ -253,7 +284,13 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE)
     small_batches(spark)
     docs = documents.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     parts = [spark.sparkContext.broadcast(x) for x in build_index(benchmark, share)]
-    return docs.mapInArrow(_search(parts), _SCHEMA) if parts else spark.createDataFrame([], _SCHEMA)
+    if not parts:
+        return spark.createDataFrame([], _SCHEMA)
+    # Leaks are few: written, so that the index leaves the cluster with this call.
+    found = materialise(docs.mapInArrow(_search(parts), _SCHEMA), "leaks")
+    for part in parts:
+        part.destroy()
+    return found
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

@@ -167,3 +167,26 @@ def test_links_outside_what_is_hidden(spark):
     pages = spark.createDataFrame([(f"http://s{i}.com/", h) for i, h in enumerate(html)], "url string, html string")
     found = {(r.src, r.dst) for r in urlfilter.link_edges(pages).collect()}
     assert found == {("s0.com/", "s0.com/a"), ("s1.com/", "s1.com/b"), ("s2.com/", "s2.com/c"), ("s3.com/", "s3.com/d"), ("s4.com/", "s4.com/e"), ("s6.com/", "s6.com/f")}
+
+
+@pytest.mark.parametrize("n", [20, 120, 128, 129, 130, 500, 5000])
+def test_edited_questions_of_any_length(n):
+    """Every eighth word replaced, some left out: found at every length, and random words at none."""
+    r = random.Random(n)
+    question = [f"w{r.randrange(400)}" for _ in range(n)]
+    edited = ["other" if i % 8 == 4 else w for i, w in enumerate(question)]
+    for lead in (0, 37, 300):
+        around = [f"v{r.randrange(99)}" for _ in range(lead)]
+        assert decontaminate.overlaps(around + edited + around, question, ["w1"])[0] >= 0.85
+        assert decontaminate.overlaps(around + [w for i, w in enumerate(question) if i % 40 != 7] + around, question, ["w1"])[0] >= 0.85
+    assert decontaminate.overlaps([f"w{r.randrange(400)}" for _ in range(n)], question, ["w1"])[0] < 0.5
+
+
+def test_a_long_item_is_held_once(spark):
+    import pickle
+
+    text = words(5, 25_000) + " Answer words here."
+    bench = spark.createDataFrame([(1, text), (2, "What is asked here of all? The answer.")], "item_id long, text string")
+    parts = list(decontaminate.build_index(bench))
+    assert sum(len(x.items) for x in parts) > 390 and sum(len(pickle.dumps(x)) for x in parts) < 30 * len(text)
+    assert [r.item_id for r in decontaminate.find_leaks(spark.createDataFrame([(7, "x " + text)], "doc_id long, text string"), bench).collect()] == [1]
