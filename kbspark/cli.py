@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kbspark import model
 from kbspark.functions.scalars import iri_local as _local
-from kbspark.operators import alignment, archive, compile as comp, dispatch, evidence, governance, lifting, maintain, materialise as mat, reasoning, registry
+from kbspark.operators import alignment, archive, compile as comp, dispatch, evidence, governance, labels, lifting, maintain, materialise as mat, reasoning, registry
 from kbspark.operators.reasoning import Rules
 from kbspark.sinks import notes
 from kbspark.sources import files, python_sources, yaml_files
@@ -191,6 +191,11 @@ def reason(spark: SparkSession, at: Layout, a) -> int:
 
 def scan(spark: SparkSession, at: Layout, a) -> int:
     ents, seeds = records(spark, at, "entities"), seeds_of(spark, at)
+    if a.check:
+        own = ents.withColumn("cluster", F.col("dir_cluster"))
+        found = labels.length_findings(own) if a.check == "length" else labels.redundancy_findings(own)
+        show(found.orderBy("cluster", "kind", "id"))
+        return 0
     md = note_files(spark, at, "registry")
     if a.kind in ("drift", "all"):
         show(maintain.sorted_findings(maintain.drift(ents, md, seeds)))
@@ -380,7 +385,7 @@ def parser() -> argparse.ArgumentParser:
     command("registry", "list", registry_list, o("--cluster"), o("--kind", choices=("entity", "relation", "instance")))
     command("registry", "overlap", overlap, o("--jaccard-max", type=float, default=0.7))
     command("reason", "", reason, o("--domain"), apply)
-    command("maintain", "scan", scan, o("--kind", choices=("drift", "orphan", "eval", "alignment", "all"), default="all"))
+    command("maintain", "scan", scan, o("--kind", choices=("drift", "orphan", "eval", "alignment", "all"), default="all"), o("--check", choices=("length", "redundancy")))
     command("maintain", "report", report, o("--since"))
     command("archive", "query", query, o("--sql", required=True))
     command("archive", "export", export, o("--table", nargs="+", required=True), apply)

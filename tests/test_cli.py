@@ -41,6 +41,8 @@ def test_reason_and_scan(spark, tmp_path, capsys):
     (reg / "entities.jsonl").write_text(json.dumps({"id": "entity:a", "label": "A", "cluster": "c1", "status": "accepted", "md_path": "ontology/explain/c1/a.md", "source_refs": []}) + "\n")
     kinds = [json.loads(x)["kind"] for x in run(capsys, tmp_path, "maintain", "scan", "--kind", "drift")[1].splitlines()]
     assert kinds == ["jsonl_without_md"]
+    assert [json.loads(x)["kind"] for x in run(capsys, tmp_path, "maintain", "scan", "--check", "length")[1].splitlines()] == ["label_too_short"]
+    assert run(capsys, tmp_path, "maintain", "scan", "--check", "redundancy")[1] == ""
     assert run(capsys, tmp_path, "registry", "overlap")[0] == 1
     assert '"evidence_coverage":0.0' in run(capsys, tmp_path, "maintain", "scan", "--kind", "eval")[1]
 
