@@ -5,8 +5,9 @@ of the label before a colon, bracket or dash) and through line features: the lin
 length class, whether it asks, whether it is a list or code line, and whether a row of the transcript begins
 with it. The model is counted from labelled conversations as they are (texts and roles, no marker is ever
 made from a role); that a marker of a role's class opens a turn of this role is a prior of MARKER_PRIOR
-counts. Scores are integers (log-probabilities scaled and rounded), so decoding is exact and does not depend
-on how a transcript is split. Roles are never read when a transcript is parsed.
+counts. Scores are integers (log-probabilities scaled and rounded), so decoding is exact, and each block is told how the
+line before it ends: the best turns do not depend on how a transcript is split (of equally good ones any may be
+taken). Roles are never read when a transcript is parsed.
 
 A transcript is decoded in blocks of consecutive lines, one max-plus transfer matrix for each block: blocks
 of one transcript lie in different tasks, the matrices (one small row for each block) are chained to give
@@ -24,10 +25,11 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.llm.common import discard, materialise, small_batches, to_batch
@@ -197,9 +199,12 @@ def _runs(batches, keys: tuple[str, ...]):
 
 
 def _lines(rows: list[dict], rows_begin: bool) -> tuple[list[tuple[int, str]], list[tuple[str, ...]]]:
-    """((row, text of a line) in order, features) of a block; ``rows_begin``: whether a line's place in its row is observed."""
+    """((row, text of a line) in order, features) of a block; ``rows_begin``: whether a line's place in its row is observed.
+
+    The column ``blank`` says whether the line before the block is empty.
+    """
     out, seen = [], []
-    blank = False
+    blank = bool(rows[0]["blank"])
     for i, row in enumerate(rows):
         for at, line in enumerate((row["text"] or "").split("\n")):
             features, rest = observe(line, blank)
@@ -214,12 +219,14 @@ def _count_events(batches):
     counts: dict[tuple, int] = {}
     for _, rows in _runs(batches, _KEY):
         last = None
-        for row in rows:
-            lines, seen = _lines([row], True)
+        lines, seen = _lines(rows, True)
+        sizes, at = Counter(i for i, _ in lines), 0
+        for i, row in enumerate(rows):
+            own, at = seen[at : at + sizes[i]], at + sizes[i]
             if row["role"] not in ROLES:
                 last = None
                 continue
-            for s, features in zip(states_of(row["role"], len(lines)), seen):
+            for s, features in zip(states_of(row["role"], len(own)), own):
                 key = ("move", last, s, "") if last is not None else ("start", s, s, "") if row["first"] else None
                 if key:
                     counts[key] = counts.get(key, 0) + 1
@@ -236,7 +243,7 @@ def _in_order(rows: DataFrame) -> DataFrame:
 
 
 def _blocked(transcripts: DataFrame) -> DataFrame:
-    """Rows with the key of their block (_KEY), ``h`` (order within a turn) and ``first`` (of the transcript's first block), written.
+    """Rows with the key of their block (_KEY), ``h`` (order within a turn), ``first`` (of the transcript's first block) and ``blank`` (the line before the block is empty), written.
 
     A block is BLOCK turns; where these have more than CROWDED rows, a turn is blocks of its own, by ranges of h.
     """
@@ -250,9 +257,17 @@ def _blocked(transcripts: DataFrame) -> DataFrame:
     share = (F.shiftright("h", 32) + F.lit(2**31)) / F.lit(2.0**32)
     rows = rows.withColumn("sub", F.when(F.col("n").isNull(), 0).otherwise(F.floor(share * F.ceil(F.col("n") / CROWDED)))).drop("n")
     rows = materialise(rows.withColumn("sub", F.col("sub").cast("long")), "rows")
-    lowest = rows.groupBy(F.col("conv_id").alias("its_conv_id")).agg(F.min(F.struct("tb", "at", "sub")).alias("lowest"))
-    rows = rows.join(materialise(lowest, "lowest"), same("conv_id")).withColumn("first", F.struct("tb", "at", "sub") == F.col("lowest"))
-    return materialise(rows.drop("its_conv_id", "lowest"), "blocks")
+    # One row a block: how its last line ends, told to the next block of the transcript.
+    ends = rows.groupBy(*_KEY).agg(F.max_by(_ends_blank(F.col("text")), F.struct(F.col("turn").isNotNull(), "turn", "h")).alias("blank"))
+    before = F.lag("blank").over(Window.partitionBy("conv_id").orderBy("tb", "at", "sub"))
+    ends = ends.select(*(F.col(k).alias(f"its_{k}") for k in _KEY), before.alias("blank"))
+    rows = rows.join(materialise(ends, "lowest"), same(*_KEY)).drop(*(f"its_{k}" for k in _KEY))
+    return materialise(rows.withColumn("first", F.col("blank").isNull()).withColumn("blank", F.coalesce("blank", F.lit(False))), "blocks")
+
+
+def _ends_blank(text: Column) -> Column:
+    """Whether the last line is white space only, as Python sees it."""
+    return F.substring_index(F.coalesce(text, F.lit("")), "\n", -1).rlike(r"(?U)^[\s\x1c-\x1f]*\z")
 
 
 def fit(conversations: DataFrame) -> Model:

@@ -190,3 +190,22 @@ def test_a_long_item_is_held_once(spark):
     parts = list(decontaminate.build_index(bench))
     assert sum(len(x.items) for x in parts) > 390 and sum(len(pickle.dumps(x)) for x in parts) < 30 * len(text)
     assert [r.item_id for r in decontaminate.find_leaks(spark.createDataFrame([(7, "x " + text)], "doc_id long, text string"), bench).collect()] == [1]
+
+
+def test_turns_do_not_depend_on_cuts(spark, monkeypatch):
+    """One transcript with blank lines at its rows' ends, cut anywhere: the rows found are those of the uncut one."""
+    r = random.Random(4)
+    lines = ["How is that done?", "User: why?", "- so", "", "It is done like this, step by step, and then again.", "ok", "Assistant: yes", " ", "bot> no"]
+    rows = [(1, i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 5))) + r.choice(["", "\n", "\n "])) for i in range(150)] + [(None, 3, None), (None, None, "x\n"), (2, 5, "\n")]
+    labelled = [(c, t, x, ("user", "assistant")[t % 2]) for c in range(9) for t, x in enumerate(["What is it?", "It is this.\n", "And then?\n\n", "Then:\n- a\n- b"])]
+    model = transcripts.fit(spark.createDataFrame(labelled, "conv_id long, turn long, text string, role string"))
+
+    def parsed(shift=0, **cuts):
+        for k, v in cuts.items():
+            monkeypatch.setattr(transcripts, k, v)
+        frame = spark.createDataFrame([(c, None if t is None else t + shift, x) for c, t, x in rows], "conv_id long, turn long, text string")
+        return sorted(((x.conv_id, None if x.turn is None else x.turn - shift, *x[2:]) for x in transcripts.parse(frame, model).collect()), key=str)
+
+    whole = parsed(BLOCK=1 << 40, CROWDED=1 << 40)
+    for cuts in ({"BLOCK": 64, "CROWDED": 256}, {"BLOCK": 64, "CROWDED": 256, "shift": 32}, {"BLOCK": 64, "shift": 1}, {"BLOCK": 2, "CROWDED": 1}, {"BLOCK": 1}, {"BLOCK": 64, "CROWDED": 2}):
+        assert parsed(**cuts) == whole
