@@ -4,7 +4,8 @@ Base kinds: ``assign`` (a credential name, a separator and a value), ``access``
 (long hexadecimal runs). The method adds ``random``: runs of credential characters that a public tiktoken
 vocabulary needs many tokens for, once known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512, CRC
 runs), UUIDs, plain words, numbers and file or version identifiers are excluded. Runs without a digit are
-tested like others; those of one case, with or without a capital first letter, count as plain words.
+tested like others. A part of 16 or more letters of one case, with or without a capital first letter, is a word only
+if the vocabulary needs few enough tokens for it: its bound is a little lower, as rare words stand close to it.
 Every span is reported, so base and random spans may overlap.
 
 Defined cases: null and empty texts have no spans and the digest of the empty string; texts of any length
@@ -41,6 +42,9 @@ _CAMEL_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _HAS_LETTER = re.compile(r"[A-Za-z]")
 #: Below this many characters a token a run counts as random.
 CHARS_PER_TOKEN = 1.9
+#: Letters from which a run of one case is not a word by its looks, and the ratio from which it is one.
+LONG_WORD, WORD_CHARS_PER_TOKEN = 16, 1.8
+_LETTERS = re.compile(r"[A-Za-z]+")
 
 _SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 _ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -56,8 +60,12 @@ def _encoding(path: str):
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _identifier(bare: str) -> bool:
-    return all(_PART.fullmatch(part) for part in _SEPARATORS.split(bare))
+def _identifier(bare: str, encoding) -> bool:
+    parts = _SEPARATORS.split(bare)
+    if not all(_PART.fullmatch(part) for part in parts):
+        return False
+    long = [m[0] for part in parts if (m := _LETTERS.match(part)) and len(m[0]) >= LONG_WORD]
+    return all(len(w) >= WORD_CHARS_PER_TOKEN * len(encoding.encode_ordinary(w)) for w in long)
 
 
 def _camel(bare: str) -> bool:
@@ -71,12 +79,12 @@ def _camel(bare: str) -> bool:
     return all(w.isalpha() and len(w) >= (2 if w.isupper() or w.islower() else 3) for w in words)
 
 
-def excluded(run: str) -> bool:
+def excluded(run: str, encoding) -> bool:
     """Known digests, UUIDs, numbers, words and identifiers: inefficient to encode, but no secrets."""
     bare = run.strip("=-_/+")
     if len(bare) < 16 or not _HAS_LETTER.search(bare):
         return True
-    return bool(_UUID.match(bare) or _identifier(bare) or _camel(bare) or (_DIGEST.match(bare) and len(bare) in _DIGEST_SIZES))
+    return bool(_UUID.match(bare) or _identifier(bare, encoding) or _camel(bare) or (_DIGEST.match(bare) and len(bare) in _DIGEST_SIZES))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -89,7 +97,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def random_spans(text: str, encoding, least: float = CHARS_PER_TOKEN) -> list[tuple[int, int, str]]:
     """Spans of runs whose characters-per-token ratio is under ``least`` and that are not excluded."""
-    runs = [m for m in _RUN.finditer(text) if not excluded(m[0])]
+    runs = [m for m in _RUN.finditer(text) if not excluded(m[0], encoding)]
     return [(m.start(), m.end(), "random") for m in runs if len(m[0]) < least * len(encoding.encode_ordinary(m[0]))]
 
 

@@ -209,3 +209,16 @@ def test_turns_do_not_depend_on_cuts(spark, monkeypatch):
     whole = parsed(BLOCK=1 << 40, CROWDED=1 << 40)
     for cuts in ({"BLOCK": 64, "CROWDED": 256}, {"BLOCK": 64, "CROWDED": 256, "shift": 32}, {"BLOCK": 64, "shift": 1}, {"BLOCK": 2, "CROWDED": 1}, {"BLOCK": 1}, {"BLOCK": 64, "CROWDED": 2}):
         assert parsed(**cuts) == whole
+
+
+def test_random_runs_of_one_case():
+    """Letters of one case are judged by the ratio, too; words of the documents and names made of words are not hit. Figures are in the README."""
+    import string
+
+    import public_tokenizers
+
+    e, r = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(8)
+    found = lambda runs: sum(bool(secrets.random_spans(f"k {x} z", e)) for x in runs) / len(runs)
+    for alphabet, n, least in ((string.ascii_lowercase, 16, 0.5), (string.ascii_lowercase, 32, 0.6), (string.ascii_uppercase, 16, 0.75), (string.ascii_uppercase, 32, 0.97)):
+        assert found(["".join(r.choices(alphabet, k=n)) for _ in range(400)]) >= least, (alphabet, n)
+    assert [bool(secrets.random_spans(x, e)) for x in ("xkqzvbnmwprtyhgfdsljcqx", "QXZKJVWPMNBRTYHGFDSL", "Xkqzvbnmwprtyhgfdsljcqx", "internationalization", "INTERNATIONALIZATION", "my_internationalization_2")] == [True] * 3 + [False] * 3
