@@ -94,7 +94,21 @@ def evidence_chunk_window(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(windows(F.col("text"), 1200, 100)).alias("chunk_index", "c")).select("doc_id", "chunk_index", S.content_hash(F.col("c")).alias("content_hash"))
 
 
-@query("evidence_chunk_full")
+#: The chunker as folds over lists: a buffer is the last element of what is gathered.
+CHUNKS_SQL = """
+    with d as (select doc_id, source, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) as t from documents),
+    p as (select doc_id, source, k, unnest(ps) as p, generate_subscripts(ps, 1) as pos from (select row_number() over () as k, doc_id, source, list_filter(list_transform(string_split_regex(t, '\\n\\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as ps from d)),
+    s as (select *, list_filter(list_transform(string_split(regexp_replace(p, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as ss from p),
+    cut as (select doc_id, source, k, pos, case
+        when length(p) <= 1200 then [p]
+        when len(ss) > 1 then list_reduce(list_transform(ss, lambda x: [x]), lambda a, x: case when length(a[-1]) + 1 + length(x[1]) <= 1200 then list_concat(a[:-2], [a[-1] || ' ' || x[1]]) else list_concat(a, x) end)
+        else list_transform(range(ceil((length(p) - 1200) / 1100.0)::int + 1), lambda i: substr(p, (i * 1100 + 1)::int, 1200)) end as parts from s),
+    flat as (select doc_id, source, k, flatten(list(parts order by pos)) as parts from cut group by doc_id, source, k),
+    merged as (select doc_id, source, k, list_reduce(list_transform(parts, lambda x: [x]), lambda a, x: case when length(a[-1]) < 300 then list_concat(a[:-2], [a[-1] || ' ' || x[1]]) else list_concat(a, x) end) as cs from flat),
+    chunks as (select doc_id, source, len(cs) as total, unnest(list_transform(range(len(cs)), lambda i: cs[i + 1] || coalesce(' ' || substr(cs[i + 2], 1, 100), ''))) as c, unnest(range(len(cs))) as i from merged)"""
+
+
+@query("evidence_chunk_full", f"{CHUNKS_SQL} select doc_id, i::int as chunk_index, length(c)::int as n, 'sha256:' || sha256(c) as content_hash from chunks")
 def evidence_chunk_full(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.posexplode(chunk_text(F.col("text"))).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.length("c").alias("n"), S.content_hash(F.col("c")).alias("content_hash"))
@@ -191,11 +205,13 @@ _LABELS = ["HttpAdapter", "JobRunner", "appconfig", "VectorDB", "EventStore", "M
 
 @query(
     "code_symbol_type",
-    "with l(label) as (values " + ", ".join(f"('{x}')" for x in _LABELS) + ") select label, case "
+    "with n(label, pos) as (values " + ", ".join(f"('{x}', {i})" for i, x in enumerate(_LABELS)) + "), l as (select p_partkey, replace(p_name, ' ', '_') || '_' || label as label from part join n on pos = p_partkey % " + str(len(_LABELS)) + ") select p_partkey, label, case "
     + " ".join(f"when ends_with(lower(label), '{e}') then '{k}'" for e, k in S.SYMBOL_TYPES) + " else 'CodeSymbol' end as entity_type from l",
 )
 def code_symbol_type(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _LABELS], "label string").select("label", S.symbol_type(F.col("label")).alias("entity_type"))
+    """Parts as symbols: their names, each with the ending of a kind."""
+    ending = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("p_partkey") % len(_LABELS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), ending).alias("label")).withColumn("entity_type", S.symbol_type(F.col("label")))
 
 
 @query(
@@ -270,17 +286,17 @@ _COMPOSED = " ".join(f"when a.kind = '{a}' and b.kind = '{b}' then '{c}'" for a,
 @query(
     "morphism_compose",
     f"""
-    with e as (select distinct user_id as src, (user_id + event_id) % 150 as dst, {_KIND_SQL} as kind from events where event_type = 'signup'),
+    with e as (select distinct user_id as src, (user_id * 31 + event_id) % 5000 as dst, {_KIND_SQL} as kind from events),
     two as (select distinct a.src, b.dst, case {_COMPOSED} end as kind, b.src as via from e a join e b on a.dst = b.src),
     three as (select distinct a.src, b.dst, case {_COMPOSED} end as kind, b.src as via from (select distinct src, dst, kind from two) a join e b on a.dst = b.src)
     select hops, kind, count(*) as n, count(distinct via) as vias from (select 2 as hops, * from two union all select 3, * from three) group by hops, kind
     """,
 )
 def morphism_compose(spark, sf_dir):
-    """Signups as typed edges between users."""
-    ev = table(spark, sf_dir, "events").filter("event_type = 'signup'")
+    """Events as typed edges from users."""
+    ev = table(spark, sf_dir, "events")
     kind = F.element_at(F.array(*map(F.lit, graph.KINDS)), (F.col("event_id") % 4 + 1).cast("int"))
-    edges = ev.select(F.col("user_id").alias("src"), ((F.col("user_id") + F.col("event_id")) % 150).alias("dst"), kind.alias("kind"))
+    edges = ev.select(F.col("user_id").alias("src"), ((F.col("user_id") * 31 + F.col("event_id")) % 5000).alias("dst"), kind.alias("kind"))
     return graph.compose_edges(edges).groupBy("hops", "kind").agg(F.count("*").alias("n"), F.countDistinct("via").alias("vias"))
 
 
@@ -521,11 +537,19 @@ _ALIGNED = [
 ]
 
 
-@query("parent_alignment", "select * from (values " + ", ".join(f"('{r}', '{s}', {n}::bigint)" for r, s, n in _ALIGNED) + ") t(rule, severity, n)")
+@query("parent_alignment", "select rule, severity, n * (select count(*) from supplier) as n from (values " + ", ".join(f"('{r}', '{s}', {n}::bigint)" for r, s, n in _ALIGNED) + ") t(rule, severity, n)")
 def parent_alignment(spark, sf_dir):
-    """A small tree with one fault for each rule; what must be found was worked out by hand."""
+    """A small tree with one fault for each rule for every supplier; what must be found in one was worked out by hand."""
     schema = "dir string, name string, body string, level string, entity string, relations array<struct<type:string,target:string>>"
-    notes = spark.createDataFrame(_NOTES, schema).withColumn("stem", F.regexp_replace("name", r"\.md$", ""))
+    # Every folder and note of a supplier's tree carries its number; "unclassified" is a name of its own.
+    key = F.col("s_suppkey").cast("string")
+    whose = lambda c, pattern: F.regexp_replace(c, F.lit(pattern), F.concat(F.lit("$1"), key))
+    folder = F.when(F.col("dir") == "unclassified", F.concat(F.lit("s"), key, F.lit("/unclassified"))).otherwise(whose(F.col("dir"), "([a-z]+)"))
+    note = lambda c: F.when(c.rlike("__(class|hub)"), whose(c, r"^((?:\[\[)?[a-z]+)(?=__)")).otherwise(whose(c, r"^((?:\[\[)?[a-z_]+)"))
+    notes = spark.createDataFrame(_NOTES, schema).join(table(spark, sf_dir, "supplier").select("s_suppkey"))
+    rel = F.transform("relations", lambda r: F.struct(r["type"].alias("type"), note(r["target"]).alias("target")))
+    notes = notes.select(folder.alias("dir"), note(F.col("name")).alias("name"), F.when(F.col("body") == "", "").otherwise(note(F.col("body"))).alias("body"), "level", "entity", rel.alias("relations"))
+    notes = notes.withColumn("stem", F.regexp_replace("name", r"\.md$", ""))
     return alignment.scan(notes).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 

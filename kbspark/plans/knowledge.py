@@ -13,7 +13,7 @@ from kbspark.functions import scalars as S
 from kbspark.functions import sql as fsql
 from kbspark.operators import archive, compile as comp, evidence, governance, lifting, maintain, materialise, provenance, reasoning, registry
 from kbspark.operators.reasoning import Rules, shared_path
-from kbspark.plans.catalogue import query, table
+from kbspark.plans.catalogue import CHUNKS_SQL, query, table
 from kbspark.sinks import notes
 from kbspark.sources import files, python_sources, yaml_files
 from kbspark.streaming import runs, schedule
@@ -369,16 +369,10 @@ def graph_lift(spark, sf_dir):
     return out.unionByName(rels.select(F.lit("relation").alias("kind"), F.col("candidate_id").alias("id"), F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b"), F.col("evidence_spans")[0].alias("span")).distinct())
 
 
-@query(
-    "chunk_totals",
-    """with p as (select doc_id, source, list_filter(list_transform(string_split_regex(trim(coalesce(text, ''), ' ' || chr(10)), '\\n\\n+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') as ps from documents where length(text) < 1200)
-       select doc_id, source, 0::int as chunk_index, 1::int as chunk_total from p where len(ps) = 1""",
-)
+@query("chunk_totals", f"{CHUNKS_SQL} select doc_id, source, i::int as chunk_index, total::int as chunk_total from chunks")
 def chunk_totals(spark, sf_dir):
-    """Documents of one short paragraph are one chunk of one."""
-    docs = table(spark, sf_dir, "documents").filter("length(text) < 1200").select("doc_id", "source", "text")
-    one = docs.filter(F.size(F.filter(F.split(S.strip(F.col("text")), r"\n\n+"), lambda x: S.strip(x) != "")) == 1)
-    return evidence.chunk_documents(one).select("doc_id", "source", "chunk_index", "chunk_total")
+    """All chunks of all documents, with their numbers."""
+    return evidence.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "chunk_index", "chunk_total")
 
 
 # --- findings -----------------------------------------------------------------------------------------
@@ -517,18 +511,23 @@ def threshold_merge(spark, sf_dir):
 
 
 _TREE = [(d, True, None) for d in (*materialise.SETUP_DIRS, "harness/trajectory", ".claude/skills")] + [
-    ("canonical_root_hub.yaml", False, "\n".join(materialise.SETUP_HUB)), ("agent-context/workflow/index.yaml", False, "workflows: []"), ("agent-context/workflow/a.yaml", False, "\n".join(materialise.SETUP_WORKFLOW)),
-    ("agent-context/workflow/b/c.yaml", False, "id: x"), ("docs/index.md", False, ""), ("harness/trajectory/run-1.jsonl", False, "hitl_request canonical_root_hub_locked_change hitl_ack"),
+    ("canonical_root_hub.yaml", False, "\n".join(materialise.SETUP_HUB)), ("agent-context/workflow/index.yaml", False, "workflows: []"), ("docs/index.md", False, "")
 ]
 
 
 @query(
     "setup_score",
-    "select true as five_layer_directories, true as canonical_hub_valid, false as workflow_templates_valid, false as memory_harness_skeleton_valid, true as docs_index_present, true as skill_links_valid_or_skipped, true as no_unresolved_conflicts, 0.2 + 0.2 + 0.1 + 0.1 + 0.1 as score",
+    """with f as (select (select count(*) from part where p_partkey % 1500 = 1499) = 0 as flows, not exists (select user_id from events group by user_id having bool_or(event_type = 'error') and not bool_or(event_type = 'purchase')) as settled)
+       select true as five_layer_directories, true as canonical_hub_valid, flows as workflow_templates_valid, false as memory_harness_skeleton_valid, true as docs_index_present, true as skill_links_valid_or_skipped, settled as no_unresolved_conflicts,
+       round(0.2 + 0.2 + WORKFLOWS * flows::int + 0.1 + 0.1 + 0.1 * settled::int, 3)::double as score from f""".replace("WORKFLOWS", str(materialise.SETUP_FLAGS["workflow_templates_valid"])),
 )
 def setup_score(spark, sf_dir):
-    """A small tree with one broken workflow and without a work memory; worked out by hand."""
-    return materialise.setup_score(spark.createDataFrame(_TREE, "path string, is_dir boolean, text string"))
+    """A repository with a workflow for each part, some of them broken, and a log for each user, some with a request that nobody answered; it has no work memory."""
+    good = F.lit("\n".join(materialise.SETUP_WORKFLOW))
+    flows = table(spark, sf_dir, "part").select(F.concat(F.lit("agent-context/workflow/p"), "p_partkey", F.lit(".yaml")).alias("path"), F.lit(False).alias("is_dir"), F.when(F.col("p_partkey") % 1500 == 1499, "id: x").otherwise(good).alias("text"))
+    said = F.concat_ws(" ", F.when(F.bool_or(F.col("event_type") == "error"), "hitl_request canonical_root_hub_locked_change"), F.when(F.bool_or(F.col("event_type") == "purchase"), "hitl_ack"))
+    logs = table(spark, sf_dir, "events").groupBy("user_id").agg(said.alias("text")).select(F.concat(F.lit("harness/trajectory/run-"), "user_id", F.lit(".jsonl")).alias("path"), F.lit(False).alias("is_dir"), "text")
+    return materialise.setup_score(spark.createDataFrame(_TREE, "path string, is_dir boolean, text string").unionByName(flows).unionByName(logs))
 
 
 @query("core_skills", "select count(distinct p_brand) as n, count(distinct p_brand) = 8 as ok from part")
