@@ -101,8 +101,14 @@ def relation_id(source: Column, predicate: Column, target: Column) -> Column:
     return F.concat(F.lit("rel:"), bare(source), F.lit(":"), predicate, F.lit(":"), bare(target))
 
 
-def guard_additions(new: DataFrame, entities: DataFrame) -> DataFrame:
-    """``new`` (kind, label, cluster, source, target, type, source_refs) with ``rejected``: the reason, or null."""
+def guard_additions(new: DataFrame, entities: DataFrame, order: str | None = None) -> DataFrame:
+    """``new`` (kind, label, cluster, source, target, type, source_refs) with ``rejected``: the reason, or null.
+
+    A label is taken by an entity of the registry, or by the first entity of the batch (by ``order``, else as the
+    rows lie) that nothing else speaks against.
+    """
+    from kbspark.operators.reasoning import saved
+
     known = entities.select("cluster", normal_label(F.col("label")).alias("norm")).distinct().withColumn("_dup", F.lit(True))
     rows = new.withColumn("norm", normal_label(F.col("label"))).join(known, ["cluster", "norm"], "left")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
@@ -112,7 +118,12 @@ def guard_additions(new: DataFrame, entities: DataFrame) -> DataFrame:
         .when((F.col("kind") == "relation") & (empty("source") | empty("target")), "relation_needs_ends")
         .when((F.col("kind") == "instance") & empty("type"), "instance_needs_type")
     )
-    return rows.withColumn("rejected", reason).drop("norm", "_dup")
+    rows = saved(rows.withColumn("rejected", reason).withColumn("_row", F.monotonically_increasing_id()), "additions")
+    place = F.struct(order, "_row") if order else F.struct("_row")
+    wanted = rows.filter((F.col("kind") == "entity") & F.col("rejected").isNull())
+    first = wanted.groupBy("cluster", "norm").agg(F.min_by("_row", place).alias("_first"))
+    later = wanted.join(first, wanted["cluster"].eqNullSafe(first["cluster"]) & (wanted["norm"] == first["norm"]) & (wanted["_row"] != first["_first"])).select("_row", F.lit("duplicate_label").alias("_late"))
+    return rows.join(later, "_row", "left").withColumn("rejected", F.coalesce("rejected", "_late")).drop("norm", "_dup", "_row", "_late")
 
 
 def list_all(entities: DataFrame, relations: DataFrame, instances: DataFrame, cluster: str | None = None, kind: str | None = None) -> DataFrame:

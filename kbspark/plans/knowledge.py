@@ -120,24 +120,21 @@ def graph_json_scan(spark, sf_dir):
 _EX = "http://ex.org/"
 
 
-def _nation_triples(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    i = F.concat(F.lit(_EX + "n"), "n_nationkey")
-    row = lambda p, o, kind: n.select(i.alias("s"), F.lit(_EX + p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), _null().alias("o_lang"), _null().alias("o_dt"))
-    return row("in", F.concat(F.lit(_EX + "r"), "n_regionkey"), "iri").unionByName(row("says", F.concat("n_name", F.lit(' "and"\n\\more')), "literal"))
-
-
 @query(
     "turtle_round_trip",
-    f"""select '{_EX}n' || n_nationkey as s, '{_EX}in' as p, '{_EX}r' || n_regionkey as o from nation
-        union all select '{_EX}n' || n_nationkey, '{_EX}says', n_name || ' "and"' || chr(10) || '\\more' from nation""",
+    f"""select '{_EX}c' || c_custkey as s, '{_EX}in' as p, '{_EX}n' || c_nationkey as o from customer
+        union all select '{_EX}c' || c_custkey, '{_EX}says', c_name || ' "and"' || chr(10) || '\\more' from customer""",
 )
 def turtle_round_trip(spark, sf_dir):
-    """Triples of nations written twice as Turtle and read as one set."""
-    lines, path = comp.turtle_lines(_nation_triples(spark, sf_dir)), shared_path(spark, "turtle")
-    lines.write.text(f"{path}/a")
+    """Triples of customers written twice as Turtle and read, in many splits, as one set."""
+    c = table(spark, sf_dir, "customer")
+    i = F.concat(F.lit(_EX + "c"), "c_custkey")
+    row = lambda p, o, kind: c.select(i.alias("s"), F.lit(_EX + p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), _null().alias("o_lang"), _null().alias("o_dt"))
+    triples = row("in", F.concat(F.lit(_EX + "n"), "c_nationkey"), "iri").unionByName(row("says", F.concat("c_name", F.lit(' "and"\n\\more')), "literal"))
+    lines, path = comp.turtle_lines(triples), shared_path(spark, "turtle")
+    lines.coalesce(1).write.text(f"{path}/a")
     lines.write.text(f"{path}/b")
-    return python_sources.read_turtle(spark, f"{path}/*/part-*").select("s", "p", "o").distinct()
+    return _in_small_splits(spark, lambda: python_sources.read_turtle(spark, f"{path}/*/part-*"), "32k").select("s", "p", "o").distinct()
 
 
 @query(
@@ -459,16 +456,18 @@ def overlap_score(spark, sf_dir):
 
 @query(
     "guard_additions",
-    """select n_nationkey, case when n_nationkey % 6 = 0 then 'evidence_required' when n_nationkey % 3 = 1 and n_nationkey % 2 = 1 then 'duplicate_label' when n_nationkey % 3 = 2 and n_nationkey % 2 = 0 then 'relation_needs_ends' end as rejected from nation""",
+    """with a as (select c_custkey as k, case when c_custkey % 3 = 2 then 'relation' else 'entity' end as kind, case when c_custkey % 3 = 1 and c_custkey % 2 = 1 then 'taken' else 'c' || (c_custkey % 400) end as norm from customer),
+       r as (select *, case when k % 6 = 0 then 'evidence_required' when kind = 'entity' and norm = 'taken' then 'duplicate_label' when kind = 'relation' and k % 2 = 0 then 'relation_needs_ends' end as reason from a)
+       select k as c_custkey, coalesce(reason, case when kind = 'entity' and row_number() over (partition by norm, kind, reason is null order by k) > 1 then 'duplicate_label' end) as rejected from r""",
 )
 def guard_additions(spark, sf_dir):
-    """Nations as additions: entities, some under a label that is taken, and relations, some without an end."""
-    k = F.col("n_nationkey")
+    """Customers as additions: entities, some under a label that is taken before or within the batch, and relations, some without an end."""
+    k = F.col("c_custkey")
     kind = F.when(k % 3 == 2, "relation").otherwise("entity")
-    label = F.when((k % 3 == 1) & (k % 2 == 1), " Taken").otherwise(F.col("n_name"))
+    label = F.when((k % 3 == 1) & (k % 2 == 1), " Taken").otherwise(F.concat(F.lit(" C"), (k % 400).cast("string")))
     refs = F.when(k % 6 == 0, F.array().cast(_NONE)).otherwise(F.array(F.lit("e")))
-    new = table(spark, sf_dir, "nation").select("n_nationkey", kind.alias("kind"), label.alias("label"), F.lit("a").alias("cluster"), F.when(k % 2 == 0, "").otherwise("s").alias("source"), F.lit("t").alias("target"), _null().alias("type"), refs.alias("source_refs"))
-    return registry.guard_additions(new, spark.createDataFrame([("a", "TAKEN ")], "cluster string, label string")).select("n_nationkey", "rejected")
+    new = table(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind"), label.alias("label"), F.lit("a").alias("cluster"), F.when(k % 2 == 0, "").otherwise("s").alias("source"), F.lit("t").alias("target"), _null().alias("type"), refs.alias("source_refs"))
+    return registry.guard_additions(new, spark.createDataFrame([("a", "TAKEN ")], "cluster string, label string"), "c_custkey").select("c_custkey", "rejected")
 
 
 @query(
