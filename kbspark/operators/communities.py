@@ -23,7 +23,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.operators.reasoning import saved
+from kbspark.operators.reasoning import discard, saved
 
 _EXACT = "decimal(38,0)"
 #: Moves of one community that a round puts in order: so many of each part.
@@ -87,11 +87,13 @@ def _settle(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[Data
     for turn in itertools.count():
         moves = saved(gains(nodes, edges, labels, double), "moves")
         if moves.isEmpty():
+            discard(moves)
             return labels, turn > 0
         taken = saved(_in_order(moves, turn), "taken")
-        if taken.isEmpty():
-            taken = _apart(moves)
-        labels = saved(labels.join(taken.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        made = _apart(moves) if taken.isEmpty() else taken
+        then = saved(labels.join(made.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        discard(moves, taken, labels if turn else None)
+        labels = then
 
 
 def graph_of(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> tuple[DataFrame, DataFrame]:

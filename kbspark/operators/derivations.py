@@ -13,13 +13,14 @@ joined grow with the change, not with the facts.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.operators.reasoning import Rules, saved
+from kbspark.operators.reasoning import Rules, discard, gathered, saved
 
 TYPE, STATED = "a", "stated"
 
@@ -174,18 +175,21 @@ class Derived:
 
 def _rounds(reasoner: Reasoner, full: DataFrame, fresh: DataFrame, level: int, work: list[int]) -> DataFrame:
     """Semi-naive rounds from ``fresh``, which ``full`` holds; returns ``full`` with what follows."""
-    for turn in itertools.count(1):
+    known, parts = full, []
+    while True:
         found = reasoner.forward(fresh, full)
         if found is None:
             return full
         new = saved(_one_each(found.join(full, _FACT, "left_anti"), level), "derived")
         n = new.count()
         if not n:
-            return full
+            discard(new)
+            return known.unionByName(gathered(parts, "derived")) if parts else known
         work.append(n)
-        full, fresh, level = full.unionByName(new), new, level + 1
-        if turn % 16 == 0:
-            full = saved(full, "facts")
+        parts.append(new)
+        if len(parts) % 16 == 0:
+            parts = [gathered(parts[:-1], "derived"), new]
+        full, fresh, level = functools.reduce(lambda a, b: a.unionByName(b), [known, *parts]), new, level + 1
 
 
 def derive(facts: DataFrame, axioms: Axioms) -> Derived:
@@ -202,14 +206,18 @@ def proofs(derived: Derived, goals: DataFrame) -> DataFrame:
     hold have no rows.
     """
     facts = derived.facts.drop("level")
-    front = seen = None
+    front, parts = None, []
     wanted = goals.select(*_FACT).distinct().withColumn("goal", F.struct(*_FACT))
     for depth in itertools.count():
         step = wanted.join(facts, _FACT).withColumn("depth", F.lit(depth))
         front = saved(step.select("goal", "depth", *_FACT, "rule", "p1", "p2"), "proofs")
+        if front.isEmpty() and parts:
+            discard(front)
+            return gathered(parts, "proofs")
         if front.isEmpty():
-            return front if seen is None else seen
-        seen = front if seen is None else seen.unionByName(front)
+            return front
+        parts.append(front)
+        seen = functools.reduce(lambda a, b: a.unionByName(b), parts)
         below = front.select("goal", F.explode(F.array_compact(F.array("p1", "p2"))).alias("f")).select("goal", "f.*").distinct()
         wanted = below.join(seen.select("goal", *_FACT), ["goal", *_FACT], "left_anti")
 

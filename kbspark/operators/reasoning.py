@@ -8,6 +8,7 @@ round. Facts are finite, so rounds end by themselves; a cap, where one is given,
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import tempfile
@@ -37,7 +38,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``saved`` that nothing will read again; other frames are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("_written_at", None) if table is not None else None
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def gathered(parts: list[DataFrame], name: str) -> DataFrame:
+    """Tables of ``saved`` as one of them; the parts are deleted."""
+    if len(parts) == 1:
+        return parts[0]
+    out = saved(functools.reduce(lambda a, b: a.unionByName(b), parts), name)
+    discard(*parts)
+    return out
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -96,17 +118,22 @@ def _union(parts: list[DataFrame], none: DataFrame) -> DataFrame:
 
 def _fixpoint(start: DataFrame, step, keys: list[str], rounds: int | None, name: str) -> DataFrame:
     full = delta = saved(start.select(*keys).distinct(), name)
+    parts = [full]
     for turn in itertools.count(1):
         fresh = step(delta, full).select(*keys).distinct().join(full, keys, "left_anti")
         delta = saved(fresh, name)
         if delta.isEmpty():
-            return full
+            discard(delta)
+            return gathered(parts, name)
         if turn == rounds:
             raise RuntimeError(f"no fixpoint after {rounds} rounds")
         full = full.unionByName(delta)
+        parts.append(delta)
         if turn % 16 == 0:
-            # One table again instead of one for each round.
-            full = saved(full, name)
+            # One table again instead of one for each round; the newest facts stay a table of their own.
+            full = gathered(parts[:-1], name)
+            parts = [full, delta]
+            full = full.unionByName(delta)
 
 
 def close_properties(props: DataFrame, rules: Rules, rounds: int | None = None) -> DataFrame:
