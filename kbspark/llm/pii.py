@@ -63,7 +63,7 @@ PATTERNS = [
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])")),
-    ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])")),
 ]
 _NAME = r"[^\W\d_a-z][^\W\d_]+"
 _AFTER_TITLE = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.?\x20({_NAME}(?:[ -]{_NAME}){{0,2}})(?!\w)")
@@ -159,14 +159,21 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+#: Country codes of one and of two digits; all others have three.
+_CODES_OF_ONE = "1 7".split()
+_CODES_OF_TWO = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with."""
+    return digits[: 1 if digits[:1] in _CODES_OF_ONE else 2 if digits[:2] in _CODES_OF_TWO else 3]
+
+
 def _normal(kind: str, surface: str) -> str:
     digits = "".join(c for c in surface if c.isdigit())
     if kind == "phone":
         # The national number is who, the country code is where: numbers with and without it are one value.
-        if len(digits) >= 11 or not surface.startswith("+"):
-            return digits[-10:]
-        code = re.match(r"\+([0-9]{1,3})(?=[ .(-])|\+([0-9])", surface)
-        return digits[len(code[1] or code[2]) :]
+        return digits[len(country_code(digits)) :] if surface.startswith("+") else digits[-10:]
     if kind == "card":
         return digits
     return surface.replace(" ", "") if kind == "iban" else surface.lower()

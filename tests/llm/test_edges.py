@@ -222,3 +222,11 @@ def test_random_runs_of_one_case():
     for alphabet, n, least in ((string.ascii_lowercase, 16, 0.5), (string.ascii_lowercase, 32, 0.6), (string.ascii_uppercase, 16, 0.75), (string.ascii_uppercase, 32, 0.97)):
         assert found(["".join(r.choices(alphabet, k=n)) for _ in range(400)]) >= least, (alphabet, n)
     assert [bool(secrets.random_spans(x, e)) for x in ("xkqzvbnmwprtyhgfdsljcqx", "QXZKJVWPMNBRTYHGFDSL", "Xkqzvbnmwprtyhgfdsljcqx", "internationalization", "INTERNATIONALIZATION", "my_internationalization_2")] == [True] * 3 + [False] * 3
+
+
+@pytest.mark.parametrize("number,code", [("+49 30 1234567", "+49 "), ("+358 9 1234567", "+358 "), ("+1 (415) 555-0134", "+1 ("), ("+44 20 7946 0958", "+44 "), ("+4915112345678", "+49"), ("+7 495 123-45-67", "+7 "), ("+852 2123 4567", "+852 ")])
+def test_country_codes_stay(spark, number, code):
+    out = pii.pseudonymise(spark.createDataFrame([(1, f"Call {number} now."), (2, f"{number}")], "doc_id long, text string"), b"k").orderBy("doc_id").collect()
+    told = out[0].text.removeprefix("Call ").removesuffix(" now.")
+    assert told.startswith(code) and told != number and out[1].text == told
+    assert "".join("9" if c.isdigit() else c for c in told) == "".join("9" if c.isdigit() else c for c in number)
