@@ -109,6 +109,14 @@ def repeated_ids(rows: DataFrame, id_: str, place: str) -> DataFrame:
     return rows.join(several, id_).select(id_, "n", place)
 
 
+def without_siblings(rows: DataFrame, place: str) -> DataFrame:
+    """``rows`` without YAML files beside which a Turtle file of the same name lies: that one speaks for both."""
+    stem = lambda c: F.regexp_replace(c, r"\.(ttl|ya?ml)$", "")
+    written = rows.filter(F.col(place).endswith(".ttl")).select(stem(F.col(place)).alias("_stem")).distinct()
+    yaml = F.col(place).rlike(r"\.ya?ml$")
+    return rows.withColumn("_stem", F.when(yaml, stem(F.col(place)))).join(written, "_stem", "left_anti").drop("_stem")
+
+
 def resolve_first(candidates: DataFrame, id_: str = "id", priority: str = "priority") -> DataFrame:
     """Of the candidates of an id that of the smallest priority number; of equals that of the smallest other columns."""
     rest = F.struct(*[c for c in candidates.columns if c != id_])

@@ -141,3 +141,29 @@ def survival(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     """One row: records before, those still there after, and the rate."""
     kept = before.select(key).distinct().join(after.select(key).distinct().withColumn("_k", F.lit(1)), key, "left")
     return kept.agg(F.count("*").alias("before"), F.count("_k").alias("kept"), F.bround(F.coalesce(F.try_divide(F.count("_k"), F.count("*")), F.lit(0.0)), 3).alias("rate"))
+
+
+def rule_groups(rows: DataFrame, rule: str = "rule", order: list[str] = ("file",), most: int = 30) -> DataFrame:
+    """Findings by rule, larger rules first: ``n`` rows of the rule, its ``place`` among rules, and of each at most ``most`` with their rank.
+
+    A rule's rows are counted before they are shuffled; the places are those of the few rules there are.
+    """
+    sizes = rows.groupBy(rule).agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), rule)))
+    return top_per_rule(rows, rule, list(order), most).join(F.broadcast(sizes), rule)
+
+
+def evolution(log: DataFrame, period: Column, kind: str = "kind", id_: str = "id", at: str = "at", action: str = "action") -> DataFrame:
+    """(kind, period, added, kept, survival, removals, drift) of a log of ``added`` and ``removed`` records.
+
+    Of the records first added in a period: how many, how many of these the log's last word has not removed, and
+    their share. ``removals``: records removed in the period, ``drift`` their share of all that the period changed.
+    A record that is only ever removed belongs to no period's additions; actions of other names change nothing.
+    """
+    rows = log.select(F.col(kind).alias("kind"), F.col(id_).alias("id"), F.col(at).alias("at"), F.col(action).alias("action"), period.alias("period")).filter(F.col("action").isin("added", "removed"))
+    own = rows.groupBy("kind", "id").agg(F.min_by("period", F.when(F.col("action") == "added", F.col("at"))).alias("period"), F.max_by("action", F.struct("at", "action")).alias("last"))
+    born = own.filter("period is not null").groupBy("kind", "period").agg(F.count("*").alias("added"), F.count_if(F.col("last") == "added").alias("kept"))
+    moved = rows.groupBy("kind", "period").agg(F.count_if(F.col("action") == "removed").alias("removals"), F.count("*").alias("changes"))
+    share = lambda a, b: F.bround(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 3)
+    out = moved.join(born, ["kind", "period"], "left").fillna(0, ["added", "kept"])
+    return out.select("kind", "period", "added", "kept", share(F.col("kept"), F.col("added")).alias("survival"), "removals", share(F.col("removals"), F.col("changes")).alias("drift"))
