@@ -197,3 +197,38 @@ def run_oracle(registry: dict, name: str, *args) -> dict:
         return {"score": score, "passed": score >= 0.85, "details": name}
     except Exception as e:  # noqa: BLE001 - an oracle that fails must not end the run
         return {"score": 0.0, "passed": False, "details": str(e)}
+
+
+def next_steps(runs: DataFrame, flows: DataFrame, events: DataFrame, tools: DataFrame | None = None) -> DataFrame:
+    """(run_id, step_id, tool, action, attempt, reason): what each run should do next, from its events so far.
+
+    ``runs`` (run_id, workflow_id), ``flows`` (id, kind, tool, pipeline, max_retry), ``tools`` (tool): those that are
+    there, all of them if not given. Actions: ``start`` and ``retry`` a step, ``wait`` for one that runs, ``ask`` a person
+    when the tries of a step are used up, ``waiting`` for that person, ``stop`` after a failure, ``abort`` without a
+    tool's name, ``finish``. Steps whose tool is not there are passed over. Runs of unknown workflows have no row.
+    """
+    single = F.array(F.struct(F.lit("step").alias("step_id"), F.col("tool").alias("tool")))
+    todo = F.when(F.col("kind") == "pipeline", F.transform("pipeline", lambda s: F.struct(s["step_id"].alias("step_id"), s["tool"].alias("tool")))).otherwise(single)
+    most = F.when(F.coalesce("max_retry", F.lit(0)) == 0, 1).otherwise(F.col("max_retry")).alias("most")
+    known = flows.select(F.col("id").alias("workflow_id"), most, F.posexplode_outer(todo).alias("at", "s"))
+    steps = runs.select("run_id", "workflow_id").join(known, "workflow_id").select("run_id", "most", "at", "s.tool", F.coalesce("s.step_id", "s.tool", F.when(F.col("s").isNotNull(), "step")).alias("step_id"))
+    if tools is None:
+        steps = steps.withColumn("there", F.lit(True))
+    else:
+        steps = steps.join(tools.select("tool").distinct().withColumn("there", F.lit(True)), "tool", "left")
+    of = lambda kind: F.col("event_type") == kind
+    told = events.filter("step_id is not null").groupBy("run_id", "step_id").agg(
+        F.max(F.when(of("step_started"), F.col("attempt"))).alias("tries"), F.max(F.when(of("step_finished"), F.struct("attempt", "exit_code"))).alias("ended"), F.count_if(of("hitl_request")).alias("asked")
+    )
+    steps = steps.join(told, ["run_id", "step_id"], "left")
+    tries, code = F.coalesce("tries", F.lit(0)), F.col("ended.exit_code")
+    over = F.coalesce(F.col("ended.attempt") >= tries, F.lit(False))
+    action = (
+        F.when(F.col("at").isNull(), "done").when(F.col("tool").isNull(), "abort").when(F.col("there").isNull(), "done").when(tries == 0, "start").when(~over, "wait").when(code == 0, "done")
+        .when(S.retryable(code) & (tries <= F.col("most")), "retry").when(S.retryable(code) & (F.col("asked") == 0), "ask").when(S.retryable(code), "waiting").otherwise("stop")
+    )
+    reason = F.when(action == "abort", "missing_tool_field").when(action == "ask", "retry_budget_exhausted").when(action == "stop", F.concat(F.lit("exit code "), code.cast("string")))
+    attempt = F.when(action.isin("start", "retry"), tries + 1).when(action.isin("wait", "ask", "waiting", "stop"), tries)
+    each = steps.select("run_id", F.when(action != "done", F.struct("at", "step_id", "tool", action.alias("action"), attempt.cast("int").alias("attempt"), reason.alias("reason"))).alias("next"))
+    first = each.groupBy("run_id").agg(F.min("next").alias("n"))
+    return first.select("run_id", "n.step_id", "n.tool", F.coalesce("n.action", F.lit("finish")).alias("action"), "n.attempt", "n.reason")

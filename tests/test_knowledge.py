@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import sql as fsql
 from kbspark.functions.text import chunk_text
-from kbspark.operators import archive, compile as comp, dispatch, evidence, materialise, provenance
+from kbspark.operators import archive, compile as comp, dispatch, evidence, governance, materialise, provenance
 from kbspark.sinks import notes
-from kbspark.sources import yaml_files
+from kbspark.sources import files, yaml_files
 
 DEFINITION = """
 default_prefix: ex
@@ -118,10 +118,27 @@ def test_workflows(spark, tmp_path):
 
 def test_runs(spark, tmp_path):
     log = dispatch.RunLog(str(tmp_path / "events"), "r1", {"skill": "s", "mode": "apply"})
-    calls = []
-    steps = {"ok": lambda mode: calls.append(mode), "flaky": lambda mode: 0 if len(calls) > 2 or calls.append("f") else 75}
-    flow = {"id": "w", "kind": "pipeline", "max_retry": 3, "oracle": "o", "pipeline": [{"step_id": "a", "tool": "ok"}, {"step_id": "b", "tool": "flaky"}, {"tool": "gone"}]}
-    assert dispatch.run_workflow(flow, steps, log, "apply", sleep=lambda s: None) == 0
+    flow = {"id": "w", "kind": "pipeline", "max_retry": 3, "oracle": "o", "pipeline": [{"step_id": "a", "tool": "ok"}, {"step_id": "b", "tool": "flaky"}, {"step_id": None, "tool": "gone"}]}
+    runs, tools = spark.createDataFrame([("r1", "w"), ("r0", "w"), ("r3", "none")], "run_id string, workflow_id string"), spark.createDataFrame([("ok",), ("flaky",), ("bad",)], "tool string")
+    flows = spark.createDataFrame([(flow["id"], flow["kind"], None, flow["pipeline"], 3)], "id string, kind string, tool string, pipeline array<struct<step_id:string,tool:string>>, max_retry int")
+
+    def asked(runs=runs, flows=flows, tools=tools):
+        return {r.run_id: (r.step_id, r.action, r.attempt, r.reason) for r in governance.next_steps(runs, flows, files.read_trajectory(spark, log.directory), tools).collect()}
+
+    def step(log, name, attempt, code=None):
+        log.emit({"event_type": "step_started", "step_id": name, "attempt": attempt})
+        if code is not None:
+            log.emit({"event_type": "step_finished", "step_id": name, "attempt": attempt, "exit_code": code})
+
+    step(log, "a", 1)
+    assert asked() == {"r0": ("a", "start", 1, None), "r1": ("a", "wait", 1, None)}
+    log.emit({"event_type": "step_finished", "step_id": "a", "attempt": 1, "exit_code": 0})
+    assert asked()["r1"] == ("b", "start", 1, None)
+    step(log, "b", 1, 75)
+    step(log, "b", 2, 75)
+    assert asked()["r1"] == ("b", "retry", 3, None)
+    step(log, "b", 3, 0)
+    assert asked()["r1"] == (None, "finish", None, None) and asked(tools=None)["r1"] == ("gone", "start", 1, None)
     assert dispatch.gate_run(spark, log) == dispatch.ABORTED
     summary = dispatch.finish_run(spark, log, flow, 0, 1.5, oracles=({"o": lambda spark, w: 0.9},), work_log=str(tmp_path / "log"))
     assert summary["trajectory_complete"] and summary["oracle_score"] == 0.9 and "oracle_score: 0.9" in (tmp_path / "log" / "r1.md").read_text()
@@ -132,9 +149,16 @@ def test_runs(spark, tmp_path):
     assert [e["axis"] for e in events if e["event_type"] == "hitl_request"] == ["oracle"] and events[-1]["event_type"] == "hitl_ack" and all(e["skill"] == "s" for e in events)
     assert [e["attempt"] for e in events if e.get("step_id") == "b" and e["event_type"] == "step_finished"] == [1, 2, 3]
     other = dispatch.RunLog(str(tmp_path / "events"), "r2")
-    assert dispatch.run_workflow({"kind": "single", "tool": "bad", "max_retry": 1}, {"bad": lambda m: 64}, other, sleep=lambda s: None) == 64
-    assert [json.loads(x)["event_type"] for x in open(other.path)][-1] == "hitl_request"
-    assert dispatch.run_workflow({"kind": "single"}, {}, other) == 1
+    one = spark.createDataFrame([("s", "single", "bad", None, None), ("t", "single", None, None, 2), ("u", "pipeline", None, [], 1)], flows.schema)
+    pairs = lambda *p: spark.createDataFrame(p, "run_id string, workflow_id string")
+    step(other, "step", 1, 64)
+    assert asked(pairs(("r2", "s"), ("r4", "t"), ("r5", "u")), one) == {"r2": ("step", "retry", 2, None), "r4": ("step", "abort", None, "missing_tool_field"), "r5": (None, "finish", None, None)}
+    step(other, "step", 2, 64)
+    assert asked(pairs(("r2", "s")), one)["r2"] == ("step", "ask", 2, "retry_budget_exhausted")
+    other.emit({"event_type": "hitl_request", "reason": "retry_budget_exhausted", "step_id": "step"})
+    assert asked(pairs(("r2", "s")), one)["r2"] == ("step", "waiting", 2, None)
+    step(other, "step", 3, 1)
+    assert asked(pairs(("r2", "s")), one)["r2"] == ("step", "stop", 3, "exit code 1")
     triggers = [{"id": "collect", "phrases": ["collect", "harvest"], "legacy": ["harvest"]}]
     assert dispatch.dispatch(spark, "nothing", triggers, other, lambda r: 0) == 1
     assert [dispatch.dispatch(spark, "harvest it", triggers, other, lambda r: 0, strict) for strict in (False, True)] == [0, dispatch.REFUSED]
