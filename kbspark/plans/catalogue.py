@@ -177,8 +177,20 @@ def page_slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.uri_slug(F.col("url")).alias("slug"))
 
 
-@query("page_html_extract")
+@query(
+    "page_html_extract",
+    r"""
+    with a as (select page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') as h from pages),
+    b as (select page_id, regexp_replace(h, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'g') as h from a),
+    c as (select page_id, regexp_replace(regexp_replace(h, '(?is)<nav\b[^>]*>.*?</nav\s*>', chr(10) || chr(10), 'g'), '(?is)<(header|footer|aside)\b[^>]*>.*?</(header|footer|aside)\s*>', '', 'g') as h from b),
+    d as (select page_id, regexp_extract(h, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) as title, regexp_replace(regexp_replace(h, '(?i)</(p|div|li|br|h[1-6]|tr|section|article|blockquote|pre|ul|ol|table)\b[^>]*>|<(br|p|div)\s*/>', chr(10), 'g'), '(?s)</?[a-zA-Z!][^>]*>', '', 'g') as body from c),
+    u as (select page_id, regexp_replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;?', '&', 'g') as title,
+                 regexp_replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;?', '&', 'g') as body from d),
+    w as (select page_id, trim(title, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) as title, regexp_replace(regexp_replace(regexp_replace(body, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') as t from u)
+    select page_id, title, length(trim(t, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))::int as text_length, 'sha256:' || sha256(trim(t, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) as content_hash from w""",
+)
 def page_html_extract(spark, sf_dir):
+    """Titles and texts of all pages; the SQL says the same by patterns, which these pages' tags allow."""
     page = S.html_extract(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", page.alias("p")).select("page_id", F.col("p.title").alias("title"), F.length("p.text").alias("text_length"), S.content_hash(F.col("p.text")).alias("content_hash"))
 
