@@ -77,3 +77,47 @@ def compose_edges(edges: DataFrame, rounds: int = 2) -> DataFrame:
         out = step.withColumn("hops", F.lit(n)) if out is None else out.unionByName(step.withColumn("hops", F.lit(n)))
         now = step.select("src", "dst", F.col("kind").alias("k1")).distinct()
     return out
+
+
+#: Steps of a composition that one task of ``compose_counts`` takes, and edges that are few enough to go to every task.
+STEPS, FEW = 4_000_000, 1_000_000
+
+
+def _composed(first, second):
+    """The set of kinds that a set of kinds makes with another; sets are bits in the order of KINDS."""
+    bits = [[sum({1 << KINDS.index(COMPOSITION[a][j]) for i, a in enumerate(KINDS) if x >> i & 1 for j in range(4) if y >> j & 1}) for y in range(16)] for x in range(16)]
+    return F.element_at(F.array(*[F.lit(c) for row in bits for c in row]), first * 16 + second + 1)
+
+
+def compose_counts(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """(hops, kind, n, vias): what ``compose_edges`` holds, counted by hops and kind without making its rows.
+
+    Through one ``via`` every source meets every end, so the two are counted apart, by the set of kinds that each
+    has there, and the counts are multiplied. Only which nodes a source reaches is worked out: within the tasks
+    that hold the source, one row a pair, and not at all after the last hop.
+    """
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, 1 << i)]), F.col("kind"))
+    reach = saved(edges.filter(F.col("kind").isin(*KINDS)).groupBy("src", "dst").agg(F.bit_or(bit).alias("m")), "composed")
+    base = reach.select(F.col("src").alias("via"), F.col("dst").alias("end"), F.col("m").alias("m2"))
+    leaving = saved(base.groupBy("via", "m2").agg(F.count("*").alias("ends")), "leaving")
+    vias = leaving.select("via").distinct()
+    inner = saved(base.join(vias.withColumnRenamed("via", "end"), "end", "left_semi"), "inner")
+    few = inner.count() <= FEW
+    out, arriving = None, saved(reach.groupBy(F.col("dst").alias("via"), F.col("m").alias("m1")).agg(F.count("*").alias("sources")), "arriving")
+    for n in range(2, rounds + 2):
+        met = arriving.join(leaving, "via").withColumn("m", _composed(F.col("m1"), F.col("m2"))).withColumn("n", F.col("sources") * F.col("ends"))
+        each = met.select("via", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("m").bitwiseAND(1 << i).alias("on")) for i, k in enumerate(KINDS)])).alias("k"))
+        each = each.filter("k.on <> 0").groupBy(F.col("k.kind").alias("kind"), "via").agg(F.sum("n").alias("n"))
+        found = each.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("vias")).select(F.lit(n).alias("hops"), "kind", "n", "vias")
+        out = found if out is None else out.unionByName(found)
+        if n == rounds + 1:
+            return out
+        entering = inner.groupBy("via").agg(F.count("*").alias("k"))
+        steps = arriving.join(entering, "via").agg(F.sum(F.col("sources") * F.col("k")).alias("s")).first().s or 0
+        step = reach.select("src", F.col("dst").alias("via"), "m").join(vias, "via", "left_semi").repartition(max(1, -(-steps // STEPS)), "src")
+        step = step.join(F.broadcast(inner) if few else inner, "via")
+        step = step.groupBy("src", F.col("end").alias("dst")).agg(F.bit_or(_composed(F.col("m"), F.col("m2"))).alias("m"))
+        if n < rounds:
+            step = reach = saved(step, "composed")
+        arriving = saved(step.groupBy(F.col("dst").alias("via"), F.col("m").alias("m1")).agg(F.count("*").alias("sources")), "arriving")
+    return out

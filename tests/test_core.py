@@ -334,3 +334,24 @@ def test_collect_and_verify(spark):
     assert evidence.seed_violations(out).filter("not rule like 'missing:title'").count() == 0
     again = evidence.collect(pages, out.filter("kept"), "2024-01-01T00:00:00Z")
     assert again.filter("kept").count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_compositions_are_counted_without_their_rows(spark, monkeypatch, few):
+    import random
+
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "STEPS", 500)
+    dice = random.Random(3)
+    edges = spark.createDataFrame([(dice.randrange(60), dice.randrange(90), dice.choice([*graph.KINDS, "else"])) for _ in range(700)], "src long, dst long, kind string")
+    for rounds in (1, 2, 3):
+        rows = graph.compose_edges(edges, rounds).groupBy("hops", "kind").agg(F.count("*").alias("n"), F.countDistinct("via").alias("vias"))
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, graph.compose_counts(edges, rounds).collect()))
+
+
+def test_compositions_through_a_hub(spark):
+    """A hundred thousand sources and ends of one node are 10^10 compositions."""
+    n = 100_000
+    edges = spark.range(n).select(F.col("id").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit("causes").alias("kind"))
+    edges = edges.unionByName(spark.range(n, 2 * n).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit("requires").alias("kind")))
+    assert [tuple(r) for r in graph.compose_counts(edges).collect()] == [(2, "causes", n * n, 1)]
