@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import discard, materialise, mix64, slices, small_batches, span_hashes, to_batch
+from kbspark.llm.common import discard, materialise, mix64, shuffled, slices, small_batches, span_hashes, to_batch
 from kbspark.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -214,24 +214,24 @@ class _Search:
         pairs = pairs.filter("hub <> other").select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"), "hub")
         pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"))
         if self.tested is not None:
-            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(shuffled(self.tested.select("a", "b")), ["a", "b"], "left_anti")
         pairs = self._keep(pairs, "pairs")
         n = pairs.count()
         if not n:
             return 0
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         if self.bags is not None:
-            ids = ids.join(self.bags.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
-        rows = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_bags, "rep long, items array<long>, cells array<int>")
+            ids = ids.join(shuffled(self.bags.select(F.col("rep").alias("doc_id"))), "doc_id", "left_anti")
+        rows = self.docs.join(shuffled(ids), "doc_id", "left_semi").mapInArrow(_bags, "rep long, items array<long>, cells array<int>")
         best = F.max_by(F.struct("items", "cells"), F.struct(F.size("items"), "items")).alias("bag")
         more = self._keep(rows.groupBy("rep").agg(best).select("rep", "bag.*"), "bags")
         self.bags = more if self.bags is None else self.bags.unionByName(more)
         # A centre's bag goes once to each part of its partners; each partner's bag goes once for the pair.
         hubs = self._keep(pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "hubs")
-        other = pairs.join(hubs, "hub").withColumn("other", F.col("a") + F.col("b") - F.col("hub"))
+        other = pairs.join(shuffled(hubs), "hub").withColumn("other", F.col("a") + F.col("b") - F.col("hub"))
         other = other.select("hub", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "other")
         centre = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("other"))
-        units = [u.join(self.bags.select(F.col("rep").alias("other"), "items"), "other").select("hub", "part", "kind", "other", "items") for u in (centre, other)]
+        units = [u.join(shuffled(self.bags.select(F.col("rep").alias("other"), "items")), "other").select("hub", "part", "kind", "other", "items") for u in (centre, other)]
         units = units[0].unionByName(units[1]).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
         good = self._keep(units.mapInArrow(_compare(self.threshold), "a long, b long"), "edges")
         self.edges = good if self.edges is None else self.edges.unionByName(good)
@@ -251,20 +251,20 @@ class _Search:
         cells; members whose counts leave no partner in a bucket are left out of it.
         """
         comps = connected_components(self.edges, "a", "b").withColumnRenamed("node", "rep")
-        held = self.members.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        held = self.members.join(shuffled(comps), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         left = self._mixed(self._keep(held.select("band", "key", "rep", "component"), "components"))
         if left.isEmpty():
             return None
-        bags = self.bags.join(left.select("rep").distinct(), "rep", "left_semi")
+        bags = self.bags.join(shuffled(left.select("rep").distinct()), "rep", "left_semi")
         alone = bags.select("rep", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).filter("df = 1")
         alone = alone.groupBy("rep", F.pmod("item", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("k"))
         alone = alone.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("cell", "k"))).alias("alone"))
         none = F.create_map().cast("map<int,int>")
-        sizes = bags.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", none))
+        sizes = bags.join(shuffled(alone), "rep", "left").withColumn("alone", F.coalesce("alone", none))
         shared = F.transform("cells", lambda c, i: c - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
         sizes = sizes.select("rep", F.size("items").alias("n"), shared.alias("cells"))
         sizes = sizes.withColumn("common", F.aggregate("cells", F.lit(0), lambda a, x: a + x))
-        left = self._keep(left.join(sizes, "rep"), "sizes")
+        left = self._keep(left.join(shuffled(sizes), "rep"), "sizes")
         least = self._keep(left.groupBy("band", "key").agg(F.min("n").alias("least")), "least")
         left = _with_bucket(left, least).filter(self.reachable("n", "least", F.col("common"))).drop("least", "common")
         left = self._mixed(left)
@@ -292,7 +292,7 @@ class _Search:
         meet = (F.col("x") != F.col("y")) & self.reachable("np", "nq", F.least("np", "nq")) & self.reachable("np", "nq", most)
         for c in ("band", "key", "level", "part"):
             meet = (F.col(f"p.{c}") == F.col(f"q.{c}")) & meet
-        return p.join(q, meet).select(F.col("rq").alias("hub"), F.col("rp").alias("other"))
+        return p.join(shuffled(q), meet).select(F.col("rq").alias("hub"), F.col("rp").alias("other"))
 
     def _mixed(self, held: DataFrame) -> DataFrame:
         mixed = held.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y and size > 1")
@@ -307,7 +307,7 @@ def _with_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
     """``members`` with the columns of their bucket (one row each in ``buckets``): every bucket is met in SALTS parts, so a large one is not one task."""
     salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     parts = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(parts, ["band", "key", "salt"]).drop("salt")
+    return salted.join(shuffled(parts), ["band", "key", "salt"]).drop("salt")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -321,12 +321,12 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     # Only buckets with company matter from here on. The member that meets most others in all its buckets is
     # most likely the text that the others were made from, so it is a bucket's centre.
     sizes = materialise(members.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    shared = materialise(members.join(sizes, ["band", "key"]), "shared")
+    shared = materialise(members.join(shuffled(sizes), ["band", "key"]), "shared")
     known = shared.groupBy("rep").agg(F.sum("size").alias("met"))
-    met = materialise(shared.drop("size").join(known, "rep"), "met")
+    met = materialise(shared.drop("size").join(shuffled(known), "rep"), "met")
     centres = materialise(met.groupBy("band", "key").agg(F.max_by("rep", F.struct("met", "rep")).alias("hub")), "centres")
     search = _Search(docs, met, threshold)
-    if search.verify(met.join(centres, ["band", "key"]).select("hub", F.col("rep").alias("other"))):
+    if search.verify(met.join(shuffled(centres), ["band", "key"]).select("hub", F.col("rep").alias("other"))):
         left = search.open_members()
         if left is not None:
             search.verify(search.open_pairs(left))
@@ -334,16 +334,16 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     if search.edges is not None:
         # A last round may have added links.
         comps = connected_components(search.edges, "a", "b").withColumnRenamed("node", "rep")
-        classes = classes.join(comps, "rep", "left").select("print", F.coalesce("component", "rep").alias("class_id"))
+        classes = classes.join(shuffled(comps), "rep", "left").select("print", F.coalesce("component", "rep").alias("class_id"))
     else:
         classes = classes.withColumnRenamed("rep", "class_id")
     classes = materialise(classes, "classes")
     discard(same, members, sizes, shared, met, centres, *search.tables)
-    found = signed.filter("n > 0 and doc_id is not null").select("doc_id", "print").join(classes, "print").select("doc_id", "class_id")
+    found = signed.filter("n > 0 and doc_id is not null").select("doc_id", "print").join(shuffled(classes), "print").select("doc_id", "class_id")
     return found.unionByName(signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class: the rows of ``documents`` whose doc_id is their class (rows with a null doc_id stay)."""
     others = near_duplicates(documents, threshold).filter("doc_id <> class_id").select("doc_id").distinct()
-    return documents.join(others, "doc_id", "left_anti")
+    return documents.join(shuffled(others), "doc_id", "left_anti")

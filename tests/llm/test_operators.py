@@ -588,3 +588,14 @@ def test_pipeline_equals_plain_steps(spark, docs, rows):
     assert all(r.ids_crc32 == want[r.doc_id] for r in got)
     by = sorted(got, key=lambda r: r.start)
     assert [r.doc_id for r in by] == sorted(r.doc_id for r in got)
+
+
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    """Tables that grow with the documents meet by shuffles, so the driver holds none of them."""
+    seen, real = [], neardup.materialise
+    plan = lambda df: df._jdf.queryExecution().toString()
+    monkeypatch.setattr(neardup, "materialise", lambda df, name: (seen.append(plan(df)), real(df, name))[1])
+    texts = [(i, f"one two three four five six seven eight nine ten {'last' if i % 2 else 'least'} {i // 4}") for i in range(40)]
+    seen.append(plan(neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))))
+    assert len(seen) > 10 and any("SortMergeJoin" in p for p in seen)
+    assert not [p for p in seen if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
