@@ -111,7 +111,7 @@ def frontmatter_of(text: str | None) -> dict:
     body = re.sub(r"\A(?:\s*<!--.*?-->\s*\n)+", "", text or "", flags=re.S)
     m = re.match(r"---\s*\n(.*?)\n---\s*(?:\n|\Z)", body, re.S)
     try:
-        found = yaml.safe_load(m[1]) if m else {}
+        found = yaml.load(m[1], Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) if m else {}
     except yaml.YAMLError:
         found = {}
     return found if isinstance(found, dict) else {}

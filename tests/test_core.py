@@ -355,3 +355,14 @@ def test_compositions_through_a_hub(spark):
     edges = spark.range(n).select(F.col("id").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit("causes").alias("kind"))
     edges = edges.unionByName(spark.range(n, 2 * n).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit("requires").alias("kind")))
     assert [tuple(r) for r in graph.compose_counts(edges).collect()] == [(2, "causes", n * n, 1)]
+
+
+def test_frontmatter_is_read_by_the_compiled_loader(monkeypatch):
+    """The loader in Python took six times as long; it is only for where the other is missing."""
+    import yaml
+
+    if not hasattr(yaml, "CSafeLoader"):
+        pytest.skip("no compiled loader")
+    monkeypatch.setattr(yaml.SafeLoader, "__init__", lambda self, stream: pytest.fail("read by the loader in Python"))
+    assert files.frontmatter_of("---\na: [1, 'b']\nc: {d: null}\n---\nBody.") == {"a": [1, "b"], "c": {"d": None}}
+    assert files.frontmatter_of("---\na: [1\n---\n") == files.frontmatter_of("no") == {}
