@@ -366,3 +366,11 @@ def test_frontmatter_is_read_by_the_compiled_loader(monkeypatch):
     monkeypatch.setattr(yaml.SafeLoader, "__init__", lambda self, stream: pytest.fail("read by the loader in Python"))
     assert files.frontmatter_of("---\na: [1, 'b']\nc: {d: null}\n---\nBody.") == {"a": [1, "b"], "c": {"d": None}}
     assert files.frontmatter_of("---\na: [1\n---\n") == files.frontmatter_of("no") == {}
+
+
+def test_rows_meet_their_like_after_the_shuffle_only(spark):
+    """A task that reads a large split keeps no table of its different rows."""
+    rows = spark.range(100).selectExpr("cast(id % 10 as string) as x", "cast(id % 2 as string) as p", "cast(id % 5 as string) as y")
+    plan = reasoning.once(rows, ["x", "p", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.rindex("Exchange hashpartitioning") :] and plan.count("Exchange") == 1
+    assert reasoning.once(rows, ["x", "p", "y"]).count() == 10
