@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions import scalars as S
+from kbspark.operators.reasoning import once
 
 
 def sources_of(entities: DataFrame) -> DataFrame:
@@ -64,10 +65,10 @@ def check_shape(triples: DataFrame, target_class: str, constraints: list[dict])
     from kbspark.operators.compile import RDF
 
     kinds = triples.filter(F.col("p") == RDF + "type").select(F.col("s").alias("n"), F.col("o").alias("c"))
-    focus = kinds.filter(F.col("c") == target_class).select(F.col("n").alias("focus")).distinct()
+    focus = once(kinds.filter(F.col("c") == target_class).select(F.col("n").alias("focus")), ["focus"])
     out = None
     for c in constraints:
-        values = focus.join(triples.filter(F.col("p") == c["path"]).select(F.col("s").alias("focus"), "o", "o_kind", "o_dt").distinct(), "focus", "left")
+        values = focus.join(once(triples.filter(F.col("p") == c["path"]).withColumnRenamed("s", "focus"), ["focus", "o", "o_kind", "o_dt"], ["focus", "o"]), "focus", "left")
         per = values.groupBy("focus").agg(F.count("o").alias("n"))
         found = []
         if "min" in c:
