@@ -199,6 +199,35 @@ def derive(facts: DataFrame, axioms: Axioms) -> Derived:
     return Derived(_rounds(Reasoner(facts.sparkSession, axioms), start, start, 1, work), axioms, work)
 
 
+def relevant(facts: DataFrame, axioms: Axioms, classes: set[str] = frozenset(), predicates: set[str] = frozenset()) -> tuple[DataFrame, Axioms]:
+    """The facts and axioms that a proof of a fact of ``classes`` or ``predicates`` can hold.
+
+    An axiom counts if it concludes what is wanted; then what its premises ask for is wanted too. Derivations of
+    wanted facts are the same as from everything: no other axiom concludes them or any of their premises.
+    """
+    bodies, heads, out = {k.name: k.body for k in KINDS}, {k.name: k for k in KINDS}, Axioms()
+    wanted = {(TYPE, c) for c in classes} | {(p, None) for p in predicates}
+
+    def pattern(kind: str, row: tuple[str, ...], atom: tuple[str, str, str]) -> tuple[str, str | None]:
+        term = dict(zip(heads[kind].columns, row))
+        return (TYPE, term[atom[2]]) if atom[1] == TYPE else (term[atom[1]], None)
+
+    def asked(head: tuple[str, str | None]) -> bool:
+        # A role that is itself the type's predicate may conclude any class.
+        return head in wanted or (head == (TYPE, None) and any(p == TYPE for p, _ in wanted))
+
+    while True:
+        found = {(kind, row) for kind, rows in axioms.rows.items() for row in rows if row not in out.rows.get(kind, ()) and asked(pattern(kind, row, heads[kind].head))}
+        if not found:
+            break
+        for kind, row in found:
+            out.add(kind, *row)
+            wanted |= {pattern(kind, row, atom) for atom in bodies[kind]}
+    is_type = F.col("p") == TYPE
+    held = F.when(is_type, F.col("o").isin(*[c for p, c in wanted if p == TYPE])).otherwise(F.col("p").isin(*[p for p, c in wanted if c is None]))
+    return facts.filter(held), out
+
+
 def proofs(derived: Derived, goals: DataFrame) -> DataFrame:
     """(goal, depth, s, p, o, rule, p1, p2): for each goal (s, p, o) that holds, its proof, one row a fact in it.
 

@@ -249,3 +249,15 @@ def test_shapes_that_reach_themselves(spark):
     text = f"@prefix sh: <{sh.SH}> . <u:s> a sh:NodeShape ; sh:targetClass <u:P> ; sh:property <u:p> . <u:p> sh:path <u:knows> ; sh:node <u:s> ."
     with pytest.raises(ValueError):
         sh.read_shapes(spark.createDataFrame(parse_turtle(text), TRIPLES))
+
+
+def test_proofs_need_only_what_is_relevant(spark):
+    """Facts and axioms that no proof of the goal can hold are left out, and the goal's proofs stay the same."""
+    axioms = derivations.Axioms().add("subclass", "A", "B").add("some", "r", "B", "C").add("chain", "s", "s", "r").add("inverse", "r", "q").add("domain", "r", "Big").add("both", "C", "Big", "E")
+    rows = [("x", "r", "y"), ("y", "a", "A"), ("u", "s", "v"), ("v", "s", "y"), ("x", "t", "y"), ("y", "a", "Other"), ("w", "a", "C")]
+    facts = spark.createDataFrame(rows, FACTS)
+    kept, fewer = derivations.relevant(facts, axioms, {"C"})
+    assert fewer.rows == {"subclass": {("A", "B")}, "some": {("r", "B", "C")}, "chain": {("s", "s", "r")}}
+    assert {tuple(r) for r in kept.collect()} == set(rows) - {("x", "t", "y"), ("y", "a", "Other")}
+    goal = lambda d: {repr(r) for r in derivations.proofs(d, d.facts.filter("p = 'a' and o = 'C'")).collect()}
+    assert goal(derivations.derive(kept, fewer)) == goal(derivations.derive(facts, axioms))
