@@ -261,3 +261,39 @@ def test_proofs_need_only_what_is_relevant(spark):
     assert {tuple(r) for r in kept.collect()} == set(rows) - {("x", "t", "y"), ("y", "a", "Other")}
     goal = lambda d: {repr(r) for r in derivations.proofs(d, d.facts.filter("p = 'a' and o = 'C'")).collect()}
     assert goal(derivations.derive(kept, fewer)) == goal(derivations.derive(facts, axioms))
+
+
+def test_triples_are_read_once_for_all_uses(spark):
+    """Shapes with many paths, nested ones too: what the triples are made from is worked out once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"n{i}", p, o, "iri", None, None) for i in range(20) for p, o in (("p", f"n{i // 2}"), ("q", "z"))]
+    triples = spark.createDataFrame(rows, TRIPLES).mapInArrow(counted, TRIPLES)
+    inner = sh.Shape(path="q", constraints={"min_count": 1, "has_value": "z"})
+    shape = sh.Shape("s", target_subjects_of=("p",), properties=(sh.Shape(path="p", constraints={"max_count": 1}, any_of=(sh.Shape(properties=(inner,)), inner)), inner))
+    assert sh.Validator(triples).report([shape]).collect() == []
+    assert read.value == len(rows)
+
+
+def test_shared_nodes_are_walked_from_once(spark, monkeypatch):
+    """Many nodes lead to one chain: the rounds of a repeated path hold a row for each node of the chain and what it reaches, not for each start."""
+    written, save = [], sh.saved
+
+    def counting(df, name):
+        out = save(df, name)
+        written.append(out.count() if name == "reached" else 0)
+        return out
+
+    monkeypatch.setattr(sh, "saved", counting)
+    rows = [(f"s{i}", "p", "c0", "iri", None, None) for i in range(300)] + [(f"c{i}", "up", f"c{i + 1}", "iri", None, None) for i in range(5)]
+    v = sh.Validator(spark.createDataFrame(rows, TRIPLES))
+    starts = spark.createDataFrame([(f"s{i}",) for i in range(300)], "v string").select(sh._resource(F.col("v")).alias("focus")).withColumn("node", F.col("focus"))
+    for path, least in ((sh.one_or_more("up"), 1), (sh.zero_or_more("up"), 0)):
+        got = v.walk(starts, sh.sequence("p", path), True)
+        assert {(r.focus.value, r.node.value) for r in got.collect()} == {(f"s{i}", f"c{j}") for i in range(300) for j in range(least, 6)}
+    assert sum(written) < 40
