@@ -13,6 +13,7 @@ Expressions: a class name, ``THING``, ``all_of(*es)``, ``any_of(*es)``, ``no(e)`
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import reasoning
 from kbspark.operators.compile import MOST_AXIOMS, OWL, RDF, RDFS
-from kbspark.operators.reasoning import Rules, saved
+from kbspark.operators.reasoning import Rules, discard, gathered, saved
 
 THING, NOTHING = OWL + "Thing", OWL + "Nothing"
 
@@ -153,12 +154,37 @@ def _together(parts: list[DataFrame], like: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+#: Facts of one premise that are few enough to be sent to all tasks.
+FEW = 200_000
+
+
 def saturate(types: DataFrame, props: DataFrame, normal: Normal, rules: Rules | None = None, representatives: bool = False) -> tuple[DataFrame, DataFrame]:
     """(types (x, c), props (x, p, y)) with everything that follows, fresh names of ``normal`` included.
 
     ``rules``: role axioms, and the class axioms of a simpler kind. With ``representatives`` a class that
     implies a restriction gives its members a value that stands for the class restricted to, else nothing named.
     """
+    (t, nt), (p, np_) = _closed(types, props, normal, rules, representatives)
+    return t.distinct().unionByName(nt), p.distinct().unionByName(np_)
+
+
+def gained(types: DataFrame, props: DataFrame, normal: Normal, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``saturate`` adds to the facts that are given."""
+    (_, nt), (_, np_) = _closed(types, props, normal, rules, False)
+    return nt, np_
+
+
+def _counts(df: DataFrame, column: str, names: set[str]) -> dict[str, int]:
+    """How many facts there are of each of ``names``; they come from axioms, so there are few."""
+    return {r[0]: r[1] for r in df.filter(F.col(column).isin(*sorted(names))).groupBy(column).count().collect()} if names else {}
+
+
+def _closed(types: DataFrame, props: DataFrame, normal: Normal, rules: Rules | None, representatives: bool) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """((types as given, types gained), (properties as given, properties gained)); what is given may repeat, what is gained does not.
+
+    A round joins only what axioms whose premises are new ask for: facts of other classes and roles are neither joined
+    nor shuffled, and conclusions are compared only with facts of their own classes.
+    """
     spark, rules = types.sparkSession, rules or Rules()
     if rules.conditions:
         stated = Axioms([(all_of(*([is_a] if is_a else []), *(some(p, c or THING) for p, c in wanted)), cls) for cls, is_a, wanted in rules.conditions])
@@ -168,52 +194,106 @@ def saturate(types: DataFrame, props: DataFrame, normal: Normal, rules: Rules |
     domain += [(r, d) for r, c, d in normal.some_left if c == THING]
     some_left = [t for t in normal.some_left if t[1] != THING]
     symmetric = sorted({*normal.both, *((b, a, d) for a, b, d in normal.both)})
-    roles = rules.subproperty or rules.inverse or rules.symmetric or rules.transitive or rules.chains
-
-    def new_types(dt: DataFrame, dp: DataFrame, ft: DataFrame, fp: DataFrame) -> DataFrame:
-        parts = []
-        if sub:
-            parts.append(dt.join(_table(spark, sub, "c d"), "c").select("x", F.col("d").alias("c")))
-        if symmetric:
-            need = dt.join(_table(spark, symmetric, "c e d"), "c").select("x", F.col("e").alias("c"), "d")
-            parts.append(need.join(ft, ["x", "c"]).select("x", F.col("d").alias("c")))
-        if some_left:
-            t = _table(spark, some_left, "p c d")
-            inner = lambda tt: tt.withColumnRenamed("x", "y").join(t, "c").select("p", "y", "d")
-            parts.append(inner(dt).join(fp, ["p", "y"]).select("x", F.col("d").alias("c")))
-            parts.append(dp.join(t, "p").join(ft.withColumnRenamed("x", "y"), ["y", "c"]).select("x", F.col("d").alias("c")))
-        if normal.only:
-            t = _table(spark, normal.only, "c p d")
-            parts.append(dt.join(t, "c").select("x", "p", "d").join(fp, ["x", "p"]).select(F.col("y").alias("x"), F.col("d").alias("c")))
-            parts.append(dp.join(t, "p").join(ft, ["x", "c"]).select(F.col("y").alias("x"), F.col("d").alias("c")))
-        if normal.value_left:
-            parts.append(dp.join(_table(spark, normal.value_left, "p y d"), ["p", "y"]).select("x", F.col("d").alias("c")))
+    roles = bool(rules.subproperty or rules.inverse or rules.symmetric or rules.transitive or rules.chains)
+    makes = [*normal.value_right, *(normal.some_right if representatives else [])]
+    classes = {c for rows, at in ((sub, (0, 1)), (symmetric, (0, 2)), (some_left, (1, 2)), (normal.only, (0, 2)), (normal.value_left, (2,)), (domain, (1,)), (ranges, (1,)), (makes, (0,))) for r in rows for c in (r[i] for i in at)}
+    names = {r[i] for rows, i in ((some_left, 0), (normal.only, 1), (normal.value_left, 0), (domain, 0), (ranges, 0), (makes, 1)) for r in rows}
+    # Axioms come from the caller's code or ontology files, never from the facts.
+    axioms = lambda rows, columns: F.broadcast(_table(spark, rows, columns))
+    of = lambda df, column, rows, at: df.filter(F.col(column).isin(*sorted({r[at] for r in rows})))
+
+    def few(rows: DataFrame, counts: dict[str, int], used: list[tuple], at: int) -> DataFrame:
+        # A fact meets one axiom of a name or more.
+        return F.broadcast(rows) if sum(counts.get(r[at], 0) for r in used) <= FEW else rows
+
+    def new_types(dt: DataFrame, dp: DataFrame, ft: DataFrame, fp: DataFrame, first: bool) -> DataFrame | None:
+        parts, heads = [], set()
+        new, held = (lambda rows, at: [r for r in rows if fresh_t.get(r[at])]), (lambda rows, at: [r for r in rows if all_t.get(r[at])])
+        used = lambda rows, at: [r for r in rows if fresh_p.get(r[at])]
+        known = lambda rows, at: [r for r in rows if all_p.get(r[at])]
+
+        def add(rows: list[tuple], at: int, part: DataFrame) -> None:
+            heads.update(r[at] for r in rows)
+            parts.append(part)
+
+        if rows := new(sub, 0):
+            add(rows, 1, dt.join(axioms(rows, "c d"), "c").select("x", F.col("d").alias("c")))
+        # At first all facts are new: then one side of each axiom is enough.
+        smaller = lambda rows: [(a, b, d) if fresh_t.get(a, 0) <= fresh_t.get(b, 0) else (b, a, d) for a, b, d in rows]
+        if rows := held(new(smaller(normal.both) if first else symmetric, 0), 1):
+            need = dt.join(axioms(rows, "c e d"), "c").select("x", F.col("e").alias("c"), "d")
+            add(rows, 2, few(need, fresh_t, rows, 0).join(of(ft, "c", rows, 1), ["x", "c"]).select("x", F.col("d").alias("c")))
+        if rows := known(new(some_left, 1), 0):
+            inner = dt.withColumnRenamed("x", "y").join(axioms(rows, "p c d"), "c").select("p", "y", "d")
+            add(rows, 2, few(inner, fresh_t, rows, 1).join(of(fp, "p", rows, 0), ["p", "y"]).select("x", F.col("d").alias("c")))
+        if rows := [] if first else held(used(some_left, 0), 1):
+            own = of(ft, "c", rows, 1).withColumnRenamed("x", "y")
+            add(rows, 2, few(own, all_t, rows, 1).join(dp.join(axioms(rows, "p c d"), "p"), ["y", "c"]).select("x", F.col("d").alias("c")))
+        if rows := known(new(normal.only, 0), 1):
+            inner = dt.join(axioms(rows, "c p d"), "c").select("x", "p", "d")
+            add(rows, 2, few(inner, fresh_t, rows, 0).join(of(fp, "p", rows, 1), ["x", "p"]).select(F.col("y").alias("x"), F.col("d").alias("c")))
+        if rows := [] if first else held(used(normal.only, 1), 0):
+            own = of(ft, "c", rows, 0)
+            add(rows, 2, few(own, all_t, rows, 0).join(dp.join(axioms(rows, "c p d"), "p"), ["x", "c"]).select(F.col("y").alias("x"), F.col("d").alias("c")))
+        if rows := used(normal.value_left, 0):
+            add(rows, 2, dp.join(axioms(rows, "p y d"), ["p", "y"]).select("x", F.col("d").alias("c")))
         for pairs, end in ((domain, "x"), (ranges, "y")):
-            if pairs:
-                parts.append(dp.join(_table(spark, pairs, "p c"), "p").select(F.col(end).alias("x"), "c"))
-        return _together(parts, ft.select("x", "c")).join(ft, ["x", "c"], "left_anti")
-
-    def new_props(dt: DataFrame, dp: DataFrame, fp: DataFrame) -> DataFrame:
+            if rows := used(pairs, 0):
+                add(rows, 1, dp.join(axioms(rows, "p c"), "p").select(F.col(end).alias("x"), "c"))
+        if not parts:
+            return None
+        out = _together(parts, ft.select("x", "c"))
+        old = sorted(h for h in heads if all_t.get(h))
+        return out.join(ft.filter(F.col("c").isin(*old)), ["x", "c"], "left_anti") if old else out
+
+    def new_props(dt: DataFrame, dp: DataFrame, fp: DataFrame) -> DataFrame | None:
         parts = []
-        if normal.value_right:
-            parts.append(dt.join(_table(spark, normal.value_right, "c p y"), "c").select("x", "p", "y"))
-        if representatives and normal.some_right:
-            parts.append(dt.join(_table(spark, normal.some_right, "c p y"), "c").select("x", "p", "y"))
-        if roles:
+        rows = [r for r in makes if fresh_t.get(r[0])]
+        if rows:
+            parts.append(dt.join(axioms(rows, "c p y"), "c").select("x", "p", "y"))
+        if roles and has_dp:
             parts.append(reasoning._new_props(dp, fp, rules).select("x", "p", "y"))
-        return _together(parts, fp.select("x", "p", "y")).join(fp, ["x", "p", "y"], "left_anti")
-
-    dt = ft = saved(types.select("x", "c").distinct(), "types")
-    dp = fp = saved(props.select("x", "p", "y").distinct(), "props")
+        if not parts:
+            return None
+        out, heads = _together(parts, fp.select("x", "p", "y")), sorted({r[1] for r in rows})
+        if roles and has_dp:
+            return out.join(fp, ["x", "p", "y"], "left_anti")
+        return out.join(fp.filter(F.col("p").isin(*heads)), ["x", "p", "y"], "left_anti") if any(all_p.get(h) for h in heads) else out
+
+    def kept(rows: DataFrame | None, name: str) -> DataFrame | None:
+        return saved(rows, name) if rows is not None else None
+
+    t0, p0 = dt, dp = ft, fp = saved(types.select("x", "c"), "types"), saved(props.select("x", "p", "y"), "props")
+    none_t, none_p, t_parts, p_parts = t0.filter("false"), p0.filter("false"), [], []
+    fresh_t, fresh_p, has_dp = _counts(t0, "c", classes), _counts(p0, "p", names), True
+    all_t, all_p = dict(fresh_t), dict(fresh_p)
     for turn in itertools.count(1):
-        nt, np_ = saved(new_types(dt, dp, ft, fp), "types"), saved(new_props(dt, dp, fp), "props")
-        t_done, p_done = nt.isEmpty(), np_.isEmpty()
-        if t_done and p_done:
-            return ft, fp
-        dt, dp = nt, np_
-        ft, fp = (ft if t_done else ft.unionByName(nt)), (fp if p_done else fp.unionByName(np_))
+        nt, np_ = kept(new_types(dt, dp, ft, fp, turn == 1), "types"), kept(new_props(dt, dp, fp), "props")
+        # Fresh names count too: every class that is concluded is one of ``classes``.
+        has_dt, has_dp = nt is not None and not nt.isEmpty(), np_ is not None and not np_.isEmpty()
+        if not has_dt and not has_dp:
+            discard(nt, np_)
+            together = lambda parts, none: functools.reduce(lambda a, b: a.unionByName(b), parts, none)
+            return (t0, together(t_parts, none_t)), (p0, together(p_parts, none_p))
+        dt, dp = nt if has_dt else none_t, np_ if has_dp else none_p
+        fresh_t, fresh_p = _counts(dt, "c", classes) if has_dt else {}, _counts(dp, "p", names) if has_dp else {}
+        for total, fresh in ((all_t, fresh_t), (all_p, fresh_p)):
+            for k, n in fresh.items():
+                total[k] = total.get(k, 0) + n
+        if has_dt:
+            t_parts.append(nt)
+            ft = ft.unionByName(nt)
+        if has_dp:
+            p_parts.append(np_)
+            fp = fp.unionByName(np_)
         if turn % 16 == 0:
-            ft, fp = saved(ft, "types"), saved(fp, "props")
+            if len(t_parts) > 2:
+                t_parts = [gathered(t_parts[:-1], "types"), t_parts[-1]]
+                ft = functools.reduce(lambda a, b: a.unionByName(b), t_parts, t0)
+                dt = t_parts[-1] if has_dt else dt
+            if len(p_parts) > 2:
+                p_parts = [gathered(p_parts[:-1], "props"), p_parts[-1]]
+                fp = functools.reduce(lambda a, b: a.unionByName(b), p_parts, p0)
 
 
 def _apart_names(rows: list[tuple]) -> list[tuple]:
@@ -228,14 +308,15 @@ def clashes(types: DataFrame, normal: Normal, asserted: DataFrame | None = None)
     any size is one aggregate, not pairs.
     """
     spark = types.sparkSession
-    members = _table(spark, normal.disjoint, "axiom c")
+    members = F.broadcast(_table(spark, normal.disjoint, "axiom c"))
     own = types.unionByName(types.select("x", F.lit(THING).alias("c"))).distinct() if any(c == THING for _, c in normal.disjoint) else types
-    hit = own.join(members, "c").distinct()
-    wrong = hit.groupBy("x", "axiom").agg(F.count("*").alias("n")).filter("n > 1").select("x", "axiom")
-    facts = hit.join(wrong, ["x", "axiom"]).select("x", "axiom", "c").filter(F.col("c") != THING)
+    own = own.filter(F.col("c").isin(*sorted({c for _, c in normal.disjoint}), THING))
+    # One shuffle: the classes of a group that an individual is in are no more than the group names.
+    hit = own.filter("x is not null").join(members, "c").groupBy("x", "axiom").agg(F.collect_set("c").alias("cs")).filter(F.size("cs") > 1)
+    facts = hit.select("x", "axiom", F.explode("cs").alias("c")).filter(F.col("c") != THING)
     if asserted is None:
         return facts.withColumn("stated", F.lit(None).cast("boolean"))
-    stated = asserted.select("x", "c").distinct().withColumn("stated", F.lit(True))
+    stated = asserted.select("x", "c").filter(F.col("c").isin(*sorted({c for _, c in normal.disjoint}))).distinct().withColumn("stated", F.lit(True))
     return facts.join(stated, ["x", "c"], "left").select("x", "axiom", "c", F.coalesce("stated", F.lit(False)).alias("stated"))
 
 
