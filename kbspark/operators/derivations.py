@@ -115,36 +115,79 @@ def _head(kind: Kind, rows: DataFrame) -> DataFrame:
     return rows.select(*[term(t).alias(c) for c, t in zip(_FACT, kind.head)], F.lit(kind.name).alias("rule"), F.col("p1"), second.alias("p2"))
 
 
+#: What a pattern asks for: (TYPE, class), (role, None), or (TYPE, None) where a role that is concluded is the type's predicate itself.
+Name = tuple[str, str | None]
+
+
+def _name(kind: Kind, row: tuple[str, ...], atom: tuple[str, str, str]) -> Name:
+    term = dict(zip(kind.columns, row))
+    return (TYPE, term[atom[2]]) if atom[1] == TYPE else (term[atom[1]], None)
+
+
+def _named(facts: DataFrame, names: set[Name]) -> DataFrame:
+    """Facts of ``names``: others are neither joined nor shuffled."""
+    is_type = F.col("p") == TYPE
+    classes = F.lit(True) if (TYPE, None) in names else F.col("o").isin(*sorted(c for p, c in names if p == TYPE))
+    return facts.filter(F.when(is_type, classes).otherwise(F.col("p").isin(*sorted(p for p, c in names if p != TYPE))))
+
+
 class Reasoner:
-    """Axioms as tables, and the two directions of their rules."""
+    """Axioms as rows by kind, and the two directions of their rules."""
 
     def __init__(self, spark: SparkSession, axioms: Axioms):
         known = {k.name: k for k in KINDS}
         if set(axioms.rows) - set(known):
             raise ValueError(f"unknown kinds of axioms: {sorted(set(axioms.rows) - set(known))}")
-        self.tables = [(known[k], spark.createDataFrame(sorted(rows), ", ".join(f"{c} string" for c in known[k].columns))) for k, rows in sorted(axioms.rows.items()) if rows]
-
-    def forward(self, fresh: DataFrame, facts: DataFrame) -> DataFrame | None:
-        """(s, p, o, rule, p1, p2): conclusions with at least one premise in ``fresh``, the others in ``facts``."""
-        parts = []
-        for kind, table in self.tables:
-            for newest, atom in enumerate(kind.body):
-                rows = _met(_bound(atom, fresh, f"p{newest + 1}"), table)
-                if len(kind.body) == 2:
-                    rows = _met(rows, _bound(kind.body[1 - newest], facts, f"p{2 - newest}"))
-                parts.append(_head(kind, rows))
-        return _union(parts)
+        self.spark, self.rows = spark, [(known[k], sorted(rows)) for k, rows in sorted(axioms.rows.items()) if rows]
+        each = lambda atoms: {_name(kind, row, atom) for kind, rows in self.rows for row in rows for atom in atoms(kind)}
+        self.heads, self.bodies = each(lambda kind: (kind.head,)), each(lambda kind: kind.body)
+
+    def _table(self, kind: Kind, rows: list[tuple[str, ...]]) -> DataFrame:
+        # Axioms are the caller's, never facts. A join on their few names would put most facts in one task.
+        return F.broadcast(self.spark.createDataFrame(rows, ", ".join(f"{c} string" for c in kind.columns)))
+
+    def names(self, facts: DataFrame) -> set[Name]:
+        """Which of the names that axioms hold occur in ``facts``."""
+        rows = _named(facts, self.heads | self.bodies).select("p", F.when(F.col("p") == TYPE, F.col("o")).alias("c")).distinct()
+        # A role that is the type's predicate may conclude any class: only classes that axioms name are told apart.
+        classes = sorted({c for p, c in self.heads | self.bodies if p == TYPE and c is not None})
+        return {(r.p, r.c) for r in rows.withColumn("c", F.when(F.col("c").isin(*classes), F.col("c"))).distinct().collect()}
+
+    def forward(self, fresh: DataFrame, facts: DataFrame, new: set[Name] | None = None, held: set[Name] | None = None) -> tuple[DataFrame | None, set[Name]]:
+        """((s, p, o, rule, p1, p2), names of those): conclusions with at least one premise in ``fresh``, the others in ``facts``.
+
+        ``new`` and ``held``: the names of facts in both; without them any may be there. Where ``fresh`` is
+        ``facts``, one side of each axiom is enough.
+        """
+        parts, heads = [], set()
+        for kind, rows in self.rows:
+            for newest, atom in enumerate(kind.body[:1] if fresh is facts else kind.body):
+                other = kind.body[1 - newest] if len(kind.body) == 2 else None
+                used = [r for r in rows if (new is None or _name(kind, r, atom) in new) and (other is None or held is None or _name(kind, r, other) in held)]
+                if not used:
+                    continue
+                out = _met(_bound(atom, _named(fresh, {_name(kind, r, atom) for r in used}), f"p{newest + 1}"), self._table(kind, used))
+                if other:
+                    out = _met(out, _bound(other, _named(facts, {_name(kind, r, other) for r in used}), f"p{2 - newest}"))
+                parts.append(_head(kind, out))
+                heads |= {_name(kind, r, kind.head) for r in used}
+        return _union(parts), heads
 
     def backward(self, heads: DataFrame, facts: DataFrame) -> DataFrame | None:
         """The same for conclusions among ``heads`` (s, p, o), all premises in ``facts``."""
         parts = []
-        for kind, table in self.tables:
-            rows = _met(_bound(kind.head, heads, "_head"), table).drop("_head")
+        for kind, rows in self.rows:
+            out = _met(_bound(kind.head, _named(heads, {_name(kind, r, kind.head) for r in rows}), "_head"), self._table(kind, rows)).drop("_head")
             for at, atom in enumerate(kind.body):
-                rows = _met(rows, _bound(atom, facts, f"p{at + 1}"))
-            parts.append(_head(kind, rows))
+                out = _met(out, _bound(atom, _named(facts, {_name(kind, r, atom) for r in rows}), f"p{at + 1}"))
+            parts.append(_head(kind, out))
         return _union(parts)
 
+    def above(self, names: set[Name], at: int) -> tuple[set[Name], set[str]]:
+        """Names and rules of what premise number ``at`` of one of ``names`` may conclude."""
+        rests = [(_name(kind, row, kind.head), kind.name) for kind, rows in self.rows if len(kind.body) > at for row in rows if _name(kind, row, kind.body[at]) in names]
+        return {n for n, _ in rests}, {r for _, r in rests}
+
 
 def _union(parts: list[DataFrame]) -> DataFrame | None:
     out = None
@@ -171,21 +214,29 @@ class Derived:
     facts: DataFrame
     axioms: Axioms
     work: list[int]
+    changes: int = 0
 
 
-def _rounds(reasoner: Reasoner, full: DataFrame, fresh: DataFrame, level: int, work: list[int]) -> DataFrame:
-    """Semi-naive rounds from ``fresh``, which ``full`` holds; returns ``full`` with what follows."""
+def _rounds(reasoner: Reasoner, full: DataFrame, fresh: DataFrame, level: int, work: list[int], held: set[Name] | None = None) -> DataFrame:
+    """Semi-naive rounds from ``fresh``, which ``full`` holds; returns ``full`` with what follows. ``held``: names that ``full`` may hold, where these are known."""
     known, parts = full, []
+    new_names = reasoner.names(fresh)
+    held = held or (new_names if fresh is full else reasoner.names(full))
     while True:
-        found = reasoner.forward(fresh, full)
+        found, heads = reasoner.forward(fresh, full, new_names, held)
         if found is None:
-            return full
-        new = saved(_one_each(found.join(full, _FACT, "left_anti"), level), "derived")
+            return known.unionByName(gathered(parts, "derived")) if parts else known
+        # Conclusions are compared with facts of their own names.
+        if (TYPE, None) in heads or heads & held:
+            found = found.join(_named(full, heads), _FACT, "left_anti")
+        new = saved(_one_each(found, level), "derived")
         n = new.count()
         if not n:
             discard(new)
             return known.unionByName(gathered(parts, "derived")) if parts else known
         work.append(n)
+        new_names = reasoner.names(new)
+        held = held | new_names
         parts.append(new)
         if len(parts) % 16 == 0:
             parts = [gathered(parts[:-1], "derived"), new]
@@ -208,9 +259,8 @@ def relevant(facts: DataFrame, axioms: Axioms, classes: set[str] = frozenset(),
     bodies, heads, out = {k.name: k.body for k in KINDS}, {k.name: k for k in KINDS}, Axioms()
     wanted = {(TYPE, c) for c in classes} | {(p, None) for p in predicates}
 
-    def pattern(kind: str, row: tuple[str, ...], atom: tuple[str, str, str]) -> tuple[str, str | None]:
-        term = dict(zip(heads[kind].columns, row))
-        return (TYPE, term[atom[2]]) if atom[1] == TYPE else (term[atom[1]], None)
+    def pattern(kind: str, row: tuple[str, ...], atom: tuple[str, str, str]) -> Name:
+        return _name(heads[kind], row, atom)
 
     def asked(head: tuple[str, str | None]) -> bool:
         # A role that is itself the type's predicate may conclude any class.
@@ -260,7 +310,8 @@ def changed(derived: Derived, added: DataFrame, removed: DataFrame, axioms: Axio
     before, work = derived.facts, []
     # Facts whose proof is gone, then those whose proof rests on one of them.
     gone_axioms, new_axioms = derived.axioms.minus(axioms), axioms.minus(derived.axioms)
-    out = removed.select(*_FACT).distinct().join(added.select(*_FACT), _FACT, "left_anti")
+    start = saved(_stated(added), "start")
+    out = removed.select(*_FACT).distinct().join(start, _FACT, "left_anti")
     lost = before.filter(F.col("rule") == STATED).join(out, _FACT, "left_semi")
     if gone_axioms.rows:
         # Facts whose proof may be by such an axiom; one too many is proved again below.
@@ -268,34 +319,47 @@ def changed(derived: Derived, added: DataFrame, removed: DataFrame, axioms: Axio
         by_lost = Reasoner(spark, gone_axioms).backward(own, before)
         lost = lost.unionByName(own.join(by_lost, [*_FACT, "rule", "p1"], "left_semi"))
     lost = fresh = saved(lost.select(*_FACT).distinct(), "lost")
+    old_reasoner = Reasoner(spark, derived.axioms)
     while True:
         n = fresh.count()
         if not n:
             break
         work.append(n)
-        key = fresh.select(F.struct(*_FACT).alias("f"))
-        rests = _union([before.join(key, before[p] == key["f"], "left_semi").select(*_FACT) for p in ("p1", "p2")]).distinct()
-        fresh = saved(rests.join(lost, _FACT, "left_anti"), "lost")
+        key, names = fresh.select(F.struct(*_FACT).alias("f")), old_reasoner.names(fresh)
+        # Only facts that such a premise may conclude are looked at.
+        rests = []
+        for at, p in enumerate(("p1", "p2")):
+            heads, rules = old_reasoner.above(names, at)
+            if heads:
+                own = _named(before, heads).filter(F.col("rule").isin(*sorted(rules)))
+                rests.append(own.join(key, own[p] == key["f"], "left_semi").select(*_FACT))
+        if not rests:
+            break
+        fresh = saved(_union(rests).distinct().join(lost, _FACT, "left_anti"), "lost")
         lost = lost.unionByName(fresh)
-    kept = before.join(lost, _FACT, "left_anti")
     # Newly stated facts, and lost ones with another proof from what is kept.
     reasoner = Reasoner(spark, axioms)
     level = (before.agg(F.max("level").alias("l")).first().l or 0) + 1
-    start = _stated(added)
-    kept = saved(kept.join(start, _FACT, "left_anti").unionByName(start), "facts")
+    touched = saved(lost.unionByName(start.select(*_FACT)).distinct(), "touched")
+    kept = before.join(touched, _FACT, "left_anti").unionByName(start)
+    if (derived.changes + 1) % 8 == 0:
+        # What is kept is a plan over the facts before, so after some changes they are written once.
+        kept = saved(kept, "facts")
     again = reasoner.backward(lost.join(start, _FACT, "left_anti"), kept)
-    fresh = start.join(before.select(*_FACT).join(lost, _FACT, "left_anti"), _FACT, "left_anti")
+    known = saved(before.select(*_FACT).join(start, _FACT, "left_semi"), "known")
+    fresh = start.join(known.join(lost, _FACT, "left_anti"), _FACT, "left_anti")
     if again is not None:
         again = saved(_one_each(again, level), "again")
         kept, fresh = kept.unionByName(again), fresh.unionByName(again)
     if new_axioms.rows:
-        first = Reasoner(spark, new_axioms).forward(kept, kept)
-        first = saved(_one_each(first.join(kept, _FACT, "left_anti"), level + 1), "first")
+        first, heads = Reasoner(spark, new_axioms).forward(kept, kept)
+        first = saved(_one_each(first.join(_named(kept, heads), _FACT, "left_anti"), level + 1), "first")
         kept, fresh = kept.unionByName(first), fresh.unionByName(first)
     fresh = saved(fresh, "fresh")
     work.append(fresh.count())
-    now = _rounds(reasoner, kept, fresh, level + 2, work)
-    # Only lost and new facts can differ.
-    new = now.filter(F.col("level") >= level).select(*_FACT).unionByName(start.select(*_FACT)).distinct().join(before, _FACT, "left_anti").withColumn("change", F.lit("added"))
-    old = lost.distinct().join(now, _FACT, "left_anti").withColumn("change", F.lit("removed"))
-    return Derived(now, axioms, work), new.unionByName(old)
+    now = _rounds(reasoner, kept, fresh, level + 2, work, reasoner.heads | reasoner.bodies)
+    # Only lost and new facts can differ. Facts of these levels are not among those kept: they were there before only if they were lost.
+    made = now.filter(F.col("level") >= level).select(*_FACT)
+    new = made.join(lost, _FACT, "left_anti").unionByName(start.select(*_FACT).join(known, _FACT, "left_anti")).distinct().withColumn("change", F.lit("added"))
+    old = lost.distinct().join(made.unionByName(start.select(*_FACT)), _FACT, "left_anti").withColumn("change", F.lit("removed"))
+    return Derived(now, axioms, work, derived.changes + 1), new.unionByName(old)

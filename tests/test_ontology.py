@@ -318,3 +318,24 @@ def test_facts_are_not_dealt_by_their_class(spark, monkeypatch):
     closed, _ = ex.saturate(types, props, normal)
     assert sorted((r.x, r.c, r.stated) for r in ex.clashes(closed, normal, types).collect()) == [("y", "C", False), ("y", "D", False)]
     assert not [p for p in plans if re.search(r"hashpartitioning\([cp]#\d+, \d+", p)]
+
+
+def test_derivations_do_not_deal_facts_by_their_class(spark, monkeypatch):
+    """Neither rounds nor changes shuffle facts on class or role names alone, and facts that no axiom names are not joined."""
+    plans, save = [], derivations.saved
+
+    def keeping(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, name)
+
+    monkeypatch.setattr(derivations, "saved", keeping)
+    axioms = derivations.Axioms().add("subclass", "A", "B").add("both", "B", "C", "D").add("inverse", "r", "q").add("chain", "q", "t", "u")
+    rows = [("x", "a", "A"), ("x", "a", "C"), ("x", "r", "y"), ("x", "t", "z"), ("w", "a", "Other"), ("w", "other", "x")]
+    found = derivations.derive(spark.createDataFrame(rows, "s string, p string, o string"), axioms)
+    inferred = lambda d: sorted(tuple(r) for r in d.facts.filter("rule <> 'stated'").select("s", "p", "o").collect())
+    assert inferred(found) == [("x", "a", "B"), ("x", "a", "D"), ("y", "q", "x"), ("y", "u", "z")]
+    add, gone = ([("w", "a", "A"), ("w", "a", "C")], [("x", "a", "C"), ("x", "t", "z")])
+    now, moved = derivations.changed(found, *(spark.createDataFrame(r, "s string, p string, o string") for r in (add, gone)))
+    assert inferred(now) == [("w", "a", "B"), ("w", "a", "D"), ("x", "a", "B"), ("y", "q", "x")]
+    assert sorted(tuple(r) for r in moved.collect()) == sorted([(*f, "added") for f in (*add, ("w", "a", "B"), ("w", "a", "D"))] + [(*f, "removed") for f in (*gone, ("x", "a", "D"), ("y", "u", "z"))])
+    assert not [p for p in plans if re.search(r"hashpartitioning\([cr]#\d+, \d+", p)]
