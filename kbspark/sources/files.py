@@ -28,6 +28,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "DROPMAL
 
 
 _LINE = "file string, block long, line_no long, line string"
+#: Bytes of splits that one task reads at most, where splits are smaller, and the least number of tasks for each core.
+TASK_BYTES, TASKS_A_CORE = 8 << 20, 8
+
+
+def _tasks(spark: SparkSession, splits: int) -> int:
+    """Tasks that read so many splits: small ones are read several to a task, for a task costs far more than a small split."""
+    size = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return min(splits, max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-splits * min(size, TASK_BYTES) // TASK_BYTES)))
 
 
 def split_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +49,10 @@ def split_lines(spark: SparkSession, path: str) -> DataFrame:
     if not _matches(spark, path):
         return spark.createDataFrame([], _LINE)
     read = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    # Splits that share a task follow each other, each with the rows and places it has alone.
+    splits = read.rdd.getNumPartitions()
+    if _tasks(spark, splits) < splits:
+        read = read.coalesce(_tasks(spark, splits))
     counts = read.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     along = Window.partitionBy("file").orderBy("block")
     starts = counts.select("file", "block", "first", (F.sum("n").over(along) - F.col("n")).alias("before"))

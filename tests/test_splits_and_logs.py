@@ -116,3 +116,17 @@ def test_silence_fires_once_and_begins_anew(spark, tmp_path):
         ("long", "v", *day("00:10.000000", "10:10.000000")), ("long", "w", *day("05:00.000001", "15:00.000001")), ("long", "u", *day("08:00.000000", "18:00.000000")),
     }
     assert spark.conf.get(schedule.PROVIDER, "none") != schedule._ROCKS
+
+
+def test_small_splits_share_tasks(spark, tmp_path, splits):
+    """Splits far more than tasks: every line with its number once, in order within its split, and no task for each split."""
+    splits(64)
+    lines = [f"<http://s{i}> <http://p> <http://o> ." for i in range(600)]
+    (tmp_path / "a.ttl").write_text("\n".join(lines) + "\n")
+    found = files.split_lines(spark, str(tmp_path / "*.ttl"))
+    got = found.collect()
+    assert sorted((r.line_no, r.line) for r in got) == list(enumerate(lines, 1)) and len({r.block for r in got}) > 200
+    assert all(a.line_no < b.line_no for a, b in zip(got, got[1:]) if a.block == b.block)
+    triples = python_sources.read_turtle(spark, str(tmp_path / "*.ttl"))
+    assert sorted(r.s for r in triples.collect()) == sorted(f"http://s{i}" for i in range(600))
+    assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
