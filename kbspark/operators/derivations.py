@@ -3,7 +3,8 @@
 Facts are (s, p, o); a type fact has the predicate ``a``. Axioms are rows of a few kinds, each a pattern of
 one or two premises and a conclusion; all axioms of one kind are one table and one join. The fixpoint keeps
 with every fact the first derivation found (kind and premises, the smallest of one round), so every fact has
-one proof, and proofs are well founded: premises are of earlier levels.
+one proof, and proofs are well founded: premises are of earlier levels. Of a derivation only what its fact does
+not tell is kept (``how``: the terms of the premises that are not in the conclusion); premises are made of both.
 
 ``changed`` starts from such facts instead of from nothing. What loses its proof is found by following premises
 upwards from what is taken away; what of it can be proved otherwise is proved backwards, from conclusion to
@@ -17,7 +18,7 @@ import functools
 import itertools
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.operators.reasoning import Rules, discard, gathered, saved
@@ -48,6 +49,22 @@ KINDS = (
 )
 _FACT = ["s", "p", "o"]
 _PREMISE = "struct<s:string,p:string,o:string>"
+_HOW = ("a", "b", "c")
+
+
+def _open_terms(kind: Kind) -> list[str]:
+    """Terms of the premises that the conclusion leaves open, in the order of the premises: by them derivations of one fact compare as by their premises."""
+    return list(dict.fromkeys(t for atom in kind.body for t in atom if t != TYPE and t not in kind.head))
+
+
+def _premise(at: int) -> Column:
+    """Premise number ``at`` of a row (s, p, o, rule, how)."""
+    out = F.lit(None).cast(_PREMISE)
+    for kind in KINDS:
+        if len(kind.body) > at:
+            known = {t: F.col(c) for c, t in zip(_FACT, kind.head)} | {t: F.col(f"how.{c}") for c, t in zip(_HOW, _open_terms(kind))}
+            out = F.when(F.col("rule") == kind.name, F.struct(*[(F.lit(TYPE) if t == TYPE else known[t]).alias(c) for c, t in zip(_FACT, kind.body[at])])).otherwise(out)
+    return out
 
 
 @dataclass
@@ -99,10 +116,10 @@ class Axioms:
         return out
 
 
-def _bound(atom: tuple[str, str, str], facts: DataFrame, premise: str) -> DataFrame:
-    """Facts as rows of the pattern's terms, with the fact itself as ``premise``."""
+def _bound(atom: tuple[str, str, str], facts: DataFrame) -> DataFrame:
+    """Facts as rows of the pattern's terms."""
     facts = facts.filter(F.col("p") == TYPE if atom[1] == TYPE else F.col("p") != TYPE)
-    return facts.select(*[F.col(c).alias(t) for c, t in zip(_FACT, atom) if t != TYPE], F.struct(*_FACT).alias(premise))
+    return facts.select(*[F.col(c).alias(t) for c, t in zip(_FACT, atom) if t != TYPE])
 
 
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -111,8 +128,9 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def _head(kind: Kind, rows: DataFrame) -> DataFrame:
     term = lambda t: F.lit(TYPE) if t == TYPE else F.col(t)
-    second = F.col("p2") if len(kind.body) == 2 else F.lit(None).cast(_PREMISE)
-    return rows.select(*[term(t).alias(c) for c, t in zip(_FACT, kind.head)], F.lit(kind.name).alias("rule"), F.col("p1"), second.alias("p2"))
+    terms = [F.col(t) for t in _open_terms(kind)]
+    how = F.struct(*[t.cast("string").alias(c) for c, t in itertools.zip_longest(_HOW, terms, fillvalue=F.lit(None))])
+    return rows.select(*[term(t).alias(c) for c, t in zip(_FACT, kind.head)], F.lit(kind.name).alias("rule"), how.alias("how"))
 
 
 #: What a pattern asks for: (TYPE, class), (role, None), or (TYPE, None) where a role that is concluded is the type's predicate itself.
@@ -124,11 +142,17 @@ def _name(kind: Kind, row: tuple[str, ...], atom: tuple[str, str, str]) -> Name:
     return (TYPE, term[atom[2]]) if atom[1] == TYPE else (term[atom[1]], None)
 
 
-def _named(facts: DataFrame, names: set[Name]) -> DataFrame:
-    """Facts of ``names``: others are neither joined nor shuffled."""
+def _of(names: set[Name]) -> Column:
+    """Whether a fact is of ``names``."""
     is_type = F.col("p") == TYPE
     classes = F.lit(True) if (TYPE, None) in names else F.col("o").isin(*sorted(c for p, c in names if p == TYPE))
-    return facts.filter(F.when(is_type, classes).otherwise(F.col("p").isin(*sorted(p for p, c in names if p != TYPE))))
+    return F.coalesce(F.when(is_type, classes).otherwise(F.col("p").isin(*sorted(p for p, c in names if p != TYPE))), F.lit(False))
+
+
+def _named(facts: DataFrame, names: set[Name]) -> DataFrame:
+    """Facts of ``names``: others are neither joined nor shuffled."""
+    # Tables of facts are read by predicate, which a whole condition on pairs does not tell the reader.
+    return facts.filter(F.col("p").isin(*sorted({p for p, _ in names})) & _of(names))
 
 
 class Reasoner:
@@ -154,7 +178,7 @@ class Reasoner:
         return {(r.p, r.c) for r in rows.withColumn("c", F.when(F.col("c").isin(*classes), F.col("c"))).distinct().collect()}
 
     def forward(self, fresh: DataFrame, facts: DataFrame, new: set[Name] | None = None, held: set[Name] | None = None) -> tuple[DataFrame | None, set[Name]]:
-        """((s, p, o, rule, p1, p2), names of those): conclusions with at least one premise in ``fresh``, the others in ``facts``.
+        """((s, p, o, rule, how), names of those): conclusions with at least one premise in ``fresh``, the others in ``facts``.
 
         ``new`` and ``held``: the names of facts in both; without them any may be there. Where ``fresh`` is
         ``facts``, one side of each axiom is enough.
@@ -166,9 +190,9 @@ class Reasoner:
                 used = [r for r in rows if (new is None or _name(kind, r, atom) in new) and (other is None or held is None or _name(kind, r, other) in held)]
                 if not used:
                     continue
-                out = _met(_bound(atom, _named(fresh, {_name(kind, r, atom) for r in used}), f"p{newest + 1}"), self._table(kind, used))
+                out = _met(_bound(atom, _named(fresh, {_name(kind, r, atom) for r in used})), self._table(kind, used))
                 if other:
-                    out = _met(out, _bound(other, _named(facts, {_name(kind, r, other) for r in used}), f"p{2 - newest}"))
+                    out = _met(out, _bound(other, _named(facts, {_name(kind, r, other) for r in used})))
                 parts.append(_head(kind, out))
                 heads |= {_name(kind, r, kind.head) for r in used}
         return _union(parts), heads
@@ -177,9 +201,9 @@ class Reasoner:
         """The same for conclusions among ``heads`` (s, p, o), all premises in ``facts``."""
         parts = []
         for kind, rows in self.rows:
-            out = _met(_bound(kind.head, _named(heads, {_name(kind, r, kind.head) for r in rows}), "_head"), self._table(kind, rows)).drop("_head")
-            for at, atom in enumerate(kind.body):
-                out = _met(out, _bound(atom, _named(facts, {_name(kind, r, atom) for r in rows}), f"p{at + 1}"))
+            out = _met(_bound(kind.head, _named(heads, {_name(kind, r, kind.head) for r in rows})), self._table(kind, rows))
+            for atom in kind.body:
+                out = _met(out, _bound(atom, _named(facts, {_name(kind, r, atom) for r in rows})))
             parts.append(_head(kind, out))
         return _union(parts)
 
@@ -198,24 +222,31 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
 
 def _one_each(found: DataFrame, level: int) -> DataFrame:
     """One derivation a fact: the smallest."""
-    best = found.groupBy(*_FACT).agg(F.min(F.struct("rule", "p1", "p2")).alias("d"))
-    return best.select(*_FACT, F.lit(level).alias("level"), "d.rule", "d.p1", "d.p2")
+    # Derivations of one fact come from many tasks: a sort before the shuffle would join few of them.
+    best = found.repartition(*_FACT).groupBy(*_FACT).agg(F.min(F.struct("rule", "how")).alias("d"))
+    return best.select(*_FACT, F.lit(level).alias("level"), "d.rule", "d.how")
 
 
-def _stated(facts: DataFrame) -> DataFrame:
-    none = F.lit(None).cast(_PREMISE)
-    return facts.select(*_FACT).distinct().select(*_FACT, F.lit(0).alias("level"), F.lit(STATED).alias("rule"), none.alias("p1"), none.alias("p2"))
+def _stated(facts: DataFrame, once: bool = False) -> DataFrame:
+    facts = facts.select(*_FACT)
+    none = F.lit(None).cast("struct<" + ",".join(f"{c}:string" for c in _HOW) + ">")
+    return (facts if once else facts.distinct()).select(*_FACT, F.lit(0).alias("level"), F.lit(STATED).alias("rule"), none.alias("how"))
 
 
 @dataclass
 class Derived:
-    """``facts`` (s, p, o, level, rule, p1, p2), their axioms, and the rows that each round of their making found."""
+    """``rows`` (s, p, o, level, rule, how), their axioms, and the rows that each round of their making found."""
 
-    facts: DataFrame
+    rows: DataFrame
     axioms: Axioms
     work: list[int]
     changes: int = 0
 
+    @property
+    def facts(self) -> DataFrame:
+        """(s, p, o, level, rule, p1, p2): each fact with the premises of its proof."""
+        return self.rows.select(*_FACT, "level", "rule", _premise(0).alias("p1"), _premise(1).alias("p2"))
+
 
 def _rounds(reasoner: Reasoner, full: DataFrame, fresh: DataFrame, level: int, work: list[int], held: set[Name] | None = None) -> DataFrame:
     """Semi-naive rounds from ``fresh``, which ``full`` holds; returns ``full`` with what follows. ``held``: names that ``full`` may hold, where these are known."""
@@ -226,10 +257,11 @@ def _rounds(reasoner: Reasoner, full: DataFrame, fresh: DataFrame, level: int, w
         found, heads = reasoner.forward(fresh, full, new_names, held)
         if found is None:
             return known.unionByName(gathered(parts, "derived")) if parts else known
+        found = _one_each(found, level)
         # Conclusions are compared with facts of their own names.
         if (TYPE, None) in heads or heads & held:
-            found = found.join(_named(full, heads), _FACT, "left_anti")
-        new = saved(_one_each(found, level), "derived")
+            found = found.join(_named(full, heads).select(*_FACT), _FACT, "left_anti")
+        new = saved(found, "derived")
         n = new.count()
         if not n:
             discard(new)
@@ -243,9 +275,9 @@ def _rounds(reasoner: Reasoner, full: DataFrame, fresh: DataFrame, level: int, w
         full, fresh, level = functools.reduce(lambda a, b: a.unionByName(b), [known, *parts]), new, level + 1
 
 
-def derive(facts: DataFrame, axioms: Axioms) -> Derived:
-    """Everything that follows from ``facts`` (s, p, o), each with one derivation; stated facts are their own."""
-    start = saved(_stated(facts), "facts")
+def derive(facts: DataFrame, axioms: Axioms, once: bool = False) -> Derived:
+    """Everything that follows from ``facts`` (s, p, o), each with one derivation; stated facts are their own. ``once``: no fact is there twice."""
+    start = saved(_stated(facts, once), "facts")
     work = [start.count()]
     return Derived(_rounds(Reasoner(facts.sparkSession, axioms), start, start, 1, work), axioms, work)
 
@@ -278,18 +310,39 @@ def relevant(facts: DataFrame, axioms: Axioms, classes: set[str] = frozenset(),
     return facts.filter(held), out
 
 
+def concerned(facts: DataFrame, axioms: Axioms, then: Axioms, moved: DataFrame) -> tuple[DataFrame, Axioms, Axioms]:
+    """The facts and axioms, before and ``then``, on which ``changed`` finds the same changes when facts ``moved`` (s, p, o) come or go.
+
+    Facts that neither follow from what comes or goes nor lead to such facts are the same on both sides.
+    """
+    both = Reasoner(facts.sparkSession, Axioms({k: axioms.rows.get(k, set()) | then.rows.get(k, set()) for k in {*axioms.rows, *then.rows}}))
+    rules = [(kind.name, row, _name(kind, row, kind.head), {_name(kind, row, atom) for atom in kind.body}) for kind, rows in both.rows for row in rows]
+    names = both.heads | both.bodies
+    if (TYPE, None) in names:  # a role that is the type's predicate may conclude any class
+        return facts, axioms, then
+    other = {(kind, row) for a, b in ((axioms, then), (then, axioms)) for kind, rows in a.minus(b).rows.items() for row in rows}
+    wanted = both.names(moved) | {head for kind, row, head, _ in rules if (kind, row) in other}
+    while more := {head for _, _, head, bodies in rules if bodies & wanted} - wanted:
+        wanted |= more
+    while more := {name for _, _, head, bodies in rules if head in wanted for name in bodies} - wanted:
+        wanted |= more
+    used = {(kind, row) for kind, row, head, _ in rules if head in wanted}
+    kept = lambda a: Axioms({k: left for k, rows in a.rows.items() if (left := {r for r in rows if (k, r) in used})})
+    return facts.filter(~_of(names - wanted)), kept(axioms), kept(then)
+
+
 def proofs(derived: Derived, goals: DataFrame) -> DataFrame:
     """(goal, depth, s, p, o, rule, p1, p2): for each goal (s, p, o) that holds, its proof, one row a fact in it.
 
     Unfolded level by level for all goals at once; ``depth`` is the shortest way from the goal. Goals that do not
     hold have no rows.
     """
-    facts = derived.facts.drop("level")
+    facts = derived.rows.drop("level")
     front, parts = None, []
     wanted = goals.select(*_FACT).distinct().withColumn("goal", F.struct(*_FACT))
     for depth in itertools.count():
         step = wanted.join(facts, _FACT).withColumn("depth", F.lit(depth))
-        front = saved(step.select("goal", "depth", *_FACT, "rule", "p1", "p2"), "proofs")
+        front = saved(step.select("goal", "depth", *_FACT, "rule", _premise(0).alias("p1"), _premise(1).alias("p2")), "proofs")
         if front.isEmpty() and parts:
             discard(front)
             return gathered(parts, "proofs")
@@ -307,17 +360,17 @@ def changed(derived: Derived, added: DataFrame, removed: DataFrame, axioms: Axio
     A stated fact that is taken away stays if it follows. A derived fact may be stated: then that is its proof.
     """
     spark, axioms = added.sparkSession, axioms or derived.axioms
-    before, work = derived.facts, []
+    before, work = derived.rows, []
     # Facts whose proof is gone, then those whose proof rests on one of them.
     gone_axioms, new_axioms = derived.axioms.minus(axioms), axioms.minus(derived.axioms)
     start = saved(_stated(added), "start")
     out = removed.select(*_FACT).distinct().join(start, _FACT, "left_anti")
-    lost = before.filter(F.col("rule") == STATED).join(out, _FACT, "left_semi")
+    lost = before.filter(F.col("rule") == STATED).select(*_FACT).join(out, _FACT, "left_semi")
     if gone_axioms.rows:
         # Facts whose proof may be by such an axiom; one too many is proved again below.
         own = before.filter(F.col("rule").isin(*gone_axioms.rows))
         by_lost = Reasoner(spark, gone_axioms).backward(own, before)
-        lost = lost.unionByName(own.join(by_lost, [*_FACT, "rule", "p1"], "left_semi"))
+        lost = lost.unionByName(own.join(by_lost, [*_FACT, "rule", "how"], "left_semi").select(*_FACT))
     lost = fresh = saved(lost.select(*_FACT).distinct(), "lost")
     old_reasoner = Reasoner(spark, derived.axioms)
     while True:
@@ -328,11 +381,11 @@ def changed(derived: Derived, added: DataFrame, removed: DataFrame, axioms: Axio
         key, names = fresh.select(F.struct(*_FACT).alias("f")), old_reasoner.names(fresh)
         # Only facts that such a premise may conclude are looked at.
         rests = []
-        for at, p in enumerate(("p1", "p2")):
+        for at in range(2):
             heads, rules = old_reasoner.above(names, at)
             if heads:
                 own = _named(before, heads).filter(F.col("rule").isin(*sorted(rules)))
-                rests.append(own.join(key, own[p] == key["f"], "left_semi").select(*_FACT))
+                rests.append(own.select(*_FACT, _premise(at).alias("f")).join(key, "f", "left_semi").select(*_FACT))
         if not rests:
             break
         fresh = saved(_union(rests).distinct().join(lost, _FACT, "left_anti"), "lost")
@@ -341,7 +394,11 @@ def changed(derived: Derived, added: DataFrame, removed: DataFrame, axioms: Axio
     reasoner = Reasoner(spark, axioms)
     level = (before.agg(F.max("level").alias("l")).first().l or 0) + 1
     touched = saved(lost.unionByName(start.select(*_FACT)).distinct(), "touched")
-    kept = before.join(touched, _FACT, "left_anti").unionByName(start)
+    # Names of which no fact was touched are kept as they are, without a join.
+    names = reasoner.heads | reasoner.bodies | old_reasoner.heads | old_reasoner.bodies
+    free = names - reasoner.names(touched) - old_reasoner.names(touched)
+    whole = _of({n for n in free if n[0] != TYPE or (TYPE, None) not in names})
+    kept = before.filter(~whole).join(touched, _FACT, "left_anti").unionByName(before.filter(whole)).unionByName(start)
     if (derived.changes + 1) % 8 == 0:
         # What is kept is a plan over the facts before, so after some changes they are written once.
         kept = saved(kept, "facts")
@@ -353,7 +410,7 @@ def changed(derived: Derived, added: DataFrame, removed: DataFrame, axioms: Axio
         kept, fresh = kept.unionByName(again), fresh.unionByName(again)
     if new_axioms.rows:
         first, heads = Reasoner(spark, new_axioms).forward(kept, kept)
-        first = saved(_one_each(first.join(_named(kept, heads), _FACT, "left_anti"), level + 1), "first")
+        first = saved(_one_each(first, level + 1).join(_named(kept, heads).select(*_FACT), _FACT, "left_anti"), "first")
         kept, fresh = kept.unionByName(first), fresh.unionByName(first)
     fresh = saved(fresh, "fresh")
     work.append(fresh.count())

@@ -339,3 +339,33 @@ def test_derivations_do_not_deal_facts_by_their_class(spark, monkeypatch):
     assert inferred(now) == [("w", "a", "B"), ("w", "a", "D"), ("x", "a", "B"), ("y", "q", "x")]
     assert sorted(tuple(r) for r in moved.collect()) == sorted([(*f, "added") for f in (*add, ("w", "a", "B"), ("w", "a", "D"))] + [(*f, "removed") for f in (*gone, ("x", "a", "D"), ("y", "u", "z"))])
     assert not [p for p in plans if re.search(r"hashpartitioning\([cr]#\d+, \d+", p)]
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    """The shuffle files of a written table go with the writing, and the session's setting stays as it was."""
+    import time
+
+    from kbspark.operators import reasoning
+
+    held = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = held(), spark.conf.get(reasoning._CLEANUP)
+    out = reasoning.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "counts")
+    for _ in range(20):
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(reasoning._CLEANUP) == setting
+    assert sum(r.n for r in out.collect()) == 1000
+
+
+def test_changes_need_only_what_is_concerned(spark):
+    """Facts that a change cannot touch and that lead to none it can are left out; the changes stay the same."""
+    axioms = derivations.Axioms().add("subclass", "A", "B").add("some", "r", "B", "C").add("inverse", "r", "q").add("domain", "q", "Big").add("chain", "s", "s", "s").add("both", "C", "D", "E")
+    then = derivations.Axioms({k: set(v) for k, v in axioms.rows.items() if k != "both"}).add("subclass", "C", "F")
+    rows = [("x", "r", "y"), ("y", "a", "A"), ("x", "a", "D"), ("u", "s", "v"), ("v", "s", "w"), ("u", "r", "z"), ("z", "other", "z")]
+    facts, added, gone = spark.createDataFrame(rows, FACTS), spark.createDataFrame([("z", "a", "A")], FACTS), spark.createDataFrame([("y", "a", "A")], FACTS)
+    kept, before, after = derivations.concerned(facts, axioms, then, added.unionByName(gone))
+    assert {tuple(r) for r in kept.collect()} == {r for r in rows if r[1] != "s"}
+    assert "inverse" not in before.rows and "chain" not in before.rows and after.rows["subclass"] == {("A", "B"), ("C", "F")}
+    moved = lambda f, a, b: sorted(tuple(r) for r in derivations.changed(derivations.derive(f, a, once=True), added, gone, b)[1].collect())
+    assert moved(kept, before, after) == moved(facts, axioms, then)
