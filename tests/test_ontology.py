@@ -369,3 +369,15 @@ def test_changes_need_only_what_is_concerned(spark):
     assert "inverse" not in before.rows and "chain" not in before.rows and after.rows["subclass"] == {("A", "B"), ("C", "F")}
     moved = lambda f, a, b: sorted(tuple(r) for r in derivations.changed(derivations.derive(f, a, once=True), added, gone, b)[1].collect())
     assert moved(kept, before, after) == moved(facts, axioms, then)
+
+
+def test_order_graph_holds_each_triple_once(spark, tmp_path):
+    """Lines, orders and parts that repeat give their triples once, so the validator need not shuffle them."""
+    from kbspark.plans import graphs
+
+    lines = [(1, 1, 2, 3, 5.0, "A"), (1, 1, 2, 3, 5.0, "A"), (1, 1, 2, 3, 5.0, "N"), (1, 2, 2, 3, 5.0, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (1,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(2, "B"), (2, "B"), (2, "C")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    rows = [(r.s, r.p, r.o) for r in graphs.order_graph(spark, str(tmp_path)).collect()]
+    assert len(rows) == len(set(rows)) == 2 * 5 + 1 + 1 + 1 + 2 and ("l-1-1-2-3-5", "note", "back") in rows
