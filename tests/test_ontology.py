@@ -381,3 +381,22 @@ def test_order_graph_holds_each_triple_once(spark, tmp_path):
     spark.createDataFrame([(2, "B"), (2, "B"), (2, "C")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     rows = [(r.s, r.p, r.o) for r in graphs.order_graph(spark, str(tmp_path)).collect()]
     assert len(rows) == len(set(rows)) == 2 * 5 + 1 + 1 + 1 + 2 and ("l-1-1-2-3-5", "note", "back") in rows
+
+
+@pytest.mark.parametrize("most", [100_000, 3, 0])
+def test_numbers_of_repeated_paths_without_their_pairs(spark, monkeypatch, most):
+    """Counts at the end of a repeated path equal those of the pairs, which are not made; for any bound on one row."""
+    rows = [(f"f{i}", "has", f"n{(i * 7 + j * 5) % 23}") for i in range(12) for j in range(i % 4)] + [(f"n{i}", "in", f"n{i // 2}") for i in range(1, 23)] + [("n3", "in", "n11"), ("f1", "in", "n4")]
+    triples = spark.createDataFrame([(s, p, o, "iri", None, None) for s, p, o in rows], TRIPLES)
+    v = sh.Validator(triples, once=True)
+    path = sh.sequence("has", sh.one_or_more("in"))
+    nodes = v.targets(sh.Shape(target_subjects_of=("has", "in")))
+    start = nodes.select(F.col("node").alias("focus"), "node")
+    plain = {r.focus.value: r.n for r in v.walk(start, path, True).groupBy("focus").agg(F.count("*").alias("n")).collect()}
+    monkeypatch.setattr(sh, "MOST_IN_A_ROW", most)
+    monkeypatch.setattr(sh.Validator, "_repeat", None)
+    assert {r.focus.value: r.n for r in v.counts(start, path).collect()} == plain
+    if most == 3:
+        failed = v.failures(sh.Shape(path=path, constraints={"min_count": 2, "max_count": 6}), nodes)
+        want = {(f, "min_count") for f in {r[0] for r in rows} if plain.get(f, 0) < 2} | {(f, "max_count") for f, n in plain.items() if n > 6}
+        assert {(r.focus.value, r.rule) for r in failed.collect()} == want and {r for _, r in want} == {"min_count", "max_count"}
